@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.mixing import mix
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.packing import pack_best_fit, pack_in_order
+from plumbline.llm.substring import remove_repeated_spans
 from plumbline.session import table
 
 
@@ -12,8 +15,28 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), most=4096)
+
+
+def op6_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), span=3)
+
+
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), entropy=0.95).select("doc_id", "source", "_tokens", "_weight", "_epoch", "_block", "_order")
+
+
+def op10_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_in_order(table(spark, sf_dir, "documents"), most=4096)
+
+
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_sentence_span_dedup": op6_sentence_span_dedup,
+    "op7_temperature_mixing": op7_temperature_mixing,
+    "op10_order_preserving_packing": op10_order_preserving_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
