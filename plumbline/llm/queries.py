@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.mixing import mix
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.order_minhash import order_fingerprints
 from plumbline.llm.packing import pack_best_fit, pack_in_order
 from plumbline.llm.substring import remove_repeated_spans
+from plumbline.llm.toxicity import fit, score
 from plumbline.session import table
 
 
+def fold(doc_id: str, n: int) -> Column:
+    """crc32 of the id's decimal digits, modulo n."""
+    return F.crc32(F.col(doc_id).cast("string")) % n
+
+
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -27,15 +39,25 @@ def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), entropy=0.95).select("doc_id", "source", "_tokens", "_weight", "_epoch", "_block", "_order")
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), rows=fold("id", 4) != 2)
+    return score(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op10_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_in_order(table(spark, sf_dir, "documents"), most=4096)
 
 
 QUERIES = {
+    "op3_order_minhash": op3_order_minhash,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sentence_span_dedup": op6_sentence_span_dedup,
     "op7_temperature_mixing": op7_temperature_mixing,
+    "op8_compression_toxicity": op8_compression_toxicity,
     "op10_order_preserving_packing": op10_order_preserving_packing,
 }
 
