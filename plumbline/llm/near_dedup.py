@@ -185,7 +185,7 @@ def _confirm(width: int, percent: int) -> Callable:
 
 def _compare(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) within each task (c, i, j) of the rows (id, c, i, j)."""
-    rows = texts.join(tasks, "id").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "id")
+    rows = texts.join(tasks.hint("merge"), "id").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "id")
     return rows.select("c", "i", "j", "id", "text").mapInArrow(_confirm(width, percent), "a long, b long").where("a != b")
 
 
@@ -232,6 +232,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: i
     # the smallest id of a group stands in all blocks
     tasks = members.select("id", "c", F.explode(F.when(F.col("id") == F.col("c"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("i"))).alias("i"), F.lit(0).alias("j"))
     wanted = texts.where("id is not null")
+    if some_large:  # the texts of crowded groups are read once more
+        wanted = scratch.keep(wanted.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     links = scratch.keep(_compare(tasks, wanted, width, percent), "links")
     if some_large:
         crowd = scratch.keep(members.where("blocks > 1"), "crowd")
@@ -249,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: i
     classes = reps.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
     return (
         features.select("id", "n", "h1", "h2")
-        .join(classes, ["h1", "h2"], "left")
+        .join(classes.hint("merge"), ["h1", "h2"], "left")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
