@@ -10,6 +10,7 @@ from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.order_minhash import order_fingerprints
 from plumbline.llm.packing import pack_best_fit, pack_in_order
 from plumbline.llm.substring import remove_repeated_spans
+from plumbline.llm.suffix_lm import score_corpus
 from plumbline.llm.toxicity import fit, score
 from plumbline.session import table
 
@@ -47,6 +48,12 @@ def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
+    return score_corpus(docs, learn=~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_in_order(table(spark, sf_dir, "documents"), most=4096)
 
@@ -58,6 +65,7 @@ QUERIES = {
     "op6_sentence_span_dedup": op6_sentence_span_dedup,
     "op7_temperature_mixing": op7_temperature_mixing,
     "op8_compression_toxicity": op8_compression_toxicity,
+    "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_order_preserving_packing": op10_order_preserving_packing,
 }
 
