@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.additive_ann import nearest
+from plumbline.llm.html import extract
 from plumbline.llm.mixing import mix
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.order_minhash import order_fingerprints
@@ -20,6 +22,14 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
+def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +69,8 @@ def op10_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_text_density": op1_text_density,
+    "op2_additive_quantisation": op2_additive_quantisation,
     "op3_order_minhash": op3_order_minhash,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
