@@ -2,12 +2,860 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions import code, expr
+from plumbline.functions.expr import rounded
+from plumbline.operators import align, calibration, candidates, factors, folds, ledger, probe, rescale, rollup, tokens
+from plumbline.plans import views
+from plumbline.plans.views import CAND, EVENTS, TOK, WORDS
+from plumbline.session import table
+from plumbline.sources import tables
+from plumbline.streaming import monitor
+
 FLAGSHIP = "ca_by_stratum"
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        name = f.__name__
+        _QUERIES[name] = lambda spark, sf: rounded(f(spark, sf))
+        if sql:
+            _SQL[name] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _bin_sql(p: str = "p", n: int = 10) -> str:
+    return "CAST(" + " + ".join(f"({p} >= CAST({e!r} AS DOUBLE))::INT" for e in expr.linspace(n)[1:-1]) + " AS BIGINT)"
+
+
+BIN = _bin_sql()
+R = "ROUND({}, 6) AS {}".format
+
+
+# --- sources, projections ---
+
+
+@query("SELECT o_orderkey, o_orderstatus, ROUND(o_totalprice, 6) AS o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
+def src_scan_limit(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").orderBy("o_orderkey").limit(50)
+
+
+@query("SELECT o.o_orderkey, c.seq, o.o_orderpriority FROM orders o JOIN (SELECT c_custkey * 7 AS id, CAST(c_custkey AS BIGINT) AS seq FROM customer WHERE c_nationkey = 3) c ON o.o_orderkey = c.id")
+def src_id_subset(spark, sf):
+    ids = table(spark, sf, "customer").where("c_nationkey = 3").select((F.col("c_custkey") * 7).alias("o_orderkey"), F.col("c_custkey").cast("long").alias("seq"))
+    return tables.subset(table(spark, sf, "orders"), ids, "o_orderkey", "seq").select("o_orderkey", "seq", "o_orderpriority")
+
+
+@query("""SELECT src, COUNT(*) AS n, CAST(SUM(LENGTH(text)) AS BIGINT) AS chars FROM (
+  SELECT 'documents' AS src, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark UNION ALL SELECT 'conversations', text FROM conversations) u GROUP BY src""")
+def src_multi_union(spark, sf):
+    parts = {n: table(spark, sf, n).select("text") for n in ("documents", "benchmark", "conversations")}
+    return tables.tagged_union(parts).groupBy("src").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""SELECT d.doc_id, LENGTH(COALESCE(b.text, CASE WHEN l.quality = 1 THEN d.text END, 'none')) AS n_fix, COALESCE(l.quality = 1, FALSE) AS ok
+FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def prj_coalesce_fix_text(spark, sf):
+    d, b, lab = table(spark, sf, "documents"), table(spark, sf, "benchmark"), table(spark, sf, "labels")
+    joined = d.select("doc_id", "text").join(b.select(F.col("item_id").alias("doc_id"), F.col("text").alias("fix")), "doc_id", "left").join(lab, "doc_id", "left")
+    ok = F.coalesce(F.col("quality") == 1, F.lit(False))
+    return joined.select("doc_id", F.length(F.coalesce("fix", F.when(ok, F.col("text")), F.lit("none"))).cast("long").alias("n_fix"), ok.alias("ok"))
+
+
+@query("""SELECT event_id, k, CASE WHEN k IS NULL THEN 'NotAList' WHEN n < 3 THEN 'TooFewVals' WHEN n > 3 THEN 'TooManyVals' END AS reason, ROUND(v1, 6) AS v1, ROUND(v3, 6) AS v3 FROM (
+  SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 1 + event_id % 4 AS n, GREATEST(0, LEAST(value / 100, 1)) AS v1, CASE WHEN event_id % 4 >= 2 THEN GREATEST(0, LEAST(value / 50, 1)) ELSE 0.5 END AS v3 FROM events) e""")
+def prj_parse_list_json(spark, sf):
+    e = table(spark, sf, "events").withColumn("k", F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999999999")).cast("long"))
+    raw = F.slice(F.array(F.col("value") / 100, F.col("value") / 70, F.col("value") / 50, F.col("value") / 30), F.lit(1), (F.col("event_id") % 4 + 1).cast("int"))
+    e = e.withColumn("answer", F.when(F.col("k").isNotNull(), F.to_json(raw)).otherwise("no list"))
+    values = code.parsed_list(F.col("answer"))
+    three = code.fitted_list(F.when(F.size(raw) > 0, code.parsed_list(F.to_json(raw))), F.lit(3), 0.5)
+    return e.select("event_id", "k", code.list_reason(values, F.lit(3)).alias("reason"), three[0].alias("v1"), three[2].alias("v3"))
+
+
+@query("SELECT o_orderkey AS order__key, ROUND(o_totalprice, 6) AS order__facts__price, o_orderpriority AS order__facts__priority FROM orders")
+def prj_flatten_struct(spark, sf):
+    nested = table(spark, sf, "orders").select(F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority")).alias("facts")).alias("order"))
+    return tables.flat(nested)
+
+
+@query(f"""WITH {TOK}, line AS (SELECT problem_id, line_id, AVG(p) AS line_p FROM tok WHERE line_id <> 2 GROUP BY 1, 2), mean AS (SELECT problem_id, AVG(line_p) AS m FROM line GROUP BY 1)
+SELECT t.problem_id, t.pos, ROUND(COALESCE(l.line_p, m.m), 6) AS line_p FROM tok t LEFT JOIN line l ON t.problem_id = l.problem_id AND t.line_id = l.line_id LEFT JOIN mean m ON t.problem_id = m.problem_id""")
+def prj_line_broadcast(spark, sf):
+    t = views.tok(spark, sf)
+    line = t.where("line_id <> 2").groupBy("problem_id", "line_id").agg(F.avg("p").alias("line_p"))
+    return rollup.to_tokens(t.select("problem_id", "line_id", "pos"), line).select("problem_id", "pos", "line_p")
+
+
+@query("SELECT source, TRY_CAST(REPLACE(source, 'src', '') AS BIGINT) AS n, TRY_CAST(source AS DOUBLE) AS whole, COUNT(*) AS docs FROM documents GROUP BY source")
+def prj_try_numeric(spark, sf):
+    d = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("docs"))
+    return d.select("source", F.replace("source", F.lit("src"), F.lit("")).try_cast("long").alias("n"), F.col("source").try_cast("double").alias("whole"), "docs")
+
+
+# --- filters and the ledger ---
+
+
+@query("""SELECT doc_id, CAST((n_chars >= 300)::INT + (lang = 'en')::INT + (len(string_split(text, chr(10))) >= 4)::INT AS BIGINT) AS n_passed,
+  CASE WHEN NOT n_chars >= 300 THEN 'long_enough' WHEN NOT lang = 'en' THEN 'english' WHEN NOT len(string_split(text, chr(10))) >= 4 THEN 'min_lines' END AS first_failed FROM documents""")
+def flt_ledger_annotate(spark, sf):
+    d = ledger.with_ledger(table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars"))
+    d = ledger.annotate(d, "long_enough", F.col("n_chars") >= 300, meta_d=F.col("n_chars"))
+    d = ledger.annotate(d, "english", F.col("lang") == "en", meta_s=F.col("lang"))
+    d = ledger.annotate(d, "min_lines", F.size(expr.lines(F.col("text"))) >= 4)
+    return d.select("doc_id", F.size("passed").cast("long").alias("n_passed"), F.get("failed", F.lit(0))["name"].alias("first_failed"))
+
+
+@query("""SELECT lang, COUNT(*) AS n, COUNT(*) FILTER (n_chars >= 300 AND source <> 'src0') AS n_all, COUNT(*) FILTER (n_chars < 300) AS failed_long, COUNT(*) FILTER (source <> 'src0') AS passed_source FROM documents GROUP BY lang""")
+def flt_pass_all(spark, sf):
+    d = ledger.with_ledger(table(spark, sf, "documents").select("lang", "n_chars", "source"))
+    d = ledger.annotate(ledger.annotate(d, "long_enough", F.col("n_chars") >= 300), "source", F.col("source") != "src0")
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(ledger.passed_all()).alias("n_all"), F.count_if(ledger.did_fail("long_enough")).alias("failed_long"), F.count_if(ledger.did_pass("source")).alias("passed_source"))
+
+
+@query("""SELECT reason, COUNT(*) AS n FROM (SELECT CASE WHEN quality IS NULL THEN 'eval_is_not_none' WHEN NOT n_chars > 200 THEN 'solution_not_none' WHEN NOT quality = 1 THEN 'success' END AS reason FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) r GROUP BY reason""")
+def flt_first_failure(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    checks = [("eval_is_not_none", F.col("quality").isNotNull()), ("solution_not_none", F.col("n_chars") > 200), ("success", F.col("quality") == 1)]
+    return d.groupBy(ledger.first_failure(checks).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE len(string_split(text, chr(10))) < 5")
+def flt_min_lines(spark, sf):
+    n = F.size(expr.lines(F.col("text")))
+    return table(spark, sf, "documents").where(n < 5).select("doc_id", n.cast("long").alias("n_lines"))
+
+
+@query(r"""SELECT doc_id, n_shown, n_comments, CASE WHEN n_shown = 0 THEN 'empty' WHEN n_comments > 0.9 * n_shown THEN 'comments' WHEN n_comments >= 0.5 * n_shown AND n_shown < 4 THEN 'short' WHEN n_words > 950 THEN 'long' END AS junk FROM (
+  SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS n_shown, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*The'))) AS n_comments, len(regexp_extract_all(text, '[^ \n]+')) AS n_words FROM documents) d""")
+def flt_junk_text(spark, sf):
+    shown = F.filter(expr.lines(F.col("text")), lambda x: F.regexp_replace(x, r"\s+", "") != "")
+    d = table(spark, sf, "documents").select("doc_id", F.size(shown).cast("long").alias("n_shown"), F.size(F.filter(shown, lambda x: x.rlike(r"^\s*The"))).cast("long").alias("n_comments"), F.regexp_count("text", F.lit(r"[^ \n]+")).alias("w"))
+    junk = F.when(F.col("n_shown") == 0, "empty").when(F.col("n_comments") > 0.9 * F.col("n_shown"), "comments").when((F.col("n_comments") >= 0.5 * F.col("n_shown")) & (F.col("n_shown") < 4), "short").when(F.col("w") > 950, "long")
+    return d.select("doc_id", "n_shown", "n_comments", junk.alias("junk"))
+
+
+@query(r"""WITH l AS (SELECT turn, role, string_split(text, '. ') AS t FROM conversations), i AS (SELECT turn, role, list_transform(list_filter(t, lambda x: x <> ''), lambda x: LENGTH(x) - LENGTH(LTRIM(x, ' e'))) AS d FROM l)
+SELECT role, COUNT(*) AS n, COUNT(*) FILTER (list_min(d) < d[1]) AS odd FROM i GROUP BY role""")
+def flt_odd_indent(spark, sf):
+    parts = F.filter(F.split("text", r"\. ", -1), lambda x: x != "")
+    depth = F.transform(parts, lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" e"))))
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.array_min(depth) < F.get(depth, F.lit(0))).alias("odd"))
+
+
+@query(f"WITH {EVENTS}, f AS (SELECT name, passed, ROW_NUMBER() OVER (PARTITION BY user_id, name ORDER BY seq) AS r FROM ev) SELECT name, COUNT(*) AS reached, COUNT(*) FILTER (passed) AS n_passed FROM f WHERE r = 1 GROUP BY name")
+def ag_filter_reached_passed(spark, sf):
+    return ledger.reached_passed(views.ledger(spark, sf), "user_id")
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT user_id, seq, name || CASE WHEN passed THEN '+' ELSE '-' END AS s FROM ev WHERE seq <= 3)
+SELECT path, COUNT(*) AS n FROM (SELECT a.user_id, a.seq, string_agg(b.s, ' > ' ORDER BY b.seq) AS path FROM s a JOIN s b ON a.user_id = b.user_id AND b.seq <= a.seq GROUP BY 1, 2) p GROUP BY path""")
+def ag_flow_tree(spark, sf):
+    step = F.concat("name", F.when(F.col("passed"), "+").otherwise("-"))
+    return ledger.flow(views.ledger(spark, sf), "user_id", step, depth=3)
+
+
+@query(f"""WITH {EVENTS}, ok AS (SELECT user_id FROM ev GROUP BY user_id HAVING COUNT(*) FILTER (NOT passed) <= 5) SELECT name AS tag, COUNT(*) AS n, COUNT(DISTINCT ev.user_id) AS n_rows FROM ev JOIN ok ON ev.user_id = ok.user_id GROUP BY name""")
+def ag_tag_counts(spark, sf):
+    ev = views.ledger(spark, sf)
+    ok = ev.groupBy("user_id").agg(F.count_if(~F.col("passed")).alias("f")).where("f <= 5")
+    return ev.join(ok, "user_id", "left_semi").groupBy(F.col("name").alias("tag")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_rows"))
+
+
+@query("""WITH f AS (SELECT CASE WHEN n_chars < 300 THEN 1 WHEN lang <> 'en' THEN 2 WHEN source = 'src0' THEN 3 ELSE 4 END AS seq FROM documents), s AS (SELECT seq, COUNT(*) AS removed FROM f WHERE seq < 4 GROUP BY seq)
+SELECT CAST(seq AS BIGINT) AS seq, removed, CAST((SELECT COUNT(*) FROM documents) - SUM(removed) OVER (ORDER BY seq) AS BIGINT) AS remaining FROM s""")
+def ag_funnel(spark, sf):
+    d = table(spark, sf, "documents")
+    seq = F.when(F.col("n_chars") < 300, 1).when(F.col("lang") != "en", 2).when(F.col("source") == "src0", 3).otherwise(4)
+    stages = d.groupBy(seq.cast("long").alias("seq")).agg(F.count("*").alias("removed"))
+    total = stages.agg(F.sum("removed").alias("n"))
+    return ledger.funnel(stages.where("seq < 4").crossJoin(F.broadcast(total))).select("seq", "removed", "remaining")
+
+
+# --- joins ---
+
+
+@query("SELECT o_orderkey, COUNT(l_orderkey) AS n, COUNT(l_orderkey) = 0 AS missing FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def jn_left_missing(spark, sf):
+    counts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "orders").select("o_orderkey").join(counts, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("n").isNull().alias("missing"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def jn_anti_backup(spark, sf):
+    return table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_orderpriority")
+
+
+@query("""WITH a AS (SELECT l_orderkey AS k, COUNT(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_orderkey AS k, COUNT(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey, COALESCE(a.n, b.n, 0) AS n, CASE WHEN a.n IS NOT NULL THEN 'main' WHEN b.n IS NOT NULL THEN 'backup' ELSE 'none' END AS origin FROM orders LEFT JOIN a ON a.k = o_orderkey LEFT JOIN b ON b.k = o_orderkey""")
+def jn_coalesce(spark, sf):
+    both = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count("*").alias("b"))
+    joined = table(spark, sf, "orders").select("o_orderkey").join(both, "o_orderkey", "left").withColumn("a", F.nullif("a", F.lit(0)))
+    return joined.select("o_orderkey", F.coalesce("a", "b", F.lit(0)).cast("long").alias("n"), F.when(F.col("a").isNotNull(), "main").when(F.col("b").isNotNull(), "backup").otherwise("none").alias("origin"))
+
+
+@query("SELECT c_custkey, n_name FROM (SELECT c_custkey, LOWER(REPLACE(c_name, '#', '_')) AS k, c_nationkey FROM customer) c JOIN (SELECT n_nationkey, n_name FROM nation) n ON c_nationkey = n_nationkey JOIN (SELECT LOWER(REPLACE(s_name, 'Supplier#', 'customer_')) AS k2 FROM supplier) s ON c.k = s.k2")
+def jn_key_normalise(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.lower(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("k"), "c_nationkey")
+    s = table(spark, sf, "supplier").select(F.lower(F.replace("s_name", F.lit("Supplier#"), F.lit("customer_"))).alias("k"))
+    return c.join(s, "k").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+
+
+_SPANS = """a AS (SELECT problem_id, pos, CAST(SUM(w) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS e, w, p FROM (SELECT problem_id, pos, CAST(p * 50 AS BIGINT) AS w, p FROM tok WHERE problem_id % 5 = 0) x),
+b AS (SELECT problem_id, pos, CAST(SUM(w) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS e, w, p FROM (SELECT problem_id, pos, 51 - CAST(p * 50 AS BIGINT) AS w, p FROM tok WHERE problem_id % 5 = 0) x)"""
+
+
+def _two_spans(spark, sf):
+    t = views.tok(spark, sf).where("problem_id % 5 = 0")
+    width = F.col("p") * 50
+    order = Window.partitionBy("problem_id").orderBy("pos")
+    out = []
+    for w in (F.round(width), 51 - F.round(width)):
+        s = t.select("problem_id", "pos", "p", F.round(w).cast("long").alias("w")).withColumn("end", F.sum("w").over(order)).withColumn("start", F.col("end") - F.col("w"))
+        out.append(s.select("problem_id", "pos", "p", "start", "end"))
+    return out
+
+
+@query(f"WITH {TOK}, {_SPANS} SELECT a.problem_id, a.pos, b.pos AS b_pos FROM a JOIN b ON a.problem_id = b.problem_id AND a.e - a.w < b.e AND b.e - b.w < a.e")
+def jn_overlap_range(spark, sf):
+    return align.overlapping(*_two_spans(spark, sf), "problem_id").select("problem_id", "pos", "b_pos")
+
+
+@query(f"""WITH {TOK}, {_SPANS}, m AS (SELECT a.problem_id, a.pos, MIN(b.p) AS q FROM a JOIN b ON a.problem_id = b.problem_id AND a.e - a.w < b.e AND b.e - b.w < a.e GROUP BY 1, 2),
+u AS (SELECT problem_id, AVG(p) AS mean FROM (SELECT DISTINCT a.problem_id, b.pos, b.p FROM a JOIN b ON a.problem_id = b.problem_id AND a.e - a.w < b.e AND b.e - b.w < a.e) z GROUP BY 1)
+SELECT a.problem_id, a.pos, ROUND(COALESCE(m.q, u.mean), 6) AS aligned FROM a LEFT JOIN m ON a.problem_id = m.problem_id AND a.pos = m.pos LEFT JOIN u ON a.problem_id = u.problem_id""")
+def df_align_probs(spark, sf):
+    a, b = _two_spans(spark, sf)
+    return align.aligned_prob(align.overlapping(a, b, "problem_id"), a.select("problem_id", "pos"), "problem_id", "pos", "p").select("problem_id", "pos", "aligned")
+
+
+@query(f"WITH {TOK}, {_SPANS} SELECT a.problem_id, x AS at, a.pos FROM a, (SELECT UNNEST([0, 10, 40, 100, 333]) AS x) q WHERE a.e - a.w <= x AND x < a.e")
+def jn_bisect_asof(spark, sf):
+    a, _ = _two_spans(spark, sf)
+    asked = a.select("*", F.explode(F.array(*[F.lit(x) for x in (0, 10, 40, 100, 333)])).alias("at"))
+    return asked.where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))).select("problem_id", F.col("at").cast("int").alias("at"), "pos")
+
+
+@query(f"WITH {CAND} SELECT x.adder AS a, y.adder AS b, COUNT(*) AS n FROM cand x JOIN cand y ON x.problem_id = y.problem_id AND x.adder < y.adder GROUP BY 1, 2")
+def jn_pairs(spark, sf):
+    return candidates.pairs(views.candidates(spark, sf), "problem_id", "adder")
+
+
+@query("SELECT model, layer, dim, COUNT(*) OVER () AS n FROM (SELECT DISTINCT o_orderstatus AS model FROM orders) m CROSS JOIN (SELECT DISTINCT o_orderpriority AS layer FROM orders) l CROSS JOIN (SELECT UNNEST([32, 64]) AS dim) d")
+def jn_grid_cross(spark, sf):
+    o = table(spark, sf, "orders")
+    grid = o.select(F.col("o_orderstatus").alias("model")).distinct().crossJoin(o.select(F.col("o_orderpriority").alias("layer")).distinct())  # a few values each
+    grid = grid.withColumn("dim", F.explode(F.array(F.lit(32), F.lit(64))))
+    return grid.crossJoin(F.broadcast(grid.agg(F.count("*").alias("n"))))
+
+
+@query("SELECT l_orderkey, l_linenumber, ROUND(l_quantity, 6) AS l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'P')")
+def jn_semi(spark, sf):
+    some = table(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderstatus") == "P"))
+    return table(spark, sf, "lineitem").join(some, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT doc_id, MIN(item_id) AS item_id, COUNT(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id")
+def jn_contains_theta(spark, sf):
+    items = F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")))  # a benchmark: a few hundred items
+    return table(spark, sf, "documents").join(items, F.contains("text", "item")).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"))
+
+
+@query(f"WITH {TOK}, b AS (SELECT AVG(CAST(y AS DOUBLE)) AS base FROM tok) SELECT dataset, ROUND(AVG((base - y) * (base - y)), 6) AS ref_brier, ROUND(AVG(p - base), 6) AS shift FROM tok CROSS JOIN b GROUP BY dataset")
+def jn_scalar_broadcast(spark, sf):
+    t = views.pred(spark, sf)
+    base = t.agg(F.avg(F.col("y").cast("double")).alias("base"))
+    return t.crossJoin(F.broadcast(base)).groupBy("dataset").agg(F.avg((F.col("base") - F.col("y")) * (F.col("base") - F.col("y"))).alias("ref_brier"), F.avg(F.col("p") - F.col("base")).alias("shift"))
+
+
+# --- rollups and aggregates ---
+
+
+@query(f"WITH {TOK} SELECT problem_id, line_id, ROUND(AVG(p), 6) AS p_mean, ROUND(CASE WHEN MIN(p) <= 0 THEN 0 ELSE EXP(AVG(LN(p))) END, 6) AS p_gmean, ROUND(MIN(p), 6) AS p_min, MIN(y) AS y, COUNT(*) AS n FROM tok GROUP BY 1, 2")
+def ag_line_rollup(spark, sf):
+    t = views.pred(spark, sf)
+    return t.groupBy("problem_id", "line_id").agg(*[expr.AGGREGATES[a](F.col("p")).alias(f"p_{a}") for a in ("mean", "gmean", "min")], F.min("y").alias("y"), F.count("*").alias("n"))
+
+
+@query(f"WITH {TOK} SELECT problem_id, ROUND(CASE WHEN MIN(p) <= 0 THEN 0 ELSE EXP(AVG(LN(p))) END, 6) AS p, CAST(MAX(CASE WHEN gen_model = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS y, COUNT(*) AS n FROM tok GROUP BY 1")
+def ag_problem_rollup(spark, sf):
+    return rollup.to_problems(views.pred(spark, sf), "gmean", label=F.max((F.col("gen_model") == "F").cast("long")))
+
+
+@query(f"WITH {TOK}, s AS (SELECT problem_id, line_id, sample_id, CAST(MIN(y) AS DOUBLE) AS k FROM tok GROUP BY 1, 2, 3) SELECT problem_id, line_id, ROUND(AVG(k), 6) AS p, COUNT(*) AS n FROM s GROUP BY 1, 2")
+def ag_pre_agg(spark, sf):
+    return rollup.pre_aggregated(views.pred(spark, sf).withColumnRenamed("y", "keep"), "min")
+
+
+@query(f"WITH {TOK} SELECT problem_id, line_id AS pos, ROUND(AVG(CAST(y AS DOUBLE)), 6) AS p, COUNT(*) AS n FROM tok GROUP BY 1, 2")
+def ag_multisample_mean(spark, sf):
+    return rollup.sample_mean(views.pred(spark, sf).select("problem_id", F.col("line_id").alias("pos"), F.col("y").alias("keep")))
+
+
+@query(f"WITH {TOK}, l AS (SELECT dataset, problem_id, line_id, MIN(y) AS y FROM tok GROUP BY 1, 2, 3) SELECT dataset, ROUND(AVG(CAST(y AS DOUBLE)), 6) AS base_rate FROM l GROUP BY 1")
+def ag_line_base_rate(spark, sf):
+    line = rollup.to_lines(views.pred(spark, sf), "mean", ("dataset", "problem_id", "line_id"))
+    return line.groupBy("dataset").agg(F.avg(F.col("y").cast("double")).alias("base_rate"))
+
+
+@query("""SELECT o_orderpriority, COUNT(*) AS "count", ROUND(AVG(o_totalprice), 6) AS mean, ROUND(QUANTILE_CONT(o_totalprice, 0.5), 6) AS median, ROUND(STDDEV_POP(o_totalprice), 6) AS std, ROUND(MIN(o_totalprice), 6) AS min, ROUND(MAX(o_totalprice), 6) AS max, ROUND(SUM(o_totalprice), 4) AS "sum" FROM orders GROUP BY 1""")
+def ag_list_stats(spark, sf):
+    stats = table(spark, sf, "orders").groupBy("o_orderpriority").agg(*factors.list_stats(F.col("o_totalprice")))
+    return stats.withColumn("sum", F.round("sum", 4))
+
+
+@query(f"""WITH {TOK}, p AS (SELECT dataset, gen_model, problem_id, COUNT(*) AS tokens, MIN(y) AS ok FROM tok GROUP BY 1, 2, 3)
+SELECT COALESCE(dataset, 'TOTAL') AS dataset, COUNT(*) AS available, COUNT(*) FILTER (gen_model = 'F') AS solved, ROUND(COUNT(*) FILTER (gen_model = 'F') / COUNT(*), 6) AS pass_rate, CAST(SUM(tokens) AS BIGINT) AS tokens, ROUND(AVG(CASE WHEN gen_model <> 'F' THEN tokens END), 6) AS failed_tokens, COUNT(*) FILTER (ok = 1) AS all_right FROM p GROUP BY ROLLUP (dataset)""")
+def ag_dataset_stats(spark, sf):
+    p = views.pred(spark, sf).groupBy("dataset", "gen_model", "problem_id").agg(F.count("*").alias("tokens"), F.min("y").alias("ok"))
+    solved = F.col("gen_model") == "F"
+    return p.rollup("dataset").agg(
+        F.count("*").alias("available"), F.count_if(solved).alias("solved"), (F.count_if(solved) / F.count("*")).alias("pass_rate"), F.sum("tokens").alias("tokens"), F.avg(F.when(~solved, F.col("tokens"))).alias("failed_tokens"), F.count_if(F.col("ok") == 1).alias("all_right")
+    ).withColumn("dataset", F.coalesce("dataset", F.lit("TOTAL")))
+
+
+@query("SELECT COALESCE(n_name, 'ALL') AS nation, COALESCE(c_mktsegment, 'ALL') AS segment, COUNT(*) AS n, ROUND(AVG(c_acctbal), 6) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((n_name, c_mktsegment), (n_name))")
+def ag_grouping_sets(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    g = c.groupingSets([["n_name", "c_mktsegment"], ["n_name"]], "n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("mean"))
+    return g.select(F.coalesce("n_name", F.lit("ALL")).alias("nation"), F.coalesce("c_mktsegment", F.lit("ALL")).alias("segment"), "n", "mean")
+
+
+@query("SELECT COALESCE(r_name, 'ALL') AS region, COUNT(*) AS n, ROUND(SUM(c_acctbal), 4) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name)")
+def ag_rollup_total(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.rollup("r_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 4).alias("total")).select(F.coalesce("r_name", F.lit("ALL")).alias("region"), "n", "total")
+
+
+_RUNS = "runs AS (SELECT p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size, p_retailprice AS score, p_retailprice / p_size AS cost FROM part)"
+
+
+def _runs(spark, sf):
+    return table(spark, sf, "part").select("p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"), F.col("p_retailprice").alias("score"), (F.col("p_retailprice") / F.col("p_size")).alias("cost"))
+
+
+@query(f"WITH {_RUNS} SELECT p_type AS level, COUNT(score) AS n, ROUND(AVG(score), 6) AS mean, ROUND(QUANTILE_CONT(score, 0.5), 6) AS median, ROUND(STDDEV_SAMP(score), 6) AS std FROM runs GROUP BY 1")
+def ag_group_summary(spark, sf):
+    return factors.summary(_runs(spark, sf), "p_type", "score")
+
+
+def _eta_sql() -> str:
+    parts = []
+    for f in ("p_brand", "p_type", "p_size"):
+        for m in ("score", "cost"):
+            parts.append(f"SELECT '{f}' AS factor, '{m}' AS metric, (SELECT SUM(n * (g - a) * (g - a)) FROM (SELECT COUNT(*) AS n, AVG({m}) AS g FROM runs GROUP BY {f}) q, (SELECT AVG({m}) AS a FROM runs) w) / (SELECT VAR_POP({m}) * COUNT(*) FROM runs) AS e")
+    effect = "CASE WHEN e < 0.01 THEN 'negligible' WHEN e < 0.06 THEN 'small' WHEN e < 0.14 THEN 'medium' ELSE 'large' END"
+    return f"WITH {_RUNS} SELECT factor, metric, ROUND(e, 6) AS eta2, {effect} AS effect FROM ({' UNION ALL '.join(parts)}) u"
+
+
+@query(_eta_sql())
+def ag_eta_squared(spark, sf):
+    return factors.eta_squared(_runs(spark, sf), ["p_brand", "p_type", "p_size"], ["score", "cost"])
+
+
+@query(f"""WITH {_RUNS}, m AS (SELECT 'p_brand' AS factor, p_brand AS level, QUANTILE_CONT(score, 0.5) AS median FROM runs GROUP BY 2 UNION ALL SELECT 'p_type', p_type, QUANTILE_CONT(score, 0.5) FROM runs GROUP BY 2)
+SELECT factor, level, ROUND(median, 6) AS median FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY factor ORDER BY median DESC, level) AS r FROM m) x WHERE r = 1""")
+def ag_best_level(spark, sf):
+    return factors.best_level(_runs(spark, sf), ["p_brand", "p_type"], "score")
+
+
+@query(f"WITH {_RUNS} SELECT ROUND(CORR(score, cost), 6) AS score_cost, ROUND(CORR(score, CAST(p_size AS DOUBLE)), 6) AS score_size FROM runs")
+def ag_corr(spark, sf):
+    return _runs(spark, sf).agg(F.corr("score", "cost").alias("score_cost"), F.corr("score", F.col("p_size").cast("double")).alias("score_size"))
+
+
+@query(f"WITH {WORDS} SELECT token, COUNT(*) AS n FROM words GROUP BY token ORDER BY n DESC, token LIMIT 25")
+def ag_most_common(spark, sf):
+    return views.words(spark, sf).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(25)
+
+
+@query("SELECT event_type, COUNT(*) AS n, ROUND(MIN(value), 6) AS lo, ROUND(MAX(value), 6) AS hi, ROUND(AVG(value), 6) AS mean, ROUND(VAR_SAMP(value), 6) AS var, ROUND(KURTOSIS_POP(value), 6) AS kurt FROM events GROUP BY 1")
+def ag_describe(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"), F.kurtosis(v).alias("kurt"))
+
+
+@query(f"WITH {CAND} SELECT adder, COUNT(*) AS n FROM (SELECT problem_id, MIN(adder) AS adder FROM cand GROUP BY problem_id HAVING COUNT(DISTINCT adder) = 1) o GROUP BY adder")
+def ag_adder_exclusive(spark, sf):
+    return candidates.exclusive(views.candidates(spark, sf), "problem_id", "adder")
+
+
+@query(f"""WITH {CAND}, r AS (SELECT problem_id, adder, distance, ROW_NUMBER() OVER (PARTITION BY problem_id ORDER BY distance, adder) AS r, COUNT(*) OVER (PARTITION BY problem_id) AS n FROM cand)
+SELECT a.adder, COUNT(*) FILTER (a.n > 1) AS best_in, ROUND(COALESCE(SUM(b.distance - a.distance), 0), 4) AS added_distance, COUNT(*) FILTER (a.n = 1) AS only_solver FROM r a LEFT JOIN r b ON a.problem_id = b.problem_id AND b.r = 2 WHERE a.r = 1 GROUP BY 1""")
+def ag_leave_one_out(spark, sf):
+    return candidates.leave_one_out(views.candidates(spark, sf), "problem_id", "adder", "distance").withColumn("added_distance", F.round("added_distance", 4))
+
+
+@query(f"""WITH {CAND}, s AS (SELECT *, CASE WHEN similarity > 0.5 THEN 0 ELSE -100000 + 1000 * passed_filters END - 100 * (1 - similarity) AS score FROM cand)
+SELECT problem_id, adder, ROUND(score, 6) AS score, ROUND(distance, 6) AS distance FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY problem_id ORDER BY ROUND(score, 6) DESC, distance, adder) AS r FROM s) x WHERE r = 1""")
+def ag_pick_best(spark, sf):
+    c = views.candidates(spark, sf).withColumn("score", F.round(candidates.score(F.col("similarity") > 0.5, F.col("passed_filters"), F.col("similarity")), 6))
+    return candidates.pick_best(c, "problem_id", F.col("score"), ["distance", "adder"]).select("problem_id", "adder", "score", "distance")
+
+
+_PROBLEM_ERR = "e AS (SELECT problem_id, COUNT(*) AS n, AVG((p - y) * (p - y)) AS err FROM tok GROUP BY 1)"
+
+
+@query(f"""WITH {TOK}, {_PROBLEM_ERR} SELECT CAST((err >= 0.0001)::INT + (err >= 0.1)::INT + (err >= 0.25)::INT + (err >= 0.5)::INT AS BIGINT) AS bucket, COUNT(*) AS n, ROUND(AVG(err), 6) AS mean FROM e GROUP BY 1""")
+def ag_error_buckets(spark, sf):
+    e = _errors(spark, sf)
+    at = sum(((F.col("err") >= x).cast("int") for x in (0.0001, 0.1, 0.25, 0.5)), F.lit(0))
+    return e.groupBy(at.cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.avg("err").alias("mean"))
+
+
+def _errors(spark, sf):
+    return views.pred(spark, sf).groupBy("problem_id").agg(F.count("*").alias("n"), expr.brier(F.col("p"), F.col("y")).alias("err"))
+
+
+@query(f"""WITH {TOK}, {_PROBLEM_ERR} SELECT size, COUNT(*) AS problems, ROUND(AVG(err), 6) AS mean, ROUND(SUM(err) / SUM(SUM(err)) OVER (), 6) AS share FROM (SELECT *, CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 6 THEN '4-6' ELSE '7+' END AS size FROM e) x GROUP BY size""")
+def ag_size_buckets(spark, sf):
+    size = F.when(F.col("n") == 1, "1").when(F.col("n") <= 3, "2-3").when(F.col("n") <= 6, "4-6").otherwise("7+")
+    b = _errors(spark, sf).groupBy(size.alias("size")).agg(F.count("*").alias("problems"), F.avg("err").alias("mean"), F.sum("err").alias("_s"))
+    return b.select("size", "problems", "mean", (F.col("_s") / F.sum("_s").over(Window.partitionBy())).alias("share"))
+
+
+@query(f"""WITH {TOK}, e AS (SELECT dataset, problem_id, AVG((p - y) * (p - y)) AS err FROM tok GROUP BY 1, 2), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset ORDER BY ROUND(err, 9) DESC, problem_id) AS r, COUNT(*) OVER (PARTITION BY dataset) AS n FROM e)
+SELECT dataset, ROUND(SUM(CASE WHEN r <= FLOOR(0.1 * n) THEN err ELSE 0 END) / SUM(err), 6) AS worst10, ROUND(SUM(CASE WHEN r <= FLOOR(0.2 * n) THEN err ELSE 0 END) / SUM(err), 6) AS worst20 FROM r GROUP BY 1""")
+def ag_concentration(spark, sf):
+    e = views.pred(spark, sf).groupBy("dataset", "problem_id").agg(expr.brier(F.col("p"), F.col("y")).alias("err"))
+    r = F.row_number().over(Window.partitionBy("dataset").orderBy(F.round("err", 9).desc(), "problem_id"))
+    e = e.withColumn("r", r).withColumn("n", F.count("*").over(Window.partitionBy("dataset")))
+    part = lambda x: F.sum(F.when(F.col("r") <= F.floor(F.lit(x) * F.col("n")), F.col("err")).otherwise(0.0)) / F.sum("err")
+    return e.groupBy("dataset").agg(part(0.1).alias("worst10"), part(0.2).alias("worst20"))
+
+
+@query(f"""WITH {TOK}, k AS (SELECT dataset, problem_id, line_id, MIN(y) AS y FROM tok GROUP BY 1, 2, 3), n AS (SELECT dataset, COUNT(DISTINCT problem_id) AS n FROM tok GROUP BY 1)
+SELECT a.dataset, a.line_id AS i, b.line_id AS j, ROUND(COUNT(*) / MAX(n.n), 6) AS joint FROM k a JOIN k b ON a.dataset = b.dataset AND a.problem_id = b.problem_id JOIN n ON a.dataset = n.dataset WHERE a.y = 1 AND b.y = 1 GROUP BY 1, 2, 3""")
+def ag_keep_correlation(spark, sf):
+    k = rollup.to_lines(views.pred(spark, sf), "mean", ("dataset", "problem_id", "line_id"))
+    n = k.groupBy("dataset").agg(F.count_distinct("problem_id").alias("n"))
+    kept = k.where("y = 1").groupBy("dataset", "problem_id").agg(F.array_sort(F.collect_set("line_id")).alias("who"))
+    pairs = kept.select("dataset", F.explode("who").alias("i"), "who").select("dataset", "i", F.explode("who").alias("j"))
+    return pairs.groupBy("dataset", "i", "j").agg(F.count("*").alias("c")).join(F.broadcast(n), "dataset").select("dataset", "i", "j", (F.col("c") / F.col("n")).alias("joint"))
+
+
+# --- windows over tokens ---
+
+
+@query(f"""WITH {WORDS}, f AS (SELECT problem_id, pos, token, COALESCE(LAG(CASE WHEN token = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY problem_id ORDER BY pos), 0) AS f FROM words)
+SELECT problem_id, line_id, COUNT(*) AS n, CAST(SUM(LENGTH(token)) AS BIGINT) AS chars FROM (SELECT problem_id, token, CAST(SUM(f) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS line_id FROM f) x GROUP BY 1, 2""")
+def wn_line_ids(spark, sf):
+    return tokens.line_ids(views.words(spark, sf)).groupBy("problem_id", "line_id").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("chars"))
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT problem_id, pos, SUM(CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY problem_id ORDER BY pos) AS s FROM words),
+l AS (SELECT problem_id, pos, s - LEAST(0, MIN(s) OVER (PARTITION BY problem_id ORDER BY pos)) AS d FROM s)
+SELECT problem_id, CAST(MAX(v) AS BIGINT) AS deepest, CAST(SUM(v) AS BIGINT) AS total FROM (SELECT problem_id, COALESCE(LAG(d) OVER (PARTITION BY problem_id ORDER BY pos), 0) AS v FROM l) x GROUP BY 1""")
+def wn_nesting(spark, sf):
+    return tokens.nesting(views.words(spark, sf)).groupBy("problem_id").agg(F.max("level").alias("deepest"), F.sum("level").alias("total"))
+
+
+@query(f"""WITH {WORDS}, n AS (SELECT problem_id, LAG(token) OVER w AS a, LEAD(token) OVER w AS b FROM words WINDOW w AS (PARTITION BY problem_id ORDER BY pos))
+SELECT problem_id, ROUND(AVG((COALESCE(LENGTH(a), 0) + COALESCE(LENGTH(b), 0)) / CAST(2 AS DOUBLE)), 6) AS near_length, COUNT(*) FILTER (b IN ('(', '[', '{{', ')', ']', '}}')) AS before_bracket, COUNT(*) FILTER (a = '.') AS after_dot, COUNT(*) FILTER (b = '=') AS before_equals FROM n GROUP BY 1""")
+def wn_neighbours(spark, sf):
+    n = tokens.neighbours(views.words(spark, sf))
+    return n.groupBy("problem_id").agg(F.avg("near_length").alias("near_length"), F.count_if("before_bracket").alias("before_bracket"), F.count_if("after_dot").alias("after_dot"), F.count_if("before_equals").alias("before_equals"))
+
+
+@query(f"WITH {WORDS} SELECT problem_id, COUNT(*) FILTER (s = 1) AS n FROM (SELECT problem_id, MAX(CASE WHEN token = 'the' THEN 1 ELSE 0 END) OVER (PARTITION BY problem_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS s FROM words) x GROUP BY 1")
+def wn_lookback10(spark, sf):
+    return tokens.seen_within(views.words(spark, sf), "the").groupBy("problem_id").agg(F.count_if("seen").alias("n"))
+
+
+@query(f"WITH {WORDS}, c AS (SELECT token, COUNT(*) AS n FROM words GROUP BY token) SELECT token, n, ROUND(1 - (ROW_NUMBER() OVER (ORDER BY n DESC, token) - 1) / CAST(COUNT(*) OVER () AS DOUBLE), 6) AS rank FROM c")
+def wn_freq_rank(spark, sf):
+    return tokens.frequency_ranks(views.words(spark, sf))
+
+
+@query(f"""WITH {WORDS}, p AS (SELECT problem_id, pos, COALESCE(SUM(LENGTH(token)) OVER (PARTITION BY problem_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, COUNT(*) OVER (PARTITION BY problem_id) AS n FROM words)
+SELECT problem_id, CAST(MAX(s) AS BIGINT) AS last_start, ROUND(AVG(pos / CAST(GREATEST(n - 1, 1) AS DOUBLE)), 6) AS relative, CAST(MAX(n - 1 - pos) AS BIGINT) AS longest FROM p GROUP BY 1""")
+def wn_running_offset(spark, sf):
+    return tokens.places(views.words(spark, sf)).groupBy("problem_id").agg(F.max("start").alias("last_start"), F.avg("relative").alias("relative"), F.max("to_end").alias("longest"))
+
+
+@query("""WITH e AS (SELECT label, vec_id, embedding[1]::DOUBLE AS l, embedding[2]::DOUBLE AS v FROM embeddings), w AS (SELECT label, EXP(l - MAX(l) OVER (PARTITION BY label)) AS w, v FROM e)
+SELECT label, ROUND(SUM(w * v) / SUM(w), 6) AS pooled, COUNT(*) AS n FROM w GROUP BY label""")
+def wn_attention_pool(spark, sf):
+    return probe.attention_pool(table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("l"), F.col("embedding")[1].cast("double").alias("v")), "label", "l", "v")
+
+
+# --- sorts, samples, folds ---
+
+
+@query("""SELECT o_orderkey, o_orderpriority, CAST(r AS BIGINT) AS place FROM (SELECT o_orderkey, o_orderpriority, ROW_NUMBER() OVER (ORDER BY CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '5-LOW' THEN 3 ELSE 9 END, ROUND(o_totalprice, 6) DESC, o_orderkey) AS r FROM orders) x WHERE r <= 40""")
+def so_custom_order_topk(spark, sf):
+    listed = F.array_position(F.array(F.lit("3-MEDIUM"), F.lit("1-URGENT"), F.lit("5-LOW")), F.col("o_orderpriority"))
+    top = table(spark, sf, "orders").orderBy(F.when(listed > 0, listed).otherwise(9), F.round("o_totalprice", 6).desc(), "o_orderkey").limit(40)
+    order = Window.orderBy(F.when(listed > 0, listed).otherwise(9), F.round("o_totalprice", 6).desc(), "o_orderkey")
+    return top.withColumn("place", F.row_number().over(order).cast("long")).select("o_orderkey", "o_orderpriority", "place")
+
+
+@query("""SELECT o_orderpriority, o_orderkey FROM (SELECT o_orderpriority, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY sha256(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r, COUNT(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) x WHERE r <= FLOOR(0.2 * n)""")
+def sa_hash_sample(spark, sf):
+    key = F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256)
+    return folds.sample(table(spark, sf, "orders"), F.lit(0.2), key, ["o_orderpriority"]).select("o_orderpriority", "o_orderkey")
+
+
+@query("""SELECT source, doc_id FROM (SELECT source, doc_id, ROW_NUMBER() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents) x WHERE r <= 20""")
+def sa_per_problem_cap(spark, sf):
+    return folds.capped(table(spark, sf, "documents"), ["source"], 20, [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")]).select("source", "doc_id")
+
+
+@query("SELECT o_orderkey, CAST(CAST('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16) AS UBIGINT) % 5 AS INT) AS fold FROM orders")
+def sa_hash_fold(spark, sf):
+    return folds.by_hash(table(spark, sf, "orders"), "o_orderkey").select("o_orderkey", "fold")
+
+
+@query("SELECT o_orderkey, CAST(DENSE_RANK() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS fold, 'EvalDataset__' || o_orderpriority AS fold_name FROM orders")
+def sa_lodo_fold(spark, sf):
+    return folds.by_group(table(spark, sf, "orders"), "o_orderpriority").select("o_orderkey", F.col("fold").cast("long").alias("fold"), "fold_name")
+
+
+@query("""WITH f AS (SELECT CAST(CAST('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 16) AS UBIGINT) % 5 AS INT) AS fold FROM orders) SELECT CAST(run AS BIGINT) AS run, CASE WHEN run = fold THEN 'test' ELSE 'train' END AS split, COUNT(*) AS n FROM f CROSS JOIN (SELECT UNNEST(range(5)) AS run) r GROUP BY 1, 2""")
+def sa_train_test(spark, sf):
+    s = folds.splits(folds.by_hash(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey"), 5)
+    return s.groupBy(F.col("run").cast("long").alias("run"), "split").agg(F.count("*").alias("n"))
+
+
+# --- sets ---
+
+
+@query("SELECT src, role, COUNT(*) AS n FROM (SELECT 'even' AS src, role FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT 'odd', role FROM conversations WHERE conv_id % 2 = 1) u GROUP BY 1, 2")
+def se_union_tagged(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "role")
+    return tables.tagged_union({"even": c.where("conv_id % 2 = 0"), "odd": c.where("conv_id % 2 = 1")}).groupBy("src", "role").agg(F.count("*").alias("n"))
+
+
+@query("(SELECT doc_id, 'unlabelled' AS side FROM documents EXCEPT SELECT doc_id, 'unlabelled' FROM labels) UNION ALL (SELECT doc_id, 'bad' FROM labels WHERE quality = 0 EXCEPT SELECT doc_id, 'bad' FROM labels WHERE toxic = 0)")
+def se_difference(spark, sf):
+    lab = table(spark, sf, "labels")
+    a = table(spark, sf, "documents").select("doc_id").subtract(lab.select("doc_id")).withColumn("side", F.lit("unlabelled"))
+    return a.union(lab.where("quality = 0").select("doc_id").subtract(lab.where("toxic = 0").select("doc_id")).withColumn("side", F.lit("bad")))
+
+
+@query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48")
+def se_intersection(spark, sf):
+    item = table(spark, sf, "lineitem").where("l_quantity > 48")
+    return item.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")).intersect(item.where("l_returnflag = 'A'").select("l_partkey"))
+
+
+# --- scalars ---
+
+
+@query(f"WITH {TOK}, c AS (SELECT DISTINCT p, GREATEST(1e-6, LEAST(p, CAST(1 AS DOUBLE) - 1e-6)) AS c FROM tok) SELECT ROUND(p, 6) AS p, ROUND(LN(c / (1 - c)), 6) AS x, ROUND(1 / (1 + EXP(-LN(c / (1 - c)))), 6) AS back FROM c")
+def sc_logit_clip(spark, sf):
+    x = expr.logit(F.col("p"))
+    return views.pred(spark, sf).select("p").distinct().select("p", x.alias("x"), expr.sigmoid(x).alias("back"))
+
+
+@query(f"WITH {TOK} SELECT DISTINCT ROUND(p, 6) AS p, ROUND(CASE WHEN p < 0.5 THEN p + 0.001 ELSE p - 0.001 END, 6) AS shrunk, CAST(LEAST(FLOOR(p * 10), 9) AS BIGINT) AS digit FROM tok")
+def sc_shrink(spark, sf):
+    return views.pred(spark, sf).select("p").distinct().select("p", expr.shrink(F.col("p")).alias("shrunk"), F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("long").alias("digit"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '') AS t FROM (SELECT doc_id, REPLACE(text, 'The', '# The') AS text FROM documents) d)
+SELECT doc_id, len(t) AS lines, len(list_filter(t, lambda x: regexp_matches(x, '^\s*#'))) AS comments, ROUND(len(list_filter(t, lambda x: regexp_matches(x, '^\s*#'))) / CAST(NULLIF(len(t), 0) AS DOUBLE), 6) AS share FROM l""")
+def sc_comment_stats(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", code.comment_stats(F.replace("text", F.lit("The"), F.lit("# The"))).alias("s"))
+    return s.select("doc_id", F.col("s.lines").cast("long").alias("lines"), F.col("s.comments").cast("long").alias("comments"), "s.share")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || chr(10) END AS fence FROM conversations")
+def sc_last_fence(spark, sf):
+    fenced = F.concat(F.lit("a ```py\nfirst\n``` b "), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("```\n"), "text", F.lit("\n``` end"))))
+    return table(spark, sf, "conversations").select("conv_id", "turn", code.last_fence(fenced).alias("fence"))
+
+
+@query(r"SELECT doc_id, CASE WHEN LENGTH(text) <= 200 THEN text ELSE LEFT(text, 39) || chr(10) || '...' || chr(10) || RIGHT(text, 156) END AS short FROM documents")
+def sc_truncate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", expr.truncated(F.col("text"), 200).alias("short"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha, md5(text) AS md5, substr(sha256(text), 1, 16) AS key FROM documents")
+def sc_hashes(spark, sf):
+    t = F.col("text").cast("binary")
+    return table(spark, sf, "documents").select("doc_id", F.sha2(t, 256).alias("sha"), F.md5(t).alias("md5"), F.substring(F.sha2(t, 256), 1, 16).alias("key"))
+
+
+@query("SELECT o_orderpriority, CAST(SUM((o_orderstatus = 'F')::INT) AS BIGINT) AS f, CAST(SUM((o_orderstatus = 'O')::INT) AS BIGINT) AS o, CAST(SUM((o_orderstatus = 'P')::INT) AS BIGINT) AS p FROM orders GROUP BY 1")
+def sc_onehot(spark, sf):
+    vocabulary = ["F", "O", "P"]
+    hot = F.transform(F.array(*[F.lit(v) for v in vocabulary]), lambda v: F.when(v == F.col("o_orderstatus"), 1).otherwise(0))
+    o = table(spark, sf, "orders").select("o_orderpriority", hot.alias("h"))
+    return o.groupBy("o_orderpriority").agg(*[F.sum(F.col("h")[i]).alias(v.lower()) for i, v in enumerate(vocabulary)])
+
+
+@query(f"WITH {WORDS} SELECT problem_id, COUNT(*) AS n, COUNT(DISTINCT token) AS n_distinct, COUNT(*) FILTER (regexp_matches(token, '^[0-9]+$')) AS numbers FROM words GROUP BY 1")
+def sc_regex_tokens(spark, sf):
+    return views.words(spark, sf).groupBy("problem_id").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_distinct"), F.count_if(F.col("token").rlike("^[0-9]+$")).alias("numbers"))
+
+
+# --- calibration ---
+
+_METRICS = f"""b AS (SELECT g, {BIN} AS bin, p, y FROM s), e AS (SELECT g, SUM(ABS(sp - sy)) / SUM(n) AS ece FROM (SELECT g, bin, SUM(p) AS sp, SUM(y) AS sy, COUNT(*) AS n FROM b GROUP BY 1, 2) x GROUP BY 1),
+r AS (SELECT g, p, COUNT(*) AS n, SUM(y) AS pos FROM s GROUP BY 1, 2), q AS (SELECT g, pos, n - pos AS neg, COALESCE(SUM(n - pos) OVER (PARTITION BY g ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r),
+a AS (SELECT g, SUM(pos * (below + neg / CAST(2 AS DOUBLE))) / NULLIF(CAST(SUM(pos) AS DOUBLE) * SUM(neg), 0) AS auc FROM q GROUP BY 1),
+m AS (SELECT g, COUNT(*) AS n, AVG(CAST(y AS DOUBLE)) AS base, AVG((p - y) * (p - y)) AS brier FROM s GROUP BY 1)"""
+_METRIC_COLUMNS = "n, ROUND(base, 6) AS base_rate, ROUND(brier, 6) AS brier, ROUND(base * (1 - base), 6) AS ref_brier, ROUND((base * (1 - base) - brier) / NULLIF(base * (1 - base), 0), 6) AS bss, ROUND(ece, 6) AS ece, ROUND(auc, 6) AS auc"
+
+
+@query(f"WITH {TOK}, s AS (SELECT dataset AS g, p, y FROM tok UNION ALL SELECT 'TOTAL', p, y FROM tok), {_METRICS} SELECT m.g AS dataset, {_METRIC_COLUMNS} FROM m JOIN e ON m.g = e.g JOIN a ON m.g = a.g")
+def ca_by_stratum(spark, sf):
+    return calibration.with_total(views.pred(spark, sf).select("dataset", "p", "y"), "dataset")
+
+
+@query(f"WITH {TOK}, s AS (SELECT gen_model AS g, p, y FROM tok), {_METRICS} SELECT m.g AS gen_model, {_METRIC_COLUMNS} FROM m JOIN e ON m.g = e.g JOIN a ON m.g = a.g")
+def ca_metrics(spark, sf):
+    return calibration.metrics(views.pred(spark, sf), ["gen_model"])
+
+
+@query(f"WITH {TOK} SELECT dataset, {BIN} AS bin, COUNT(*) AS n, ROUND(AVG(p), 6) AS conf, ROUND(AVG(CAST(y AS DOUBLE)), 6) AS acc, ROUND(AVG(CAST(y AS DOUBLE)) * (1 - AVG(CAST(y AS DOUBLE))), 6) AS variance, ROUND(ABS(AVG(p) - AVG(CAST(y AS DOUBLE))), 6) AS gap FROM tok GROUP BY 1, 2")
+def ca_uniform_bins(spark, sf):
+    return calibration.bins(views.pred(spark, sf), ["dataset"])
+
+
+@query(f"""WITH {TOK}, t AS (SELECT * FROM tok WHERE p > 0.35), f AS (SELECT dataset, {BIN} AS bin, COUNT(*) AS n, AVG(p) AS conf, AVG(CAST(y AS DOUBLE)) AS acc FROM t GROUP BY 1, 2), g AS (SELECT dataset, bin FROM (SELECT DISTINCT dataset FROM t) d CROSS JOIN (SELECT UNNEST(range(10)) AS bin) b)
+SELECT g.dataset, CAST(g.bin AS BIGINT) AS bin, COALESCE(n, 0) AS n, ROUND(conf, 6) AS conf, ROUND(acc, 6) AS acc FROM g LEFT JOIN f ON g.dataset = f.dataset AND g.bin = f.bin""")
+def ca_reliability(spark, sf):
+    return calibration.bins(views.pred(spark, sf).where("p > 0.35"), ["dataset"], keep_empty=True).select("dataset", "bin", "n", "conf", "acc")
+
+
+def _quantile_sql() -> str:
+    at = " + ".join(f"(p >= q{i})::INT" for i in range(1, 10))
+    qs = ", ".join(f"QUANTILE_CONT(p, {i / 10}) AS q{i}" for i in range(1, 10))
+    return f"WITH {TOK}, q AS (SELECT dataset, {qs} FROM tok GROUP BY 1) SELECT t.dataset, CAST({at} AS BIGINT) AS bin, COUNT(*) AS n, ROUND(AVG(p), 6) AS conf, ROUND(AVG(CAST(y AS DOUBLE)), 6) AS acc, ROUND(ABS(AVG(p) - AVG(CAST(y AS DOUBLE))), 6) AS gap FROM tok t JOIN q ON t.dataset = q.dataset GROUP BY 1, 2"
+
+
+@query(_quantile_sql())
+def ca_quantile_bins(spark, sf):
+    return calibration.quantile_bins(views.pred(spark, sf), ["dataset"])
+
+
+@query(f"WITH {TOK}, b AS (SELECT gen_model, {BIN} AS bin, p, y FROM tok) SELECT gen_model, ROUND(SUM(ABS(sp - sy)) / SUM(n), 6) AS ece FROM (SELECT gen_model, bin, SUM(p) AS sp, SUM(y) AS sy, COUNT(*) AS n FROM b GROUP BY 1, 2) x GROUP BY 1")
+def ca_ece(spark, sf):
+    return calibration.ece(views.pred(spark, sf), ["gen_model"])
+
+
+@query(f"WITH {TOK} SELECT dataset, ROUND(AVG((p - y) * (p - y)), 6) AS brier, ROUND(1 - AVG((p - y) * (p - y)) / (AVG(CAST(y AS DOUBLE)) * (1 - AVG(CAST(y AS DOUBLE)))), 6) AS bss FROM tok GROUP BY 1")
+def ca_brier_skill(spark, sf):
+    return calibration.metrics(views.pred(spark, sf), ["dataset"]).select("dataset", "brier", "bss")
+
+
+@query(f"WITH {TOK}, s AS (SELECT dataset AS g, p, y FROM tok), {_METRICS} SELECT g AS dataset, ROUND(auc, 6) AS auc FROM a")
+def ca_auc(spark, sf):
+    return calibration.auc(views.pred(spark, sf), ["dataset"])
+
+
+_NTILE = "t AS (SELECT dataset, p, y, NTILE(10) OVER (PARTITION BY dataset ORDER BY p, problem_id, pos) AS bin FROM tok), b AS (SELECT dataset, bin, COUNT(*) AS n, AVG(p) AS conf, AVG(CAST(y AS DOUBLE)) AS acc, MIN(p) AS lo, MAX(p) AS hi FROM t GROUP BY 1, 2), h AS (SELECT *, COALESCE((hi + LEAD(lo) OVER (PARTITION BY dataset ORDER BY bin)) / 2, 1) AS edge FROM b)"
+
+
+@query(f"WITH {TOK}, {_NTILE} SELECT dataset, ROUND(SQRT(SUM(n * (conf - acc) * (conf - acc)) / SUM(n)), 6) AS rms_error FROM b GROUP BY 1")
+def ca_equal_count_rmse(spark, sf):
+    return calibration.rms_error(calibration.equal_count_bins(views.tok(spark, sf), ["dataset"], ["problem_id", "pos"]), ["dataset"])
+
+
+@query(f"WITH {TOK}, {_NTILE} SELECT dataset, CAST(bin AS BIGINT) AS bin, n, ROUND(edge, 6) AS edge, ROUND(acc, 6) AS value FROM h")
+def ca_histogram_calibrator(spark, sf):
+    made = calibration.bin_edges(calibration.equal_count_bins(views.tok(spark, sf), ["dataset"], ["problem_id", "pos"]), ["dataset"])
+    return made.select("dataset", "bin", "n", "edge", F.col("acc").alias("value"))
+
+
+@query(f"""WITH {TOK}, {_NTILE}, z AS (SELECT t.dataset, t.problem_id, t.pos, t.y, (SELECT MIN(h.bin) FROM h WHERE h.dataset = t.dataset AND t.p <= h.edge) AS bin FROM tok t)
+SELECT z.dataset, ROUND(AVG((h.acc - z.y) * (h.acc - z.y)), 6) AS brier, COUNT(*) AS n FROM z JOIN h ON z.dataset = h.dataset AND z.bin = h.bin GROUP BY 1""")
+def ca_histogram_apply(spark, sf):
+    t = views.tok(spark, sf)
+    fitted = rescale.histogram(t, ["dataset"], ["problem_id", "pos"])
+    scaled = rescale.apply_histogram(t, fitted, ["dataset"])
+    return scaled.groupBy("dataset").agg(expr.brier(F.col("scaled"), F.col("y")).alias("brier"), F.count("*").alias("n"))
+
+
+_CURVE = """r AS (SELECT dataset, p, COUNT(*) AS n, SUM(y) AS pos FROM tok GROUP BY 1, 2), c AS (SELECT dataset, p AS threshold, CAST(SUM(pos) OVER w AS BIGINT) AS tp, CAST(SUM(n - pos) OVER w AS BIGINT) AS fp, SUM(pos) OVER (PARTITION BY dataset) AS ap, SUM(n - pos) OVER (PARTITION BY dataset) AS an FROM r WINDOW w AS (PARTITION BY dataset ORDER BY p DESC)),
+v AS (SELECT dataset, threshold, tp, fp, tp / CAST(NULLIF(ap, 0) AS DOUBLE) AS tpr, fp / CAST(NULLIF(an, 0) AS DOUBLE) AS fpr, tp / CAST(NULLIF(tp + fp, 0) AS DOUBLE) AS precision FROM c)"""
+
+
+@query(f"WITH {TOK}, {_CURVE} SELECT dataset, ROUND(threshold, 6) AS threshold, tp, fp, ROUND(tpr, 6) AS tpr, ROUND(fpr, 6) AS fpr, ROUND(precision, 6) AS precision, ROUND(tpr, 6) AS recall FROM v")
+def ca_curves(spark, sf):
+    return calibration.curves(views.pred(spark, sf), ["dataset"])
+
+
+@query(f"""WITH {TOK}, {_CURVE}, f AS (SELECT *, 2 * precision * tpr / NULLIF(precision + tpr, 0) AS f1 FROM v) SELECT dataset, ROUND(threshold, 6) AS threshold, ROUND(precision, 6) AS precision, ROUND(tpr, 6) AS recall, ROUND(f1, 6) AS f1 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset ORDER BY f1 DESC, threshold) AS k FROM f WHERE f1 IS NOT NULL) x WHERE k = 1""")
+def ca_best_f1(spark, sf):
+    return calibration.best_f1(views.pred(spark, sf), ["dataset"])
+
+
+@query(f"WITH {TOK}, c AS (SELECT dataset, y, GREATEST(1e-15, LEAST(p, CAST(1 AS DOUBLE) - 1e-15)) AS p FROM tok) SELECT dataset, ROUND(-AVG(y * LN(p) + (1 - y) * LN(1 - p)), 6) AS log_loss FROM c GROUP BY 1")
+def ca_log_loss(spark, sf):
+    return views.pred(spark, sf).groupBy("dataset").agg(calibration.log_loss(F.col("p"), F.col("y")).alias("log_loss"))
+
+
+@query(f"""WITH {TOK}, c AS (SELECT dataset, COUNT(*) AS n, COUNT(*) FILTER ((p >= 0.5) = (y = 1)) AS ok, COUNT(*) FILTER (p >= 0.5 AND y = 1) AS tp, COUNT(*) FILTER (p >= 0.5) AS pp, COUNT(*) FILTER (y = 1) AS ap FROM tok GROUP BY 1), d AS (SELECT *, COALESCE(tp / CAST(NULLIF(pp, 0) AS DOUBLE), 0) AS pr, COALESCE(tp / CAST(NULLIF(ap, 0) AS DOUBLE), 0) AS re FROM c)
+SELECT dataset, n, ROUND(ok / CAST(n AS DOUBLE), 6) AS accuracy, ROUND(pr, 6) AS precision, ROUND(re, 6) AS recall, ROUND(COALESCE(2 * pr * re / NULLIF(pr + re, 0), 0), 6) AS f1, ROUND(ap / CAST(n AS DOUBLE), 6) AS positive_rate FROM d""")
+def ca_cls_metrics(spark, sf):
+    return calibration.classification(views.pred(spark, sf), ["dataset"])
+
+
+@query(f"""WITH {TOK}, b AS (SELECT AVG(CAST(y AS DOUBLE)) AS r FROM tok), g AS (SELECT problem_id, COUNT(*) AS n, AVG((p - y) * (p - y)) AS brier, ABS(AVG(p) - AVG(CAST(y AS DOUBLE))) AS gap, AVG((r - y) * (r - y)) AS ref FROM tok CROSS JOIN b GROUP BY 1) SELECT problem_id, n, ROUND(brier, 6) AS brier, ROUND(gap, 6) AS gap, ROUND((ref - brier) / NULLIF(ref, 0), 6) AS skill FROM g""")
+def ca_problem_metrics(spark, sf):
+    return calibration.per_problem(views.pred(spark, sf))
+
+
+def _newton_sql(source: str, key: str, steps: int = rescale.STEPS, intercept: bool = True) -> str:
+    """CTEs z0..z{steps}: (key, a, b) after each Newton step over `source` (key, p, n, pos)."""
+    parts = [f"u AS (SELECT {key}, n, pos, LN(GREATEST(1e-6, LEAST(p, CAST(1 AS DOUBLE) - 1e-6)) / (1 - GREATEST(1e-6, LEAST(p, CAST(1 AS DOUBLE) - 1e-6)))) AS x FROM {source})", f"z0 AS (SELECT DISTINCT {key}, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM u)"]
+    for i in range(steps):
+        sums = f"h{i} AS (SELECT {key}, a, b, SUM((pos - n * q) * x) AS ga, SUM(pos - n * q) AS gb, SUM(n * q * (1 - q) * x * x) AS haa, SUM(n * q * (1 - q) * x) AS hab, SUM(n * q * (1 - q)) AS hbb FROM (SELECT u.{key}, n, pos, x, a, b, 1 / (1 + EXP(-(a * x + b))) AS q FROM u JOIN z{i} ON u.{key} = z{i}.{key}) s GROUP BY {key}, a, b)"
+        step = "a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b" if intercept else "a + ga / haa AS a, b"
+        parts += [sums, f"z{i + 1} AS (SELECT {key}, {step} FROM h{i})"]
+    return ", ".join(parts)
+
+
+_SUMS = "sums AS (SELECT dataset, p, COUNT(*) AS n, SUM(y) AS pos FROM tok GROUP BY 1, 2)"
+
+
+@query(f"WITH {TOK}, {_SUMS}, {_newton_sql('sums', 'dataset')} SELECT dataset, ROUND(a, 6) AS a, ROUND(b, 6) AS b FROM z{rescale.STEPS}")
+def ca_platt_params(spark, sf):
+    return rescale.platt(views.pred(spark, sf), ["dataset"]).select("dataset", "a", "b")
+
+
+@query(f"WITH {TOK}, {_SUMS}, {_newton_sql('sums', 'dataset', intercept=False)} SELECT dataset, ROUND(a, 6) AS a FROM z{rescale.STEPS}")
+def ca_temperature(spark, sf):
+    return rescale.platt(views.pred(spark, sf), ["dataset"], intercept=False).select("dataset", "a")
+
+
+_FOLD = "CAST(CAST('0x' || substr(sha256(CAST(problem_id AS VARCHAR)), 1, 16) AS UBIGINT) % 5 AS BIGINT)"
+
+
+@query(f"""WITH {TOK}, f AS (SELECT dataset || '/' || {_FOLD} AS g, dataset, {_FOLD} AS fold, p, y FROM tok), own AS (SELECT dataset, fold, p, COUNT(*) AS n, SUM(y) AS pos FROM f GROUP BY 1, 2, 3),
+train AS (SELECT o.dataset || '/' || k AS g, p, SUM(n) AS n, SUM(pos) AS pos FROM own o CROSS JOIN (SELECT UNNEST(range(5)) AS k) r WHERE o.fold <> k GROUP BY 1, 2), {_newton_sql('train', 'g')}
+SELECT dataset, COUNT(*) AS n, ROUND(AVG((q - y) * (q - y)), 6) AS brier, ROUND(AVG(q), 6) AS mean FROM (SELECT dataset, y, 1 / (1 + EXP(-(a * LN(GREATEST(1e-6, LEAST(p, CAST(1 AS DOUBLE) - 1e-6)) / (1 - GREATEST(1e-6, LEAST(p, CAST(1 AS DOUBLE) - 1e-6)))) + b))) AS q FROM f JOIN z{rescale.STEPS} z ON f.g = z.g) s GROUP BY 1""")
+def ca_platt_oof(spark, sf):
+    t = folds.by_hash(views.pred(spark, sf).select("dataset", "problem_id", "p", "y"), "problem_id")
+    scaled = rescale.out_of_fold(t, ["dataset"], "fold", 5)
+    return scaled.groupBy("dataset").agg(F.count("*").alias("n"), expr.brier(F.col("scaled"), F.col("y")).alias("brier"), F.avg("scaled").alias("mean"))
+
+
+@query(f"""WITH {TOK}, sums AS (SELECT 'all' AS k, p, COUNT(*) AS n, SUM(y) AS pos FROM tok WHERE gen_model = 'F' GROUP BY 1, 2), {_newton_sql('sums', 'k')}
+SELECT gen_model, ROUND(AVG((q - y) * (q - y)), 6) AS brier FROM (SELECT gen_model, y, 1 / (1 + EXP(-(a * LN(GREATEST(1e-6, LEAST(p, CAST(1 AS DOUBLE) - 1e-6)) / (1 - GREATEST(1e-6, LEAST(p, CAST(1 AS DOUBLE) - 1e-6)))) + b))) AS q FROM tok CROSS JOIN z{rescale.STEPS}) s GROUP BY 1""")
+def ca_transfer_rescale(spark, sf):
+    t = views.pred(spark, sf)
+    fitted = rescale.platt(t.where("gen_model = 'F'"), [])
+    return rescale.apply_platt(t, fitted, []).groupBy("gen_model").agg(expr.brier(F.col("scaled"), F.col("y")).alias("brier"))
+
+
+# --- differences ---
+
+
+def _neighbour_docs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", F.split(F.substring_index("text", "\n", 3), r"\s+").alias("base"), F.substring_index("text", "\n", 6).alias("text"))
+    o = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("base").alias("fix"), F.col("text").alias("fix_text"))
+    return d.join(o, "doc_id")
+
+
+@query()
+def df_token_keep(spark, sf):
+    k = _neighbour_docs(spark, sf).select("doc_id", align.keeps_or_insert_before("base", "fix").alias("k"))
+    return k.select("doc_id", F.size("k").alias("n"), F.aggregate("k", F.lit(0), lambda a, x: a + x).alias("kept"))
+
+
+@query()
+def df_opcode_rows(spark, sf):
+    o = _neighbour_docs(spark, sf).select("doc_id", F.explode(align.opcodes("base", "fix")).alias("o"))
+    return o.groupBy("doc_id", "o.tag").agg(F.count("*").alias("n"), F.max("o.old_idx").alias("last_old"), F.max("o.new_idx").alias("last_new"))
+
+
+@query()
+def df_line_edit(spark, sf):
+    e = _neighbour_docs(spark, sf).select("doc_id", align.line_edits("text", "fix_text").alias("e"))
+    total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
+    return e.select("doc_id", total("e.rewrites").alias("rewrites"), total("e.deletes").alias("deletes"), total("e.insert_before").alias("inserts"))
+
+
+@query()
+def df_char_distance(spark, sf):
+    d = _neighbour_docs(spark, sf).select("doc_id", F.array_join(F.slice("base", 1, 20), " ").alias("a"), F.array_join(F.slice("fix", 1, 20), " ").alias("b"))
+    return d.select("doc_id", align.similarity("a", "b").alias("ratio"), align.edit_distance("a", "b").alias("distance"), F.levenshtein("a", "b").alias("levenshtein"))
+
+
+@query()
+def sc_elide_bodies(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("def f(a,\n      b):\n    "), F.replace("text", F.lit("\n"), F.lit("\n    ")), F.lit("\n\ndef g():\n    return 1\n")).alias("src"))
+    return c.select("conv_id", "turn", F.length(code.elided(F.col("src"), ["g"])).alias("n"), code.bodies(F.lit("def f():\n    'doc'\n    return 2\n")).alias("body"))
+
+
+# --- probes, reports, streams ---
+
+
+@query()
+def ml_probe_lr(spark, sf):
+    return probe.linear(table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y")), "vec_id")
+
+
+@query()
+def ml_pooled_probe(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("line", F.floor(F.col("vec_id") / 4))
+    pooled = probe.pooled(e, "line").join(e.groupBy("line").agg(F.min((F.col("label") < 5).cast("int")).alias("y")), "line")
+    return probe.linear(pooled.select(F.col("line").alias("vec_id"), F.col("mean").alias("embedding"), "y"), "vec_id")
+
+
+@query("SELECT label, i, ROUND(AVG(v), 6) AS mean, ROUND(MAX(v), 6) AS top FROM (SELECT label, i - 1 AS i, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT UNNEST(range(1, 65)) AS i) u) x GROUP BY 1, 2")
+def ml_pooling(spark, sf):
+    p = probe.pooled(table(spark, sf, "embeddings"), "label")
+    return p.select("label", F.posexplode(F.arrays_zip("mean", "top")).alias("i", "v")).select("label", F.col("i").cast("long").alias("i"), F.col("v.mean").alias("mean"), F.col("v.top").alias("top"))
+
+
+_LEVELS = """lv AS (SELECT gen_model, 'token' AS level, p, y FROM tok UNION ALL SELECT gen_model, 'line', CASE WHEN MIN(p) <= 0 THEN 0 ELSE EXP(AVG(LN(p))) END, MIN(y) FROM tok GROUP BY gen_model, problem_id, line_id UNION ALL SELECT gen_model, 'problem', CASE WHEN MIN(p) <= 0 THEN 0 ELSE EXP(AVG(LN(p))) END, MIN(y) FROM tok GROUP BY gen_model, problem_id)"""
+
+
+def levels(t: DataFrame, how: str = "gmean", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Predictions of tokens, lines and problems in long form: keys, level, p, y."""
+    line = rollup.to_lines(t, how, (*keys, "problem_id", "line_id"))
+    problem = rollup.to_problems(t, how, (*keys, "problem_id"))
+    return tables.tagged_union({"token": t.select(*keys, "p", "y"), "line": line.select(*keys, "p", "y"), "problem": problem.select(*keys, "p", "y")}, "level")
+
+
+@query(f"WITH {TOK}, {_LEVELS}, s AS (SELECT gen_model || '/' || level AS g, ROUND(p, 7) AS p, y FROM lv), {_METRICS} SELECT m.g AS part, {_METRIC_COLUMNS} FROM m JOIN e ON m.g = e.g JOIN a ON m.g = a.g")
+def rp_main_table(spark, sf):
+    lv = levels(views.pred(spark, sf), keys=("gen_model",)).withColumn("part", F.concat_ws("/", "gen_model", "level")).withColumn("p", F.round("p", 7))
+    return calibration.metrics(lv, ["part"])
+
+
+def _aggregator_sql() -> str:
+    one = {"mean": "AVG(p)", "gmean": "CASE WHEN MIN(p) <= 0 THEN 0 ELSE EXP(AVG(LN(p))) END", "min": "MIN(p)"}
+    parts = " UNION ALL ".join(f"SELECT '{k}' AS g, ROUND({v}, 7) AS p, MIN(y) AS y FROM tok GROUP BY problem_id, line_id" for k, v in one.items())
+    return f"WITH {TOK}, s AS ({parts}), {_METRICS} SELECT m.g AS aggregator, {_METRIC_COLUMNS} FROM m JOIN e ON m.g = e.g JOIN a ON m.g = a.g"
+
+
+@query(_aggregator_sql())
+def rp_aggregator_table(spark, sf):
+    t = views.pred(spark, sf)
+    made = {how: rollup.to_lines(t, how).select(F.round("p", 7).alias("p"), "y") for how in ("mean", "gmean", "min")}
+    return calibration.metrics(tables.tagged_union(made, "aggregator"), ["aggregator"])
+
+
+@query("""SELECT window_start, event_type, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS base_rate, ROUND(AVG((LEAST(GREATEST(value / 100, 0), 1) - (event_type <> 'error')::INT) * (LEAST(GREATEST(value / 100, 0), 1) - (event_type <> 'error')::INT)), 6) AS brier
+FROM (SELECT strftime(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS window_start, event_type, value FROM events) e GROUP BY 1, 2""")
+def st_monitor_batch(spark, sf):
+    return monitor.summary(monitor.scored(table(spark, sf, "events")), "1 day")
+
+
+@query()
+def st_monitor_stream(spark, sf):
+    return monitor.run_to_end(spark, f"{sf}/events.parquet*", "1 day")
