@@ -124,12 +124,12 @@ def longest_common(a: Sequence, b: Sequence) -> tuple[int, int, int]:
 
 
 def chunk_map(a: Sequence[str], b: Sequence[str]) -> list[list[int]]:
-    """For each piece of a the pieces of b that overlap it; pieces are compared without surrounding white space.
+    """For each piece of a the pieces of b that overlap it; pieces are compared without white space.
 
     If the joined texts differ, only their longest common run counts; a piece
     outside it has none.
     """
-    a, b = [x.strip() for x in a], [x.strip() for x in b]
+    a, b = ["".join(x.split()) for x in a], ["".join(x.split()) for x in b]
     left, right = "".join(a), "".join(b)
     at_a, at_b, size = (0, 0, len(left)) if left == right else longest_common(left, right)
     spans, place = [], -at_b
