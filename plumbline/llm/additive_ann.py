@@ -176,7 +176,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = BOOK
 
     queries = scratch.keep(rows.where(is_query).select(F.xxhash64("id", "v").alias("q"), F.col("id").alias("query_id"), "v"), "queries")
     asked = queries.count()
-    q_blocks, c_blocks = math.ceil(asked / queries_block), math.ceil(n / block)
+    c_blocks = math.ceil(n / block)
+    # few large blocks of queries copy the codes least; but there are tasks for all partitions if there are queries for them
+    wanted = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / max(1, c_blocks))
+    q_blocks = max(math.ceil(asked / queries_block), min(math.ceil(asked / 256), wanted))
     part = lambda c, m: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(max(1, m))).cast("int")
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(max(1, m) - 1)))
     left = queries.select("q", "v", part("q", q_blocks).alias("i")).select("*", all_of(c_blocks).alias("j"))
