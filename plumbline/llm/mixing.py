@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.llm.scratch import Scratch
+
 #: Exponents that one pass over the sources tries, and passes: the exponent is found to (SECTIONS - 1) ** -PASSES.
 SECTIONS, PASSES = 17, 5
 
+#: Rows of a table of sources or blocks up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
 #: What stands for a source that is null, only while rows are grouped and joined.
 _NULL = "\u0000null"
 
@@ -18,14 +23,15 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
 
 
-def weights(sources: DataFrame, entropy: float | None = None, repetition: float | None = None, budget: Column | None = None) -> DataFrame:
+def weights(sources: DataFrame, entropy: float | None = None, repetition: float | None = None, cover: bool = False) -> DataFrame:
     """sources (source, tokens) with share, exponent, weight and the weight's entropy.
 
     A source's weight is share ** exponent, normalised. The exponent in [0, 1]
     is bisected (in sections, each a pass over the sources) to the largest for
     which the weights' entropy reaches `entropy` (a part of the greatest
     possible, 0 to 1), or to the smallest for which no source is read more than
-    `repetition` times in a budget of all tokens. If even exponent 0 misses the
+    `repetition` times in a budget of all tokens (with `cover`, so many times as
+    often as any other source). If even exponent 0 misses the
     entropy it is 0; if even 1 misses the repetitions it is 1. Sources without
     tokens have weight 0.
     """
@@ -40,8 +46,8 @@ def weights(sources: DataFrame, entropy: float | None = None, repetition: float
             shares.where("share > 0")
             .withColumn("x", F.explode(F.array(*[F.lit(x) for x in tried])))
             .groupBy("x")
-            .agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("s"), F.max(power / F.col("share")).alias("r"), F.max("_n").alias("n"))
-            .select("x", (F.log("z") - F.col("x") * F.col("s") / F.col("z")).alias("entropy"), (F.col("r") / F.col("z")).alias("repetition"), "n")
+            .agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("s"), F.max(power / F.col("share")).alias("r"), F.min(power / F.col("share")).alias("least"), F.max("_n").alias("n"))
+            .select("x", (F.log("z") - F.col("x") * F.col("s") / F.col("z")).alias("entropy"), (F.col("r") / (F.col("least") if cover else F.col("z"))).alias("repetition"), "n")
             .orderBy("x")
             .collect()  # a row for each exponent tried
         )
@@ -79,7 +85,8 @@ def mix(
 
     Sources get the weights of `weights`, and of the budget in tokens (all
     tokens of docs, if not given) their share. With `cover` the budget is raised
-    until it holds every source once, so no document is left out. A source's
+    until it holds every source once, so no document is left out, and the
+    repetition limit counts against the source that is read least. A source's
     documents are dealt into blocks of about `block_tokens` tokens; each epoch
     of the source goes through its blocks in another order. Full epochs take all
     blocks; the last takes blocks in its order while they fit, and of the next
@@ -93,8 +100,9 @@ def mix(
     like the added ones or _source, _take, _epochs, _span, _blocks, _rank, _rest.
     """
     rows = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL))).withColumn("_tokens", token_count(F.col(text_col)))
-    totals = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens"))
-    goal = weights(totals, entropy=entropy, repetition=None if entropy is not None else repetition)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    totals = scratch.keep(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens")), "sources")
+    goal = weights(totals, entropy=entropy, repetition=None if entropy is not None else repetition, cover=cover)
     whole = goal.agg(F.sum("tokens").alias("_all"), F.max(F.when(F.col("weight") > 0, F.col("tokens") / F.col("weight"))).alias("_cover"))
     size = F.coalesce(F.lit(budget).cast("double"), F.col("_all").cast("double"))
     size = F.greatest(size, "_cover") if cover else size
@@ -108,8 +116,12 @@ def mix(
     # a hair over a whole number of epochs is that number
     plan = plan.withColumn("_epochs", F.floor(F.col("_take") / F.col("_span") + 1e-9).cast("int")).withColumn("_rest", F.greatest(F.lit(0.0), F.col("_take") - F.col("_epochs") * F.col("_span")))
 
+    plan = scratch.keep(plan, "plan")
+    n_sources, n_blocks = plan.agg(F.count("*"), F.coalesce(F.sum("_blocks"), F.lit(0))).first()
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+
     key = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col), F.lit(seed))
-    placed = rows.join(plan, "_source").withColumn("_block", F.pmod(key, F.col("_blocks")).cast("int"))
+    placed = rows.join(small(plan, n_sources), "_source").withColumn("_block", F.pmod(key, F.col("_blocks")).cast("int"))
     turn = lambda epoch: F.pmod(F.xxhash64("_source", "_block", epoch, F.lit(seed)), F.lit(1 << 30))
     by_source = Window.partitionBy("_source").orderBy(turn("_epochs"), "_block")
     blocks = (
@@ -118,13 +130,14 @@ def mix(
         .withColumn("_before", F.sum("_size").over(by_source.rowsBetween(Window.unboundedPreceding, -1)))
         .select("_source", "_block", (F.col("_rest") - F.coalesce("_before", F.lit(0))).alias("_left"), "_size")
     )
-    placed = placed.join(blocks, ["_source", "_block"])
+    blocks = scratch.keep(blocks, "blocks")
+    placed = placed.join(small(blocks, n_blocks), ["_source", "_block"])
     # one block for each source is cut: documents in a fixed order, while they fit
     cut = placed.where("_left > 0 and _left < _size").select("_source", "_block", key.alias("_key"), "_tokens", "_left")
     inside = Window.partitionBy("_source", "_block").orderBy("_key")
     fits = cut.groupBy("_source", "_block", "_key", "_left").agg(F.sum("_tokens").alias("_t")).withColumn("_sum", F.sum("_t").over(inside)).where("_sum <= _left")
     last = fits.groupBy("_source", "_block").agg(F.max("_key").alias("_until"))
-    placed = placed.join(last, ["_source", "_block"], "left")
+    placed = placed.join(small(scratch.keep(last, "cuts"), n_sources), ["_source", "_block"], "left")
     extra = F.when(F.col("_left") <= 0, 0).when(F.col("_left") >= F.col("_size"), 1).otherwise(F.coalesce((key <= F.col("_until")).cast("int"), F.lit(0)))
     copies = F.col("_epochs") + extra
     out = placed.withColumn("_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
