@@ -36,8 +36,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and those of small sources again, as the temperature wants it that reads no source more than twice as often as the whole."""
-    return mix(docs, repetition=2.0, cover=True).select(*docs.columns)
+    """Every document once, and those of small sources again, as the temperature wants it that reads no source more than 1.5 times as often as any other."""
+    return mix(docs, repetition=1.5, cover=True).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

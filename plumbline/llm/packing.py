@@ -16,7 +16,7 @@ from plumbline.llm.tokens import default_path, encoder
 from plumbline.llm.words import slices
 
 #: Tokens that are packed together; memory grows with this, padding shrinks with it.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: What a cut costs, in tokens of padding, at a sentence's end and anywhere else; at a document's end it costs nothing.
 SENTENCE_CUT, HARD_CUT = 4, 32
 #: Where no sentence ends for so many tokens, a window may be cut every so often.

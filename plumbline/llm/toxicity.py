@@ -27,7 +27,7 @@ ROUNDS = 4
 #: Bytes by which the toxic dictionary must shorten a window further for it to count.
 THRESHOLDS = (4, 5, 7)
 #: Words that a worker remembers the gains of.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:

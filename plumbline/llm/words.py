@@ -52,6 +52,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     cuts = np.flatnonzero(np.diff(run)) + 1
     for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
         yield batch.slice(i, j - i)
+    pa.default_memory_pool().release_unused()  # the worker lives on beside the executor's heap
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
