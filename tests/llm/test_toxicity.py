@@ -5,7 +5,8 @@ import pyarrow as pa
 from conftest import prose
 from pyspark.sql import functions as F
 
-from plumbline.llm.toxicity import Toxicity, fit, score, train, without_toxic
+from plumbline.llm.toxicity import Toxicity, _words, fit, score, train, without_toxic
+from plumbline.llm.words import word_hashes
 
 BAD = "scoundrel blockhead nincompoop rotter".split()
 
@@ -30,6 +31,14 @@ def test_held_out_accuracy():
     assert (found == labels).mean() > 0.97
 
 
+def test_slices_have_their_own_words():
+    texts = pa.array(["a b", "c d e", "", "f a"])
+    for i in range(4):
+        names, codes, offsets = _words(texts.slice(i))
+        assert [[names[c].decode() for c in codes[a:b] if names[c]] for a, b in zip(offsets, offsets[1:])] == [t.split() for t in texts.to_pylist()[i:]]
+        assert word_hashes(texts.slice(i))[0].tolist() == word_hashes(pa.array(texts.to_pylist()[i:]))[0].tolist()
+
+
 def test_no_labels():
     assert train(pa.array(["a"]), np.array([0])).scores(pa.array(["x", None])).tolist() == [0, 0]
     assert Toxicity().scores(pa.array(["x"])).tolist() == [0]
