@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Words of a k-mer, slots of a fingerprint, and k-mers of a slot's tuple.
 K, SLOTS, TUPLE = 2, 64, 2
 #: Documents of an order bucket and of a task, and order buckets at most.
-BUCKET_ROWS, TASK_ROWS, MOST_BUCKETS = 256, 2000, 1 << 16
+BUCKET_ROWS, TASK_ROWS, MOST_BUCKETS = 128, 1000, 1 << 16
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -105,7 +105,7 @@ def order_fingerprints(docs: DataFrame, k: int = K, slots: int = SLOTS, size: in
     guest = F.struct(before.alias("b"), F.lit(True).alias("guest"))
     placed = rows.withColumn("_bucket", bucket).withColumn("_to", F.explode(F.when(F.col("_key") == first_of, F.array(own, guest)).otherwise(F.array(own))))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / TASK_ROWS))
-    dealt = placed.select(F.col("_to.b").alias("_bucket"), F.col("_to.guest").alias("_guest"), "_key", "_known", "_text").repartition(tasks, "_bucket")
+    dealt = placed.select(F.coalesce("_to.b", F.lit(0)).alias("_bucket"), F.col("_to.guest").alias("_guest"), "_key", "_known", "_text").repartition(tasks, "_bucket")
 
     order = Window.partitionBy("_bucket").orderBy("_guest", "_key", "_known", "_text")
     half = F.floor(F.length("_text") / 2).cast("int")
