@@ -29,9 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without sentences that a repeated run covers; n_chars follows the text, and what has no text left goes."""
+    """Documents without sentences that a repeated run covers and without repeated runs of 50 words; n_chars follows the text, and what has no text left goes."""
     columns = docs.columns
-    clean = remove_repeated_spans(docs, span=3).where("_removed = 0 or _removed < _sentences")
+    clean = remove_repeated_spans(docs, span=3).where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return clean.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
 
 

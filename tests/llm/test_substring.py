@@ -54,3 +54,41 @@ def test_odd_rows(spark, odd_docs):
     assert len(rows) == 10 and texts[7] == [None] and texts[8] == [""] and texts[9] == [" \n\t "]
     assert texts[5][0] == texts[5][1] != "" and texts[12] == [""] and texts[None] == texts[5][:1]
     assert remove_repeated_spans(odd_docs.limit(0)).count() == 0
+
+
+def brute_runs(texts, size=50):
+    """Words by a plain loop, for texts without repeated sentences: a word goes if a run of `size` around it came before."""
+    first, out = {}, {}
+    for i in sorted(texts):
+        words = texts[i].split()
+        gone = set()
+        for k in range(len(words) - size + 1):
+            key = tuple(w.lower() for w in words[k : k + size])
+            j, at = first.setdefault(key, (i, k))
+            if j != i or k - at >= size:
+                gone |= set(range(k, k + size))
+        out[i] = [w for k, w in enumerate(words) if k not in gone]
+    return out
+
+
+def test_passages_inside_sentences_go_whole(spark, make_docs):
+    rng = random.Random(6)
+    plain = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]  # noqa: E731  no sentence ends
+    texts, passages = {}, {}
+    for i in range(0, 200, 2):
+        passages[i] = passage = plain(rng.randrange(51, 100))
+        for k in (i, i + 1):
+            host = plain(rng.randrange(0, 300))
+            at = rng.randrange(len(host) + 1)
+            texts[k] = " ".join([*host[:at], *passage, *host[at:]])
+    texts[300] = " ".join([*plain(9), *passages[0], *plain(5), *passages[0], *plain(9)])
+    repeated = plain(70)
+    texts[301] = " ".join([*plain(9), *repeated, *plain(5), *repeated, *plain(9)])
+    texts[302] = "la " * 300
+    rows = remove_repeated_spans(make_docs(texts), least_words=10**6, run_words=50).collect()
+    got = {r.doc_id: r.text.split() for r in rows}
+    assert got == brute_runs(texts)
+    assert all(got[i] == texts[i].split() and not set(p) & set(got[i + 1]) for i, p in passages.items())
+    assert got[302] == ["la"] * 50 and {r.doc_id: r._removed > 0 for r in rows} == {i: got[i] != t.split() for i, t in texts.items()}
+    default = {r.doc_id: set(r.text.split()) for r in remove_repeated_spans(make_docs(texts)).collect()}
+    assert not any(set(p) & default[i + 1] for i, p in passages.items())
