@@ -36,18 +36,21 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and those of small sources again, as the temperature wants it that reads no source more than 1.5 times as often as any other."""
-    return mix(docs, repetition=1.5, cover=True).select(*docs.columns)
+    """Every document once, and those of small sources again, as the temperature wants it that reads no source more than 1.5 times as often as any other; rows are in the order of the mixture, over partitions and within them."""
+    order = ["_order", "doc_id"]
+    return mix(docs, repetition=1.5, cover=True).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
-    return pack_in_order(docs, most=4096)
+    """Pieces of documents in sequences of 4096 tokens, in the order of docs: readers deal out files by their size, so rows are put back by file and place."""
+    order = ["_file", "_place"]
+    placed = docs.withColumn("_file", F.input_file_name()).withColumn("_place", F.monotonically_increasing_id())
+    return pack_in_order(placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order), most=4096)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: SQL has no compression, hash forest or tokenizer: tests hold the stages against brute-force versions instead.
+#: SQL has no compression, hash forest or tokenizer: tests hold near-dedup, substring dedup and the order of mixing and packing against plain loops instead.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,11 @@
+import random
+
 import pytest
+from conftest import prose
 
 import corpus_pipeline
 from plumbline.llm import queries
+from plumbline.llm.mixing import mix
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -23,3 +27,33 @@ def test_stages(spark, sf):
     assert kept[2] < kept[1] and kept[4] == kept[3]  # near-duplicates go; mixing leaves no document out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == kept[-1]
+
+
+def test_mixing_and_packing_keep_the_order_of_the_mixture(spark, tmp_path):
+    rng = random.Random(8)
+    # later documents are longer, so that files differ in size
+    rows = [(i, prose(rng, 2 + i // 20), "en", "big" if i < 600 else f"s{i % 4}", 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    mixed = corpus_pipeline.mixing(spark, docs, "")
+    assert mixed.columns == docs.columns
+    want = [r.doc_id for r in sorted(mix(docs, repetition=1.5, cover=True).select("doc_id", "_order").collect(), key=lambda r: (r._order, r.doc_id))]
+    got = [r.doc_id for r in mixed.collect()]
+    assert got == want and len(want) > 900 and not any(a == b for a, b in zip(want, want[1:], strict=False))
+
+    # files in this order, whose sizes rise: a reader that goes by size would turn them round
+    at = {}
+    for place, i in enumerate(want):
+        at.setdefault(i, []).append(place)
+    text = {r[0]: r[1] for r in rows}
+    order = sorted(range(900), key=lambda i: at[i][0])
+    sizes = [20, 40, 80, 160, 600]
+    for k, size in enumerate(sizes):
+        part = [(i, text[i], "en", "s", 1) for i in order[sum(sizes[:k]) : sum(sizes[: k + 1])]]
+        spark.createDataFrame(part, docs.schema).coalesce(1).write.parquet(str(tmp_path / "one"))
+        (made,) = (tmp_path / "one").glob("*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        made.rename(tmp_path / "all" / f"part-{k:05}.parquet")
+        (tmp_path / "one").rename(tmp_path / f"old{k}")
+    read = spark.read.schema(docs.schema).parquet(str(tmp_path / "all"))
+    pieces = corpus_pipeline.packing(spark, read, "").where("start = 0").select("doc_id", "sequence_id", "offset").collect()
+    assert [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))] == order
