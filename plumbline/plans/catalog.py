@@ -764,7 +764,7 @@ def ca_transfer_rescale(spark, sf):
 
 
 def _neighbour_docs(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.split(F.substring_index("text", "\n", 3), r"\s+").alias("base"), F.substring_index("text", "\n", 6).alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", "source", F.split("text", r"\s+").alias("base"), "text")
     o = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("base").alias("fix"), F.col("text").alias("fix_text"))
     return d.join(o, "doc_id")
 
@@ -790,7 +790,7 @@ def df_line_edit(spark, sf):
 
 @query()
 def df_char_distance(spark, sf):
-    d = _neighbour_docs(spark, sf).select("doc_id", F.array_join(F.slice("base", 1, 20), " ").alias("a"), F.array_join(F.slice("fix", 1, 20), " ").alias("b"))
+    d = _neighbour_docs(spark, sf).select("doc_id", F.array_join("base", " ").alias("a"), F.array_join("fix", " ").alias("b"))
     return d.select("doc_id", align.similarity("a", "b").alias("ratio"), align.edit_distance("a", "b").alias("distance"), F.levenshtein("a", "b").alias("levenshtein"))
 
 

@@ -49,3 +49,24 @@ def test_longest_common():
 def test_opcode_rows():
     rows = align.opcode_rows(["a", "b"], ["a", "c", "d"])
     assert [(r["token"], r["tag"], r["old_idx"], r["new_idx"]) for r in rows] == [("a", "equal", 0, 0), ("b", "replace", 1, None), ("c", "replace", None, 1), ("d", "replace", None, 2)]
+
+
+def test_difference_queries_read_whole_texts(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from plumbline.plans import catalog
+
+    lines = [f"line {i} has the words a{i} b{i} c{i} d{i}" for i in range(9)]
+    other = [*lines[:8], "line 8 was changed and is longer now"]
+    a, b = "\n".join(lines), "\n".join(other)
+    spark.createDataFrame([(1, a, "s"), (2, b, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("df_token_keep", "df_opcode_rows", "df_line_edit", "df_char_distance")}
+    words = a.split(), b.split()
+    (keep,) = got["df_token_keep"]
+    assert (keep.n, keep.kept) == (len(words[0]), sum(align.kept(*words)))
+    rows = align.opcode_rows(*words)
+    assert {r.tag: r.n for r in got["df_opcode_rows"]} == {t: sum(r["tag"] == t for r in rows) for t in {r["tag"] for r in rows}}
+    assert got["df_line_edit"][0].rewrites == 1
+    x, y = " ".join(words[0]), " ".join(words[1])
+    (d,) = got["df_char_distance"]
+    assert d.ratio == round(SequenceMatcher(None, x, y).ratio(), 6) < 1 and d.distance == align.edit_size(x, y) and d.levenshtein > 0
