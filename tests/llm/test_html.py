@@ -1,5 +1,10 @@
+import math
+import random
+import time
+
 import pytest
 
+from plumbline.llm import html
 from plumbline.llm.html import extract, main_text
 
 NOISE = [
@@ -39,6 +44,93 @@ def test_broken_pages():
     assert main_text("plain") == "plain" and main_text("") == "" and main_text(None) == "" and main_text("<nav>x</nav>") == ""
 
 
+LONG = "<p>A paragraph of the article that goes on for a while, with commas and words.</p><p>Another one of the same kind, which is as long as the first.</p><p>And a third, so that there is some text to weigh up.</p>"
+LONG_TEXT = "A paragraph of the article that goes on for a while, with commas and words. Another one of the same kind, which is as long as the first. And a third, so that there is some text to weigh up."
+
+
+@pytest.mark.parametrize("name", ["class='with-sidebar'", "class='share-page'", "id='noticeBoardArticle'", "class='ad-free side-by-side'", "role='main' class='no-comments'"])
+@pytest.mark.parametrize("tag", ["div", "section", "form"])
+def test_names_of_wrappers_delete_no_article(name, tag):
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
+    assert main_text(f"<body><ul>{links}</ul><{tag} {name}>{LONG}</{tag}><ul>{links}</ul></body>") == LONG_TEXT
+
+
+def test_density_chooses_without_names():
+    links = "".join(f"<li><a href=/{i}>A link of some length {i}</a></li>" for i in range(20))
+    page = f"<body><div><ul>{links}</ul></div><div><div>{LONG}</div></div><div><ul>{links}</ul><p>Made by us.</p></div></body>"
+    assert main_text(page) == LONG_TEXT
+
+
+def test_comments_longer_than_the_article_go():
+    comments = "".join(f"<div><p>Comment {i}: I liked it, and have much to say about it, more than the writer.</p></div>" for i in range(30))
+    assert main_text(f"<body><div>{LONG}</div><section id='comments'>{comments}</section></body>") == LONG_TEXT
+    assert main_text(f"<body><article>{LONG}<div class='comment-list'>{comments}</div></article></body>") == LONG_TEXT
+
+
+def test_direct_text_beside_the_heart_stays():
+    page = f"<body><div>Text that stands in the node itself and is long enough to be part of it.<br>More.<blockquote>{LONG}</blockquote>And some text after the quotation, long enough as well.</div></body>"
+    assert main_text(page) == f"Text that stands in the node itself and is long enough to be part of it. More. {LONG_TEXT} And some text after the quotation, long enough as well."
+
+
+def test_unclosed_raw_elements_swallow_the_rest():
+    for tag in ("script", "title", "textarea"):
+        assert main_text(f"<body><article>{ARTICLE}</article><{tag}> x <p>gone</p>") == TEXT
+
+
+def _plain_density(node, share):
+    """The measures of a node by their definition, from its whole subtree each time."""
+
+    def walk(n):
+        yield n
+        for p in n.parts:
+            if isinstance(p, html.Node):
+                yield from walk(p)
+
+    def signs(n):
+        return sum(len("".join(p.split())) for m in walk(n) for p in m.parts if isinstance(p, str))
+
+    def linked(n, inside=False):
+        inside = inside or n.tag == "a"
+        return sum(len("".join(p.split())) if isinstance(p, str) and inside else linked(p, inside) if not isinstance(p, str) else 0 for p in n.parts)
+
+    chars, tags, links, link_chars = signs(node), sum(1 for _ in walk(node)) - 1, sum(m.tag == "a" for m in walk(node)) - (node.tag == "a"), linked(node)
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    ratio = chars / max(1, link_chars) * max(1, tags) / max(1, links)
+    return chars / max(1, tags) * math.log(max(ratio, 1.0)) / math.log(1 + base)
+
+
+def test_densities_by_definition():
+    rng = random.Random(5)
+    for _ in range(40):
+        page = "".join(rng.choice(["<div>", "</div>", "<p>", "<a href=x>", "</a>", "<ul><li>", "</ul>", "some words ", "x", "<b>", "</b>", "<section class=share>", "</section>"]) for _ in range(60))
+        nodes = html._count(html.parse(page))
+        html._believe_names(nodes)
+        html._measure(nodes)
+        share = nodes[0].link_chars / nodes[0].chars if nodes[0].chars else 0.0
+        for node in nodes:
+            assert math.isclose(node.density, _plain_density(node, share), abs_tol=1e-9)
+            children = [p for p in node.parts if isinstance(p, html.Node)]
+            assert math.isclose(node.total, sum(c.density * (html.PENALTY if c.noise else 1) for c in children), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("piece", [("<b>", "</i>"), ("<div><a>", "</a>"), ("<p><i><b>", "<hr></i>"), ("<ul><li>", "<li>"), ("<b><div>", "</b>")])
+def test_deep_pages_take_linear_time(piece):
+    def seconds(n):
+        began = time.perf_counter()
+        main_text(piece[0] * n + "text " + piece[1] * n)
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(16_000) < 24 * max(seconds(2000), 0.02)  # 8 times as long a page; a square would be 64 times
+
+
+def test_ties_go_to_the_first():
+    block = "<div><p>Ten letters and some more of them.</p><p>Ten letters and some more of them.</p></div>"
+    assert main_text(f"<body>{block}<hr>{block}</body>").startswith("Ten letters")
+
+
 def test_table(spark):
     rows = [(1, "u", f"<article>{ARTICLE}</article>"), (2, None, None), (None, "v", ""), (1, "u", f"<article>{ARTICLE}</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "url as text", "page_id as n_chars")
