@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+_QUOTE = re.compile(r"""\s*[rRuUbB]?(\"\"\"|'''|"|')""")
 _DEF = re.compile(r"^(\s*)(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(")
 
 
@@ -30,11 +31,25 @@ def body_of(source: str, which: str | int = 0) -> str | None:
     return "\n".join(lines[body[0].lineno - 1 : body[-1].end_lineno]) if body else ""
 
 
+def _docstring_end(lines: list[str], i: int, end: int) -> int:
+    """The line after the docstring that begins the lines i to end; i if there is none."""
+    at = next((k for k in range(i, end) if lines[k].strip()), end)
+    found = _QUOTE.match(lines[at]) if at < end else None
+    if not found:
+        return i
+    quote = found[1]
+    if len(quote) == 1:
+        return at + 1 if lines[at].rstrip().endswith(quote) and len(lines[at].strip()) > 1 else i
+    if quote in lines[at][found.end() :]:
+        return at + 1
+    return next((k + 1 for k in range(at + 1, end) if quote in lines[k]), i)
+
+
 def elide(source: str, keep: frozenset[str] = frozenset()) -> str:
     """The source with the bodies of functions that aren't in `keep` as three dots.
 
     A body is what is indented deeper than its def, up to the last such line
-    that isn't blank. Bodies of nested functions go with the outer one. A
+    that isn't blank; a docstring at its beginning stays. Bodies of nested functions go with the outer one. A
     signature may run over several lines; a function without a body below it
     stays as it is.
     """
@@ -59,6 +74,11 @@ def elide(source: str, keep: frozenset[str] = frozenset()) -> str:
                 end = j
         if end > i:
             first = next(line for line in lines[i:end] if line.strip())
+            told = _docstring_end(lines, i, end)
+            out += lines[i:told]
+            if not any(line.strip() for line in lines[told:end]):
+                i = end
+                continue
             out.append(first[: len(first) - len(first.lstrip())] + "...")
             i = end
     return "\n".join(out)
@@ -80,9 +100,10 @@ def elided(source: Column, keep: list[str] | None = None) -> Column:
 
 
 def last_fence(text: Column) -> Column:
-    """The inside of the last fenced block, without the fence's language; null if there is none."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```[a-zA-Z0-9_+-]*\n(.*?)```"), 1)
-    return F.get(blocks, F.size(blocks) - 1)
+    """What stands between the last two fence marks, without the first one's line, whatever that holds; null if there are fewer marks or no line break between."""
+    parts = F.split(text, "```", -1)
+    inside = F.get(parts, F.size(parts) - 2)
+    return F.when((F.size(parts) >= 3) & F.contains(inside, F.lit("\n")), F.regexp_replace(inside, r"^[^\n]*\n", ""))
 
 
 def comment_stats(text: Column) -> Column:
@@ -102,6 +123,18 @@ def fitted_list(values: Column, n: Column, fill: float) -> Column:
     return F.slice(F.concat(F.coalesce(values, F.array().cast("array<double>")), F.array_repeat(F.lit(fill), n)), F.lit(1), n)
 
 
-def list_reason(values: Column, n: Column) -> Column:
-    """Why a parsed list doesn't fit n values; null if it does."""
-    return F.when(values.isNull(), "NotAList").when(F.size(values) < n, "TooFewVals").when(F.size(values) > n, "TooManyVals")
+def list_reason(values: Column, n: Column, text: Column | None = None) -> Column:
+    """Why a parsed list doesn't fit n values; null if it does.
+
+    With the text that was parsed, SyntaxOnAst stands for a text that is no
+    literal at all (unbalanced brackets or no value), and ValueErrorOnAst for a
+    list or word that holds something else than literals.
+    """
+    out = F.when(values.isNull(), "NotAList").when(F.size(values) < n, "TooFewVals").when(F.size(values) > n, "TooManyVals")
+    if text is None:
+        return out
+    bare = F.trim(text)
+    count = lambda s: F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))
+    syntax = (bare == "") | (count("[") != count("]")) | (count("(") != count(")")) | bare.rlike(r"^\s*[A-Za-z_]\w*\s+\w") | bare.rlike(r",\s*,")
+    named = bare.rlike(r"[A-Za-z_]\w*") & ~bare.rlike(r"""^\s*(True|False|None|".*"|'.*'|[-+0-9.eE,\s\[\]]*)\s*$""")
+    return F.when(values.isNull() & syntax, "SyntaxOnAst").when(values.isNull() & named, "ValueErrorOnAst").otherwise(out)

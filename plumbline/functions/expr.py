@@ -88,3 +88,26 @@ def truncated(text: Column, budget: int, mark: str = "\n...\n", head: float = 0.
     room = budget - len(mark)
     first = int(room * head)
     return F.when(F.length(text) <= budget, text).otherwise(F.concat(F.substring(text, 1, first), F.lit(mark), F.substring(text, -(room - first), room - first)))
+
+
+# --- maps and small rules ---
+
+
+def merged_maps(*maps: Column) -> Column:
+    """The union of maps; of equal keys the later map's value counts."""
+    entries = F.concat(*[F.map_entries(m) for m in maps])
+    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
+
+
+def map_get(m: Column, key: str, default: str) -> Column:
+    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
+
+
+def success(preset: Column, metric: Column) -> Column:
+    """A preset outcome, or else the metric's; false where neither is known."""
+    return F.coalesce(preset, metric, F.lit(False))
+
+
+def digit(p: Column) -> Column:
+    """A probability as a digit of 0 to 9."""
+    return F.least(F.floor(p * 10), F.lit(9)).cast("long")

@@ -172,3 +172,46 @@ def aligned_prob(pairs: DataFrame, tokens: DataFrame, key: str, pos: str, prob:
 def token_at(df: DataFrame, offset: Column) -> Column:
     """Whether the row's [start, end) holds the offset."""
     return (df["start"] <= offset) & (offset < df["end"])
+
+
+def closer(a: DataFrame, b: DataFrame, key: str, equal: str = "equal") -> DataFrame:
+    """key, n, changed_*, share_* (equal ones by all) of the same tokens compared with two references, and which of them is closer.
+
+    a and b hold a row for each token with whether it stays on the way to their
+    reference; sums are joined, not tokens. A key that only one side has doesn't come.
+    """
+    count = lambda df, s: df.groupBy(key).agg(F.count("*").alias(f"_n{s}"), F.count_if(equal).alias(f"_e{s}"))
+    both = count(a, "a").join(count(b, "b"), key)
+    ca, cb = F.col("_na") - F.col("_ea"), F.col("_nb") - F.col("_eb")
+    return both.select(
+        key,
+        F.col("_na").alias("n"),
+        ca.alias("changed_a"),
+        cb.alias("changed_b"),
+        (F.col("_ea") / F.col("_na")).alias("share_a"),
+        (F.col("_eb") / F.col("_nb")).alias("share_b"),
+        (cb < ca).alias("b_changes_less"),
+        (F.col("_eb") > F.col("_ea")).alias("b_more_equal"),
+        (F.col("_eb") == F.col("_ea")).alias("same"),
+    )
+
+
+def array_means(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key and the element-wise means of each array column over the key's rows; a shorter array has no say in the places that it lacks."""
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("array<double>").alias("v")) for c in columns])).alias("s")).select(key, "s.c", F.posexplode("s.v").alias("i", "x"))
+    means = long.groupBy(key, "c", "i").agg(F.avg("x").alias("m"))
+    made = [F.transform(F.array_sort(F.collect_list(F.when(F.col("c") == c, F.struct("i", "m")))), lambda s: s["m"]).alias(c) for c in columns]
+    return means.groupBy(key).agg(*made)
+
+
+def first_run(tokens: Column, run: Column) -> Column:
+    """Place (from 0) of the first occurrence of an array within another; null if there is none."""
+    places = F.sequence(F.lit(0), F.size(tokens) - F.size(run))
+    return F.when(F.size(tokens) >= F.size(run), F.get(F.filter(places, lambda i: F.slice(tokens, i + 1, F.size(run)) == run), F.lit(0)))
+
+
+def diff_rows(df: DataFrame, keys: list[str], old: str = "old", new: str = "new", logprobs: str = "logprobs", closed: list[str] | None = None) -> DataFrame:
+    """keys and the rows of `opcodes`, with the old token's logprob and prob (null for new tokens) and whether the token is in the closed vocabulary."""
+    rows = df.select(*keys, logprobs, F.explode(opcodes(F.col(old), F.col(new))).alias("_r")).select(*keys, logprobs, "_r.*")
+    logprob = F.get(logprobs, F.col("old_idx"))
+    return rows.select(*keys, "token", "tag", "equal", "old_idx", "new_idx", logprob.alias("logprob"), F.exp(logprob).alias("prob"), F.col("token").isin(closed or []).alias("closed"))

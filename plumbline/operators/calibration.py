@@ -150,3 +150,15 @@ def per_problem(df: DataFrame, problem: str = "problem_id", p: str = "p", y: str
     r = F.col("_rate")
     out = df.crossJoin(F.broadcast(rate)).groupBy(problem).agg(F.count("*").alias("n"), brier(F.col(p), F.col(y)).alias("brier"), F.abs(F.avg(p) - F.avg(F.col(y).cast("double"))).alias("gap"), F.avg((r - F.col(y)) * (r - F.col(y))).alias("_ref"))
     return out.withColumn("skill", F.try_divide(F.col("_ref") - F.col("brier"), F.col("_ref"))).drop("_ref")
+
+
+def histogram(df: DataFrame, keys: list[str], n_bins: int = 10, p: str = "p") -> DataFrame:
+    """keys, bin, lo, hi, n of equal bins of [0, 1]; bins without rows have n = 0."""
+    found = df.groupBy(*keys, bin_of(F.col(p), linspace(n_bins)).cast("long").alias("bin")).agg(F.count("*").alias("_n"))
+    every = found.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))).withColumn("bin", F.col("bin").cast("long"))
+    return every.join(found, [*keys, "bin"], "left").select(*keys, "bin", (F.col("bin") / n_bins).alias("lo"), ((F.col("bin") + 1) / n_bins).alias("hi"), F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+
+
+def summary(p: Column, y: Column) -> Column:
+    """An aggregate: how many predictions, their Brier score and the base rate as one text."""
+    return F.format_string("%d predictions, Brier %.4f, base rate %.4f", F.count("*"), F.round(F.avg((p - y) * (p - y)), 4), F.round(F.avg(y.cast("double")), 4))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import tagged_union
+
 
 def score(passed: Column, passed_filters: Column, similarity: Column) -> Column:
     """A failing candidate costs 100000 less 1000 for each filter that it passed; a difference costs 100 times itself."""
@@ -42,3 +46,30 @@ def leave_one_out(df: DataFrame, problem: str, adder: str, distance: str) -> Dat
     )
     worse = F.when(F.col("_n") == 2, F.col("_second") - F.col("_first"))
     return two.groupBy(adder).agg(F.count_if(F.col("_n") == 2).alias("best_in"), F.coalesce(F.sum(worse), F.lit(0.0)).alias("added_distance"), F.count_if(F.col("_n") == 1).alias("only_solver"))
+
+
+def keep_chances(df: DataFrame, keys: list[str], problem: str, place: str, kept: str) -> DataFrame:
+    """keys, i, j, p_i, p_j, p_ij, p_i_given_j of all pairs of places that a problem has both of: chances over the problems; p_i_given_j is 0 where p_j is.
+
+    Each problem's places are collected with their marks, so pairs unfold in the
+    problem's own row; sums by pair are pre-aggregated.
+    """
+    sets = df.groupBy(*keys, problem).agg(F.collect_list(F.struct(F.col(place).alias("at"), F.col(kept).cast("double").alias("k"))).alias("_p"))
+    pairs = sets.select(*keys, F.explode("_p").alias("_a"), "_p").select(*keys, "_a", F.explode("_p").alias("_b"))
+    n = df.groupBy(*keys).agg(F.count_distinct(problem).alias("_n"))  # a row for each group of keys
+    joint = pairs.groupBy(*keys, F.col("_a.at").alias("i"), F.col("_b.at").alias("j")).agg(F.sum(F.col("_a.k") * F.col("_b.k")).alias("_ij"))
+    joint = joint.join(n, keys).withColumn("p_ij", F.col("_ij") / F.col("_n"))
+    own = joint.where("i = j").select(*keys, F.col("i").alias("_place"), F.col("p_ij").alias("_m"))
+    out = joint.join(own.withColumnsRenamed({"_place": "i", "_m": "p_i"}), [*keys, "i"]).join(own.withColumnsRenamed({"_place": "j", "_m": "p_j"}), [*keys, "j"])
+    return out.select(*keys, "i", "j", "p_i", "p_j", "p_ij", F.when(F.col("p_j") == 0, 0.0).otherwise(F.col("p_ij") / F.col("p_j")).alias("p_i_given_j"))
+
+
+def gathered(df: DataFrame, providers: dict[str, Callable[[DataFrame], DataFrame]], name: str = "adder") -> DataFrame:
+    """The candidates of all providers, each a function from the problems' table to candidates, with the provider's name."""
+    return tagged_union({k: f(df) for k, f in providers.items()}, name)
+
+
+def more_minimal(first: DataFrame, again: DataFrame, problem: str, adder: str, distance: str) -> DataFrame:
+    """The nearest candidate of each problem that has a first one, out of it and a second round's, ties by adder."""
+    second = again.join(first.select(problem), problem, "left_semi").select(*first.columns)
+    return pick_best(first.union(second), problem, -F.round(distance, 9), [adder])

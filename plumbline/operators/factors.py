@@ -51,3 +51,34 @@ def best_level(df: DataFrame, factors: list[str], metric: str, largest: bool = T
     med = long.groupBy("factor", "level").agg(F.percentile("x", F.lit(0.5)).alias("median"))
     order = F.desc("median") if largest else F.asc("median")
     return med.withColumn("_r", F.row_number().over(Window.partitionBy("factor").orderBy(order, "level"))).where("_r = 1").drop("_r")
+
+
+def stat_string(x: Column, digits: int = 2) -> Column:
+    """An aggregate: n, mean, median, population std and range as one text."""
+    numbers = [F.round(v, digits) for v in (F.avg(x), F.percentile(x, F.lit(0.5)), F.stddev_pop(x), F.min(x), F.max(x))]
+    f = f"%.{digits}f"
+    return F.format_string(f"n=%d, mean={f}, median={f}, std={f}, range={f}-{f}", F.count(x), *numbers)
+
+
+def columns_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(measure, mean, median) of each column over all rows, in one scan."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in columns])).alias("m")).select("m.*")
+    return long.groupBy("measure").agg(F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"))
+
+
+def row_mean(columns: list[Column]) -> Column:
+    """The mean of a row's columns that aren't null."""
+    known = F.filter(F.array(*[c.cast("double") for c in columns]), lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+
+
+def composite_summary(df: DataFrame, column: str) -> DataFrame:
+    c = F.col(column)
+    return df.agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.count_if(c.isNull()).alias("nulls"))
+
+
+def top_and_rest(counts: DataFrame, name: str, n: str, most: int, rest: str = "... more") -> DataFrame:
+    """name, n, groups: the largest counts (ties by name), and all others as one row."""
+    top = counts.orderBy(F.desc(n), name).limit(most).select(name)
+    marked = counts.join(F.broadcast(top.withColumn("_top", F.lit(True))), name, "left")  # `most` rows
+    return marked.groupBy(F.when(F.col("_top"), F.col(name)).otherwise(rest).alias(name)).agg(F.sum(n).alias(n), F.count("*").alias("groups"))

@@ -42,3 +42,9 @@ def capped(df: DataFrame, keys: list[str], most: int, order: list[Column]) -> Da
     """At most `most` rows of each group, the first by order."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("_rank") <= most).drop("_rank")
+
+
+def spread(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """keys, metric, folds, mean, std (population): of each metric over the rows of df, a row for each fold; folds without the metric don't count."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("_m")).select(*keys, "_m.*").where("x is not null")
+    return long.groupBy(*keys, "metric").agg(F.count("*").alias("folds"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import logit, sigmoid
@@ -74,3 +76,19 @@ def apply_histogram(df: DataFrame, fitted: DataFrame, keys: list[str], p: str =
     inside = (F.col(p) > F.col("_lo")) & ((F.col(p) <= F.col("_edge")) | (F.col("_bin") == F.col("_top")))
     joined = df.join(marked, keys).where(inside) if keys else df.crossJoin(F.broadcast(marked)).where(inside)
     return joined.withColumn(out, F.col("_value")).drop("_lo", "_edge", "_value", "_bin", "_top")
+
+
+def with_base_rate(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """One row: a and b of the calibrator of all rows, n, and the share of ones."""
+    return platt(df, [], p=p, y=y).crossJoin(df.agg(F.avg(F.col(y).cast("double")).alias("base_rate")))
+
+
+def arrays(df: DataFrame, columns: dict[str, tuple[float, float]]) -> DataFrame:
+    """df with each probability of the array columns p as sigmoid(a * logit(p) + b)."""
+    scale = lambda a, b: lambda p: sigmoid(a * logit(p) + b)
+    return df.withColumns({c: F.transform(c, scale(a, b)) for c, (a, b) in columns.items()})
+
+
+def by_property(df: DataFrame, scales: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """df with each named column put through its own scale; other columns stay."""
+    return df.withColumns({c: f(F.col(c)) for c, f in scales.items() if c in df.columns})

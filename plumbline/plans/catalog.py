@@ -35,10 +35,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from plumbline.plans import reports  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -173,10 +176,10 @@ def ag_flow_tree(spark, sf):
     return ledger.flow(views.ledger(spark, sf), "user_id", step, depth=3)
 
 
-@query(f"""WITH {EVENTS}, ok AS (SELECT user_id FROM ev GROUP BY user_id HAVING COUNT(*) FILTER (NOT passed) <= 5) SELECT name AS tag, COUNT(*) AS n, COUNT(DISTINCT ev.user_id) AS n_rows FROM ev JOIN ok ON ev.user_id = ok.user_id GROUP BY name""")
+@query(f"""WITH {EVENTS}, ok AS (SELECT user_id FROM ev GROUP BY user_id HAVING COUNT(*) FILTER (NOT passed) <= COUNT(*) / 2) SELECT name AS tag, COUNT(*) AS n, COUNT(DISTINCT ev.user_id) AS n_rows FROM ev JOIN ok ON ev.user_id = ok.user_id GROUP BY name""")
 def ag_tag_counts(spark, sf):
     ev = views.ledger(spark, sf)
-    ok = ev.groupBy("user_id").agg(F.count_if(~F.col("passed")).alias("f")).where("f <= 5")
+    ok = ev.groupBy("user_id").agg(F.count_if(~F.col("passed")).alias("f"), F.count("*").alias("n")).where("f <= n / 2")
     return ev.join(ok, "user_id", "left_semi").groupBy(F.col("name").alias("tag")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_rows"))
 
 
@@ -219,12 +222,12 @@ def jn_key_normalise(spark, sf):
     return c.join(s, "k").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
-_SPANS = """a AS (SELECT problem_id, pos, CAST(SUM(w) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS e, w, p FROM (SELECT problem_id, pos, CAST(p * 50 AS BIGINT) AS w, p FROM tok WHERE problem_id % 5 = 0) x),
-b AS (SELECT problem_id, pos, CAST(SUM(w) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS e, w, p FROM (SELECT problem_id, pos, 51 - CAST(p * 50 AS BIGINT) AS w, p FROM tok WHERE problem_id % 5 = 0) x)"""
+_SPANS = """a AS (SELECT problem_id, pos, CAST(SUM(w) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS e, w, p FROM (SELECT problem_id, pos, CAST(p * 50 AS BIGINT) AS w, p FROM tok) x),
+b AS (SELECT problem_id, pos, CAST(SUM(w) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS e, w, p FROM (SELECT problem_id, pos, 51 - CAST(p * 50 AS BIGINT) AS w, p FROM tok) x)"""
 
 
 def _two_spans(spark, sf):
-    t = views.tok(spark, sf).where("problem_id % 5 = 0")
+    t = views.tok(spark, sf)
     width = F.col("p") * 50
     order = Window.partitionBy("problem_id").orderBy("pos")
     out = []
@@ -458,26 +461,26 @@ def ag_keep_correlation(spark, sf):
 @query(f"""WITH {WORDS}, f AS (SELECT problem_id, pos, token, COALESCE(LAG(CASE WHEN token = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY problem_id ORDER BY pos), 0) AS f FROM words)
 SELECT problem_id, line_id, COUNT(*) AS n, CAST(SUM(LENGTH(token)) AS BIGINT) AS chars FROM (SELECT problem_id, token, CAST(SUM(f) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS line_id FROM f) x GROUP BY 1, 2""")
 def wn_line_ids(spark, sf):
-    return tokens.line_ids(views.words(spark, sf)).groupBy("problem_id", "line_id").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("chars"))
+    return tokens.line_ids(views.words(spark, sf, dealt=True)).groupBy("problem_id", "line_id").agg(F.count("*").alias("n"), F.sum(F.length("token")).alias("chars"))
 
 
 @query(f"""WITH {WORDS}, s AS (SELECT problem_id, pos, SUM(CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY problem_id ORDER BY pos) AS s FROM words),
 l AS (SELECT problem_id, pos, s - LEAST(0, MIN(s) OVER (PARTITION BY problem_id ORDER BY pos)) AS d FROM s)
 SELECT problem_id, CAST(MAX(v) AS BIGINT) AS deepest, CAST(SUM(v) AS BIGINT) AS total FROM (SELECT problem_id, COALESCE(LAG(d) OVER (PARTITION BY problem_id ORDER BY pos), 0) AS v FROM l) x GROUP BY 1""")
 def wn_nesting(spark, sf):
-    return tokens.nesting(views.words(spark, sf)).groupBy("problem_id").agg(F.max("level").alias("deepest"), F.sum("level").alias("total"))
+    return tokens.nesting(views.words(spark, sf, dealt=True)).groupBy("problem_id").agg(F.max("level").alias("deepest"), F.sum("level").alias("total"))
 
 
 @query(f"""WITH {WORDS}, n AS (SELECT problem_id, LAG(token) OVER w AS a, LEAD(token) OVER w AS b FROM words WINDOW w AS (PARTITION BY problem_id ORDER BY pos))
 SELECT problem_id, ROUND(AVG((COALESCE(LENGTH(a), 0) + COALESCE(LENGTH(b), 0)) / CAST(2 AS DOUBLE)), 6) AS near_length, COUNT(*) FILTER (b IN ('(', '[', '{{', ')', ']', '}}')) AS before_bracket, COUNT(*) FILTER (a = '.') AS after_dot, COUNT(*) FILTER (b = '=') AS before_equals FROM n GROUP BY 1""")
 def wn_neighbours(spark, sf):
-    n = tokens.neighbours(views.words(spark, sf))
+    n = tokens.neighbours(views.words(spark, sf, dealt=True))
     return n.groupBy("problem_id").agg(F.avg("near_length").alias("near_length"), F.count_if("before_bracket").alias("before_bracket"), F.count_if("after_dot").alias("after_dot"), F.count_if("before_equals").alias("before_equals"))
 
 
 @query(f"WITH {WORDS} SELECT problem_id, COUNT(*) FILTER (s = 1) AS n FROM (SELECT problem_id, MAX(CASE WHEN token = 'the' THEN 1 ELSE 0 END) OVER (PARTITION BY problem_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS s FROM words) x GROUP BY 1")
 def wn_lookback10(spark, sf):
-    return tokens.seen_within(views.words(spark, sf), "the").groupBy("problem_id").agg(F.count_if("seen").alias("n"))
+    return tokens.seen_within(views.words(spark, sf, dealt=True), "the").groupBy("problem_id").agg(F.count_if("seen").alias("n"))
 
 
 @query(f"WITH {WORDS}, c AS (SELECT token, COUNT(*) AS n FROM words GROUP BY token) SELECT token, n, ROUND(1 - (ROW_NUMBER() OVER (ORDER BY n DESC, token) - 1) / CAST(COUNT(*) OVER () AS DOUBLE), 6) AS rank FROM c")
@@ -488,7 +491,7 @@ def wn_freq_rank(spark, sf):
 @query(f"""WITH {WORDS}, p AS (SELECT problem_id, pos, COALESCE(SUM(LENGTH(token)) OVER (PARTITION BY problem_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, COUNT(*) OVER (PARTITION BY problem_id) AS n FROM words)
 SELECT problem_id, CAST(MAX(s) AS BIGINT) AS last_start, ROUND(AVG(pos / CAST(GREATEST(n - 1, 1) AS DOUBLE)), 6) AS relative, CAST(MAX(n - 1 - pos) AS BIGINT) AS longest FROM p GROUP BY 1""")
 def wn_running_offset(spark, sf):
-    return tokens.places(views.words(spark, sf)).groupBy("problem_id").agg(F.max("start").alias("last_start"), F.avg("relative").alias("relative"), F.max("to_end").alias("longest"))
+    return tokens.places(views.words(spark, sf, dealt=True)).groupBy("problem_id").agg(F.max("start").alias("last_start"), F.avg("relative").alias("relative"), F.max("to_end").alias("longest"))
 
 
 @query("""WITH e AS (SELECT label, vec_id, embedding[1]::DOUBLE AS l, embedding[2]::DOUBLE AS v FROM embeddings), w AS (SELECT label, EXP(l - MAX(l) OVER (PARTITION BY label)) AS w, v FROM e)
@@ -551,9 +554,9 @@ def se_difference(spark, sf):
     return a.union(lab.where("quality = 0").select("doc_id").subtract(lab.where("toxic = 0").select("doc_id")).withColumn("side", F.lit("bad")))
 
 
-@query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48")
+@query("SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
 def se_intersection(spark, sf):
-    item = table(spark, sf, "lineitem").where("l_quantity > 48")
+    item = table(spark, sf, "lineitem").select("l_partkey", "l_returnflag")
     return item.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")).intersect(item.where("l_returnflag = 'A'").select("l_partkey"))
 
 
@@ -605,7 +608,7 @@ def sc_onehot(spark, sf):
 
 @query(f"WITH {WORDS} SELECT problem_id, COUNT(*) AS n, COUNT(DISTINCT token) AS n_distinct, COUNT(*) FILTER (regexp_matches(token, '^[0-9]+$')) AS numbers FROM words GROUP BY 1")
 def sc_regex_tokens(spark, sf):
-    return views.words(spark, sf).groupBy("problem_id").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_distinct"), F.count_if(F.col("token").rlike("^[0-9]+$")).alias("numbers"))
+    return views.words(spark, sf, dealt=True).groupBy("problem_id").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_distinct"), F.count_if(F.col("token").rlike("^[0-9]+$")).alias("numbers"))
 
 
 # --- calibration ---

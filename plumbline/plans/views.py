@@ -53,12 +53,12 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 CAND = """cand AS (
   SELECT l_partkey AS problem_id, CAST(s_nationkey AS BIGINT) AS adder, MIN(l_extendedprice) AS distance, COUNT(*) FILTER (l_quantity > 25) AS passed_filters, MAX(l_quantity) / CAST(50 AS DOUBLE) AS similarity
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity <= 3 OR l_quantity >= 49 GROUP BY 1, 2)"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate repairs: problem_id, adder, distance, passed_filters, similarity."""
-    item = table(spark, sf, "lineitem").where("l_quantity <= 3 or l_quantity >= 49")
+    item = table(spark, sf, "lineitem")
     return item.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_partkey").alias("problem_id"), F.col("s_nationkey").cast("long").alias("adder")).agg(
         F.min("l_extendedprice").alias("distance"), F.count_if(F.col("l_quantity") > 25).alias("passed_filters"), (F.max("l_quantity") / 50.0).alias("similarity")
     )
@@ -69,9 +69,9 @@ WORDS = r"""words AS (
   FROM (SELECT doc_id, regexp_extract_all(text, '\n|[A-Za-z_]+|[0-9]+|[^\sA-Za-z0-9_]') AS t FROM documents) AS d, LATERAL (SELECT UNNEST(range(1, len(t) + 1)) AS i) AS u)"""
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of documents: problem_id, pos, token."""
+def words(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
+    """Tokens of documents: problem_id, pos, token; dealt by problem_id, if asked."""
     from plumbline.operators.tokens import explode_tokens
 
-    found = explode_tokens(table(spark, sf, "documents").withColumnRenamed("doc_id", "problem_id"))
+    found = explode_tokens(table(spark, sf, "documents").withColumnRenamed("doc_id", "problem_id"), dealt=dealt)
     return found.withColumn("pos", F.col("pos").cast("long"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,3 +76,46 @@ def flat(df: DataFrame, sep: str = "__") -> DataFrame:
         return out
 
     return df.select(*walk(df.schema, ()))
+
+
+def zipped(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of a and b side by side; a row that the other side lacks fails the job."""
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), on, "full")
+    return both.withColumn("_a", F.when(F.col("_a") & F.col("_b"), F.lit(True)).otherwise(F.raise_error(F.lit("tables differ in their rows")).cast("boolean"))).where("_a").drop("_a", "_b")
+
+
+def looked_up(asked: DataFrame, known: DataFrame, name: str, key: str, value: str, clean: Callable[[Column], Column]) -> DataFrame:
+    """asked with the value of its exact key, or else of its cleaned key, and `how` it was found; the rows keep their own order column."""
+    exact = known.select(F.col(key).alias(name), F.col(value).alias("_exact"))
+    cleaned = known.select(clean(F.col(key)).alias(name), F.col(value).alias("_cleaned"))
+    both = asked.join(exact, name, "left").join(cleaned, name, "left")
+    return both.withColumn(value, F.coalesce("_exact", "_cleaned")).withColumn("how", F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_cleaned").isNotNull(), "cleaned").otherwise("none")).drop("_exact", "_cleaned")
+
+
+def renamed_by(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """df with all column names put through the regular expressions in turn."""
+    names = df.columns
+    for pattern, to in rules:
+        names = [re.sub(pattern, to, n) for n in names]
+    return df.toDF(*names)
+
+
+def seeded_take(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows in the order of a hash of key and seed (column _key), the same in every run."""
+    return df.withColumn("_key", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))).orderBy("_key", key).limit(n)
+
+
+def dev_sample(df: DataFrame, key: str, share: float) -> DataFrame:
+    """A share of the rows by a hash of their key: a small copy of a kept table for development, the same in every run."""
+    return df.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def literal_problem(spark: SparkSession, problem_id: str, base_text: str, fix_text: str, base_success: bool) -> DataFrame:
+    """A problem's row from what was typed in."""
+    return spark.createDataFrame([(problem_id, base_text, fix_text, base_success)], "problem_id string, base_text string, fix_text string, base_success boolean")
+
+
+def synthetic_predictions(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+    """(problem_id, p, y) of n problems with uniform p and labels by a coin, from hashes of number and seed."""
+    draw = lambda s: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{s}")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return spark.range(n).select(F.col("id").alias("problem_id"), (draw(seed) / 4294967296.0).alias("p"), (draw(seed + 1) % 2).alias("y"))
