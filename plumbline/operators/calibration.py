@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.expr import bin_of, brier, linspace, ratio
+from plumbline.functions.expr import bin_of, brier, linspace, logit, ratio
 
 
 def scores(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
@@ -26,21 +26,73 @@ def bins(df: DataFrame, keys: list[str], edges: list[float] | None = None, p: st
     return found.withColumn("variance", F.col("acc") * (1 - F.col("acc"))).withColumn("gap", F.abs(F.col("conf") - F.col("acc")))
 
 
+def bucket_of(p: Column) -> Column:
+    """A bucket of p that never falls as p grows: 1/500 wide, and finer towards 0 and 1, where calibrated probabilities crowd. There are about 1 060."""
+    return (F.floor(500 * p) + F.floor(20 * logit(p))).cast("long")
+
+
+def running(small: DataFrame, keys: list[str], columns: list[str], p: str = "p") -> DataFrame:
+    """small with before_<column> and all_<column>: each column's sum over the key's rows with smaller p, and over all of the key's.
+
+    Sums run within buckets of p (see bucket_of) and over the buckets' totals,
+    so no task needs all rows of a key; the totals are joined back.
+    """
+    small = small.withColumn("_bucket", bucket_of(F.col(p)))
+    totals = small.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    totals = totals.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_offset_{c}") for c in columns], *[F.sum(f"_{c}").over(every).alias(f"all_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    summed = small.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_inside_{c}") for c in columns])
+    joined = summed.join(totals, [*keys, "_bucket"])
+    sums = [(F.col(f"_inside_{c}") + F.col(f"_offset_{c}")).alias(f"before_{c}") for c in columns]
+    return joined.select(*[c for c in small.columns if c != "_bucket"], *sums, *[f"all_{c}" for c in columns])
+
+
 def quantile_bins(df: DataFrame, keys: list[str], n_bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:
-    """Like `bins`, with edges at exact linear percentiles of each group: a value on an edge falls into the bin above."""
-    points = [i / n_bins for i in range(n_bins + 1)]
-    cuts = df.groupBy(*keys).agg(F.percentile(p, F.array(*[F.lit(x) for x in points])).alias("_edges"))
-    joined = df.join(cuts, keys) if keys else df.crossJoin(cuts)
-    at = sum(((F.col(p) >= F.col("_edges")[i]).cast("int") for i in range(1, n_bins)), F.lit(0))
-    found = joined.groupBy(*keys, at.cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("conf"), F.avg(F.col(y).cast("double")).alias("acc"))
+    """Like `bins`, with edges at exact linear percentiles of each group: a value on an edge falls into the bin above.
+
+    The percentiles are read off running counts of the distinct probabilities,
+    and the bins are summed up from these: rows are read once.
+    """
+    small = running(scores(df, keys, p, y), keys, ["n"])
+    cuts = []
+    for i in range(1, n_bins):
+        at = F.lit(i / n_bins) * (F.col("all_n") - 1)
+        at_row = lambda k: F.max(F.when((F.col("before_n") <= k) & (k < F.col("before_n") + F.col("n")), F.col("p")))
+        low, high = at_row(F.floor(at)), at_row(F.ceil(at))
+        share = F.max(at - F.floor(at))
+        cuts.append((low + (high - low) * share).alias(f"_q{i}"))
+    edges = small.groupBy(*keys).agg(*cuts)
+    at = sum(((F.col("p") >= F.col(f"_q{i}")).cast("int") for i in range(1, n_bins)), F.lit(0))
+    joined = small.join(edges, keys) if keys else small.crossJoin(F.broadcast(edges))
+    found = joined.groupBy(*keys, at.cast("long").alias("bin")).agg(F.sum("n").alias("n"), (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("conf"), (F.sum("pos") / F.sum("n")).alias("acc"))
     return found.withColumn("gap", F.abs(F.col("conf") - F.col("acc")))
 
 
 def equal_count_bins(df: DataFrame, keys: list[str], order: list[str], n_bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:
-    """keys, bin (from 1), n, conf, acc, lo, hi of bins of equal counts along p; order breaks ties."""
-    ranked = df.withColumn("_bin", F.ntile(n_bins).over(Window.partitionBy(*keys).orderBy(p, *order)))
-    return ranked.groupBy(*keys, F.col("_bin").cast("long").alias("bin")).agg(
-        F.count("*").alias("n"), F.avg(p).alias("conf"), F.avg(F.col(y).cast("double")).alias("acc"), F.min(p).alias("lo"), F.max(p).alias("hi")
+    """keys, bin (from 1), n, conf, acc, lo, hi of bins of equal counts along p; order breaks ties.
+
+    Running counts of the distinct probabilities tell where the bins' borders
+    fall. Only rows of a probability that a border divides are ranked by order
+    (n_bins - 1 probabilities of a key at most); all others go by their sums.
+    """
+    small = running(scores(df, keys, p, y), keys, ["n"])
+    size, more = F.floor(F.col("all_n") / n_bins), F.col("all_n") % n_bins  # the first `more` bins have one row more
+
+    def bin_at(row: Column) -> Column:
+        return F.when(row < more * (size + 1), F.floor(row / (size + 1))).otherwise(more + F.floor((row - more * (size + 1)) / F.greatest(size, F.lit(1)))).cast("long") + 1
+
+    first, last = bin_at(F.col("before_n")), bin_at(F.col("before_n") + F.col("n") - 1)
+    placed = small.withColumn("bin", first).withColumn("_last", last)
+    sums = [F.sum("n").alias("n"), F.sum(F.col("p") * F.col("n")).alias("_p"), F.sum("pos").alias("pos"), F.min("p").alias("lo"), F.max("p").alias("hi")]
+    whole = placed.where("bin = _last").groupBy(*keys, "bin").agg(*sums)
+    divided = placed.where("bin < _last").select(*keys, "p", "before_n", "all_n")
+    rows = df.select(*keys, F.col(p).alias("p"), F.col(y).cast("long").alias("pos"), F.struct(*order).alias("_order"), F.lit(1).cast("long").alias("n")).join(divided, [*keys, "p"])
+    ranked = rows.withColumn("_row", F.col("before_n") + F.row_number().over(Window.partitionBy(*keys, "p").orderBy("_order")) - 1)
+    parts = ranked.withColumn("bin", bin_at(F.col("_row"))).groupBy(*keys, "bin").agg(*sums)
+    return whole.union(parts).groupBy(*keys, "bin").agg(
+        F.sum("n").alias("n"), (F.sum("_p") / F.sum("n")).alias("conf"), (F.sum("pos") / F.sum("n")).alias("acc"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
 
 
@@ -62,34 +114,32 @@ def ece(df: DataFrame, keys: list[str], edges: list[float] | None = None, p: str
 
 
 def auc(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
-    """Area under the ROC curve, ties counted half; null if a group has one class only.
-
-    The window runs over distinct probabilities, not rows.
-    """
-    below = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    neg = F.col("n") - F.col("pos")
-    ranked = scores(df, keys, p, y).withColumn("_below", F.coalesce(F.sum(neg).over(below), F.lit(0)))
-    return ranked.groupBy(*keys).agg(ratio(F.sum(F.col("pos") * (F.col("_below") + neg / 2)), F.sum("pos").cast("double") * F.sum(neg)).alias("auc"))
+    """Area under the ROC curve, ties counted half; null if a group has one class only."""
+    return metrics(df, keys, p=p, y=y).select(*keys, "auc")
 
 
 def metrics(df: DataFrame, keys: list[str], edges: list[float] | None = None, p: str = "p", y: str = "y") -> DataFrame:
-    """keys, n, base_rate, brier, ref_brier, bss, ece, auc: one scan, one shuffle of distinct probabilities.
+    """keys, n, base_rate, brier, ref_brier, bss, ece, auc: one scan, two shuffles of distinct probabilities.
 
     The Brier reference predicts the base rate; bss is null where that is
-    without error, auc where there is one class only.
+    without error, auc where there is one class only. Ranks run within buckets
+    of probabilities (see bucket_of), then over the buckets' sums.
     """
     edges = edges or linspace(10)
-    small = scores(df, keys, p, y)
-    below = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    small = scores(df, keys, p, y).withColumn("_bucket", bucket_of(F.col("p")))
+    below = Window.partitionBy(*keys, "_bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     neg = F.col("n") - F.col("pos")
     ranked = small.withColumn("_below", F.coalesce(F.sum(neg).over(below), F.lit(0))).withColumn("_bin", bin_of(F.col("p"), edges))
-    by_bin = ranked.groupBy(*keys, "_bin").agg(
+    by_part = ranked.groupBy(*keys, "_bucket", "_bin").agg(
         F.sum("n").alias("n"),
         F.sum("pos").alias("pos"),
         F.sum(F.col("p") * F.col("n")).alias("_p"),
         F.sum(F.col("pos") * (1 - F.col("p")) * (1 - F.col("p")) + neg * F.col("p") * F.col("p")).alias("_sq"),
         F.sum(F.col("pos") * (F.col("_below") + neg / 2)).alias("_rank"),
     )
+    smaller = Window.partitionBy(*keys).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)  # a row for each bucket and bin
+    by_part = by_part.withColumn("_rank", F.col("_rank") + F.col("pos") * F.coalesce(F.sum(neg).over(smaller), F.lit(0)))
+    by_bin = by_part.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "_p", "_sq", "_rank")])
     n, pos = F.sum("n"), F.sum("pos")
     base = pos / n
     return (
@@ -107,20 +157,16 @@ def with_total(df: DataFrame, key: str, name: str = "TOTAL", compute=metrics, **
 
 def curves(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
     """ROC and PR points at each distinct probability as threshold: keys, threshold, tp, fp, tpr, fpr, precision, recall."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*keys)
-    small = scores(df, keys, p, y)
-    tp, fp = F.sum("pos").over(down), F.sum(F.col("n") - F.col("pos")).over(down)
-    points = small.select(*keys, F.col("p").alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.sum("pos").over(every).alias("_p"), F.sum(F.col("n") - F.col("pos")).over(every).alias("_n"))
+    small = running(scores(df, keys, p, y).withColumn("neg", F.col("n") - F.col("pos")), keys, ["pos", "neg"])
+    points = small.select(*keys, F.col("p").alias("threshold"), (F.col("all_pos") - F.col("before_pos")).alias("tp"), (F.col("all_neg") - F.col("before_neg")).alias("fp"), F.col("all_pos").alias("_p"), F.col("all_neg").alias("_n"))
     return points.select(*keys, "threshold", "tp", "fp", ratio(F.col("tp"), F.col("_p")).alias("tpr"), ratio(F.col("fp"), F.col("_n")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("_p")).alias("recall"))
 
 
 def best_f1(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
     """The point of `curves` with the largest F1 (the smallest threshold of several), for each group."""
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    first = Window.partitionBy(*keys).orderBy(F.desc("f1"), "threshold")
-    ranked = curves(df, keys, p, y).withColumn("f1", f1).where("f1 is not null").withColumn("_r", F.row_number().over(first))
-    return ranked.where("_r = 1").select(*keys, "threshold", "precision", "recall", "f1")
+    best = F.max_by(F.struct("threshold", "precision", "recall", "f1"), F.struct(F.col("f1"), -F.col("threshold")))
+    return curves(df, keys, p, y).withColumn("f1", f1).where("f1 is not null").groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def log_loss(p: Column, y: Column, clip: float = 1e-15) -> Column:

@@ -12,6 +12,8 @@ from plumbline.operators.calibration import bin_edges, equal_count_bins, scores
 
 #: Newton steps; from (1, 0) eight are enough for double precision on overlapping classes.
 STEPS = 8
+#: Groups whose parameters go through the driver.
+MOST_GROUPS = 10_000
 
 
 def platt(df: DataFrame, keys: list[str], intercept: bool = True, steps: int = STEPS, p: str = "p", y: str = "y") -> DataFrame:
@@ -46,20 +48,42 @@ def out_of_fold(df: DataFrame, keys: list[str], fold: str, k: int, intercept: bo
 
 
 def _newton(small: DataFrame, keys: list[str], intercept: bool, steps: int) -> DataFrame:
-    small = small.withColumn("x", logit(F.col("p")))
+    """keys, a, b from sums by probability.
+
+    The sums are kept (a lost part is worked out again from its lineage). Up to
+    MOST_GROUPS groups the parameters go through the driver, so a step is one
+    aggregate over the kept sums with the parameters broadcast, and steps end
+    when nothing moves; more groups are joined step by step.
+    """
+    small = small.withColumn("x", logit(F.col("p"))).persist()
     now = small.groupBy(*keys).agg(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    if len(found := now.limit(MOST_GROUPS + 1).collect()) > MOST_GROUPS:
+        for _ in range(steps):
+            now = _step(small.join(now, keys), keys, intercept)
+        return now
+    spark, schema = small.sparkSession, now.schema
     for _ in range(steps):
-        joined = small.join(now, keys) if keys else small.crossJoin(now)
-        q = sigmoid(F.col("a") * F.col("x") + F.col("b"))
-        w, e = F.col("n") * q * (1 - q), F.col("pos") - F.col("n") * q
-        sums = joined.groupBy(*keys, "a", "b").agg(
-            F.sum(e * F.col("x")).alias("ga"), F.sum(e).alias("gb"), F.sum(w * F.col("x") * F.col("x")).alias("haa"), F.sum(w * F.col("x")).alias("hab"), F.sum(w).alias("hbb")
-        )
-        det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
-        da = F.try_divide(F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb"), det) if intercept else F.try_divide("ga", "haa")
-        db = F.try_divide(F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga"), det) if intercept else F.lit(0.0)
-        now = sums.select(*keys, F.coalesce(F.col("a") + da, "a").alias("a"), F.coalesce(F.col("b") + db, "b").alias("b"))
-    return now
+        held = F.broadcast(spark.createDataFrame(found, schema))  # MOST_GROUPS rows at most
+        after = _step(small.join(held, keys) if keys else small.crossJoin(held), keys, intercept).collect()
+        old = {tuple(r[k] for k in keys): r for r in found}
+        moved = max((abs(r.a - old[tuple(r[k] for k in keys)].a) + abs(r.b - old[tuple(r[k] for k in keys)].b) for r in after), default=0.0)
+        found = after
+        if moved < 1e-12:
+            break
+    small.unpersist()
+    return spark.createDataFrame(found, schema)
+
+
+def _step(joined: DataFrame, keys: list[str], intercept: bool) -> DataFrame:
+    q = sigmoid(F.col("a") * F.col("x") + F.col("b"))
+    w, e = F.col("n") * q * (1 - q), F.col("pos") - F.col("n") * q
+    sums = joined.groupBy(*keys, "a", "b").agg(
+        F.sum(e * F.col("x")).alias("ga"), F.sum(e).alias("gb"), F.sum(w * F.col("x") * F.col("x")).alias("haa"), F.sum(w * F.col("x")).alias("hab"), F.sum(w).alias("hbb")
+    )
+    det = F.col("haa") * F.col("hbb") - F.col("hab") * F.col("hab")
+    da = F.try_divide(F.col("hbb") * F.col("ga") - F.col("hab") * F.col("gb"), det) if intercept else F.try_divide("ga", "haa")
+    db = F.try_divide(F.col("haa") * F.col("gb") - F.col("hab") * F.col("ga"), det) if intercept else F.lit(0.0)
+    return sums.select(*keys, F.coalesce(F.col("a") + da, "a").alias("a"), F.coalesce(F.col("b") + db, "b").alias("b"))
 
 
 def histogram(df: DataFrame, keys: list[str], order: list[str], n_bins: int = 10, score: str = "acc", p: str = "p", y: str = "y") -> DataFrame:
