@@ -215,3 +215,37 @@ def diff_rows(df: DataFrame, keys: list[str], old: str = "old", new: str = "new"
     rows = df.select(*keys, logprobs, F.explode(opcodes(F.col(old), F.col(new))).alias("_r")).select(*keys, logprobs, "_r.*")
     logprob = F.get(logprobs, F.col("old_idx"))
     return rows.select(*keys, "token", "tag", "equal", "old_idx", "new_idx", logprob.alias("logprob"), F.exp(logprob).alias("prob"), F.col("token").isin(closed or []).alias("closed"))
+
+
+#: Words by which texts and items find each other.
+WORDS = 5
+
+
+def containing(texts: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item: str) -> DataFrame:
+    """(key, item_key) of all texts that hold an item's whole text.
+
+    An item's first and last word may be parts of longer words of the text, but
+    the words between stand there as they are: the hash of the first WORDS of
+    them finds the candidates, and the whole item is then looked for. Items with
+    fewer words between, and those without a text, are compared with every text:
+    they are broadcast if there are SHORT_ITEMS at most, else they go by a
+    nested join that Spark plans.
+    """
+    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.xxhash64(F.slice(w, i, WORDS)))
+    words = lambda c: F.split(c, r"\s+", -1)
+    inner = lambda w: F.slice(w, 2, F.size(w) - 2)
+    long = items.where(F.size(words(F.col(item))) >= WORDS + 2)
+    asked = long.select(item_key, item, F.xxhash64(F.slice(words(F.col(item)), 2, WORDS)).alias("_h"))
+    runs = texts.select(key, text, words(F.col(text)).alias("_w")).where(F.size("_w") >= WORDS + 2).select(key, F.explode(F.array_distinct(hashes(inner(F.col("_w"))))).alias("_h"))
+    pairs = runs.join(asked.select(item_key, "_h"), "_h").select(key, item_key).distinct()
+    found = pairs.join(texts.select(key, text), key).join(long.select(item_key, item), item_key).where(F.contains(text, item)).select(key, item_key).distinct()
+    short = items.where(F.size(words(F.col(item))) < WORDS + 2)
+    few = short.limit(SHORT_ITEMS + 1).count()
+    if not few:
+        return found
+    side = F.broadcast(short) if few <= SHORT_ITEMS else short
+    return found.union(texts.join(side, F.contains(text, item)).select(key, item_key).distinct())
+
+
+#: Short items that are broadcast at most.
+SHORT_ITEMS = 10_000

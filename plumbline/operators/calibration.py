@@ -208,3 +208,20 @@ def histogram(df: DataFrame, keys: list[str], n_bins: int = 10, p: str = "p") ->
 def summary(p: Column, y: Column) -> Column:
     """An aggregate: how many predictions, their Brier score and the base rate as one text."""
     return F.format_string("%d predictions, Brier %.4f, base rate %.4f", F.count("*"), F.round(F.avg((p - y) * (p - y)), 4), F.round(F.avg(y.cast("double")), 4))
+
+
+def concentration(df: DataFrame, keys: list[str], error: str, shares: dict[str, float]) -> DataFrame:
+    """keys and for each name the part of the errors (in [0, 1]) that the worst floor(share * n) rows make up.
+
+    Rows are summed up by error (nine digits), and running counts from the
+    largest tell how many rows of each error are among the worst.
+    """
+    small = df.groupBy(*keys, F.round(error, 9).alias("p")).agg(F.count("*").alias("n"), F.sum(error).alias("s"))
+    small = running(small, keys, ["n"])
+    worse = F.col("all_n") - F.col("before_n") - F.col("n")
+
+    def part(share: float) -> Column:
+        taken = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(F.lit(share) * F.col("all_n")) - worse))
+        return F.try_divide(F.sum(F.col("s") * taken / F.col("n")), F.sum("s"))
+
+    return small.groupBy(*keys).agg(*[part(x).alias(name) for name, x in shares.items()])

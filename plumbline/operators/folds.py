@@ -14,7 +14,7 @@ def by_hash(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> DataFrame
 
 
 def by_group(df: DataFrame, group: str, out: str = "fold", name: str = "fold_name") -> DataFrame:
-    """Leave one group out: a fold for each group, numbered by name."""
+    """Leave one group out: a fold for each group, numbered by name (the groups' names are ranked in one task)."""
     folds = df.select(group).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(group)) - 1)
     return df.join(folds, group).withColumn(name, F.concat(F.lit("EvalDataset__"), F.col(group)))
 
@@ -26,16 +26,21 @@ def splits(df: DataFrame, k: int, fold: str = "fold", run: str = "run") -> DataF
 
 
 def sample(df: DataFrame, share: Column, key: Column, within: list[str] | None = None) -> DataFrame:
-    """floor(share * n) rows of each group of `within` (of all, if not given), in the order of the key, which must be distinct.
+    """floor(share * n) rows of each group of `within` (of all, if not given), in the order of the key: a distinct text of evenly spread signs, such as a hash in hex.
 
-    Of all rows, the key's quantile is not needed: rows are ranked in each
-    group; without groups a sort by key of the whole table gives ranks by its
-    range partitions' counts.
+    Counts by the key's first three signs tell in which of these buckets a
+    group's last row falls; only that bucket's rows are ranked.
     """
     keys = within or []
-    order = Window.partitionBy(*keys).orderBy(key)
-    ranked = df.withColumn("_rank", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.where(F.col("_rank") <= F.floor(share * F.col("_n"))).drop("_rank", "_n")
+    marked = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
+    counts = marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    every, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # how many rows of each bucket are taken; 4096 buckets of a group for a key in hex
+    room = counts.select(*keys, "_bucket", "_n", (F.floor(share * F.sum("_n").over(every)) - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_room")).where("_room > 0")
+    joined = marked.join(room, [*keys, "_bucket"])
+    whole = joined.where("_room >= _n")
+    last = joined.where("_room < _n").withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_key"))).where("_rank <= _room").drop("_rank")
+    return whole.union(last).select(*df.columns)
 
 
 def capped(df: DataFrame, keys: list[str], most: int, order: list[Column]) -> DataFrame:

@@ -12,8 +12,8 @@ from plumbline.functions.expr import hash_fold
 
 def attention_pool(df: DataFrame, group: str, logit: str, value: str) -> DataFrame:
     """The mean of value weighed by the softmax of logit within each group."""
-    top = F.max(logit).over(Window.partitionBy(group))
-    w = df.withColumn("_w", F.exp(F.col(logit) - top))
+    top = df.groupBy(group).agg(F.max(logit).alias("_top"))  # pre-aggregated, so a large group isn't gathered
+    w = df.join(top, group).withColumn("_w", F.exp(F.col(logit) - F.col("_top")))
     return w.groupBy(group).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("pooled"), F.count("*").alias("n"))
 
 

@@ -278,8 +278,9 @@ def jn_semi(spark, sf):
 
 @query("SELECT doc_id, MIN(item_id) AS item_id, COUNT(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id")
 def jn_contains_theta(spark, sf):
-    items = F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")))  # a benchmark: a few hundred items
-    return table(spark, sf, "documents").join(items, F.contains("text", "item")).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"))
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    found = align.containing(table(spark, sf, "documents").select("doc_id", "text"), items, "doc_id", "text", "item_id", "item")
+    return found.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"))
 
 
 @query(f"WITH {TOK}, b AS (SELECT AVG(CAST(y AS DOUBLE)) AS base FROM tok) SELECT dataset, ROUND(AVG((base - y) * (base - y)), 6) AS ref_brier, ROUND(AVG(p - base), 6) AS shift FROM tok CROSS JOIN b GROUP BY dataset")
@@ -439,10 +440,7 @@ def ag_size_buckets(spark, sf):
 SELECT dataset, ROUND(SUM(CASE WHEN r <= FLOOR(0.1 * n) THEN err ELSE 0 END) / SUM(err), 6) AS worst10, ROUND(SUM(CASE WHEN r <= FLOOR(0.2 * n) THEN err ELSE 0 END) / SUM(err), 6) AS worst20 FROM r GROUP BY 1""")
 def ag_concentration(spark, sf):
     e = views.pred(spark, sf).groupBy("dataset", "problem_id").agg(expr.brier(F.col("p"), F.col("y")).alias("err"))
-    r = F.row_number().over(Window.partitionBy("dataset").orderBy(F.round("err", 9).desc(), "problem_id"))
-    e = e.withColumn("r", r).withColumn("n", F.count("*").over(Window.partitionBy("dataset")))
-    part = lambda x: F.sum(F.when(F.col("r") <= F.floor(F.lit(x) * F.col("n")), F.col("err")).otherwise(0.0)) / F.sum("err")
-    return e.groupBy("dataset").agg(part(0.1).alias("worst10"), part(0.2).alias("worst20"))
+    return calibration.concentration(e, ["dataset"], "err", {"worst10": 0.1, "worst20": 0.2})
 
 
 @query(f"""WITH {TOK}, k AS (SELECT dataset, problem_id, line_id, MIN(y) AS y FROM tok GROUP BY 1, 2, 3), n AS (SELECT dataset, COUNT(DISTINCT problem_id) AS n FROM tok GROUP BY 1)
@@ -853,12 +851,15 @@ def rp_aggregator_table(spark, sf):
     return calibration.metrics(tables.tagged_union(made, "aggregator"), ["aggregator"])
 
 
-@query("""SELECT window_start, event_type, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS base_rate, ROUND(AVG((LEAST(GREATEST(value / 100, 0), 1) - (event_type <> 'error')::INT) * (LEAST(GREATEST(value / 100, 0), 1) - (event_type <> 'error')::INT)), 6) AS brier
-FROM (SELECT strftime(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS window_start, event_type, value FROM events) e GROUP BY 1, 2""")
+_MONITOR = """SELECT window_start, event_type, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS base_rate, ROUND(AVG((LEAST(GREATEST(value / 100, 0), 1) - (event_type <> 'error')::INT) * (LEAST(GREATEST(value / 100, 0), 1) - (event_type <> 'error')::INT)), 6) AS brier
+FROM (SELECT strftime(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS window_start, event_type, value FROM events) e GROUP BY 1, 2"""
+
+
+@query(_MONITOR)
 def st_monitor_batch(spark, sf):
     return monitor.summary(monitor.scored(table(spark, sf, "events")), "1 day")
 
 
-@query()
+@query(_MONITOR)
 def st_monitor_stream(spark, sf):
     return monitor.run_to_end(spark, f"{sf}/events.parquet*", "1 day")

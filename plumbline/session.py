@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return importable(spark)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all nodes share; where that is unset, a local master gets a temporary one, and any other an error."""
+    key = "spark.checkpoint.dir"
+    at = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {key} to a folder that all nodes share")
+        at = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+        spark.conf.set(key, at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver found it."""
     environment = spark.sparkContext.environment

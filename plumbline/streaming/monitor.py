@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import shared_folder
+from plumbline.sources.tables import exists
+
 
 def scored(events: DataFrame) -> DataFrame:
     """Events with p (value as a part of 100) and y (no error)."""
@@ -28,9 +29,23 @@ def stream(spark: SparkSession, path: str, window: str = "1 hour", late: str = "
     return summary(rows.dropDuplicatesWithinWatermark(["event_id"]), window)
 
 
-def run_to_end(spark: SparkSession, path: str, window: str = "1 hour", late: str = "3650 days") -> DataFrame:
-    """What the stream has told when all files that are there have been read. A finished batch of files has no late rows, hence the long watermark."""
-    name = f"monitor_{uuid.uuid4().hex[:12]}"
-    job = stream(spark, path, window, late).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_end(spark: SparkSession, path: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """What the stream has told when all files that are there have been read.
+
+    All files that are there make one batch, and the watermark moves only after
+    a batch, so none of their rows is late; ids older than `late` are then
+    forgotten. Each batch's summary, a row for each window and type, is written
+    over the last one in the folder that the cluster shares, beside the
+    stream's own checkpoint.
+    """
+    folder = shared_folder(spark, "monitor")
+    out = stream(spark, path, window, late)
+
+    def keep(rows: DataFrame, _: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/summary")
+
+    job = out.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.table(name)
+    if not exists(spark, f"{folder}/summary"):
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(f"{folder}/summary")

@@ -1,72 +1,90 @@
+import random
+
 import pytest
 
 from plumbline.operators import align
 
 
-@pytest.mark.parametrize(
-    "base, other, expected",
-    [
-        (["def", "f", "()", ":", "pass"], ["def", "f", "()", ":", "pass"], [[0], [1], [2], [3], [4]]),
-        (["1 2", " 3 4", " 5 6"], ["1 2 3 4", " 5 6"], [[0], [0], [1]]),
-        (["1 2 3 4", " 5 6"], ["1 2", " 3 4", " 5 6"], [[0, 1], [2]]),
-        (["1 2", " 3 4", " 5 6"], ["1 2 3", " 4 5", " 6"], [[0], [0, 1], [1, 2]]),
-        (["12", "34"], ["0", "12", "34", "56"], [[1], [2]]),
-    ],
-)
-def test_chunk_map(base, other, expected):
-    assert align.chunk_map(base, other) == expected
-
-
-def test_labels():
-    base = ["My", " favorite", " color", " is", " blue", "."]
-    assert align.kept(base, ["My", " favorite", " color", " is", " red", "."]) == [1, 1, 1, 1, 0, 1]
+def overlaps(a, b):
+    """Which pieces of b share a sign with each piece of a, where both join to the same text: sign by sign."""
+    owner = lambda pieces: [k for k, piece in enumerate(pieces) for _ in "".join(piece.split())]
+    pairs = set(zip(owner(a), owner(b), strict=True))
+    return [sorted({y for x, y in pairs if x == k}) for k in range(len(a))]
 
 
-def test_insert_before():
-    assert align.kept(["a", "b"], ["a", "x", "b"]) == [1, 0]
-    assert align.kept(["a", "b"], ["a", "x", "b"], inserts=False) == [1, 1]
-    assert align.kept(["a", "b"], ["x", "a", "b"]) == [0, 1]
+def cut(rng, text):
+    at = sorted(rng.sample(range(1, len(text)), rng.randrange(1, min(9, len(text)))))
+    return [text[i:j] for i, j in zip([0, *at], [*at, len(text)], strict=True)]
 
 
-def test_line_edits():
-    edit = align.line_edit("a = 1\nb = 2\nc = 3", "a = 1\nb = 5\nx = 0\nc=3")
-    assert edit == {"rewrites": [0, 1, 0], "deletes": [0, 0, 0], "insert_before": [0, 0, 1, 0]}
-    assert not any(sum(map(list, align.line_edit("a\nb", "a\n# note\nb").values()), []))
-    assert not any(sum(map(list, align.line_edit("a\n# note\nb", "a\nb").values()), []))
-
+@pytest.mark.parametrize("seed", range(25))
+def test_chunk_map_of_equal_texts(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["ab", "c ", "éß", "鐵", "x\n", " ", "q"]) for _ in range(40)) + "z"
+    a, b = cut(rng, text), cut(rng, text)
+    assert align.chunk_map(a, b) == overlaps(a, b)
 
-def test_edit_size():
-    assert align.edit_size("abc", "abc") == 0
-    assert align.edit_size("abcd", "axxd") == 2
-    assert align.edit_size("", "abc") == 3
 
+def test_chunk_map_at_its_edges():
+    assert align.chunk_map([], ["river"]) == [] and align.chunk_map(["river"], []) == [[]]
+    assert align.chunk_map([" ", "lamp"], ["lamp"]) == [[], [0]]
+    assert align.chunk_map(["go", "go", "go"], ["gogo", "go"]) == [[0], [0], [1]]
+    assert align.chunk_map(["stone", "bridge"], ["qqq", "stone", "bridge"]) == [[1], [2]]  # only the common run counts
+    assert align.chunk_map(["abc"], ["xyz"]) == [[]]
 
-def test_longest_common():
-    assert align.longest_common("xabcy", "zabcw") == (1, 1, 3)
-    assert align.longest_common("a", "b") == (-1, -1, 0)
 
+def test_kept_marks_every_change():
+    base = "the green lamp stood by the window all winter".split()
+    for i in range(len(base)):
+        other = [*base[:i], "zebra", *base[i + 1 :]]
+        assert align.kept(base, other, inserts=False) == [int(k != i) for k in range(len(base))]
+        longer = [*base[:i], "zebra", *base[i:]]
+        assert align.kept(base, longer) == [int(k != i) for k in range(len(base))]
+        assert align.kept(base, longer, inserts=False) == [1] * len(base)
+    assert align.kept([], ["a"]) == [] and align.kept(["a"], []) == [0]
 
-def test_opcode_rows():
-    rows = align.opcode_rows(["a", "b"], ["a", "c", "d"])
-    assert [(r["token"], r["tag"], r["old_idx"], r["new_idx"]) for r in rows] == [("a", "equal", 0, 0), ("b", "replace", 1, None), ("c", "replace", None, 1), ("d", "replace", None, 2)]
 
-
-def test_difference_queries_read_whole_texts(spark, tmp_path):
-    from difflib import SequenceMatcher
-
-    from plumbline.plans import catalog
-
-    lines = [f"line {i} has the words a{i} b{i} c{i} d{i}" for i in range(9)]
-    other = [*lines[:8], "line 8 was changed and is longer now"]
-    a, b = "\n".join(lines), "\n".join(other)
-    spark.createDataFrame([(1, a, "s"), (2, b, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("df_token_keep", "df_opcode_rows", "df_line_edit", "df_char_distance")}
-    words = a.split(), b.split()
-    (keep,) = got["df_token_keep"]
-    assert (keep.n, keep.kept) == (len(words[0]), sum(align.kept(*words)))
-    rows = align.opcode_rows(*words)
-    assert {r.tag: r.n for r in got["df_opcode_rows"]} == {t: sum(r["tag"] == t for r in rows) for t in {r["tag"] for r in rows}}
-    assert got["df_line_edit"][0].rewrites == 1
-    x, y = " ".join(words[0]), " ".join(words[1])
-    (d,) = got["df_char_distance"]
-    assert d.ratio == round(SequenceMatcher(None, x, y).ratio(), 6) < 1 and d.distance == align.edit_size(x, y) and d.levenshtein > 0
+def test_line_edits():
+    lines = [f"step_{i} = {i}" for i in range(6)]
+    text = "\n".join
+    none = {"rewrites": [0.0] * 6, "deletes": [0.0] * 6, "insert_before": [0.0] * 7}
+    at = lambda name, *places: none | {name: [float(k in places) for k in range(len(none[name]))]}
+    assert align.line_edit(text(lines), text(line.replace(" ", "  ") for line in lines)) == none
+    assert align.line_edit(text(lines), text([*lines[:2], "other", *lines[3:]])) == at("rewrites", 2)
+    assert align.line_edit(text(lines), text([*lines[:4], lines[5]])) == at("deletes", 4)
+    assert align.line_edit(text(lines), text([*lines[:3], "new", "newer", *lines[3:]])) == at("insert_before", 3)
+    assert align.line_edit(text(lines), text([*lines[:3], "# said", "", *lines[3:]])) == at("insert_before", 3)
+    assert align.line_edit(text(lines), text([*lines[:3], "# said", *lines[3:]])) == none
+    assert align.line_edit("", "x")["insert_before"] == [1.0]
+
+
+def test_edit_size_counts_the_larger_side():
+    assert align.edit_size("", "") == 0 and align.edit_size("", "four") == 4 == align.edit_size("four", "")
+    assert align.edit_size("river", "riverbed") == 3
+    assert align.edit_size("tin can", "tin canoe") == 2
+
+
+def test_array_means_and_runs(spark):
+    df = spark.createDataFrame([("k", [1.0, 3.0], [2.0]), ("k", [3.0], [4.0]), ("m", [], None)], "k string, a array<double>, b array<double>")
+    got = {r.k: (r.a, r.b) for r in align.array_means(df, "k", ["a", "b"]).collect()}
+    assert got == {"k": ([2.0, 3.0], [3.0])}
+    rows = spark.createDataFrame([(["x", "a", "b", "a", "b"], ["a", "b"]), (["a"], ["a", "b"]), ([], [])], "t array<string>, r array<string>")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in rows.select(align.first_run(F.col("t"), F.col("r"))).collect()] == [1, None, 0]
+
+
+def test_containing_is_the_nested_loop(spark):
+    rng = random.Random(2)
+    words = "stone river lamp green paper north engine".split()
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(60)] + [(99, None)]
+    items = [(i, (lambda t: t[len(t) // 3 : 2 * len(t) // 3])(texts[rng.randrange(60)][1])) for i in range(25)] + [(50, "lamp"), (51, None), (52, "none of these words at all stand there")]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string")
+    got = {tuple(r) for r in align.containing(d, b, "doc_id", "text", "item_id", "item").collect()}
+    assert got == {(i, k) for i, t in texts for k, x in items if t is not None and x is not None and x in t}
+
+
+def test_diff_rows(spark):
+    df = spark.createDataFrame([(1, ["the", "red", "cat"], ["the", "big", "cat", "sat"], [-1.0, -2.0, None])], "id long, old array<string>, new array<string>, logprobs array<double>")
+    rows = [(r.token, r.equal, r.old_idx, r.new_idx, r.logprob, r.closed) for r in align.diff_rows(df, ["id"], closed=["the"]).collect()]
+    assert rows == [("the", True, 0, 0, -1.0, True), ("red", False, 1, None, -2.0, False), ("big", False, None, 1, None, False), ("cat", True, 2, 2, None, False), ("sat", False, None, 3, None, False)]
