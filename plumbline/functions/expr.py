@@ -80,7 +80,9 @@ def indent_of(line: Column) -> Column:
 
 def hash_fold(key: Column, k: int) -> Column:
     """The first eight bytes of SHA-256 of the key, big-endian, modulo k."""
-    return (F.conv(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(k)).cast("int")
+    digest = F.sha2(key.cast("string").cast("binary"), 256)
+    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % k
+    return ((half(1) * (2**32 % k) + half(9)) % k).cast("int")
 
 
 def truncated(text: Column, budget: int, mark: str = "\n...\n", head: float = 0.2) -> Column:

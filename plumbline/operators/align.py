@@ -236,7 +236,11 @@ def containing(texts: DataFrame, items: DataFrame, key: str, text: str, item_key
     inner = lambda w: F.slice(w, 2, F.size(w) - 2)
     long = items.where(F.size(words(F.col(item))) >= WORDS + 2)
     asked = long.select(item_key, item, F.xxhash64(F.slice(words(F.col(item)), 2, WORDS)).alias("_h"))
-    runs = texts.select(key, text, words(F.col(text)).alias("_w")).where(F.size("_w") >= WORDS + 2).select(key, F.explode(F.array_distinct(hashes(inner(F.col("_w"))))).alias("_h"))
+    none = F.array().cast("array<bigint>")
+    runs_of = lambda w: F.when(F.size(w) >= WORDS, F.array_distinct(hashes(w))).otherwise(none)
+    split_once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    inner_words = split_once(words(F.col(text)), lambda w: F.when(F.size(w) >= 2, inner(w)).otherwise(F.array().cast("array<string>")))
+    runs = texts.select(key, F.explode(split_once(inner_words, runs_of)).alias("_h"))
     pairs = runs.join(asked.select(item_key, "_h"), "_h").select(key, item_key).distinct()
     found = pairs.join(texts.select(key, text), key).join(long.select(item_key, item), item_key).where(F.contains(text, item)).select(key, item_key).distinct()
     short = items.where(F.size(words(F.col(item))) < WORDS + 2)

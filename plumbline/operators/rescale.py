@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.functions.expr import logit, sigmoid
 from plumbline.operators.calibration import bin_edges, equal_count_bins, scores
 
 #: Newton steps; from (1, 0) eight are enough for double precision on overlapping classes.
 STEPS = 8
-#: Groups whose parameters go through the driver.
-MOST_GROUPS = 10_000
+#: Sums by probability of a group that one task takes at once.
+MOST_SUMS = 100_000
 
 
 def platt(df: DataFrame, keys: list[str], intercept: bool = True, steps: int = STEPS, p: str = "p", y: str = "y") -> DataFrame:
@@ -50,28 +53,40 @@ def out_of_fold(df: DataFrame, keys: list[str], fold: str, k: int, intercept: bo
 def _newton(small: DataFrame, keys: list[str], intercept: bool, steps: int) -> DataFrame:
     """keys, a, b from sums by probability.
 
-    The sums are kept (a lost part is worked out again from its lineage). Up to
-    MOST_GROUPS groups the parameters go through the driver, so a step is one
-    aggregate over the kept sums with the parameters broadcast, and steps end
-    when nothing moves; more groups are joined step by step.
+    The sums are kept (a lost part is worked out again from its lineage). If no
+    group has more than MOST_SUMS of them, each is fitted where it lies; larger
+    groups take a join and an aggregate for each step.
     """
-    small = small.withColumn("x", logit(F.col("p"))).persist()
-    now = small.groupBy(*keys).agg(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    if len(found := now.limit(MOST_GROUPS + 1).collect()) > MOST_GROUPS:
+    small = small.withColumn("x", logit(F.col("p"))).select(*keys, "x", "n", "pos").persist()
+    largest = small.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest > MOST_SUMS:
+        now = small.groupBy(*keys).agg(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
         for _ in range(steps):
-            now = _step(small.join(now, keys), keys, intercept)
+            now = _step(small.join(now, keys) if keys else small.crossJoin(F.broadcast(now)), keys, intercept)
         return now
-    spark, schema = small.sparkSession, now.schema
+    fields = [f.name for f in small.schema if f.name in keys]
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = fitted(*(group[c].to_numpy(dtype=float) for c in ("x", "n", "pos")), intercept, steps)
+        return pd.DataFrame([[*group[fields].iloc[0], a, b]], columns=[*fields, "a", "b"])
+
+    schema = StructType([*(small.schema[k] for k in fields), StructField("a", DoubleType()), StructField("b", DoubleType())])
+    return small.groupBy(*keys).applyInPandas(fit, schema).select(*keys, "a", "b")
+
+
+def fitted(x: np.ndarray, n: np.ndarray, pos: np.ndarray, intercept: bool = True, steps: int = STEPS) -> tuple[float, float]:
+    """Slope and intercept after Newton's steps from (1, 0); a step with a singular Hessian isn't taken."""
+    a, b = 1.0, 0.0
     for _ in range(steps):
-        held = F.broadcast(spark.createDataFrame(found, schema))  # MOST_GROUPS rows at most
-        after = _step(small.join(held, keys) if keys else small.crossJoin(held), keys, intercept).collect()
-        old = {tuple(r[k] for k in keys): r for r in found}
-        moved = max((abs(r.a - old[tuple(r[k] for k in keys)].a) + abs(r.b - old[tuple(r[k] for k in keys)].b) for r in after), default=0.0)
-        found = after
-        if moved < 1e-12:
-            break
-    small.unpersist()
-    return spark.createDataFrame(found, schema)
+        q = 1 / (1 + np.exp(-(a * x + b)))
+        w, e = n * q * (1 - q), pos - n * q
+        ga, gb, haa, hab, hbb = (e * x).sum(), e.sum(), (w * x * x).sum(), (w * x).sum(), w.sum()
+        det = haa * hbb - hab * hab
+        if not intercept:
+            a += ga / haa if haa else 0.0
+        elif det:
+            a, b = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
+    return float(a), float(b)
 
 
 def _step(joined: DataFrame, keys: list[str], intercept: bool) -> DataFrame:

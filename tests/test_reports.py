@@ -105,3 +105,15 @@ def test_text(spark):
     df = spark.createDataFrame([("<a>\nx\n</a> <a>y</a>", "a"), ("<a>never ended", "a"), (None, "a")], "t string, g string")
     assert [r[0] for r in df.select(text.tagged(F.col("t"), F.col("g"))).collect()] == ["x", None, None]
     assert df.select(text.camel(F.lit("snake_case_name"))).first()[0] == "SnakeCaseName"
+
+
+def test_newton_by_groups_and_by_steps(spark, monkeypatch):
+    from plumbline.operators import rescale
+
+    df = spark.createDataFrame([(k, (i % 20 + 0.5) / 20, int(i * 7 % 20 < i % 20 + k)) for i in range(200) for k in range(2)], "k long, p double, y long")
+    for keys in (["k"], []):
+        at_once = {tuple(r[k] for k in keys): (r.a, r.b) for r in rescale.platt(df, keys).collect()}
+        monkeypatch.setattr(rescale, "MOST_SUMS", 3)
+        by_steps = {tuple(r[k] for k in keys): (r.a, r.b) for r in rescale.platt(df, keys).collect()}
+        monkeypatch.undo()
+        assert at_once.keys() == by_steps.keys() and all(at_once[k] == pytest.approx(by_steps[k], abs=1e-9) for k in at_once)
