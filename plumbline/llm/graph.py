@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.scratch import Scratch
 
 
+#: Parts that each node's neighbours are dealt to.
+SALTS = 8
+
+
 def find_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest node that each of the nodes 0..n-1 reaches over the edges (a, b)."""
     parent = list(range(n))
@@ -59,7 +63,10 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 50) -> Dat
         both = now.select("v", "u").union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         # every larger neighbour of a node goes to the smallest of its neighbourhood
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        # a hub's neighbours are spread over SALTS parts, each of which gets the hub's smallest neighbour
+        salted = both.where("u > v").withColumn("s", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        every = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = salted.join(every, ["v", "s"]).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         # every node goes with its smaller neighbours to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (

@@ -2,22 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (local tests), a temporary folder that it is then set to."""
-    at = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
-        spark.conf.set(KEY, at)
-    return at.rstrip("/")
-
+from plumbline.session import shared_folder
 
 class Scratch:
     """A folder of its own for the intermediate tables of one call.
@@ -27,7 +14,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.at = spark, shared_folder(spark, name)
         self.count = 0
 
     def keep(self, df: DataFrame, name: str = "table") -> DataFrame:

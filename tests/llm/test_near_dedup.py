@@ -89,3 +89,24 @@ def test_linked():
     s = lambda *x: np.array(sorted(x), dtype=np.uint64)
     assert linked([s(1, 2, 3, 4), s(1, 2, 3, 4, 5), s(9), s(2, 3, 4, 5)], 80) == [0, 0, 2, 0]
     assert least_depth(0.85) == 6
+
+
+def test_chained_templates_fall_apart_in_crowded_regions(spark, make_docs):
+    """Texts that each share half of their words with the next chain into one region; only the close pairs among them are linked."""
+    rng = random.Random(11)
+    texts, words = [], [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    for k in range(240):
+        words = words[6:] + [f"w{rng.randrange(10**6)}" for _ in range(6)]
+        texts.append(" ".join(words))
+        if k % 3 == 0:
+            texts.append(" ".join(words[:-1] + ["changed"]))
+    docs = make_docs(texts)
+    want = {r.doc_id: r.component_id for r in near_duplicates(docs, 85, crowd=10**9).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 85, crowd=20, block=16).collect()}
+    assert got == want and len(set(want.values())) == 240
+
+
+def test_keep_one_with_clashing_columns(spark):
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, text, 1, 2), (2, text, 3, 4), (3, None, 5, 6)], "doc_id long, text string, gone int, `_gone` int")
+    assert sorted(tuple(r) for r in keep_one(df).collect()) == [(1, text, 1, 2), (3, None, 5, 6)]
