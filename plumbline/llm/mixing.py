@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.llm.columns import set_aside
 from plumbline.llm.scratch import Scratch
 
 #: Exponents that one pass over the sources tries, and passes: the exponent is found to (SECTIONS - 1) ** -PASSES.
@@ -96,9 +97,11 @@ def mix(
     A null source is a source of its own. Null and empty texts count one token
     (their end). Repeated rows count each; of rows alike in all of id, source
     and text, which comes first in a cut block is all the same. An empty table
-    gives no rows. Other columns pass through; docs must not have columns named
-    like the added ones or _source, _take, _epochs, _span, _blocks, _rank, _rest.
+    gives no rows. Other columns pass through, whatever their names; one named
+    like an added column comes back with _in behind its name.
     """
+    docs, names, back = set_aside(docs)
+    source_col, id_col, text_col = names[source_col], names[id_col], names[text_col]
     rows = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL))).withColumn("_tokens", token_count(F.col(text_col)))
     scratch = Scratch(docs.sparkSession, "mixing")
     totals = scratch.keep(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens")), "sources")
@@ -144,4 +147,4 @@ def mix(
     # blocks of an epoch in the order of their hash, documents of a block by theirs, on a scale of the source's share of the budget
     inside_epoch = (turn("_epoch") + F.pmod(key, F.lit(1 << 30)) / float(1 << 30)) / float(1 << 30)
     place = (F.col("_epoch") + inside_epoch) * F.col("_span") / F.col("_take")
-    return out.select(*docs.columns, "_tokens", "_weight", "_epoch", "_block", place.alias("_order"))
+    return back(out.withColumn("_order", place), ["_tokens", "_weight", "_epoch", "_block", "_order"])

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.columns import set_aside
 from plumbline.llm.scratch import Scratch
 from plumbline.llm.words import hashes_of_spans, mix, slices, text_bytes, word_spans, _powers
 
@@ -248,9 +249,11 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, least_words: int = 12,
     with nothing but themselves. Rows that share an id count as one occurrence
     (each is shortened alike). Texts of fewer than `span` sentences and
     `run_words` words stay as they are. An empty table gives no rows. Other
-    columns pass through unchanged; docs must not have columns named _id,
-    _spans, _anchors, _runs, _sentences or _removed.
+    columns pass through unchanged, whatever their names; one named _sentences
+    or _removed comes back as _sentences_in or _removed_in.
     """
+    docs, names, back = set_aside(docs)
+    id_col, text_col = names[id_col], names[text_col]
     scratch = Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     spans = rows.mapInArrow(_list_spans(span, least_words, most_words, run_words), "span long, id long")
@@ -269,4 +272,5 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, least_words: int = 12,
     runs = repeats(runs).where("id > first").groupBy(F.col("id").alias("_id")).agg(F.collect_set("span").alias("_runs"))
     both = hits.select("_id", "_spans").join(runs.hint("merge"), "_id", "left")  # what has runs has anchors
     joined = docs.join(both.hint("merge"), key, "left").drop("_id")
-    return joined.mapInArrow(_remove(span, least_words, most_words, run_words, columns, text_col), f"{schema}, _sentences long, _removed long")
+    clean = joined.mapInArrow(_remove(span, least_words, most_words, run_words, columns, text_col), f"{schema}, _sentences long, _removed long")
+    return back(clean, ["_sentences", "_removed"])

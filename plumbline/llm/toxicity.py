@@ -26,6 +26,8 @@ LEAST_DOCUMENTS, LEAST_RATIO = 3, 20.0
 ROUNDS = 4
 #: Bytes by which the toxic dictionary must shorten a window further for it to count.
 THRESHOLDS = (4, 5, 7)
+#: One of so many labelled documents of either kind calibrates the thresholds and teaches the dictionaries nothing.
+HELD_BACK = 4
 #: Words that a worker remembers the gains of.
 REMEMBERED = 200_000
 
@@ -134,8 +136,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     return w
 
 
-def train(texts: pa.Array, toxic: np.ndarray, whole_share: float | None = None) -> Toxicity:
-    """Dictionaries and calibration from whole labelled texts.
+def train(texts: pa.Array, toxic: np.ndarray, whole_share: float | None = None, held_back: int = HELD_BACK) -> Toxicity:
+    """Dictionaries from whole labelled texts, and their calibration on the texts that are held back for it: one of each `held_back` of either kind.
+
+    With too few texts for that (less than 20 toxic ones), all serve for both.
+    """
+    rank = np.where(toxic == 1, np.cumsum(toxic == 1), np.cumsum(toxic != 1))
+    aside = rank % held_back == 0
+    if (toxic == 1).sum() < 20:
+        return _train(texts, toxic, whole_share)
+    share = float((toxic == 1).mean()) if whole_share is None else whole_share
+    return _train(texts.filter(pa.array(~aside)), toxic[~aside], share, (texts.filter(pa.array(aside)), toxic[aside]))
+
+
+def _train(texts: pa.Array, toxic: np.ndarray, whole_share: float | None = None, back: tuple[pa.Array, np.ndarray] | None = None) -> Toxicity:
+    """Dictionaries from the texts, and calibration on `back` (the texts themselves, if not given).
 
     Toxic text is every word that toxic documents have far more often than
     ordinary ones, the most telling last, where matches are cheapest; ordinary
@@ -171,10 +186,11 @@ def train(texts: pa.Array, toxic: np.ndarray, whole_share: float | None = None)
         mistaken.update({i: int(good[i]) for i in np.flatnonzero((gains >= 3) & (good > 0) & (bad <= expected * 3)).tolist()})
         hard = [i for i, _ in mistaken.most_common(4000)][::-1]
         model = Toxicity(toxic=model.toxic, ordinary=dictionary(common[::-1] + hard))
-    x = model.features(texts)
+    held, y = (texts, toxic) if back is None else back
+    x = model.features(held)
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    w = _logistic((x - centre) / scale, toxic.astype(float))
-    sample = n_bad / len(toxic)
+    w = _logistic((x - centre) / scale, y.astype(float))
+    sample = float(y.mean())
     if 0 < prior < 1:  # from the sample's share to that of all rows
         w[0] += np.log(prior / (1 - prior)) - np.log(sample / (1 - sample))
     return Toxicity(model.toxic, model.ordinary, float(prior), centre, scale, w)

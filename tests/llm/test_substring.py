@@ -92,3 +92,10 @@ def test_passages_inside_sentences_go_whole(spark, make_docs):
     assert got[302] == ["la"] * 50 and {r.doc_id: r._removed > 0 for r in rows} == {i: got[i] != t.split() for i, t in texts.items()}
     default = {r.doc_id: set(r.text.split()) for r in remove_repeated_spans(make_docs(texts)).collect()}
     assert not any(set(p) & default[i + 1] for i, p in passages.items())
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "One two three. Four five six. Seven eight nine.", 4, "r")], "doc_id long, text string, _removed int, _runs string")
+    out = remove_repeated_spans(df)
+    assert out.columns == ["doc_id", "text", "_removed_in", "_runs", "_sentences", "_removed"]
+    assert tuple(out.first()) == (1, "One two three. Four five six. Seven eight nine.", 4, "r", 3, 0)
