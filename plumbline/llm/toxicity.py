@@ -16,14 +16,14 @@ from plumbline.llm.words import slices, text_bytes
 
 #: Labelled documents that a fit reads at most, of either kind (those with the smallest hashes of their ids).
 MOST_TOXIC, MOST_ORDINARY = 2000, 4000
-#: Bytes of a dictionary at most, and zstandard's level.
-DICTIONARY_BYTES, LEVEL = 65_536, 16
+#: Bytes of the toxic and of the ordinary dictionary that zstandard trains, and its level. Up to HARD_WORDS words, the most frequent of those that the ordinary documents have and the trained dictionaries take for toxic, follow the ordinary one.
+TOXIC_BYTES, ORDINARY_BYTES, LEVEL, HARD_WORDS = 8192, 32_768, 16, 4000
+#: Segment and substring length of the dictionary trainer.
+SEGMENT, SUBSTRING = 64, 8
 #: A window is a word in this frame; both dictionaries know the frame, so the cost of a first match is paid on both sides.
 FRAME = b"\n\n\n\n"
 #: A word is toxic text if so many toxic training documents have it, so many times as often as ordinary ones.
 LEAST_DOCUMENTS, LEAST_RATIO = 3, 20.0
-#: Times that ordinary words which look toxic are added to the ordinary dictionary.
-ROUNDS = 4
 #: Bytes by which the toxic dictionary must shorten a window further for it to count.
 THRESHOLDS = (4, 5, 7)
 #: One of so many labelled documents of either kind calibrates the thresholds and teaches the dictionaries nothing.
@@ -136,14 +136,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
     return w
 
 
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trains on the samples; too few samples for its trainer are the dictionary themselves."""
+    import zstandard as z
+
+    samples = [x for x in samples if len(x) > 2 * len(FRAME)]
+    try:
+        return z.train_dictionary(size, samples, k=SEGMENT, d=SUBSTRING).as_bytes()
+    except z.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 def train(texts: pa.Array, toxic: np.ndarray, whole_share: float | None = None, held_back: int = HELD_BACK) -> Toxicity:
     """Dictionaries from whole labelled texts, and their calibration on the texts that are held back for it: one of each `held_back` of either kind.
 
-    With too few texts for that (less than 20 toxic ones), all serve for both.
+    With too few texts for that (less than 20 of a kind), all serve for both.
     """
     rank = np.where(toxic == 1, np.cumsum(toxic == 1), np.cumsum(toxic != 1))
     aside = rank % held_back == 0
-    if (toxic == 1).sum() < 20:
+    if min((toxic == 1).sum(), (toxic != 1).sum()) < 20:
         return _train(texts, toxic, whole_share)
     share = float((toxic == 1).mean()) if whole_share is None else whole_share
     return _train(texts.filter(pa.array(~aside)), toxic[~aside], share, (texts.filter(pa.array(aside)), toxic[aside]))
@@ -152,10 +163,11 @@ def train(texts: pa.Array, toxic: np.ndarray, whole_share: float | None = None,
 def _train(texts: pa.Array, toxic: np.ndarray, whole_share: float | None = None, back: tuple[pa.Array, np.ndarray] | None = None) -> Toxicity:
     """Dictionaries from the texts, and calibration on `back` (the texts themselves, if not given).
 
-    Toxic text is every word that toxic documents have far more often than
-    ordinary ones, the most telling last, where matches are cheapest; ordinary
-    text is the commonest words of ordinary documents, and after them those of
-    its words that the dictionaries at first took for toxic. The calibration is
+    Windows are words in a frame. Toxic text are the windows of toxic documents
+    whose word these have far more often than ordinary ones, ordinary text all
+    windows of ordinary documents; zstandard trains a dictionary on either. The
+    ordinary words that these at first take for toxic follow the ordinary one.
+    The calibration is
     a logistic regression on the documents' features, in which documents count
     so that toxic ones have the share `whole_share` (that of the sample, if not
     given).
@@ -173,19 +185,17 @@ def _train(texts: pa.Array, toxic: np.ndarray, whole_share: float | None = None,
     expected = n_bad * (good + 0.5) / (n_good + 1)
     picked = np.flatnonzero((bad >= LEAST_DOCUMENTS) & (bad > LEAST_RATIO * expected))
     picked = picked[np.argsort((bad - expected)[picked] / np.sqrt(expected[picked]), kind="stable")]
-    taken = set(picked.tolist())
-    common = [i for i in np.argsort(-good, kind="stable")[:20_000].tolist() if good[i] and i not in taken]
-
-    def dictionary(numbers: list[int]) -> bytes:
-        return (FRAME + FRAME.join(names[i] for i in numbers) + FRAME)[-DICTIONARY_BYTES:]
-
-    model = Toxicity(toxic=dictionary(picked.tolist()), ordinary=dictionary(common[::-1]))
-    mistaken: Counter = Counter()
-    for _ in range(ROUNDS):
-        gains = model.gains(names)
-        mistaken.update({i: int(good[i]) for i in np.flatnonzero((gains >= 3) & (good > 0) & (bad <= expected * 3)).tolist()})
-        hard = [i for i, _ in mistaken.most_common(4000)][::-1]
-        model = Toxicity(toxic=model.toxic, ordinary=dictionary(common[::-1] + hard))
+    telling = np.zeros(len(names), dtype=bool)
+    telling[picked] = True
+    samples: dict[int, list[bytes]] = {0: [], 1: []}
+    for i in range(len(texts)):
+        run = codes[offsets[i] : offsets[i + 1]]
+        samples[int(toxic[i] == 1)].append(b"".join(FRAME + names[c] for c in (run[telling[run]] if toxic[i] == 1 else run)) + FRAME)
+    bad_text, good_text = _dictionary(samples[1], TOXIC_BYTES), _dictionary(samples[0], ORDINARY_BYTES)
+    gains = Toxicity(toxic=bad_text, ordinary=good_text).gains(names)
+    hard = np.flatnonzero((gains >= 3) & (good > 0) & (bad <= expected * 3))
+    hard = hard[np.argsort(good[hard], kind="stable")][-HARD_WORDS:]
+    model = Toxicity(toxic=bad_text, ordinary=good_text + FRAME + b"".join(names[i] + FRAME for i in hard.tolist()))
     held, y = (texts, toxic) if back is None else back
     x = model.features(held)
     centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)

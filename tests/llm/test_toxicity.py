@@ -58,3 +58,26 @@ def test_tables(spark, make_docs, odd_docs):
     assert kept.columns == odd_docs.columns and kept.count() <= 10
     assert score(odd_docs.limit(0), model).count() == 0
     assert fit(docs, marks.limit(0)).prior == 0
+
+
+def test_gains_are_differences_of_compressed_lengths():
+    """Each window compressed alone, by the plain interface, with each of the two dictionaries."""
+    import zstandard as z
+
+    from plumbline.llm.toxicity import FRAME, LEVEL
+
+    texts, labels = sample(random.Random(3), 120)
+    model = train(pa.array(texts), labels)
+    assert model.toxic != model.ordinary and all(w.encode() in model.toxic for w in BAD)
+    names = sorted({w for t in texts[:20] for w in t.lower().split()} | set(BAD))
+    options = z.ZstdCompressionParameters.from_level(LEVEL, write_checksum=0, write_content_size=0, write_dict_id=0, format=z.FORMAT_ZSTD1_MAGICLESS)
+    size = lambda d, w: len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=options).compress(FRAME + w.encode() + FRAME))
+    want = [size(model.ordinary, w) - size(model.toxic, w) for w in names]
+    assert model.gains([w.encode() for w in names]).tolist() == want
+    assert min(g for w, g in zip(names, want) if w in BAD) > max(g for w, g in zip(names, want) if w not in BAD) - 3
+
+
+def test_few_texts_serve_for_both():
+    model = train(pa.array(["a bad text", "a good one", "fine"]), np.array([1, 0, 0]))
+    assert 0 < model.scores(pa.array(["a bad text"]))[0] < 1
+    assert train(pa.array(["x"]), np.array([1]), 0.4).scores(pa.array(["x", None])).tolist() == [0.4, 0.4]
