@@ -135,13 +135,13 @@ def _candidate_groups(edges: DataFrame, scratch: Scratch, least: int, depth: int
 
     First all links count, whose common prefix is `least` or more. A group of
     more than `crowd` documents is a crowded region: there links count only from
-    a prefix longer by one, and so on down to the whole key, so chains of unlike
+    a prefix half way down, and then from the whole key, so chains of unlike
     documents fall apart, while near-duplicates hold together by some order. A
     document that has no link left leaves its group.
     """
     groups = scratch.keep(components(edges.select("a", "b"), scratch).select(F.col("node").alias("id"), F.col("root").alias("c")), "groups")
     done: list[DataFrame] = []
-    for at in range(least + 1, depth + 1):
+    for at in sorted({(least + depth + 1) // 2, depth} - {least}):
         crowded = groups.groupBy("c").count().where(F.col("count") > crowd).select("c")
         if not crowded.take(1):
             break

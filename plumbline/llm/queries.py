@@ -81,4 +81,16 @@ QUERIES = {
     "op10_order_preserving_packing": op10_order_preserving_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Sets of shingles as text, links by their common shingles, and components by recursion.
+_NEAR_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, UNNEST(range(1, GREATEST(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM i),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+m AS (SELECT x, MIN(y) AS y FROM r GROUP BY 1)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.y AS component_id, COALESCE(d.doc_id = m.y, FALSE) AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": _NEAR_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -222,8 +222,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, most_tox
     order = [F.xxhash64("id"), F.col("id")]
     sample = known.where("y = 1").orderBy(*order).limit(most_toxic).union(known.where("y = 0").orderBy(*order).limit(most_ordinary))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(sample), "id").orderBy(*order, "text").select("y", "text").toArrow()  # most_toxic + most_ordinary ids
-    return train(found.column("text").combine_chunks(), found.column("y").to_numpy(), float(share))
+    found = texts.join(F.broadcast(sample), "id").repartition(1).sortWithinPartitions(*order, "text")  # most_toxic + most_ordinary ids
+    made = found.select("y", "text").mapInArrow(_train_task(float(share)), "model binary").first()
+    return pickle.loads(made.model) if made else Toxicity(prior=float(share))
+
+
+def _train_task(share: float) -> Callable:
+    """The bounded sample's rows -> one row with the model; it is trained in a task, so the driver only gets the result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            table = pa.Table.from_batches(rows)
+            model = train(table.column("text").combine_chunks(), table.column("y").to_numpy(), share)
+            del rows, table
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
 
 
 def _score(model: Toxicity) -> Callable:
