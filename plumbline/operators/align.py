@@ -1,152 +1,97 @@
-"""Sequence differences of token lists, lines and texts.
+"""Alignment of two tokenisations of a text, and what sequences share.
 
-What a row needs stays in the row: arrays in, arrays out, in Arrow batches.
-Matching blocks are those of difflib with its default treatment of very common
-elements, which has no counterpart among column functions.
+Tokens are rows. Python runs only where the longest common run of two
+sequences is asked for, in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INTS, DOUBLES = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
-LINE_EDIT = T.StructType([T.StructField(n, DOUBLES) for n in ("rewrites", "deletes", "insert_before")])
-OPCODE = T.StructType(
-    [T.StructField("token", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("equal", T.BooleanType()), T.StructField("old_idx", T.IntegerType()), T.StructField("new_idx", T.IntegerType())]
-)
+from plumbline.operators import asof
 
+RUN = T.StructType([T.StructField(c, T.IntegerType()) for c in "ijn"])
 
-def kept(base: Sequence[str], other: Sequence[str], inserts: bool = True) -> list[int]:
-    """1 for each element of base that stays in other; with inserts, 0 where something new stands right before it."""
-    blocks = SequenceMatcher(None, base, other).get_matching_blocks()
-    out = [0] * len(base)
-    end_a = end_b = 0
-    for a, b, size in blocks:
-        out[a : a + size] = [1] * size
-        if inserts and size and a == end_a and b > end_b:
-            out[a] = 0
-        end_a, end_b = a + size, b + size
-    return out
 
+def longest_common(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest common run of two arrays of integers, of several the first in a, then in b; (-1, -1, 0) if there is none.
 
-@F.pandas_udf(INTS)
-def keeps(base: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else kept(list(a), list(b), False) for a, b in zip(base, other, strict=True)])
+    Runs of 1, 2, 4 ... elements are numbered until no number stands on both
+    sides; the length between the last two is found by halving, as a run of any
+    length is told by its first and its last half. No hashes, so no collisions.
+    """
+    values = np.concatenate([a, b])
+    cut, most = len(a), min(len(a), len(b))
 
+    def codes(names: np.ndarray, half: int, n: int) -> np.ndarray:
+        first, last = names[: len(values) - n + 1], names[n - half : n - half + len(values) - n + 1]
+        return first * np.int64(len(values) + 1) + last
 
-@F.pandas_udf(INTS)
-def keeps_or_insert_before(base: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else kept(list(a), list(b)) for a, b in zip(base, other, strict=True)])
+    def shared(code: np.ndarray, n: int) -> np.ndarray:
+        return np.intersect1d(code[: cut - n + 1], code[cut:])
 
+    if not most:
+        return -1, -1, 0
+    names, half = np.unique(values, return_inverse=True)[1].astype(np.int64), 1
+    if not len(shared(names, 1)):
+        return -1, -1, 0
+    while 2 * half <= most and len(shared(code := codes(names, half, 2 * half), 2 * half)):
+        names, half = np.unique(code, return_inverse=True)[1].astype(np.int64), 2 * half
+    low, high = half, min(2 * half - 1, most)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if len(shared(codes(names, half, middle), middle)) else (low, middle - 1)
+    code = codes(names, half, low)
+    found = shared(code, low)
+    i = int(np.isin(code[: cut - low + 1], found).argmax())
+    return i, int((code[cut:] == code[i]).argmax()), low
 
-def line_edit(base: str, other: str, squeeze: bool = True) -> dict[str, list[float]]:
-    """Which lines of base are rewritten or deleted, and before which gap lines are inserted, on the way to other.
 
-    Lines are compared without blanks at their ends and without spaces, if
-    squeeze is set. Deleting or inserting only comment lines, and inserting only
-    blank ones, counts for nothing.
-    """
-    a, b = base.lstrip("\n").splitlines(), other.lstrip("\n").splitlines()
-    if squeeze:
-        a, b = ([line.strip().replace(" ", "") for line in lines] for lines in (a, b))
-    comment = lambda lines: all(line.strip().startswith("#") for line in lines)
-    out = {"rewrites": [0.0] * len(a), "deletes": [0.0] * len(a), "insert_before": [0.0] * (len(a) + 1)}
-    at_a = at_b = 0
-    for i, j, size in SequenceMatcher(None, a, b).get_matching_blocks():
-        gone, new = a[at_a:i], b[at_b:j]
-        if gone and new:
-            both = min(len(gone), len(new))
-            out["rewrites"][at_a : at_a + both] = [1.0] * both
-            out["deletes"][at_a + both : i] = [1.0] * (len(gone) - both)
-            if len(new) > len(gone):
-                out["insert_before"][i] = 1.0
-        elif gone and not comment(gone):
-            out["deletes"][at_a:i] = [1.0] * len(gone)
-        elif new and not comment(new) and any(line.strip() for line in new):
-            out["insert_before"][i] = 1.0
-        at_a, at_b = i + size, j + size
-    return out
-
-
-@F.pandas_udf(LINE_EDIT)
-def line_edits(base: pd.Series, other: pd.Series) -> pd.DataFrame:
-    rows = [line_edit(a or "", b or "") for a, b in zip(base, other, strict=True)]
-    return pd.DataFrame(rows, columns=["rewrites", "deletes", "insert_before"])
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched signs over all signs of both texts; 1 for two empty ones."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def edit_size(a: str, b: str) -> float:
-    """Signs deleted or inserted; where some are replaced by others, the larger number."""
-    total = at_a = at_b = 0
-    for i, j, size in SequenceMatcher(None, a, b).get_matching_blocks():
-        total += max(i - at_a, j - at_b)
-        at_a, at_b = i + size, j + size
-    return float(total)
-
-
-@F.pandas_udf(T.DoubleType())
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_size(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def opcode_rows(base: Sequence[str], other: Sequence[str]) -> list[dict]:
-    """A row for each token of either side: token, tag, equal, old_idx (null for new tokens), new_idx (null for removed ones)."""
-    out = []
-    for tag, i, m, j, n in SequenceMatcher(None, base, other).get_opcodes():
-        if tag == "equal":
-            out += [{"token": base[i + k], "tag": tag, "equal": True, "old_idx": i + k, "new_idx": j + k} for k in range(m - i)]
-        else:
-            out += [{"token": base[k], "tag": tag, "equal": False, "old_idx": k, "new_idx": None} for k in range(i, m)]
-            out += [{"token": other[k], "tag": tag, "equal": False, "old_idx": None, "new_idx": k} for k in range(j, n)]
-    return out
-
-
-@F.pandas_udf(T.ArrayType(OPCODE))
-def opcodes(base: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([opcode_rows(list(a), list(b)) if a is not None and b is not None else None for a, b in zip(base, other, strict=True)])
-
-
-def longest_common(a: Sequence, b: Sequence) -> tuple[int, int, int]:
-    """(start in a, start in b, length) of the longest common run, the first of several; (-1, -1, 0) if there is none."""
-    at = SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b))
-    return (at.a, at.b, at.size) if at.size else (-1, -1, 0)
-
-
-def chunk_map(a: Sequence[str], b: Sequence[str]) -> list[list[int]]:
-    """For each piece of a the pieces of b that overlap it; pieces are compared without white space.
-
-    If the joined texts differ, only their longest common run counts; a piece
-    outside it has none.
+def _signs(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
+@F.pandas_udf(RUN)
+def longest_common_text(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The longest common run of signs of two texts."""
+    return pd.DataFrame([longest_common(_signs(x), _signs(y)) for x, y in zip(a, b, strict=True)], columns=["i", "j", "n"])
+
+
+@F.pandas_udf(RUN)
+def longest_common_run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The longest common run of two arrays of longs (hashes of elements)."""
+    return pd.DataFrame([longest_common(np.asarray(x, dtype=np.int64), np.asarray(y, dtype=np.int64)) for x, y in zip(a, b, strict=True)], columns=["i", "j", "n"])
+
+
+def aligned_tokens(a: DataFrame, b: DataFrame, key: str, pos: str = "pos", token: str = "token", width: int = 256) -> DataFrame:
+    """For each token row of a (key, pos) the places of the tokens of b that share a sign with it, as an ascending array.
+
+    Tokens are compared without white space. Where the joined texts of a key
+    differ, only their longest common run of signs counts, and a token outside
+    it has none; only such texts go to Python. Intervals meet in buckets of
+    `width` signs, so that a long text is split over tasks.
     """
-    a, b = ["".join(x.split()) for x in a], ["".join(x.split()) for x in b]
-    left, right = "".join(a), "".join(b)
-    at_a, at_b, size = (0, 0, len(left)) if left == right else longest_common(left, right)
-    spans, place = [], -at_b
-    for piece in b:
-        spans.append((max(place, 0), min(place + len(piece), size)))
-        place += len(piece)
-    out, place = [], -at_a
-    for piece in a:
-        low, high = max(place, 0), min(place + len(piece), size)
-        out.append([k for k, (s, e) in enumerate(spans) if max(low, s) < min(high, e)])
-        place += len(piece)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(INTS))
-def chunk_maps(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([chunk_map(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+    blank = lambda df: df.select(key, pos, F.regexp_replace(token, r"\s+", "").alias("_t"))
+    joined = lambda df, name: df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_t"))), lambda x: x["_t"]), "").alias(name))
+    a, b = blank(a), blank(b)
+    texts = joined(a, "_left").join(joined(b, "_right"), key)
+    same = F.col("_left") == F.col("_right")
+    whole = texts.where(same).select(key, F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.length("_left").alias("n")).alias("_at"))
+    part = texts.where(~same).select(key, longest_common_text("_left", "_right").alias("_at"))
+    region = whole.union(part).select(key, "_at.*")
+
+    def within(df: DataFrame, offset: str) -> DataFrame:
+        placed = spans(df, key, pos, "_t").join(region, key)
+        start, end = F.col("start") - F.col(offset), F.col("end") - F.col(offset)
+        return placed.select(key, pos, F.greatest(start, F.lit(0)).alias("start"), F.least(end, F.col("n")).alias("end"))
+
+    pairs = asof.overlaps(within(a, "i"), within(b, "j"), key, width)
+    found = pairs.groupBy(key, pos).agg(F.array_sort(F.collect_list(f"b_{pos}")).alias("matches"))
+    return a.select(key, pos).join(found, [key, pos], "left").withColumn("matches", F.coalesce("matches", F.array().cast(found.schema["matches"].dataType)))
 
 
 def spans(df: DataFrame, key: str, pos: str, token: str) -> DataFrame:
@@ -156,12 +101,6 @@ def spans(df: DataFrame, key: str, pos: str, token: str) -> DataFrame:
     return df.withColumn("end", end.cast("long")).withColumn("start", (F.col("end") - F.length(token)).cast("long"))
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Rows of a and b of the same key whose [start, end) overlap; b's columns come as b_start, b_end, b_*."""
-    b = b.select(key, *[F.col(c).alias(f"b_{c}") for c in b.columns if c != key])
-    return a.join(b, key).where((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")))
-
-
 def aligned_prob(pairs: DataFrame, tokens: DataFrame, key: str, pos: str, prob: str) -> DataFrame:
     """Each token's probability from the overlapping scored ones: the least of several, the mean over the key's scored tokens if none."""
     least = pairs.groupBy(key, pos).agg(F.min(f"b_{prob}").alias("_p"))
@@ -169,11 +108,6 @@ def aligned_prob(pairs: DataFrame, tokens: DataFrame, key: str, pos: str, prob:
     return tokens.join(least, [key, pos], "left").join(mean, key, "left").withColumn("aligned", F.coalesce("_p", "_mean")).drop("_p", "_mean")
 
 
-def token_at(df: DataFrame, offset: Column) -> Column:
-    """Whether the row's [start, end) holds the offset."""
-    return (df["start"] <= offset) & (offset < df["end"])
-
-
 def closer(a: DataFrame, b: DataFrame, key: str, equal: str = "equal") -> DataFrame:
     """key, n, changed_*, share_* (equal ones by all) of the same tokens compared with two references, and which of them is closer.
 
@@ -210,13 +144,6 @@ def first_run(tokens: Column, run: Column) -> Column:
     return F.when(F.size(tokens) >= F.size(run), F.get(F.filter(places, lambda i: F.slice(tokens, i + 1, F.size(run)) == run), F.lit(0)))
 
 
-def diff_rows(df: DataFrame, keys: list[str], old: str = "old", new: str = "new", logprobs: str = "logprobs", closed: list[str] | None = None) -> DataFrame:
-    """keys and the rows of `opcodes`, with the old token's logprob and prob (null for new tokens) and whether the token is in the closed vocabulary."""
-    rows = df.select(*keys, logprobs, F.explode(opcodes(F.col(old), F.col(new))).alias("_r")).select(*keys, logprobs, "_r.*")
-    logprob = F.get(logprobs, F.col("old_idx"))
-    return rows.select(*keys, "token", "tag", "equal", "old_idx", "new_idx", logprob.alias("logprob"), F.exp(logprob).alias("prob"), F.col("token").isin(closed or []).alias("closed"))
-
-
 #: Words by which texts and items find each other.
 WORDS = 5
 

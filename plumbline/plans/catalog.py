@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import code, expr
 from plumbline.functions.expr import rounded
-from plumbline.operators import align, calibration, candidates, factors, folds, ledger, probe, rescale, rollup, tokens
+from plumbline.operators import align, asof, calibration, candidates, diff, factors, folds, ledger, probe, rescale, rollup, tokens
 from plumbline.plans import views
 from plumbline.plans.views import CAND, EVENTS, TOK, WORDS
 from plumbline.session import table
@@ -239,7 +239,7 @@ def _two_spans(spark, sf):
 
 @query(f"WITH {TOK}, {_SPANS} SELECT a.problem_id, a.pos, b.pos AS b_pos FROM a JOIN b ON a.problem_id = b.problem_id AND a.e - a.w < b.e AND b.e - b.w < a.e")
 def jn_overlap_range(spark, sf):
-    return align.overlapping(*_two_spans(spark, sf), "problem_id").select("problem_id", "pos", "b_pos")
+    return asof.overlaps(*_two_spans(spark, sf), "problem_id", 256).select("problem_id", "pos", "b_pos")
 
 
 @query(f"""WITH {TOK}, {_SPANS}, m AS (SELECT a.problem_id, a.pos, MIN(b.p) AS q FROM a JOIN b ON a.problem_id = b.problem_id AND a.e - a.w < b.e AND b.e - b.w < a.e GROUP BY 1, 2),
@@ -247,7 +247,7 @@ u AS (SELECT problem_id, AVG(p) AS mean FROM (SELECT DISTINCT a.problem_id, b.po
 SELECT a.problem_id, a.pos, ROUND(COALESCE(m.q, u.mean), 6) AS aligned FROM a LEFT JOIN m ON a.problem_id = m.problem_id AND a.pos = m.pos LEFT JOIN u ON a.problem_id = u.problem_id""")
 def df_align_probs(spark, sf):
     a, b = _two_spans(spark, sf)
-    return align.aligned_prob(align.overlapping(a, b, "problem_id"), a.select("problem_id", "pos"), "problem_id", "pos", "p").select("problem_id", "pos", "aligned")
+    return align.aligned_prob(asof.overlaps(a, b, "problem_id", 256), a.select("problem_id", "pos"), "problem_id", "pos", "p").select("problem_id", "pos", "aligned")
 
 
 @query(f"WITH {TOK}, {_SPANS} SELECT a.problem_id, x AS at, a.pos FROM a, (SELECT UNNEST([0, 10, 40, 100, 333]) AS x) q WHERE a.e - a.w <= x AND x < a.e")
@@ -257,6 +257,24 @@ def jn_bisect_asof(spark, sf):
     return asked.where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end"))).select("problem_id", F.col("at").cast("int").alias("at"), "pos")
 
 
+@query("""SELECT e.event_id, r.event_id AS error_id, ROUND(r.value, 6) AS error_value FROM events e ASOF LEFT JOIN (SELECT user_id, ts, MAX(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'error' GROUP BY 1, 2) r ON e.user_id = r.user_id AND e.ts >= r.ts""")
+def jn_asof_events(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    errors = e.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("error_id"), F.col("value").alias("error_value"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return asof.asof(e, errors, ["user_id"], "ts", ["error_id", "error_value"], 86_400e6, ["error_id"], micros).select("event_id", "error_id", "error_value")
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT problem_id, pos, CAST(SUM(LENGTH(token)) OVER (PARTITION BY problem_id ORDER BY pos) - LENGTH(token) AS BIGINT) AS start FROM words),
+q AS (SELECT problem_id, UNNEST(range(0, total, 100)) AS place FROM (SELECT problem_id, CAST(SUM(LENGTH(token)) AS BIGINT) AS total FROM words GROUP BY 1) t)
+SELECT q.problem_id, q.place, s.pos, q.place - s.start AS inside FROM q ASOF JOIN s ON q.problem_id = s.problem_id AND q.place >= s.start""")
+def jn_asof_tokens(spark, sf):
+    placed = align.spans(views.words(spark, sf, dealt=True), "problem_id", "pos", "token")
+    asked = placed.groupBy("problem_id").agg(F.max("end").alias("total")).select("problem_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(100).cast("long"))).alias("place"))
+    starts = placed.select("problem_id", F.col("start").alias("place"), "pos", "start")
+    return asof.asof(asked, starts, ["problem_id"], "place", ["pos", "start"], 4096).select("problem_id", "place", "pos", (F.col("place") - F.col("start")).alias("inside"))
+
+
 @query(f"WITH {CAND} SELECT x.adder AS a, y.adder AS b, COUNT(*) AS n FROM cand x JOIN cand y ON x.problem_id = y.problem_id AND x.adder < y.adder GROUP BY 1, 2")
 def jn_pairs(spark, sf):
     return candidates.pairs(views.candidates(spark, sf), "problem_id", "adder")
@@ -764,35 +782,91 @@ def ca_transfer_rescale(spark, sf):
 # --- differences ---
 
 
-def _neighbour_docs(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.split("text", r"\s+").alias("base"), "text")
-    o = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("base").alias("fix"), F.col("text").alias("fix_text"))
+def _neighbour_docs(spark, sf, step=1):
+    """Each document with the words, lines and text of the one `step` ids later."""
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", r"[ \n\t]+").alias("base"), "text").where("text is not null")
+    o = d.select((F.col("doc_id") - step).alias("doc_id"), F.col("base").alias("fix"), F.col("text").alias("fix_text"))
     return d.join(o, "doc_id")
 
 
+def _word_steps(spark, sf):
+    pairs = diff.with_runs(_neighbour_docs(spark, sf).select("doc_id", "base", "fix"), "doc_id", "base", "fix")
+    return pairs.withColumn("ops", diff.opcodes(F.col("runs"), F.size("base"), F.size("fix")))
+
+
+def _line_steps(spark, sf, step=1, squeeze=False):
+    shape = diff.squeezed if squeeze else lambda x: x
+    pairs = _neighbour_docs(spark, sf, step).select("doc_id", shape(diff.lines(F.col("text"))).alias("base"), shape(diff.lines(F.col("fix_text"))).alias("fix"))
+    return diff.with_runs(pairs, "doc_id", "base", "fix").withColumn("ops", diff.opcodes(F.col("runs"), F.size("base"), F.size("fix")))
+
+
+_LINES = r"""lines AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '^\n+', ''), '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL) x)"""
+
+
+def _line_lcs_sql(step: int) -> str:
+    """doc_id, n lines, and those of a longest common subsequence with the document `step` ids later: a row of the table of lengths after the other."""
+    return f"""(SELECT doc_id, n, CASE WHEN n = 0 OR m = 0 THEN 0 ELSE list_last(list_reduce(list_prepend(list_transform(range(m + 1), lambda k: CAST(0 AS BIGINT)), hits), lambda r, h: list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(h) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN h[k] = 1 THEN r[k] + 1 ELSE r[k + 1] END)))))) END AS kept
+FROM (SELECT a.doc_id, len(a.l) AS n, len(b.l) AS m, list_transform(a.l, lambda x: list_transform(b.l, lambda y: CAST(x = y AS BIGINT))) AS hits FROM lines a JOIN lines b ON b.doc_id = a.doc_id + {step}) p)"""
+
+
 @query()
 def df_token_keep(spark, sf):
-    k = _neighbour_docs(spark, sf).select("doc_id", align.keeps_or_insert_before("base", "fix").alias("k"))
+    k = _word_steps(spark, sf).select("doc_id", diff.kept(F.col("ops")).alias("k"))
     return k.select("doc_id", F.size("k").alias("n"), F.aggregate("k", F.lit(0), lambda a, x: a + x).alias("kept"))
 
 
+@query(f"WITH {_LINES} SELECT doc_id, n AS lines, kept FROM {_line_lcs_sql(1)} l")
+def df_line_keep(spark, sf):
+    k = _line_steps(spark, sf).select("doc_id", diff.kept(F.col("ops"), inserts=False).alias("k"))
+    return k.select("doc_id", F.size("k").cast("long").alias("lines"), F.aggregate("k", F.lit(0), lambda a, x: a + x).cast("long").alias("kept"))
+
+
 @query()
 def df_opcode_rows(spark, sf):
-    o = _neighbour_docs(spark, sf).select("doc_id", F.explode(align.opcodes("base", "fix")).alias("o"))
-    return o.groupBy("doc_id", "o.tag").agg(F.count("*").alias("n"), F.max("o.old_idx").alias("last_old"), F.max("o.new_idx").alias("last_new"))
+    o = diff.token_rows(_word_steps(spark, sf), ["doc_id"], "base", "fix")
+    return o.groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.max("old_idx").alias("last_old"), F.max("new_idx").alias("last_new"))
 
 
 @query()
 def df_line_edit(spark, sf):
-    e = _neighbour_docs(spark, sf).select("doc_id", align.line_edits("text", "fix_text").alias("e"))
+    e = _line_steps(spark, sf, squeeze=True).select("doc_id", diff.line_edit(F.col("ops"), F.col("base"), F.col("fix")).alias("e"))
     total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
     return e.select("doc_id", total("e.rewrites").alias("rewrites"), total("e.deletes").alias("deletes"), total("e.insert_before").alias("inserts"))
 
 
 @query()
 def df_char_distance(spark, sf):
-    d = _neighbour_docs(spark, sf).select("doc_id", F.array_join("base", " ").alias("a"), F.array_join("fix", " ").alias("b"))
-    return d.select("doc_id", align.similarity("a", "b").alias("ratio"), align.edit_distance("a", "b").alias("distance"), F.levenshtein("a", "b").alias("levenshtein"))
+    return diff.sign_distance(_neighbour_docs(spark, sf), "doc_id", "text", "fix_text")
+
+
+@query()
+def df_sample_ratio(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text").dropDuplicates(["conv_id", "turn"])
+    base = c.where("turn = 0").select("conv_id", F.col("text").alias("base"))
+    samples = c.where("turn > 0").join(base, "conv_id").withColumn("pair", F.concat_ws("/", "conv_id", "turn"))
+    return diff.mean_ratio(samples, "conv_id", "pair", "base", "text")
+
+
+_RUNS_SQL = r"""w AS (SELECT doc_id, i, t[i] AS t FROM (SELECT doc_id, regexp_split_to_array(text, '[ \n\t]+') AS t FROM documents) x, LATERAL (SELECT UNNEST(range(1, len(t) + 1)) AS i) u),
+m AS (SELECT a.doc_id, a.i, b.i AS j FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 AND a.t = b.t),
+g AS (SELECT doc_id, i - j AS d, MIN(i) AS i, COUNT(*) AS n FROM (SELECT *, i - ROW_NUMBER() OVER (PARTITION BY doc_id, i - j ORDER BY i) AS island FROM m) x GROUP BY doc_id, i - j, island),
+b AS (SELECT doc_id, i - 1 AS i, i - d - 1 AS j, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY n DESC, i, i - d) AS r FROM g) x WHERE r = 1)"""
+
+
+@query(f"WITH {_RUNS_SQL} SELECT DISTINCT a.doc_id, COALESCE(b.i, -1) AS i, COALESCE(b.j, -1) AS j, COALESCE(b.n, 0) AS n FROM w a JOIN (SELECT DISTINCT doc_id FROM w) o ON o.doc_id = a.doc_id + 1 LEFT JOIN b ON b.doc_id = a.doc_id")
+def df_common_run(spark, sf):
+    pairs = _neighbour_docs(spark, sf).select("doc_id", align.longest_common_run(diff.hashed(F.col("base")), diff.hashed(F.col("fix"))).alias("r"))
+    return pairs.select("doc_id", *[F.col(f"r.{c}").cast("long").alias(c) for c in "ijn"])
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT problem_id, pos, LENGTH(regexp_replace(token, '\\s+', '', 'g')) AS w, CAST(SUM(LENGTH(regexp_replace(token, '\\s+', '', 'g'))) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS e FROM words)
+SELECT problem_id, COUNT(*) AS tokens, COUNT(*) FILTER (w = 0) AS unmatched, CAST(SUM(CASE WHEN w > 0 THEN (e - 1) // 4 - (e - w) // 4 + 1 ELSE 0 END) AS BIGINT) AS pairs, CAST(SUM(CASE WHEN w > 0 THEN pos * ((e - w) // 4) END) AS BIGINT) AS places FROM s GROUP BY 1""")
+def df_align_tokens(spark, sf):
+    solid = F.regexp_replace("text", r"\s+", "")
+    pieces = table(spark, sf, "documents").select(F.col("doc_id").alias("problem_id"), F.posexplode(F.regexp_extract_all(solid, F.lit("(?s).{1,4}"), F.lit(0))).alias("pos", "token"))
+    found = align.aligned_tokens(views.words(spark, sf, dealt=True), pieces, "problem_id")
+    n = F.size("matches")
+    return found.groupBy("problem_id").agg(F.count("*").alias("tokens"), F.count_if(n == 0).alias("unmatched"), F.sum(n).alias("pairs"), F.sum(F.when(n > 0, F.col("pos") * F.get("matches", F.lit(0)))).alias("places"))
 
 
 @query()

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import code, expr, text
-from plumbline.operators import align, calibration, candidates, checks, factors, features, folds, losses, rescale, tokens
+from plumbline.operators import align, calibration, candidates, checks, diff, factors, features, folds, losses, rescale, tokens
 from plumbline.plans import views
-from plumbline.plans.catalog import _FOLD, _SUMS, BIN, _newton_sql, query
+from plumbline.plans.catalog import _FOLD, _LINES, _SUMS, BIN, _line_lcs_sql, _line_steps, _newton_sql, query
 from plumbline.plans.views import CAND, TOK, WORDS
 from plumbline.session import table
 from plumbline.sources import tables
@@ -198,19 +198,22 @@ def rp_histogram(spark, sf):
 # --- comparisons ---
 
 
-@query(f"""WITH {TOK}, c AS (SELECT problem_id, COUNT(*) AS n, COUNT(*) FILTER (y = 1) AS equal_a, COUNT(*) FILTER (p >= 0.5) AS equal_b FROM tok GROUP BY 1)
-SELECT problem_id, n, n - equal_a AS changed_a, n - equal_b AS changed_b, ROUND(equal_a / CAST(n AS DOUBLE), 6) AS share_a, ROUND(equal_b / CAST(n AS DOUBLE), 6) AS share_b, n - equal_b < n - equal_a AS b_changes_less, equal_b > equal_a AS b_more_equal, equal_a = equal_b AS same FROM c""")
+_CLOSER = f"{_LINES}, c AS (SELECT a.doc_id, a.n, a.kept AS equal_a, b.kept AS equal_b FROM {_line_lcs_sql(1)} a JOIN {_line_lcs_sql(2)} b ON a.doc_id = b.doc_id WHERE a.n > 0)"
+
+
+@query(f"""WITH {_CLOSER}
+SELECT doc_id, n, n - equal_a AS changed_a, n - equal_b AS changed_b, ROUND(equal_a / CAST(n AS DOUBLE), 6) AS share_a, ROUND(equal_b / CAST(n AS DOUBLE), 6) AS share_b, n - equal_b < n - equal_a AS b_changes_less, equal_b > equal_a AS b_more_equal, equal_a = equal_b AS same FROM c""")
 def df_closer(spark, sf):
     return _closer(spark, sf)
 
 
 def _closer(spark, sf):
-    t = views.tok(spark, sf)
-    a, b = t.select("problem_id", "pos", (F.col("y") == 1).alias("equal")), t.select("problem_id", "pos", (F.col("p") >= 0.5).alias("equal"))
-    return align.closer(a, b, "problem_id")
+    """Lines of each document, compared with the next document's and the one's after it."""
+    rows = lambda step: diff.token_rows(_line_steps(spark, sf, step), ["doc_id"], "base", "fix").where("old_idx is not null").select("doc_id", "equal")
+    return align.closer(rows(1), rows(2), "doc_id")
 
 
-@query(f"""WITH {TOK}, c AS (SELECT problem_id, COUNT(*) AS n, COUNT(*) FILTER (y = 1) AS a, COUNT(*) FILTER (p >= 0.5) AS b FROM tok GROUP BY 1), u AS (SELECT 'changed_a' AS measure, CAST(n - a AS DOUBLE) AS x FROM c UNION ALL SELECT 'changed_b', n - b FROM c UNION ALL SELECT 'share_a', a / CAST(n AS DOUBLE) FROM c UNION ALL SELECT 'share_b', b / CAST(n AS DOUBLE) FROM c UNION ALL SELECT 'b_more_equal', CAST(b > a AS INT) FROM c)
+@query(f"""WITH {_CLOSER}, u AS (SELECT 'changed_a' AS measure, CAST(n - equal_a AS DOUBLE) AS x FROM c UNION ALL SELECT 'changed_b', n - equal_b FROM c UNION ALL SELECT 'share_a', equal_a / CAST(n AS DOUBLE) FROM c UNION ALL SELECT 'share_b', equal_b / CAST(n AS DOUBLE) FROM c UNION ALL SELECT 'b_more_equal', CAST(equal_b > equal_a AS INT) FROM c)
 SELECT measure, ROUND(AVG(x), 6) AS mean, ROUND(QUANTILE_CONT(x, 0.5), 6) AS median FROM u GROUP BY 1""")
 def df_closer_summary(spark, sf):
     c = _closer(spark, sf).withColumn("b_more_equal", F.col("b_more_equal").cast("double"))
@@ -232,22 +235,27 @@ def ag_array_mean(spark, sf):
 
 
 def _two_texts(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\. ", ".\n").alias("text"))
+    """Each conversation's first turn beside each later one."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\. ", ".\n").alias("text")).dropDuplicates(["conv_id", "turn"])
     base = c.where("turn = 0").select("conv_id", F.col("text").alias("base"))
-    return base.join(c.where("turn > 0").select("conv_id", "turn", F.col("text").alias("sample")), "conv_id")
+    pairs = base.join(c.where("turn > 0").select("conv_id", "turn", F.col("text").alias("sample")), "conv_id")
+    return pairs.withColumn("pair", F.concat_ws("/", "conv_id", "turn"))
 
 
 @query()
 def df_line_edit_means(spark, sf):
-    pairs = _two_texts(spark, sf).select("conv_id", align.line_edits(F.col("base"), F.col("sample")).alias("e")).select("conv_id", "e.*")
-    return align.array_means(pairs, "conv_id", ["rewrites", "deletes", "insert_before"])
+    pairs = _two_texts(spark, sf).select("conv_id", "pair", *[diff.squeezed(diff.lines(F.col(c))).alias(c) for c in ("base", "sample")])
+    steps = diff.with_runs(pairs, "pair", "base", "sample").withColumn("ops", diff.opcodes(F.col("runs"), F.size("base"), F.size("sample")))
+    edits = steps.select("conv_id", diff.line_edit(F.col("ops"), F.col("base"), F.col("sample")).alias("e")).select("conv_id", "e.*")
+    return align.array_means(edits, "conv_id", ["rewrites", "deletes", "insert_before"])
 
 
 @query()
 def df_probs_of_base(spark, sf):
-    pairs = _two_texts(spark, sf).select("conv_id", "turn", F.split("base", " ").alias("old"), F.split("sample", " ").alias("new"))
-    pairs = pairs.withColumn("logprobs", F.transform("old", lambda w: -F.length(w) / 10.0))
-    return align.diff_rows(pairs, ["conv_id", "turn"], closed=["the", "of", "and"]).where("tag <> 'insert'")
+    pairs = _two_texts(spark, sf).select("conv_id", "turn", "pair", F.split("base", " ").alias("old"), F.split("sample", " ").alias("new"))
+    steps = diff.with_runs(pairs, "pair", "old", "new").withColumn("ops", diff.opcodes(F.col("runs"), F.size("old"), F.size("new")))
+    steps = steps.withColumn("logprobs", F.transform("old", lambda w: -F.length(w) / 10.0))
+    return diff.token_rows(steps, ["conv_id", "turn"], "old", "new", logprobs="logprobs", closed=["the", "of", "and"]).where("tag <> 'insert'")
 
 
 # --- filters, checks ---

@@ -1,67 +1,72 @@
 import random
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import align
 
 
 def overlaps(a, b):
-    """Which pieces of b share a sign with each piece of a, where both join to the same text: sign by sign."""
+    """Which pieces of b share a sign with each piece of a, within the longest common run of the joined texts: sign by sign."""
     owner = lambda pieces: [k for k, piece in enumerate(pieces) for _ in "".join(piece.split())]
-    pairs = set(zip(owner(a), owner(b), strict=True))
+    left, right = ("".join("".join(p.split()) for p in x) for x in (a, b))
+    i, j, n = common(left, right)
+    pairs = set(zip(owner(a)[i : i + n], owner(b)[j : j + n], strict=True)) if n else set()
     return [sorted({y for x, y in pairs if x == k}) for k in range(len(a))]
 
 
+def common(a, b):
+    best = (-1, -1, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n > best[2]:
+                best = (i, j, n)
+    return best
+
+
 def cut(rng, text):
     at = sorted(rng.sample(range(1, len(text)), rng.randrange(1, min(9, len(text)))))
     return [text[i:j] for i, j in zip([0, *at], [*at, len(text)], strict=True)]
 
 
-@pytest.mark.parametrize("seed", range(25))
-def test_chunk_map_of_equal_texts(seed):
-    rng = random.Random(seed)
-    text = "".join(rng.choice(["ab", "c ", "éß", "鐵", "x\n", " ", "q"]) for _ in range(40)) + "z"
-    a, b = cut(rng, text), cut(rng, text)
-    assert align.chunk_map(a, b) == overlaps(a, b)
-
-
-def test_chunk_map_at_its_edges():
-    assert align.chunk_map([], ["river"]) == [] and align.chunk_map(["river"], []) == [[]]
-    assert align.chunk_map([" ", "lamp"], ["lamp"]) == [[], [0]]
-    assert align.chunk_map(["go", "go", "go"], ["gogo", "go"]) == [[0], [0], [1]]
-    assert align.chunk_map(["stone", "bridge"], ["qqq", "stone", "bridge"]) == [[1], [2]]  # only the common run counts
-    assert align.chunk_map(["abc"], ["xyz"]) == [[]]
+@pytest.fixture(scope="module")
+def pairs():
+    rng, out = random.Random(5), []
+    for k in range(24):
+        text = "".join(rng.choice(["ab", "c ", "éß", "鐵", "x\n", " ", "q"]) for _ in range(40)) + "z"
+        other = text if k % 3 else text[5:20] + "ÄÖ" + text[24:]
+        out.append((cut(rng, text), cut(rng, other)))
+    return out + [(["go", "go", "go"], ["gogo", "go"]), (["stone", "bridge"], ["qqq", "stone", "bridge"]), (["abc"], ["xyz"]), ([" ", "lamp"], ["lamp"])]
 
 
-def test_kept_marks_every_change():
-    base = "the green lamp stood by the window all winter".split()
-    for i in range(len(base)):
-        other = [*base[:i], "zebra", *base[i + 1 :]]
-        assert align.kept(base, other, inserts=False) == [int(k != i) for k in range(len(base))]
-        longer = [*base[:i], "zebra", *base[i:]]
-        assert align.kept(base, longer) == [int(k != i) for k in range(len(base))]
-        assert align.kept(base, longer, inserts=False) == [1] * len(base)
-    assert align.kept([], ["a"]) == [] and align.kept(["a"], []) == [0]
+@pytest.mark.parametrize("width", [3, 256])
+def test_aligned_tokens_sign_by_sign(spark, pairs, width):
+    rows = lambda side: spark.createDataFrame([(k, i, t) for k, p in enumerate(pairs) for i, t in enumerate(p[side])], "k int, pos int, token string")
+    got = {(r.k, r.pos): r.matches for r in align.aligned_tokens(rows(0), rows(1), "k", width=width).collect()}
+    assert got == {(k, i): m for k, (a, b) in enumerate(pairs) for i, m in enumerate(overlaps(a, b))}
 
 
-def test_line_edits():
-    lines = [f"step_{i} = {i}" for i in range(6)]
-    text = "\n".join
-    none = {"rewrites": [0.0] * 6, "deletes": [0.0] * 6, "insert_before": [0.0] * 7}
-    at = lambda name, *places: none | {name: [float(k in places) for k in range(len(none[name]))]}
-    assert align.line_edit(text(lines), text(line.replace(" ", "  ") for line in lines)) == none
-    assert align.line_edit(text(lines), text([*lines[:2], "other", *lines[3:]])) == at("rewrites", 2)
-    assert align.line_edit(text(lines), text([*lines[:4], lines[5]])) == at("deletes", 4)
-    assert align.line_edit(text(lines), text([*lines[:3], "new", "newer", *lines[3:]])) == at("insert_before", 3)
-    assert align.line_edit(text(lines), text([*lines[:3], "# said", "", *lines[3:]])) == at("insert_before", 3)
-    assert align.line_edit(text(lines), text([*lines[:3], "# said", *lines[3:]])) == none
-    assert align.line_edit("", "x")["insert_before"] == [1.0]
+def test_a_text_without_the_other_side_matches_nothing(spark):
+    a = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "k int, pos int, token string")
+    got = {(r.k, r.pos): r.matches for r in align.aligned_tokens(a, a.where("k = 1"), "k").collect()}
+    assert got == {(1, 0): [0], (2, 0): []}
 
 
-def test_edit_size_counts_the_larger_side():
-    assert align.edit_size("", "") == 0 and align.edit_size("", "four") == 4 == align.edit_size("four", "")
-    assert align.edit_size("river", "riverbed") == 3
-    assert align.edit_size("tin can", "tin canoe") == 2
+def test_longest_common_run_of_signs_and_of_words(spark):
+    rng = random.Random(3)
+    texts = [("".join(rng.choice("ab") for _ in range(rng.randrange(0, 30))), "".join(rng.choice("abc") for _ in range(rng.randrange(0, 30)))) for _ in range(120)]
+    texts += [("same text", "same text"), ("", "x"), ("x", ""), ("𐐀b", "b𐐀"), ("aaaa", "aa")]
+    df = spark.createDataFrame(texts, "a string, b string")
+    got = [tuple(r) for r in df.select(align.longest_common_text("a", "b").alias("r")).select("r.*").collect()]
+    assert got == [common(a, b) for a, b in texts]
+    long_a, long_b = (np.array([rng.randrange(50) for _ in range(3000)]) for _ in range(2))
+    at = SequenceMatcher(None, long_a.tolist(), long_b.tolist(), autojunk=False).find_longest_match()
+    assert align.longest_common(long_a, long_b) == (at.a, at.b, at.size)
 
 
 def test_array_means_and_runs(spark):
@@ -69,8 +74,6 @@ def test_array_means_and_runs(spark):
     got = {r.k: (r.a, r.b) for r in align.array_means(df, "k", ["a", "b"]).collect()}
     assert got == {"k": ([2.0, 3.0], [3.0])}
     rows = spark.createDataFrame([(["x", "a", "b", "a", "b"], ["a", "b"]), (["a"], ["a", "b"]), ([], [])], "t array<string>, r array<string>")
-    from pyspark.sql import functions as F
-
     assert [r[0] for r in rows.select(align.first_run(F.col("t"), F.col("r"))).collect()] == [1, None, 0]
 
 
@@ -82,9 +85,3 @@ def test_containing_is_the_nested_loop(spark):
     d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string")
     got = {tuple(r) for r in align.containing(d, b, "doc_id", "text", "item_id", "item").collect()}
     assert got == {(i, k) for i, t in texts for k, x in items if t is not None and x is not None and x in t}
-
-
-def test_diff_rows(spark):
-    df = spark.createDataFrame([(1, ["the", "red", "cat"], ["the", "big", "cat", "sat"], [-1.0, -2.0, None])], "id long, old array<string>, new array<string>, logprobs array<double>")
-    rows = [(r.token, r.equal, r.old_idx, r.new_idx, r.logprob, r.closed) for r in align.diff_rows(df, ["id"], closed=["the"]).collect()]
-    assert rows == [("the", True, 0, 0, -1.0, True), ("red", False, 1, None, -2.0, False), ("big", False, None, 1, None, False), ("cat", True, 2, 2, None, False), ("sat", False, None, 3, None, False)]
