@@ -99,6 +99,42 @@ def elided(source: Column, keep: list[str] | None = None) -> Column:
     return run(source)
 
 
+_NAMED = re.compile(r"\b(?:def|class)\s+([A-Za-z_]\w*)\s*\(")
+#: How many of the last functions keep their bodies, one after the other, until a source fits.
+KEPT_LAST = (64, 32, 16, 8)
+SEPARATOR = "\n... ELIDED ...\n"
+
+
+def fewer_bodies(source: str, budget: int) -> str:
+    """The source with the bodies of as many of its last functions as fit in the budget (of KEPT_LAST), or of the fewest; as it is, if it fits."""
+    if len(source) <= budget:
+        return source
+    names = _NAMED.findall(source)
+    text = source
+    for k in KEPT_LAST:
+        text = elide(source, frozenset(names[-k:]))
+        if len(text) <= budget:
+            break
+    return text
+
+
+def shortened(source: Column, budget: int, head: float = 0.2) -> Column:
+    """The source within a budget of signs: fewer and fewer functions keep their bodies, and if that isn't enough, the middle goes.
+
+    Of what is left, a share `head` is the beginning and the rest the end; the
+    two stand around SEPARATOR and have two signs fewer than would fit.
+    """
+
+    @F.pandas_udf(StringType())
+    def fewer(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else fewer_bodies(x, budget))
+
+    room = budget - len(SEPARATOR) - 2
+    first = int(room * head)
+    text = F.when(F.length(source) <= budget, source).otherwise(fewer(source))
+    return F.transform(F.array(text), lambda t: F.when(F.length(t) <= budget, t).otherwise(F.concat(F.substring(t, 1, first), F.lit(SEPARATOR), F.right(t, F.lit(room - first)))))[0]
+
+
 def last_fence(text: Column) -> Column:
     """What stands between the last two fence marks, without the first one's line, whatever that holds; null if there are fewer marks or no line break between."""
     parts = F.split(text, "```", -1)

@@ -66,6 +66,27 @@ def fit(tokens: DataFrame, top: int, key: str = "problem_id", pos: str = "pos",
     return ranks, scale, common
 
 
+#: Tokens so frequent that their ranks go to all tasks.
+FREQUENT = 1000
+
+
+def _ranked(d: DataFrame, ranks: DataFrame, key: str, pos: str, token: str) -> DataFrame:
+    """d with _n and _rank of each token.
+
+    The FREQUENT most frequent tokens are looked up in a table of that many
+    rows; of any other there is less than a FREQUENT-th of all rows, so that no
+    key is hot where the rest is joined, and the frequent ones' rows are spread
+    there by their place.
+    """
+    known = ranks.select(F.col(token).alias("_token"), F.col("n").alias("_n"), F.col("rank").alias("_rank"))
+    most = known.orderBy(F.desc("_n"), "_token").limit(FREQUENT).withColumnsRenamed({"_token": token, "_n": "_hot_n", "_rank": "_hot_rank"})
+    d = d.join(F.broadcast(most), token, "left")
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(key, pos), F.lit(4096)).cast("string"))
+    d = d.withColumn("_asked", F.when(F.col("_hot_n").isNull(), F.col(token)).otherwise(spread))
+    d = d.join(known, F.col("_asked") == F.col("_token"), "left")
+    return d.withColumns({"_n": F.coalesce("_hot_n", "_n"), "_rank": F.coalesce("_hot_rank", "_rank")}).drop("_asked", "_token", "_hot_n", "_hot_rank")
+
+
 def extract(tokens: DataFrame, ranks: DataFrame, scale: DataFrame, common: list[str], definition: str = "def", key: str = "problem_id", pos: str = "pos", token: str = "token") -> DataFrame:
     """key, pos and a column for each of NAMES and each common token (top_0, top_1, ...), as doubles.
 
@@ -108,7 +129,7 @@ def extract(tokens: DataFrame, ranks: DataFrame, scale: DataFrame, common: list[
     )
     start = F.first(F.when(F.col(pos) > 0, F.col("_carried")).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_in_line", F.col("_in_line") + F.when(F.col("_line") > 0, start).otherwise(0))
-    d = d.join(ranks.withColumnsRenamed({"n": "_n", "rank": "_rank"}), token, "left").crossJoin(F.broadcast(scale))  # one row
+    d = _ranked(d, ranks, key, pos, token).crossJoin(F.broadcast(scale))  # one row
     near = F.when(F.col("_total") == 1, 0.0).otherwise((F.coalesce(F.length("_before"), F.lit(0)) + F.coalesce(F.length("_after"), F.lit(0))) / F.when(F.col("_before").isNull() | F.col("_after").isNull(), 1).otherwise(2))
     trimmed = lambda c: F.trim(F.col(c), F.lit(" \t\n\r\f\x0b"))
     made = (

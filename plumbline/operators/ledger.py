@@ -24,9 +24,17 @@ def annotate(df: DataFrame, name: str, passed: Column, meta_s: Column | None = N
     return df.withColumns({"passed": F.when(ok, F.array_append("passed", entry)).otherwise(F.col("passed")), "failed": F.when(ok, F.col("failed")).otherwise(F.array_append("failed", entry))})
 
 
-def tag(df: DataFrame, name: str, s: Column | None = None, d: Column | None = None) -> DataFrame:
-    value = F.struct(F.lit(name).alias("tag"), (F.lit(None) if s is None else s).cast("string").alias("s"), (F.lit(None) if d is None else d).cast("double").alias("d"))
-    return df.withColumn("tags", F.array_append("tags", value))
+def tag(df: DataFrame, name: str | Column, s: Column | None = None, d: Column | None = None, when: Column | None = None) -> DataFrame:
+    """Put a tag, with a text and a number beside it, on all rows or on those where the condition holds."""
+    label = F.lit(name) if isinstance(name, str) else name
+    value = F.struct(label.alias("tag"), (F.lit(None) if s is None else s).cast("string").alias("s"), (F.lit(None) if d is None else d).cast("double").alias("d"))
+    more = F.array_append("tags", value)
+    return df.withColumn("tags", more if when is None else F.when(when, more).otherwise(F.col("tags")))
+
+
+def tag_counts(df: DataFrame, key: str) -> DataFrame:
+    """(tag, n, n_rows, mean): how often each tag stands, on how many rows, and the mean of the numbers beside it."""
+    return df.select(key, F.explode("tags").alias("_t")).groupBy(F.col("_t.tag").alias("tag")).agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_rows"), F.avg("_t.d").alias("mean"))
 
 
 def passed_all(children: Column | None = None) -> Column:

@@ -17,6 +17,27 @@ def attention_pool(df: DataFrame, group: str, logit: str, value: str) -> DataFra
     return w.groupBy(group).agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("pooled"), F.count("*").alias("n"))
 
 
+def multi_head_pool(df: DataFrame, group: str, row: str, heads: list[list[float]], vector: str = "embedding", salts: int = 32) -> DataFrame:
+    """(group, head, i, pooled): for each head the mean of the vectors weighed by the softmax, within the group, of their product with the head.
+
+    A group is dealt into `salts` parts by a hash of the rows' key. Each part is
+    summed up against its own largest product, and the parts are put together
+    by at most `salts` rows for each component, so that a group of any size is
+    never in one task and no exponential overflows.
+    """
+    weights = [F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*map(F.lit, q)), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) for q in heads]
+    rows = df.select(group, F.pmod(F.xxhash64(F.col(row).cast("string")), F.lit(salts)).alias("_salt"), F.col(vector).alias("_v"), F.array(*weights).alias("_l"))
+    part = Window.partitionBy(group, "_salt")
+    rows = rows.withColumn("_top", F.array(*[F.max(F.get("_l", F.lit(h))).over(part) for h in range(len(heads))]))
+    rows = rows.withColumn("_w", F.zip_with("_l", "_top", lambda x, top: F.exp(x - top)))
+    cells = rows.select(group, "_salt", "_w", "_top", F.posexplode("_v").alias("i", "_x"))
+    head = lambda c, h: F.get(c, F.lit(h))
+    sums = cells.groupBy(group, "_salt", "i").agg(F.array(*[F.struct(F.max(head("_top", h)).alias("top"), F.sum(head("_w", h) * F.col("_x")).alias("a"), F.sum(head("_w", h)).alias("b")) for h in range(len(heads))]).alias("_s"))
+    parts = sums.select(group, "_salt", "i", F.posexplode("_s").alias("head", "s")).groupBy(group, "head", "i").agg(F.collect_list("s").alias("_p"), F.max("s.top").alias("_m"))
+    total = lambda c: F.aggregate("_p", F.lit(0.0), lambda a, s: a + F.exp(s["top"] - F.col("_m")) * s[c])
+    return parts.select(group, "head", "i", (total("a") / total("b")).alias("pooled"))
+
+
 def pooled(df: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
     """Mean and maximum of each component over the vectors of a group, as arrays.
 

@@ -50,6 +50,21 @@ def out_of_fold(df: DataFrame, keys: list[str], fold: str, k: int, intercept: bo
     return apply_platt(df.withColumn(fold, F.col(fold).cast("int")), fitted, [*keys, fold], p, out)
 
 
+def leave_one_out(df: DataFrame, keys: list[str], held: str, intercept: bool = True, p: str = "p", y: str = "y", out: str = "scaled") -> DataFrame:
+    """Rows with the probability that a calibrator gives which was fit on all rows of their keys but those with their own value of `held`.
+
+    Sums by probability are taken once; a value's training sums are the totals
+    without its own, so that all calibrators are fitted from one scan.
+    """
+    own = scores(df, [*keys, held], p, y)
+    total = own.groupBy(*keys, "p").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
+    values = own.select(*keys, held).distinct()
+    wanted = total.join(values, keys) if keys else total.crossJoin(F.broadcast(values))  # a row for each value
+    without = wanted.join(own, [*keys, held, "p"], "left")
+    left = without.select(*keys, held, "p", (F.col("_n") - F.coalesce("n", F.lit(0))).alias("n"), (F.col("_pos") - F.coalesce("pos", F.lit(0))).alias("pos")).where("n > 0")
+    return apply_platt(df, _newton(left, [*keys, held], intercept, STEPS), [*keys, held], p, out)
+
+
 def _newton(small: DataFrame, keys: list[str], intercept: bool, steps: int) -> DataFrame:
     """keys, a, b from sums by probability.
 

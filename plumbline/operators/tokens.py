@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
@@ -69,14 +69,22 @@ def places(df: DataFrame, key: str = "problem_id", pos: str = "pos", token: str
     return df.select("*", start.alias("start"), (F.col(pos) / F.greatest(n - 1, F.lit(1))).alias("relative"), (n - 1 - F.col(pos)).alias("to_end"))
 
 
-def frequency_ranks(df: DataFrame, token: str = "token", first: Column | None = None) -> DataFrame:
+def frequency_ranks(df: DataFrame, token: str = "token", prefix: int = 3) -> DataFrame:
     """(token, n, rank): 1 - rank / vocabulary, rank from 0 by falling count, ties by token.
 
-    The vocabulary is ranked by counts first: a count's place is the number of
-    tokens with larger counts, so the wide window runs over distinct counts.
+    A token's place is the number of tokens with larger counts, those of its
+    count with an earlier beginning, and its place among those that begin alike
+    (by `prefix` signs). So the words that occur once, half of a vocabulary, are
+    ranked in as many tasks as they have beginnings; only a row for each count
+    and beginning, then for each count, goes through wider windows.
     """
-    counts = df.groupBy(token).agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("n").agg(F.count("*").alias("_m"))
-    larger = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_m").over(Window.partitionBy()))
-    ranked = counts.withColumn("_i", F.row_number().over(Window.partitionBy("n").orderBy(token)) - 1).join(larger, "n")
-    return ranked.select(token, "n", (1 - (F.col("_before") + F.col("_i")) / F.col("_all")).alias("rank"))
+    counts = df.groupBy(token).agg(F.count("*").alias("n")).withColumn("_head", F.substring(token, 1, prefix))
+    heads = counts.groupBy("n", "_head").agg(F.count("*").alias("_m"))
+    earlier = Window.partitionBy("n").orderBy(F.asc_nulls_first("_head")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("_earlier", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
+    sizes = heads.groupBy("n").agg(F.sum("_m").alias("_same"))
+    larger = sizes.withColumn("_before", F.coalesce(F.sum("_same").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_same").over(Window.partitionBy()))
+    placed = heads.join(larger, "n").select("n", "_head", (F.col("_before") + F.col("_earlier")).alias("_start"), "_all")
+    own = counts.withColumn("_i", F.row_number().over(Window.partitionBy("n", "_head").orderBy(token)) - 1)
+    ranked = own.join(placed.withColumnsRenamed({"n": "_n", "_head": "_of"}), (F.col("n") == F.col("_n")) & F.col("_head").eqNullSafe(F.col("_of")))
+    return ranked.select(token, "n", (1 - (F.col("_start") + F.col("_i")) / F.col("_all")).alias("rank"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import code, expr
 from plumbline.functions.expr import rounded
-from plumbline.operators import align, asof, calibration, candidates, diff, factors, folds, ledger, probe, rescale, rollup, tokens
+from plumbline.operators import align, asof, calibration, candidates, diff, factors, folds, ledger, probe, ragged, rescale, rollup, tokens, training
 from plumbline.plans import views
 from plumbline.plans.views import CAND, EVENTS, TOK, WORDS
-from plumbline.session import table
+from plumbline.session import kept, table
 from plumbline.sources import tables
 from plumbline.streaming import monitor
 
@@ -176,11 +176,15 @@ def ag_flow_tree(spark, sf):
     return ledger.flow(views.ledger(spark, sf), "user_id", step, depth=3)
 
 
-@query(f"""WITH {EVENTS}, ok AS (SELECT user_id FROM ev GROUP BY user_id HAVING COUNT(*) FILTER (NOT passed) <= COUNT(*) / 2) SELECT name AS tag, COUNT(*) AS n, COUNT(DISTINCT ev.user_id) AS n_rows FROM ev JOIN ok ON ev.user_id = ok.user_id GROUP BY name""")
+@query("""WITH t AS (SELECT doc_id, 'long' AS tag, CAST(n_chars AS DOUBLE) AS d FROM documents WHERE n_chars > 1500 UNION ALL SELECT doc_id, lang, NULL FROM documents WHERE lang <> 'en'
+UNION ALL SELECT doc_id, 'digits', CAST(len(regexp_extract_all(text, '[0-9]+')) AS DOUBLE) FROM documents WHERE regexp_matches(text, '[0-9]'))
+SELECT tag, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS n_rows, ROUND(AVG(d), 6) AS mean FROM t GROUP BY tag""")
 def ag_tag_counts(spark, sf):
-    ev = views.ledger(spark, sf)
-    ok = ev.groupBy("user_id").agg(F.count_if(~F.col("passed")).alias("f"), F.count("*").alias("n")).where("f <= n / 2")
-    return ev.join(ok, "user_id", "left_semi").groupBy(F.col("name").alias("tag")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_rows"))
+    d = ledger.with_ledger(table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars"))
+    d = ledger.tag(d, "long", d=F.col("n_chars"), when=F.col("n_chars") > 1500)
+    d = ledger.tag(d, F.col("lang"), when=F.col("lang") != "en")
+    d = ledger.tag(d, "digits", d=F.regexp_count("text", F.lit("[0-9]+")), when=F.col("text").rlike("[0-9]"))
+    return ledger.tag_counts(d, "doc_id")
 
 
 @query("""WITH f AS (SELECT CASE WHEN n_chars < 300 THEN 1 WHEN lang <> 'en' THEN 2 WHEN source = 'src0' THEN 3 ELSE 4 END AS seq FROM documents), s AS (SELECT seq, COUNT(*) AS removed FROM f WHERE seq < 4 GROUP BY seq)
@@ -415,9 +419,11 @@ def ag_describe(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"), F.kurtosis(v).alias("kurt"))
 
 
-@query(f"WITH {CAND} SELECT adder, COUNT(*) AS n FROM (SELECT problem_id, MIN(adder) AS adder FROM cand GROUP BY problem_id HAVING COUNT(DISTINCT adder) = 1) o GROUP BY adder")
+@query("""WITH cand AS (SELECT DISTINCT l_orderkey AS problem_id, CAST(s_nationkey AS BIGINT) AS adder FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+SELECT adder, COUNT(*) AS n FROM (SELECT problem_id, MIN(adder) AS adder FROM cand GROUP BY problem_id HAVING COUNT(DISTINCT adder) = 1) o GROUP BY adder""")
 def ag_adder_exclusive(spark, sf):
-    return candidates.exclusive(views.candidates(spark, sf), "problem_id", "adder")
+    by_order = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return candidates.exclusive(by_order.select(F.col("l_orderkey").alias("problem_id"), F.col("s_nationkey").cast("long").alias("adder")), "problem_id", "adder")
 
 
 @query(f"""WITH {CAND}, r AS (SELECT problem_id, adder, distance, ROW_NUMBER() OVER (PARTITION BY problem_id ORDER BY distance, adder) AS r, COUNT(*) OVER (PARTITION BY problem_id) AS n FROM cand)
@@ -516,6 +522,30 @@ def wn_attention_pool(spark, sf):
     return probe.attention_pool(table(spark, sf, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("l"), F.col("embedding")[1].cast("double").alias("v")), "label", "l", "v")
 
 
+_HEADS = [[((i * (h + 2)) % 7 - 3) / 4.0 for i in range(64)] for h in range(4)]
+
+
+@query("""WITH q AS (SELECT h, list(((i * (h + 2)) % 7 - 3) / CAST(4 AS DOUBLE) ORDER BY i) AS w FROM range(4) a(h), range(64) b(i) GROUP BY h),
+l AS (SELECT label, embedding, h, list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * w[i])) AS l FROM embeddings, q), e AS (SELECT label, h, embedding, EXP(l - MAX(l) OVER (PARTITION BY label, h)) AS e FROM l)
+SELECT label, h AS head, i - 1 AS i, ROUND(SUM(e * embedding[i]) / SUM(e), 6) AS pooled FROM e, range(1, 65) r(i) GROUP BY label, h, i""")
+def wn_multi_head(spark, sf):
+    found = probe.multi_head_pool(table(spark, sf, "embeddings"), "label", "vec_id", _HEADS)
+    return found.select("label", F.col("head").cast("long").alias("head"), F.col("i").cast("long").alias("i"), "pooled")
+
+
+_BUDGET = 32_768
+
+
+@query(f"""WITH s AS (SELECT doc_id, n, CAST(SUM(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS start, MAX(n) OVER () AS longest FROM (SELECT doc_id, COALESCE(len(string_split(text, ' ')), 0) AS n FROM documents) d),
+b AS (SELECT *, start // ({_BUDGET} + 1 - longest) AS batch FROM s)
+SELECT batch, COUNT(*) AS n, CAST(SUM(n) AS BIGINT) AS tokens, MIN(doc_id) AS first, CAST(SUM((start - low) * doc_id) AS BIGINT) AS places FROM (SELECT *, MIN(start) OVER (PARTITION BY batch) AS low FROM b) x GROUP BY batch""")
+def prj_ragged_batches(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    found = ragged.batches(d, "doc_id", "words", _BUDGET)
+    places = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["at"] * s["key"])
+    return found.select("batch", F.size("spans").cast("long").alias("n"), F.size("flat").cast("long").alias("tokens"), F.get("spans", F.lit(0))["key"].alias("first"), places.alias("places"))
+
+
 # --- sorts, samples, folds ---
 
 
@@ -869,10 +899,21 @@ def df_align_tokens(spark, sf):
     return found.groupBy("problem_id").agg(F.count("*").alias("tokens"), F.count_if(n == 0).alias("unmatched"), F.sum(n).alias("pairs"), F.sum(F.when(n > 0, F.col("pos") * F.get("matches", F.lit(0)))).alias("places"))
 
 
+def _sources(spark, sf):
+    """Each turn's sentences as functions of a source file, a docstring in every other one."""
+    said = F.transform(F.split("text", r"\. "), lambda x, i: F.concat(F.lit("def f"), i.cast("string"), F.lit("(a,\n      b):\n    "), F.when(i % 2 == 0, F.lit("'doc'\n    ")).otherwise(F.lit("")), F.lit("return '"), F.regexp_replace(x, r"['\\\s]", "_"), F.lit("'\n")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", said.alias("parts"), F.array_join(said, "\n").alias("src"))
+
+
 @query()
 def sc_elide_bodies(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("def f(a,\n      b):\n    "), F.replace("text", F.lit("\n"), F.lit("\n    ")), F.lit("\n\ndef g():\n    return 1\n")).alias("src"))
-    return c.select("conv_id", "turn", F.length(code.elided(F.col("src"), ["g"])).alias("n"), code.bodies(F.lit("def f():\n    'doc'\n    return 2\n")).alias("body"))
+    c = _sources(spark, sf)
+    return c.select("conv_id", "turn", F.length(code.elided(F.col("src"), ["f1"])).alias("n"), code.bodies(F.col("src")).alias("body"))
+
+
+@query()
+def sc_shortened(spark, sf):
+    return _sources(spark, sf).select("conv_id", "turn", F.length("src").alias("n"), code.shortened(F.col("src"), 400).alias("short"))
 
 
 # --- probes, reports, streams ---
@@ -883,6 +924,50 @@ def ml_probe_lr(spark, sf):
     return probe.linear(table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y")), "vec_id")
 
 
+def _labelled(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"))
+
+
+#: Rates, penalties and losses of the grid: 48 configurations, 240 models with five folds.
+GRID = [{"rate": r, "penalty": w, "loss": k} for r in (0.02, 0.05, 0.1, 0.2) for w in (0.0, 0.001, 0.01, 0.1) for k in ("bce", "focal", "brier")]
+
+
+def _grid(spark, sf):
+    rows = folds.by_hash(_labelled(spark, sf), "vec_id")
+    return training.linear_grid(spark, rows, 5, GRID, width=64)[0]
+
+
+@query()
+def ml_grid(spark, sf):
+    return _grid(spark, sf)
+
+
+@query()
+def ml_grid_best(spark, sf):
+    return training.best_by_fold(_grid(spark, sf))
+
+
+def _line_probe(spark, sf):
+    """Vectors as tokens, four to a line and sixteen to a problem."""
+    e = _labelled(spark, sf).select(F.floor(F.col("vec_id") / 16).alias("problem"), F.floor(F.col("vec_id") / 4).alias("line"), F.col("vec_id").alias("place"), "embedding", "y")
+    problems = kept(spark, training.problem_rows(e, "problem", "line", "place"), "line-probe")
+    return problems, training.LineProbe(width=64)
+
+
+@query()
+def ml_line_probe(spark, sf):
+    problems, model = _line_probe(spark, sf)
+    parameters, _ = model.fit(problems)
+    return calibration.metrics(model.predict(problems, parameters), ["level"])
+
+
+@query()
+def ml_line_probe_losses(spark, sf):
+    problems, model = _line_probe(spark, sf)
+    _, losses = model.fit(problems, steps=25, rate=0.003)
+    return spark.createDataFrame([(t, k, float(x)) for t, row in enumerate(losses) for k, x in enumerate(row)], "step int, fold int, loss double")
+
+
 @query()
 def ml_pooled_probe(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("line", F.floor(F.col("vec_id") / 4))

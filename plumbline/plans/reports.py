@@ -40,12 +40,28 @@ def rp_fold_table(spark, sf):
     return m.select("gen_model", *[text.fixed(F.round(100 * F.col(c), 2)).alias(c) for c in ("brier", "base_rate")])
 
 
-@query(f"""WITH {TOK}, l AS (SELECT dataset, p, CASE WHEN p < 0.5 THEN p + 0.1 ELSE p - 0.1 END AS q, y FROM tok), m AS (SELECT dataset, AVG((p - y) * (p - y)) AS raw, AVG((q - y) * (q - y)) AS shrunk FROM l GROUP BY 1)
-SELECT COALESCE(dataset, 'MEAN') AS held_out, ROUND(AVG(raw), 6) AS raw, ROUND(AVG(shrunk), 6) AS shrunk, ROUND(AVG(raw - shrunk), 6) AS gain FROM m GROUP BY ROLLUP (dataset)""")
+_LEFT_OUT = f"""lv AS (SELECT 'token' AS level, dataset, p, y FROM tok UNION ALL SELECT 'line', dataset, ROUND(AVG(p), 6), MIN(y) FROM tok GROUP BY dataset, problem_id, line_id),
+own AS (SELECT level, dataset, p, COUNT(*) AS n, SUM(y) AS pos FROM lv GROUP BY 1, 2, 3),
+train AS (SELECT o.level || '/' || d.dataset AS g, p, SUM(n) AS n, SUM(pos) AS pos FROM own o JOIN (SELECT DISTINCT level, dataset FROM lv) d ON o.level = d.level AND o.dataset <> d.dataset GROUP BY 1, 2), {_newton_sql('train', 'g')},
+s AS (SELECT level, dataset, p, y, 1 / (1 + EXP(-(a * {_LOGIT} + b))) AS q FROM lv JOIN z{rescale.STEPS} z ON z.g = level || '/' || dataset),
+m AS (SELECT level, dataset, COUNT(*) AS n, AVG((p - y) * (p - y)) AS raw, AVG((q - y) * (q - y)) AS scaled, AVG(CAST(y AS DOUBLE)) AS base_rate FROM s GROUP BY 1, 2)"""
+
+
+def _left_out(spark, sf):
+    """Tokens and lines (their mean) of each dataset, scaled by what the other datasets teach, and the Brier scores of both."""
+    t = views.pred(spark, sf).select("dataset", "problem_id", "line_id", "p", "y")
+    line = t.groupBy("dataset", "problem_id", "line_id").agg(F.round(F.avg("p"), 6).alias("p"), F.min("y").alias("y"))
+    both = tables.tagged_union({"token": t.select("dataset", "p", "y"), "line": line.select("dataset", "p", "y")}, "level")
+    scaled = rescale.leave_one_out(both, ["level"], "dataset")
+    return scaled.groupBy("level", "dataset").agg(F.count("*").alias("n"), expr.brier(F.col("p"), F.col("y")).alias("raw"), expr.brier(F.col("scaled"), F.col("y")).alias("scaled"), F.avg(F.col("y").cast("double")).alias("base_rate"))
+
+
+@query(f"""WITH {TOK}, {_LEFT_OUT}
+SELECT level, COALESCE(dataset, 'MEAN') AS held_out, CAST(SUM(n) AS BIGINT) AS n, ROUND(AVG(base_rate), 6) AS base_rate, ROUND(AVG(raw), 6) AS raw, ROUND(AVG(scaled), 6) AS scaled, ROUND(AVG(raw - scaled), 6) AS gain, ROUND(AVG(1 - scaled / (base_rate * (1 - base_rate))), 6) AS skill FROM m GROUP BY GROUPING SETS ((level, dataset), (level))""")
 def rp_robustness(spark, sf):
-    t = views.pred(spark, sf).select("dataset", "p", expr.shrink(F.col("p"), 0.1).alias("q"), "y")
-    m = t.groupBy("dataset").agg(expr.brier(F.col("p"), F.col("y")).alias("raw"), expr.brier(F.col("q"), F.col("y")).alias("shrunk"))
-    return m.rollup("dataset").agg(F.avg("raw").alias("raw"), F.avg("shrunk").alias("shrunk"), F.avg(F.col("raw") - F.col("shrunk")).alias("gain")).withColumn("dataset", F.coalesce("dataset", F.lit("MEAN"))).withColumnRenamed("dataset", "held_out")
+    skill = F.avg(1 - F.col("scaled") / (F.col("base_rate") * (1 - F.col("base_rate"))))
+    made = _left_out(spark, sf).groupingSets([["level", "dataset"], ["level"]], "level", "dataset").agg(F.sum("n").alias("n"), F.avg("base_rate").alias("base_rate"), F.avg("raw").alias("raw"), F.avg("scaled").alias("scaled"), F.avg(F.col("raw") - F.col("scaled")).alias("gain"), skill.alias("skill"))
+    return made.withColumn("dataset", F.coalesce("dataset", F.lit("MEAN"))).withColumnRenamed("dataset", "held_out")
 
 
 @query(f"""WITH {TOK}, k AS (SELECT dataset, problem_id, line_id, MIN(y) AS y FROM tok GROUP BY 1, 2, 3), n AS (SELECT dataset, CAST(COUNT(DISTINCT problem_id) AS DOUBLE) AS n FROM k GROUP BY 1),
@@ -467,16 +483,6 @@ def src_seeded_take(spark, sf):
     return joined.select("doc_id", F.col("_key").alias("key"), F.when(F.col("toxic") == 1, "fail").otherwise(F.substring("text", 1, 20)).alias("fix"))
 
 
-@query("SELECT * FROM (VALUES ('lit-1', 'My color is blue.', 'My color is red.', FALSE)) t(problem_id, base_text, fix_text, base_success)")
-def src_literal_row(spark, sf):
-    return tables.literal_problem(spark, "lit-1", "My color is blue.", "My color is red.", False)
-
-
-@query("SELECT i AS problem_id, ROUND(CAST(('0x' || substr(md5(CAST(i AS VARCHAR) || ':7'), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE), 6) AS p, CAST(('0x' || substr(md5(CAST(i AS VARCHAR) || ':8'), 1, 8)) AS BIGINT) % 2 AS y FROM (SELECT UNNEST(range(1000)) AS i) r")
-def src_synthetic(spark, sf):
-    return tables.synthetic_predictions(spark, 1000, seed=7)
-
-
 # --- candidates ---
 
 _PROVIDERS = "g AS (SELECT problem_id, 'truth' AS adder, MIN(distance) AS distance FROM cand GROUP BY 1), s AS (SELECT problem_id, 'solver' AS adder, MIN(distance) AS distance FROM cand WHERE passed_filters > 0 GROUP BY 1), u AS (SELECT * FROM g UNION ALL SELECT * FROM s)"

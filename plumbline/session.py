@@ -54,3 +54,10 @@ def importable(spark: SparkSession) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a written table in the shared folder: it is worked out once, and a lost executor costs only its tasks."""
+    path = shared_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

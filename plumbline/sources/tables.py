@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,14 +43,59 @@ def config_key(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def materialize(spark: SparkSession, folder: str, config: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that this configuration made before, or else make and keep it."""
-    path = f"{folder.rstrip('/')}/{config_key(config)}"
+def materialize(spark: SparkSession, folder: str, config: dict, make: Callable[[], DataFrame], fuller: Sequence[tuple[dict, Callable[[DataFrame], DataFrame]]] = ()) -> DataFrame:
+    """The table that this configuration made before; else what a fuller configuration's table is cut down to; else make. What is new is kept.
+
+    fuller: configurations whose tables hold all that is asked, each with what
+    cuts its table down; the first that is there serves, and its key stands
+    beside the new table (`derived_from`). A table appears under its name only
+    when it is whole: of several writers the first to finish gives the table,
+    the others' copies go.
+    """
+    path = _kept_at(folder, config)
     if not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
+        parent = next(((c, cut) for c, cut in fuller if exists(spark, f"{_kept_at(folder, c)}/_SUCCESS")), None)
+        made = make() if parent is None else parent[1](spark.read.parquet(_kept_at(folder, parent[0])))
+        draft = f"{folder.rstrip('/')}/.draft-{uuid.uuid4().hex}"
+        made.write.option("parquet.summary.metadata.level", "NONE").parquet(draft)
+        note = {"config": config, "derived_from": None if parent is None else config_key(parent[0])}
+        spark.createDataFrame([(json.dumps(note, sort_keys=True, default=str),)], "note string").coalesce(1).write.text(f"{draft}/_derivation")
+        if not _renamed(spark, draft, path):
+            _removed(spark, draft)
     return spark.read.parquet(path)
 
 
+def derived_from(spark: SparkSession, folder: str, config: dict) -> str | None:
+    """The key of the fuller configuration from whose table this one's was cut; None if it was made as such."""
+    note = spark.read.text(f"{_kept_at(folder, config)}/_derivation").first()[0]
+    return json.loads(note)["derived_from"]
+
+
+def _kept_at(folder: str, config: dict) -> str:
+    return f"{folder.rstrip('/')}/{config_key(config)}"
+
+
+def _renamed(spark: SparkSession, old: str, new: str) -> bool:
+    """Give a folder its name, if no other has that name: one step for all who look."""
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    source, target = hadoop.Path(old), hadoop.Path(new)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(files.makeQualified(source), files.makeQualified(target), options)
+        return True
+    except Py4JJavaError:
+        if files.exists(target):
+            return False
+        raise
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def tagged_union(parts: dict[str, DataFrame], tag: str = "src") -> DataFrame:
     """All rows of the parts, each with the part's name; columns that a part lacks are null."""
     out: DataFrame | None = None
@@ -85,9 +132,13 @@ def zipped(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def looked_up(asked: DataFrame, known: DataFrame, name: str, key: str, value: str, clean: Callable[[Column], Column]) -> DataFrame:
-    """asked with the value of its exact key, or else of its cleaned key, and `how` it was found; the rows keep their own order column."""
-    exact = known.select(F.col(key).alias(name), F.col(value).alias("_exact"))
-    cleaned = known.select(clean(F.col(key)).alias(name), F.col(value).alias("_cleaned"))
+    """asked with the value of its exact key, or else of its cleaned key, and `how` it was found; the rows keep their own order column.
+
+    Of several rows of known with the same key, or the same cleaned key, the
+    least value counts, so that no row of asked comes twice.
+    """
+    exact = known.groupBy(F.col(key).alias(name)).agg(F.min(value).alias("_exact"))
+    cleaned = known.groupBy(clean(F.col(key)).alias(name)).agg(F.min(value).alias("_cleaned"))
     both = asked.join(exact, name, "left").join(cleaned, name, "left")
     return both.withColumn(value, F.coalesce("_exact", "_cleaned")).withColumn("how", F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_cleaned").isNotNull(), "cleaned").otherwise("none")).drop("_exact", "_cleaned")
 
