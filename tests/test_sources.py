@@ -65,3 +65,57 @@ def test_splits_cover(spark):
 def test_shifted(spark):
     df = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0])], "k long, pos long, embedding array<double>")
     assert sorted(r.embedding for r in probe.shifted(df, "k", "pos").collect()) == [[1.0, 0.0], [2.0, 1.0]]
+
+
+def test_a_fuller_result_is_cut_down(spark, tmp_path):
+    folder = str(tmp_path)
+    never = lambda: pytest.fail("made anew")
+    full, dev = {"data": "d", "dev": False}, {"data": "d", "dev": True}
+    cut = lambda df: tables.dev_sample(df, "id", 0.3)
+    assert tables.materialize(spark, folder, full, lambda: spark.range(1000)).count() == 1000
+    small = tables.materialize(spark, folder, dev, never, [({"data": "other"}, cut), (full, cut)])
+    assert 200 < small.count() < 400 and tables.derived_from(spark, folder, dev) == tables.config_key(full)
+    assert tables.derived_from(spark, folder, full) is None
+    again = tables.materialize(spark, folder, dev, never, [(full, lambda df: df)])
+    assert sorted(again.collect()) == sorted(small.collect())
+    made = tables.materialize(spark, folder, {"data": "new"}, lambda: spark.range(5), [({"data": "none"}, cut)])
+    assert made.count() == 5 and tables.derived_from(spark, folder, {"data": "new"}) is None
+
+
+def test_of_two_writers_one_gives_the_table(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    both = Barrier(2)
+
+    def write(n):
+        def make():
+            both.wait(60)
+            return spark.range(n)
+
+        return tables.materialize(spark, str(tmp_path), {"x": 1}, make).count()
+
+    with ThreadPoolExecutor(2) as pool:
+        got = set(pool.map(write, (10, 20)))
+    assert len(got) == 1 and got < {10, 20} or got in ({10}, {20})
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".draft") and not p.name.endswith(".crc")]
+
+
+def test_lookups_give_one_row_each(spark):
+    asked = spark.createDataFrame([(1, "a b"), (2, "A B"), (3, "none"), (4, None), (5, "a b")], "seq int, name string")
+    known = spark.createDataFrame([("A B", 7), ("A B", 5), ("a  b", 1), ("A  B", 2)], "key string, value int")
+    clean = lambda k: F.lower(F.regexp_replace(k, " +", " "))
+    got = sorted((r.seq, r.value, r.how) for r in tables.looked_up(asked, known, "name", "key", "value", clean).collect())
+    assert got == [(1, 1, "cleaned"), (2, 5, "exact"), (3, None, "none"), (4, None, "none"), (5, 1, "cleaned")]
+
+
+def test_typed_and_synthetic_problems(spark):
+    assert tuple(tables.literal_problem(spark, "lit-1", "blue", "red", False).first()) == ("lit-1", "blue", "red", False)
+    rows = tables.synthetic_predictions(spark, 1000).collect()
+    assert len(rows) == 1000 and all(0 <= r.p < 1 and r.y in (0, 1) for r in rows) and 0.4 < sum(r.p for r in rows) / 1000 < 0.6
+
+
+def test_tags_on_some_rows(spark):
+    df = ledger.tag(ledger.with_ledger(spark.range(4)), "odd", d=F.col("id"), when=F.col("id") % 2 == 1)
+    df = ledger.tag(df, F.concat(F.lit("t"), F.col("id")), when=F.when(F.col("id") > 2, True))
+    assert sorted(map(tuple, ledger.tag_counts(df, "id").collect())) == [("odd", 2, 2, 2.0), ("t3", 1, 1, None)]

@@ -56,3 +56,29 @@ def test_nesting_matches_a_loop(spark, pieces):
         expected.append(level)
         level = max(0, level + (t in tokens.OPEN) - (t in tokens.CLOSE))
     assert got == expected
+
+
+def test_shortened_is_the_plain_loop(spark):
+    functions = [f"def f{i}(x):\n    '''doc {i}'''\n    y = x + {i}\n    return y * {i}\n" for i in range(90)]
+    whole = "\n".join(functions)
+    separator = "\n... ELIDED ...\n"
+
+    def plain(text, budget):
+        """Fewer and fewer of the last functions keep their bodies; then the middle goes."""
+        k, names = 64, [f"f{i}" for i in range(text.count("def f"))]
+        while len(text) > budget and k > 4:
+            names = names[-k:]
+            text = code.elide(text, frozenset(names))
+            k //= 2
+        if len(text) > budget:
+            room = budget - len(separator) - 2
+            text = text[: int(room * 0.2)] + separator + text[len(text) - (room - int(room * 0.2)) :]
+        return text
+
+    for budget in (10, 60, 500, 3000, 4500, 5500, 6000, 9000):
+        if budget <= len(separator) + 2:
+            continue
+        df = spark.createDataFrame([(whole,), ("\n".join(functions[:9]),), ("x" * 7000,), ("",), (None,)], "s string")
+        got = [r[0] for r in df.select(code.shortened(F.col("s"), budget)).collect()]
+        assert got == [plain(whole, budget), plain("\n".join(functions[:9]), budget), plain("x" * 7000, budget), "", None]
+        assert all(len(x) <= budget for x in got if x is not None)
