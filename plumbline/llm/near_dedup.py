@@ -21,7 +21,7 @@ TREES, DEPTH = 20, 8
 MISS = 1e-4
 #: Documents of a candidate group that one task compares at a time.
 BLOCK = 128
-#: A candidate group of more documents than this is a crowded region, in which a longer common prefix is asked.
+#: A candidate group of more documents than this is a crowded region, whose documents are first compared by longer common prefixes.
 CROWD = 1024
 
 
@@ -130,28 +130,28 @@ def _common(x: bytes, y: bytes) -> int:
     return next((i for i in range(len(x) // 2) if x[2 * i : 2 * i + 2] != y[2 * i : 2 * i + 2]), len(x) // 2)
 
 
-def _candidate_groups(edges: DataFrame, scratch: Scratch, least: int, depth: int, crowd: int) -> DataFrame:
-    """(id, c): candidate groups, each region at its own depth.
+def _regions(edges: DataFrame, scratch: Scratch, least: int, depth: int, crowd: int) -> DataFrame:
+    """(id, c, region): the candidate group of each document, and the part of it that is compared first, each region at its own depth.
 
-    First all links count, whose common prefix is `least` or more. A group of
-    more than `crowd` documents is a crowded region: there links count only from
-    a prefix half way down, and then from the whole key, so chains of unlike
-    documents fall apart, while near-duplicates hold together by some order. A
-    document that has no link left leaves its group.
+    A group are all documents that links with a common prefix of `least` or
+    more join. In a group of more than `crowd` documents only links from a
+    prefix half way down count for the regions, and then from the whole key, so
+    that chains of unlike documents fall apart; what has no link left is a
+    region of its own. Links between regions are looked for by _across.
     """
-    groups = scratch.keep(components(edges.select("a", "b"), scratch).select(F.col("node").alias("id"), F.col("root").alias("c")), "groups")
-    done: list[DataFrame] = []
+    joined = lambda links: scratch.keep(components(links.select("a", "b"), scratch).select(F.col("node").alias("id"), F.col("root").alias("c")), "groups")
+    groups = joined(edges)
+    regions = groups.select("id", F.col("c").alias("region"))
     for at in sorted({(least + depth + 1) // 2, depth} - {least}):
-        crowded = groups.groupBy("c").count().where(F.col("count") > crowd).select("c")
+        crowded = regions.groupBy("region").count().where(F.col("count") > crowd).select("region")
         if not crowded.take(1):
             break
-        inside = scratch.keep(groups.join(crowded, "c", "left_semi").select("id"), "crowded")
-        done.append(groups.join(crowded, "c", "left_anti"))
-        edges = scratch.keep(edges.where(F.col("common") >= at).join(inside.withColumnRenamed("id", "a"), "a", "left_semi"), "deeper")
-        groups = scratch.keep(components(edges.select("a", "b"), scratch).select(F.col("node").alias("id"), F.col("root").alias("c")), "groups")
-    for part in done:
-        groups = groups.union(part.select("id", "c"))
-    return groups
+        inside = scratch.keep(regions.join(crowded, "region", "left_semi"), "crowded")
+        edges = scratch.keep(edges.where(F.col("common") >= at).join(inside.select(F.col("id").alias("a")), "a", "left_semi"), "deeper")
+        deeper = joined(edges).withColumnRenamed("c", "deeper")
+        parts = inside.join(deeper, "id", "left").select("id", F.coalesce("deeper", "id").alias("region"))
+        regions = scratch.keep(regions.join(crowded, "region", "left_anti").select("id", "region").union(parts), "regions")
+    return groups.join(regions, "id")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -220,6 +220,117 @@ def _compare(tasks: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return rows.select("c", "i", "j", "id", "text").mapInArrow(_confirm(width, percent), "a long, b long").where("a != b")
 
 
+#: Counters of shingles by which crowded groups order theirs: only how well it works hangs on their number.
+COUNTERS = 1 << 20
+
+
+def _shingle_sets(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return distinct_sorted(*shingles(*word_hashes(part.column("text")), width))
+
+
+def _counters(texts: DataFrame, width: int) -> np.ndarray:
+    """How many documents have a shingle, by the last bits of its hash: COUNTERS numbers, summed by tasks and then by a shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    total += np.bincount((_shingle_sets(part, width)[0] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    sums = texts.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _first_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, n, at, token): of each document, its set put in the order of rising counts, the first shingles; of two linked documents these have one in common.
+
+    A link needs percent * (n + m) / (100 + percent) common shingles, thus at
+    least percent * n / 100 of the larger set, which can't all come behind the
+    first n - that + 1.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(_counters(texts, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    values, bounds = _shingle_sets(part, width)
+                    often = counts.value[(values & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                    owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                    order = np.lexsort((values, often, owner))
+                    n = np.diff(bounds)[owner]
+                    at = np.arange(len(values)) - bounds[:-1][owner]
+                    first = at < n - (-(-percent * n // 100)) + 1
+                    ids = part.column("id").to_numpy(zero_copy_only=False)
+                    columns = [ids[owner[first]], n[first], at[first], values[order][first].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "n", "at", "token"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, at long, token long")
+
+
+def _star(width: int, percent: int) -> Callable:
+    """Rows (id, text) sorted by (c, i, j), those of c itself first -> the links between c and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre, found = None, [], []
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    values, bounds = _shingle_sets(part, width)
+                    keys = zip(*(part.column(k).to_pylist() for k in ("c", "i", "j", "id")), strict=True)
+                    for n, (c, i, j, doc) in enumerate(keys):
+                        mine = values[bounds[n] : bounds[n + 1]]
+                        if (c, i) != key:
+                            key, centre = (c, i), []
+                        if j == 0:
+                            centre.append(mine)
+                        elif any(linked([x, mine], percent)[1] == 0 for x in centre if len(x) and len(mine)):
+                            found.append((doc, c))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"])
+                        found = []
+
+    return run
+
+
+def _across(crowd: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int, block: int) -> DataFrame:
+    """All links (a, b) between documents of a group that lie in different parts; crowd: (id, c, root, rest), texts: theirs.
+
+    Of two parts one at least is not the group's largest (rest). Pairs come
+    from common first shingles, with the bounds that sizes and places set on
+    what two sets can have in common: the smaller set is asked with fewer
+    shingles (percent * 2 n / (100 + percent) would have to come behind them).
+    So documents that share a template but not their rare shingles never meet.
+    Each pair is compared on its full sets, in tasks of `block` partners at most.
+    """
+    rows = scratch.keep(_first_shingles(texts, width, percent).join(crowd.withColumnsRenamed({"c": "group"}).hint("merge"), "id"), "first-shingles")
+    need = lambda n: F.ceil(n * percent / (100 + percent))
+    small = rows.where(F.col("at") <= F.col("n") - need(2 * F.col("n"))).select("group", "token", *[F.col(c).alias(f"s_{c}") for c in ("id", "n", "at", "root", "rest")])
+    large = rows.select("group", "token", *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "at", "root", "rest")])
+    both = need(F.col("s_n") + F.col("l_n"))
+    fits = (
+        (F.struct("s_n", "s_id") < F.struct("l_n", "l_id"))
+        & (F.col("s_root") != F.col("l_root"))
+        & (100 * F.col("s_n") >= percent * F.col("l_n"))
+        & (F.col("s_n") - F.col("s_at") >= both)
+        & (F.col("l_n") - F.col("l_at") >= both)
+    )
+    met = [x.join(y, ["group", "token"]).where(fits) for x, y in ((small.where("s_rest"), large), (small.where("not s_rest"), large.where("l_rest")))]
+    own = F.col("s_rest") & (~F.col("l_rest") | (F.col("s_id") < F.col("l_id")))
+    pairs = met[0].union(met[1]).select(F.when(own, F.col("s_id")).otherwise(F.col("l_id")).alias("c"), F.when(own, F.col("l_id")).otherwise(F.col("s_id")).alias("id")).distinct()
+    pairs = scratch.keep(pairs, "pairs")
+    many = pairs.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = pairs.join(many, "c").select("id", "c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("j"))
+    centres = many.select(F.col("c").alias("id"), "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"))
+    tasks = texts.select("id", "text").join(dealt.union(centres).hint("merge"), "id").repartition("c", "i").sortWithinPartitions("c", "i", "j", "id")
+    return tasks.select("c", "i", "j", "id", "text").mapInArrow(_star(width, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -232,15 +343,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: i
     1. Equal sets are collapsed into their smallest id by a hash of the set.
     2. The forest: `trees` orders, each sorting documents by `depth` MinHash
        values; neighbours whose common prefix has `least_depth` values or more
-       are candidates. The components of all candidates are candidate groups;
-       those of more than `crowd` documents are taken apart again by longer
-       prefixes. A pair at the threshold is missed with chance MISS, and with
-       (1 - t ** depth) ** trees (0.0017 for t = 0.85, 0.03 for 0.8) if no
-       shorter path of links joins it and it lies in a crowded region.
-    3. Each group is compared on its full sets in one task. A group of more
-       than `block` documents is dealt into blocks that all hold the group's
-       smallest document; what that doesn't join to the group's largest part
-       is then compared with every block. No cap drops a comparison.
+       are candidates, and the components of all candidates are groups. A pair
+       at the threshold is missed with chance MISS, in a group of any size. A
+       group of more than `crowd` documents is taken apart into regions by
+       longer prefixes.
+    3. Each region is compared on its full sets in one task; one of more than
+       `block` documents is dealt into blocks that all hold its smallest one.
+    4. In a group of more than `block` documents the links between the parts
+       that step 3 gives are found by common rare shingles (_across), which
+       misses none. No cap drops a comparison.
 
     Null and empty texts have no set: n_shingles 0, linked with nothing. A null
     id is linked with nothing either (component_id null, kept false). Repeated
@@ -254,34 +365,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: i
     reps = scratch.keep(features.where("h1 is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min("sig").alias("sig")), "classes")
 
     edges = _forest_edges(reps.select("id", "sig"), scratch, trees, depth, least)
-    groups = scratch.keep(_candidate_groups(edges, scratch, least, depth, crowd), "candidates")
-    sizes = groups.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    large = scratch.keep(sizes.where("blocks > 1"), "large")
+    groups = scratch.keep(_regions(edges, scratch, least, depth, crowd), "candidates")
+    sizes = groups.groupBy("region").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n"))
+    members = groups.join(sizes, "region").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).where("n > 1")
+    # the smallest id of a region stands in all its blocks
+    tasks = members.select("id", F.col("region").alias("c"), F.explode(F.when(F.col("id") == F.col("region"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("i"))).alias("i"), F.lit(0).alias("j"))
+    large = scratch.keep(groups.groupBy("c").count().where(F.col("count") > block).select("c"), "large")
     some_large = bool(large.take(1))
-    members = groups
-    if some_large:
-        members = groups.join(large, "c", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    else:
-        members = groups.withColumn("blocks", F.lit(1))
-    members = members.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # the smallest id of a group stands in all blocks
-    tasks = members.select("id", "c", F.explode(F.when(F.col("id") == F.col("c"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("i"))).alias("i"), F.lit(0).alias("j"))
     wanted = texts.where("id is not null")
-    if some_large:  # the texts of crowded groups are read once more
-        wanted = scratch.keep(wanted.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
-    links = scratch.keep(_compare(tasks, wanted, width, percent), "links")
+    if some_large:  # the texts of large groups are read again
+        crowded = scratch.keep(groups.join(large, "c", "left_semi").select("id", "c"), "crowd")
+        in_crowd = crowded.select("id", F.lit(True).alias("crowded"))
+        wanted = wanted.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").join(in_crowd, "id", "left")
+        wanted = scratch.keep(wanted, "texts")
+    links = scratch.keep(_compare(tasks, wanted.select("id", "text"), width, percent), "links")
     if some_large:
-        crowd = scratch.keep(members.where("blocks > 1"), "crowd")
-        part = components(links.join(crowd.select(F.col("id").alias("a")).distinct(), "a", "left_semi"), scratch)
-        part = crowd.join(part.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        part = scratch.keep(part, "parts")
+        part = components(links.join(crowded.select(F.col("id").alias("a")), "a", "left_semi"), scratch)
+        part = scratch.keep(crowded.join(part.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "parts")
         most = part.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        rest = part.join(most, "c").where("root != main").select("id", "c")
-        again = rest.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("rests"))
-        rest = rest.join(again, "c").select("id", "c", F.pmod(F.xxhash64("id", F.lit(1)), F.col("rests")).cast("int").alias("j"))
-        every = crowd.join(again, "c").select("id", "c", "i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("j"))
-        spread = rest.join(large, "c").select("id", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "j")
-        links = scratch.keep(links.union(_compare(every.union(spread).distinct(), wanted, width, percent)), "links")
+        spread = part.join(most, "c").select("id", "c", "root", (F.col("root") != F.col("main")).alias("rest"))
+        links = scratch.keep(links.union(_across(spread, wanted.where("crowded"), scratch, width, percent, block)), "links")
     roots = components(links, scratch).select(F.col("node").alias("id"), "root")
     classes = reps.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
     return (

@@ -91,6 +91,48 @@ def test_linked():
     assert least_depth(0.85) == 6
 
 
+def chain(rng, n, words, step):
+    """Texts of distinct words; each has all but `step` of its words from the one before."""
+    fresh = iter(range(10**9))
+    text = [f"w{next(fresh)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        out.append(" ".join(text))
+        text = text[step:] + [f"w{next(fresh)}" for _ in range(step)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("percent", "words", "step", "crowd", "block"), [(80, 60, 6, 20, 16), (85, 60, 4, 64, 128)])
+def test_chains_hold_in_crowded_regions(spark, make_docs, percent, words, step, crowd, block):
+    """Neighbours of the chain are just over the threshold; no two others are."""
+    texts = chain(random.Random(3), 140, words, step)
+    n = words - 4
+    assert 100 * (n - step) >= percent * (n + step) and 100 * (n - 2 * step) < percent * (n + 2 * step)
+    got = {r.component_id for r in near_duplicates(make_docs(texts), percent, crowd=crowd, block=block).collect()}
+    assert got == {0}
+
+
+@pytest.mark.parametrize("percent", [80])
+def test_templates_and_copies_in_crowded_regions_are_all_pairs(spark, make_docs, percent):
+    """Texts of one template, most of them under the threshold, some over it, and chains of both."""
+    rng = random.Random(percent)
+    template = prose(rng, 25).split()
+    texts = []
+    for k in range(260):
+        own = template[:]
+        for at in rng.sample(range(0, len(own) - 3, 4), rng.choice([1, 2, 4, 6, 8])):
+            own[at] = f"u{rng.randrange(30 if k % 2 else 10**6)}"
+        texts.append(" ".join(own))
+    texts += chain(rng, 40, 50, 5)
+    texts += [edited(rng, t, 1) for t in texts[:20]]
+    want = brute(dict(enumerate(texts)), percent)
+    for crowd, block in ((30, 8),):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make_docs(texts), percent, crowd=crowd, block=block).collect()}
+        assert got == want
+    assert 5 < len({c for _, c in want.values()}) < 250
+
+
 def test_chained_templates_fall_apart_in_crowded_regions(spark, make_docs):
     """Texts that each share half of their words with the next chain into one region; only the close pairs among them are linked."""
     rng = random.Random(11)
