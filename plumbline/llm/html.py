@@ -33,11 +33,15 @@ NOISE_WORDS = frozenset(
 PLAIN_WORDS = frozenset("area bar block body box container content count form inner item left link links list main message outer panel reader right section site thread top user widget widgets wrap wrapper".split())
 ARTICLE = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that are text themselves, where others only hold some.
+PARAGRAPHS = frozenset("p blockquote pre ul ol dl table figure".split())
 
 #: Part of its density that a node with a noise name counts with.
 PENALTY = 0.1
 #: A name that could as well be a wrapper's is only believed of a node with less than this part of the page's unlinked text.
 WRAPPER = 0.5
+#: A block beside the heart that is no paragraph belongs to the article if its children's densities sum to this part of the heart's sum.
+KIN = 0.2
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -215,12 +219,12 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
 
 
 def _measure(nodes: list[Node]) -> float:
-    """The composite density of every node, and the sum of its children's, where noise counts less. Returns the links' share in the page."""
+    """The composite density of every node, and the sum of its block children's, where noise counts less. Returns the links' share in the page."""
     root = nodes[0]
     share = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
         node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
-        if node.up is not None:
+        if node.up is not None and node.tag not in INLINE:
             node.up.total += node.density * (PENALTY if node.noise else 1.0)
     return share
 
@@ -245,18 +249,17 @@ def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by one space, white space within them as one space.
 
     1. Every node's density is measured. Names (elements, roles, classes, ids)
-       choose nothing by themselves: a node that they call a menu, an advert,
-       comments and the like adds PENALTY of its density to its parent's sum;
-       a name that may be a wrapper's isn't believed of half the page.
-    2. The heart is the node, noise apart, with the largest sum of its children's
-       densities; of several, the first in page order. An article or main element that
-       holds most of a heart's unlinked text takes its place.
+       choose nothing: a node that they call a menu, an advert, comments and
+       the like adds PENALTY of its density to its parent's sum; a name that may
+       be a wrapper's isn't believed of half the page. An article or main
+       element counts as any other.
+    2. The heart is the node, noise apart, with the largest sum of its block
+       children's densities; of several, the first in page order.
     3. The least density on the heart's path to the body is the threshold. The
-       heart's text is the article; beside the path, so are headings, blocks
-       that reach the threshold, and the direct texts of nodes on the path (those
-       of the body if they reach it), unless they are links mostly. An article
-       or main element on the path bounds this, and within it nothing is too
-       thin.
+       heart's text is the article; beside the path, so are headings, paragraphs
+       that reach the threshold, other blocks that reach it and whose own sum is
+       KIN of the heart's at least, and the direct texts of nodes on the path
+       (those of the body if they reach it), unless they are links mostly.
     Noise within all this is left out. A page of noise only has no text.
     """
     if not page:
@@ -269,26 +272,22 @@ def main_text(page: str | None) -> str:
     heart = max((n for n in nodes if not n.noise), key=lambda n: (n.total, -place[id(n)]))  # the root is never noise
     if not heart.total:
         heart = root
-    plain = lambda n: n.chars - n.link_chars
-    inner = [n for n in _order(heart) if n.tag in ARTICLE and not n.noise and 2 * plain(n) > plain(heart)]
-    heart = inner[0] if inner else heart
     path = [heart]
     while path[-1].up is not None:
         path.append(path[-1].up)
     around = {id(n) for n in path}
     threshold = min(n.density for n in path)
-    bound = next((n for n in path if n.tag in ARTICLE), None)
     out: list[str] = []
-    stack: list[tuple[Node | list[Node | str], bool]] = [(bound or root, bound is not None)]
+    stack: list[Node | list[Node | str]] = [root]
     while stack:
-        node, thin = stack.pop()
+        node = stack.pop()
         if isinstance(node, list):
             _texts(node, out)
             out.append("\n")
         elif node is heart:
-            stack.append((node.parts, thin))
+            stack.append(node.parts)
         elif id(node) in around:
-            runs: list[tuple[Node | list[Node | str], bool]] = []
+            runs: list[Node | list[Node | str]] = []
             run: list[Node | str] = []
             for part in [*node.parts, None]:
                 if isinstance(part, str) or part is not None and part.tag in INLINE and id(part) not in around:
@@ -296,15 +295,15 @@ def main_text(page: str | None) -> str:
                     continue
                 chars = sum(len("".join(p.split())) if isinstance(p, str) else p.chars for p in run)
                 links = sum(p.link_chars for p in run if isinstance(p, Node))
-                if 2 * links < chars and (thin or node is not root or _density(chars, sum(isinstance(p, Node) for p in run), links, 0, share) >= threshold):
-                    runs.append((run, thin))
+                if 2 * links < chars and (node is not root or _density(chars, sum(isinstance(p, Node) for p in run), links, 0, share) >= threshold):
+                    runs.append(run)
                 run = []
                 if part is None:
                     continue
                 if id(part) in around:
-                    runs.append((part, thin))
-                elif part.chars and not part.noise and 2 * part.link_chars < part.chars and (thin or part.tag in HEADINGS or part.density >= threshold):
-                    runs.append(([part], thin))
+                    runs.append(part)
+                elif part.chars and not part.noise and 2 * part.link_chars < part.chars and (part.tag in HEADINGS or part.density >= threshold and (part.tag in PARAGRAPHS or part.total >= KIN * heart.total)):
+                    runs.append([part])
             stack += reversed(runs)
     return " ".join(html.unescape("".join(out)).split())
 

@@ -146,12 +146,12 @@ def _regions(edges: DataFrame, scratch: Scratch, least: int, depth: int, crowd:
         crowded = regions.groupBy("region").count().where(F.col("count") > crowd).select("region")
         if not crowded.take(1):
             break
-        inside = scratch.keep(regions.join(crowded, "region", "left_semi"), "crowded")
-        edges = scratch.keep(edges.where(F.col("common") >= at).join(inside.select(F.col("id").alias("a")), "a", "left_semi"), "deeper")
+        inside = scratch.keep(regions.join(crowded.hint("merge"), "region", "left_semi"), "crowded")
+        edges = scratch.keep(edges.where(F.col("common") >= at).join(inside.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi"), "deeper")
         deeper = joined(edges).withColumnRenamed("c", "deeper")
-        parts = inside.join(deeper, "id", "left").select("id", F.coalesce("deeper", "id").alias("region"))
-        regions = scratch.keep(regions.join(crowded, "region", "left_anti").select("id", "region").union(parts), "regions")
-    return groups.join(regions, "id")
+        parts = inside.join(deeper.hint("merge"), "id", "left").select("id", F.coalesce("deeper", "id").alias("region"))
+        regions = scratch.keep(regions.join(crowded.hint("merge"), "region", "left_anti").select("id", "region").union(parts), "regions")
+    return groups.join(regions.hint("merge"), "id")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -320,12 +320,12 @@ def _across(crowd: DataFrame, texts: DataFrame, scratch: Scratch, width: int, pe
         & (F.col("s_n") - F.col("s_at") >= both)
         & (F.col("l_n") - F.col("l_at") >= both)
     )
-    met = [x.join(y, ["group", "token"]).where(fits) for x, y in ((small.where("s_rest"), large), (small.where("not s_rest"), large.where("l_rest")))]
+    met = [x.join(y.hint("merge"), ["group", "token"]).where(fits) for x, y in ((small.where("s_rest"), large), (small.where("not s_rest"), large.where("l_rest")))]
     own = F.col("s_rest") & (~F.col("l_rest") | (F.col("s_id") < F.col("l_id")))
     pairs = met[0].union(met[1]).select(F.when(own, F.col("s_id")).otherwise(F.col("l_id")).alias("c"), F.when(own, F.col("l_id")).otherwise(F.col("s_id")).alias("id")).distinct()
     pairs = scratch.keep(pairs, "pairs")
     many = pairs.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = pairs.join(many, "c").select("id", "c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("j"))
+    dealt = pairs.join(many.hint("merge"), "c").select("id", "c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("i"), F.lit(1).alias("j"))
     centres = many.select(F.col("c").alias("id"), "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"))
     tasks = texts.select("id", "text").join(dealt.union(centres).hint("merge"), "id").repartition("c", "i").sortWithinPartitions("c", "i", "j", "id")
     return tasks.select("c", "i", "j", "id", "text").mapInArrow(_star(width, percent), "a long, b long")
@@ -367,26 +367,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: i
     edges = _forest_edges(reps.select("id", "sig"), scratch, trees, depth, least)
     groups = scratch.keep(_regions(edges, scratch, least, depth, crowd), "candidates")
     sizes = groups.groupBy("region").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n"))
-    members = groups.join(sizes, "region").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).where("n > 1")
+    members = groups.join(sizes.hint("merge"), "region").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).where("n > 1")
     # the smallest id of a region stands in all its blocks
     tasks = members.select("id", F.col("region").alias("c"), F.explode(F.when(F.col("id") == F.col("region"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("i"))).alias("i"), F.lit(0).alias("j"))
     large = scratch.keep(groups.groupBy("c").count().where(F.col("count") > block).select("c"), "large")
     some_large = bool(large.take(1))
     wanted = texts.where("id is not null")
     if some_large:  # the texts of large groups are read again
-        crowded = scratch.keep(groups.join(large, "c", "left_semi").select("id", "c"), "crowd")
+        crowded = scratch.keep(groups.join(large.hint("merge"), "c", "left_semi").select("id", "c"), "crowd")
         in_crowd = crowded.select("id", F.lit(True).alias("crowded"))
-        wanted = wanted.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").join(in_crowd, "id", "left")
+        wanted = wanted.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").join(in_crowd.hint("merge"), "id", "left")
         wanted = scratch.keep(wanted, "texts")
     links = scratch.keep(_compare(tasks, wanted.select("id", "text"), width, percent), "links")
     if some_large:
-        part = components(links.join(crowded.select(F.col("id").alias("a")), "a", "left_semi"), scratch)
-        part = scratch.keep(crowded.join(part.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "parts")
+        part = components(links.join(crowded.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi"), scratch)
+        part = scratch.keep(crowded.join(part.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "parts")
         most = part.groupBy("c", "root").count().groupBy("c").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        spread = part.join(most, "c").select("id", "c", "root", (F.col("root") != F.col("main")).alias("rest"))
+        spread = part.join(most.hint("merge"), "c").select("id", "c", "root", (F.col("root") != F.col("main")).alias("rest"))
         links = scratch.keep(links.union(_across(spread, wanted.where("crowded"), scratch, width, percent, block)), "links")
     roots = components(links, scratch).select(F.col("node").alias("id"), "root")
-    classes = reps.select("h1", "h2", "id").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
+    classes = reps.select("h1", "h2", "id").join(roots.hint("merge"), "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("root"))
     return (
         features.select("id", "n", "h1", "h2")
         .join(classes.hint("merge"), ["h1", "h2"], "left")

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import time
 
 import pytest
@@ -112,7 +113,36 @@ def test_densities_by_definition():
         for node in nodes:
             assert math.isclose(node.density, _plain_density(node, share), abs_tol=1e-9)
             children = [p for p in node.parts if isinstance(p, html.Node)]
-            assert math.isclose(node.total, sum(c.density * (html.PENALTY if c.noise else 1) for c in children), abs_tol=1e-9)
+            assert math.isclose(node.total, sum(c.density * (html.PENALTY if c.noise else 1) for c in children if c.tag not in html.INLINE), abs_tol=1e-9)
+
+
+def _renamed(page):
+    """The page without classes, ids and roles, its article as a div."""
+    page = re.sub(r"""\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+    return re.sub(r"<(/?)(article|main)\b", r"<\1div", page, flags=re.I)
+
+
+def _nameless(page):
+    """Nor does any other element say what it is."""
+    return re.sub(r"<(/?)(nav|footer|header|aside|section|menu|form|dialog)\b", r"<\1div", _renamed(page), flags=re.I)
+
+
+def test_density_decides_on_whole_pages(spark, monkeypatch):
+    """What the pages' texts are with all names is what density alone finds without them; a constant in its place does not."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    texts = [main_text(p) for p in pages]
+    share = lambda change: sum(main_text(change(p)) == t for p, t in zip(pages, texts, strict=True)) / len(pages)
+    assert share(lambda p: re.sub(r"<(/?)(article|main)\b", r"<\1div", p, flags=re.I)) == 1
+    renamed = share(_renamed)
+    assert renamed >= 0.95 and share(_nameless) >= 0.9
+    monkeypatch.setattr(html, "_density", lambda chars, tags, link_chars, link_tags, share: float(chars > 0))
+    assert share(_renamed) < renamed and share(_nameless) < 0.7
+
+
+def test_sections_of_one_article_stay_together():
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
+    page = f"<body><div><ul>{links}</ul></div><div><div>{LONG}</div><div>{LONG}</div></div><div>A short line that isn't any part of it.</div></body>"
+    assert main_text(page) == f"{LONG_TEXT} {LONG_TEXT}"
 
 
 @pytest.mark.parametrize("piece", [("<b>", "</i>"), ("<div><a>", "</a>"), ("<p><i><b>", "<hr></i>"), ("<ul><li>", "<li>"), ("<b><div>", "</b>")])
