@@ -1,7 +1,10 @@
 """A pipeline from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents, and further columns of
+docs whatever their names. In every stage a null text is an empty one, rows
+without an id or without words are kept (but see substring_dedup), repeated
+rows are rows of their own, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,16 @@ from plumbline.llm.toxicity import fit, without_toxic
 from plumbline.session import importable, table
 
 
+#: Columns that the stages read; others are set aside while an operator runs, so that their names can't meet its own.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _set_aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with its further columns as extra_0, extra_1, ...; and the names that these then have."""
+    plain = [c if c in OWN else f"extra_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*plain), plain
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that compression distance doesn't reject; the model is learnt from the labelled ones among them."""
     return without_toxic(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -30,21 +43,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without sentences that a repeated run covers and without repeated runs of 50 words; n_chars follows the text, and what has no text left goes."""
-    columns = docs.columns
-    clean = remove_repeated_spans(docs, span=3).where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return clean.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+    plain, names = _set_aside(docs)
+    clean = remove_repeated_spans(plain, span=3).where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return clean.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*names).toDF(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of small sources again, as the temperature wants it that reads no source more than 1.5 times as often as any other; rows are in the order of the mixture, over partitions and within them."""
     order = ["_order", "doc_id"]
-    return mix(docs, repetition=1.5, cover=True).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    plain, names = _set_aside(docs)
+    return mix(plain, repetition=1.5, cover=True).repartitionByRange(*order).sortWithinPartitions(*order).select(*names).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens, in the order of docs: readers deal out files by their size, so rows are put back by file and place."""
-    order = ["_file", "_place"]
+    """Pieces of documents in sequences of 4096 tokens, in the order of docs: readers deal out files by their size, so rows are put back by the number of their file (of any length) and their place."""
+    order = ["_part", "_file", "_place"]
+    docs = docs.select("doc_id", "text")
     placed = docs.withColumn("_file", F.input_file_name()).withColumn("_place", F.monotonically_increasing_id())
+    placed = placed.withColumn("_part", F.expr(r"try_cast(regexp_extract(_file, 'part-([0-9]+)', 1) as bigint)"))
     return pack_in_order(placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order), most=4096)
 
 
