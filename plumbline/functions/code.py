@@ -84,17 +84,56 @@ def elide(source: str, keep: frozenset[str] = frozenset()) -> str:
     return "\n".join(out)
 
 
+def elide_parsed(source: str, keep: frozenset[str] = frozenset()) -> str:
+    """The source with whole bodies, docstrings too, of functions that aren't in `keep` as three dots, found by Python's parser; a text that it refuses goes through `elide`.
+
+    Bodies of nested functions go with the outer one; a body on its def's line
+    stays as it is.
+    """
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError):
+        return elide(source, keep)
+    lines, gone = source.split("\n"), []
+
+    def look(node: ast.AST) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef) and child.name not in keep:
+                first = child.body[0]
+                begin = min([first.lineno, *(d.lineno for d in getattr(first, "decorator_list", []))])
+                if begin > child.lineno and not lines[begin - 1][: first.col_offset].strip():
+                    gone.append((begin - 1, child.end_lineno, first.col_offset))
+                    continue
+            look(child)
+
+    look(tree)
+    for begin, end, indent in sorted(gone, reverse=True):
+        lines[begin:end] = [" " * indent + "..."]
+    return "\n".join(lines)
+
+
 @F.pandas_udf(StringType())
 def bodies(source: pd.Series) -> pd.Series:
     return source.map(lambda s: None if s is None else body_of(s))
 
 
-def elided(source: Column, keep: list[str] | None = None) -> Column:
-    names = frozenset(keep or ())
+def body(source: Column, which: str | int) -> Column:
+    """The body of the function of that name or place, without its docstring; null if there is none or the text doesn't parse."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else body_of(x, which))
+
+    return run(source)
+
+
+def elided(source: Column, keep: list[str] | None = None, parser: bool = False) -> Column:
+    """The source without bodies, by its indentation (docstrings stay) or by Python's parser (they go)."""
+    names, run_one = frozenset(keep or ()), elide_parsed if parser else elide
 
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else elide(x, names))
+        return s.map(lambda x: None if x is None else run_one(x, names))
 
     return run(source)
 

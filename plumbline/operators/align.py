@@ -101,6 +101,19 @@ def spans(df: DataFrame, key: str, pos: str, token: str) -> DataFrame:
     return df.withColumn("end", end.cast("long")).withColumn("start", (F.col("end") - F.length(token)).cast("long"))
 
 
+def token_spans(tokens: DataFrame, asked: DataFrame, key: str, pos: str, first: str, last: str, width: int = 4096) -> DataFrame:
+    """asked with first_token and last_token: the tokens (rows with start and end) of its key that hold the signs at the places first and last; null before the first token.
+
+    Two as-of joins, so that a long text's tokens are spread over tasks.
+    """
+    starts = tokens.where("end > start").select(key, F.col("start").alias("_at"), F.col(pos).alias("_token"))
+    found = asked
+    for place, name in ((first, "first_token"), (last, "last_token")):
+        known = starts.select(key, F.col("_at").alias(place), F.col("_token").alias(name))
+        found = asof.asof(found, known, [key], place, [name], width, [name])
+    return found
+
+
 def aligned_prob(pairs: DataFrame, tokens: DataFrame, key: str, pos: str, prob: str) -> DataFrame:
     """Each token's probability from the overlapping scored ones: the least of several, the mean over the key's scored tokens if none."""
     least = pairs.groupBy(key, pos).agg(F.min(f"b_{prob}").alias("_p"))

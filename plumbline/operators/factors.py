@@ -82,3 +82,9 @@ def top_and_rest(counts: DataFrame, name: str, n: str, most: int, rest: str = ".
     top = counts.orderBy(F.desc(n), name).limit(most).select(name)
     marked = counts.join(F.broadcast(top.withColumn("_top", F.lit(True))), name, "left")  # `most` rows
     return marked.groupBy(F.when(F.col("_top"), F.col(name)).otherwise(rest).alias(name)).agg(F.sum(n).alias(n), F.count("*").alias("groups"))
+
+
+def wide(df: DataFrame, keys: list[str], level: str, levels: list[str], values: list[str]) -> DataFrame:
+    """keys and the mean of each value at each of the given levels, as columns level_value: one scan, no look at the data for the levels."""
+    cells = [F.avg(F.when(F.col(level) == k, F.col(v))).alias(f"{k}_{v}") for k in levels for v in values]
+    return df.groupBy(*keys).agg(*cells)

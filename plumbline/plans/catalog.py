@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import code, expr
+from plumbline.functions import code, expr, text
 from plumbline.functions.expr import rounded
-from plumbline.operators import align, asof, calibration, candidates, diff, factors, folds, ledger, probe, ragged, rescale, rollup, tokens, training
+from plumbline.operators import align, asof, calibration, candidates, diff, factors, features, folds, ledger, probe, ragged, rescale, rollup, tokens, training
 from plumbline.plans import views
 from plumbline.plans.views import CAND, EVENTS, TOK, WORDS
 from plumbline.session import kept, table
@@ -279,6 +279,17 @@ def jn_asof_tokens(spark, sf):
     return asof.asof(asked, starts, ["problem_id"], "place", ["pos", "start"], 4096).select("problem_id", "place", "pos", (F.col("place") - F.col("start")).alias("inside"))
 
 
+@query(f"""WITH {WORDS}, s AS (SELECT problem_id, pos, LENGTH(token) AS w, CAST(SUM(LENGTH(token)) OVER (PARTITION BY problem_id ORDER BY pos) AS BIGINT) AS e FROM words),
+j AS (SELECT problem_id, instr(string_agg(token, '' ORDER BY pos), 'ing') - 1 AS place FROM words GROUP BY 1)
+SELECT j.problem_id, j.place, MIN(pos) AS first, MAX(pos) AS last FROM j JOIN s ON j.problem_id = s.problem_id AND s.e > j.place AND s.e - s.w < j.place + 3 WHERE place >= 0 GROUP BY 1, 2""")
+def jn_token_span(spark, sf):
+    w = views.words(spark, sf, dealt=True)
+    placed = align.spans(w, "problem_id", "pos", "token")
+    joined = w.groupBy("problem_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), "").alias("text"))
+    asked = joined.select("problem_id", (F.instr("text", "ing") - 1).cast("long").alias("place")).where("place >= 0").withColumn("last", F.col("place") + 2)
+    return align.token_spans(placed, asked, "problem_id", "pos", "place", "last").select("problem_id", "place", "first_token", "last_token").toDF("problem_id", "place", "first", "last")
+
+
 @query(f"WITH {CAND} SELECT x.adder AS a, y.adder AS b, COUNT(*) AS n FROM cand x JOIN cand y ON x.problem_id = y.problem_id AND x.adder < y.adder GROUP BY 1, 2")
 def jn_pairs(spark, sf):
     return candidates.pairs(views.candidates(spark, sf), "problem_id", "adder")
@@ -908,7 +919,22 @@ def _sources(spark, sf):
 @query()
 def sc_elide_bodies(spark, sf):
     c = _sources(spark, sf)
-    return c.select("conv_id", "turn", F.length(code.elided(F.col("src"), ["f1"])).alias("n"), code.bodies(F.col("src")).alias("body"))
+    return c.select("conv_id", "turn", F.length(code.elided(F.col("src"), ["f1"])).alias("n"), F.length(code.elided(F.col("src"), ["f1"], parser=True)).alias("n_parsed"), code.bodies(F.col("src")).alias("body"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN (CASE WHEN len(string_split(text, '. ')) > 1 THEN '    return ' || chr(39) || regexp_replace(string_split(text, '. ')[2], '[' || chr(39) || '\\\s]', '_', 'g') || chr(39) END) WHEN turn % 3 = 0 THEN regexp_extract(text, '[^\n]*') ELSE text END AS solution FROM conversations""")
+def prj_solution_text(spark, sf):
+    c = table(spark, sf, "conversations").join(_sources(spark, sf).select("conv_id", "turn", "src").dropDuplicates(["conv_id", "turn"]), ["conv_id", "turn"])
+    rules = {"code": code.body(F.col("src"), "f1"), "first": F.regexp_extract("text", r"[^\n]*", 0)}
+    kind = F.when(F.col("turn") % 2 == 0, "code").when(F.col("turn") % 3 == 0, "first").otherwise("all")
+    return c.select("conv_id", "turn", text.by_dataset(kind, rules, F.col("text")).alias("solution"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, UNNEST(regexp_extract_all(text, '\n|[ \t]*[^\s]+')) AS token FROM documents)
+SELECT doc_id, COUNT(*) AS n, ROUND(AVG(LEAST((LENGTH(regexp_extract(token, '^[ \t]*')) + 3 * (LENGTH(regexp_extract(token, '^[ \t]*')) - LENGTH(replace(regexp_extract(token, '^[ \t]*'), chr(9), '')))) / CAST(20 AS DOUBLE), 1)), 6) AS indent, COUNT(*) FILTER (regexp_matches(token, '^[ \t]')) AS indented FROM t GROUP BY 1""")
+def ml_indent(spark, sf):
+    found = tokens.explode_tokens(table(spark, sf, "documents"), pattern=r"\n|[ \t]*[^\s]+", key="doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(features.indent(F.col("token"))).alias("indent"), F.count_if(F.col("token").rlike("^[ \t]")).alias("indented"))
 
 
 @query()

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import code, expr, text
-from plumbline.operators import align, calibration, candidates, checks, diff, factors, features, folds, losses, rescale, tokens
+from plumbline.operators import align, calibration, candidates, checks, dataset_stats, diff, factors, features, folds, losses, rescale, tokens
 from plumbline.plans import views
-from plumbline.plans.catalog import _FOLD, _LINES, _SUMS, BIN, _line_lcs_sql, _line_steps, _newton_sql, query
+from plumbline.plans.catalog import _FOLD, _LINES, _METRICS, _SUMS, BIN, _line_lcs_sql, _line_steps, _newton_sql, query
 from plumbline.plans.views import CAND, TOK, WORDS
 from plumbline.session import table
 from plumbline.sources import tables
@@ -274,6 +274,105 @@ def df_probs_of_base(spark, sf):
     return diff.token_rows(steps, ["conv_id", "turn"], "old", "new", logprobs="logprobs", closed=["the", "of", "and"]).where("tag <> 'insert'")
 
 
+# --- statistics of datasets and adders, the main table ---
+
+_TRUTH = {"": "TRUE", "_gt": "adder = 'ground_truth'", "_non_gt": "adder <> 'ground_truth'"}
+_MEASURES = {
+    "base_chars": ("LENGTH(base)", "pass"),
+    "fix_chars": ("LENGTH(fix)", "pass"),
+    "base_comments": ("len(bc)", "pass"),
+    "fix_comments": ("len(fc)", "pass"),
+    "base_lines": ("len(bl) - len(bc)", "pass"),
+    "fix_lines": ("len(fl) - len(fc)", "pass"),
+    "tokens": ("n_tokens", "pass"),
+    **{f"changed{k}": ("changed", f"pass AND NOT COALESCE(ok, FALSE) AND {v}") for k, v in _TRUTH.items()},
+    **{f"changed_share{k}": ("changed / CAST(NULLIF(n_tokens, 0) AS DOUBLE)", f"pass AND NOT COALESCE(ok, FALSE) AND {v}") for k, v in _TRUTH.items()},
+}
+_SPREADS = ", ".join(f"ROUND(AVG(CASE WHEN {w} THEN CAST({x} AS DOUBLE) END), 6) AS {k}_mean, ROUND(QUANTILE_CONT(CASE WHEN {w} THEN CAST({x} AS DOUBLE) END, 0.5), 6) AS {k}_median" for k, (x, w) in _MEASURES.items())
+
+
+def _problems(spark, sf):
+    """Documents as problems: the labels tell whether the first answer is right, a text with commented sentences is its repair."""
+    known = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    d = table(spark, sf, "documents").join(known, "doc_id", "left")
+    return d.select(
+        F.col("source").alias("dataset"),
+        F.col("text").alias("base"),
+        F.replace("text", F.lit(". "), F.lit("\n# ")).alias("fix"),
+        (F.col("quality") == 1).alias("ok"),
+        ((F.col("lang") == "en") & (F.col("n_chars") >= 300)).alias("passed"),
+        (F.col("toxic") == 0).alias("patched"),
+        F.when(F.col("toxic") == 1, "ground_truth").otherwise(F.col("lang")).alias("adder"),
+        F.regexp_count("text", F.lit(r"[^ \n\t]+")).alias("tokens"),
+        F.regexp_count("text", F.lit(r"[^ \n\t]*[0-9][^ \n\t]*")).alias("changed"),
+    )
+
+
+@query(rf"""WITH l AS (SELECT doc_id, MAX(quality) AS quality, MAX(toxic) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT source AS dataset, text AS base, replace(text, '. ', chr(10) || '# ') AS fix, quality = 1 AS ok, lang = 'en' AND n_chars >= 300 AS pass, toxic = 0 AS good, CASE WHEN toxic = 1 THEN 'ground_truth' ELSE lang END AS adder,
+  len(regexp_extract_all(text, '[^ \n\t]+')) AS n_tokens, len(regexp_extract_all(text, '[^ \n\t]*[0-9][^ \n\t]*')) AS changed FROM documents LEFT JOIN l USING (doc_id)),
+s AS (SELECT *, list_filter(string_split(base, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '') AS bl, list_filter(string_split(fix, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '') AS fl FROM d),
+c AS (SELECT *, list_filter(bl, lambda x: regexp_matches(x, '^\s*#')) AS bc, list_filter(fl, lambda x: regexp_matches(x, '^\s*#')) AS fc FROM s)
+SELECT COALESCE(dataset, 'TOTAL') AS dataset, COUNT(*) AS problems, COUNT(*) FILTER (ok) AS solves, COUNT(*) FILTER (NOT ok) AS fails, ROUND(COALESCE(COUNT(*) FILTER (ok) / NULLIF(CAST(COUNT(ok) AS DOUBLE), 0), 0), 6) AS pass_at_1,
+  COUNT(*) FILTER (pass AND COALESCE(good, FALSE)) AS patched, COUNT(*) FILTER (pass) AS pass_all, COUNT(*) FILTER (pass AND COALESCE(ok, FALSE)) AS pass_all_solved, COUNT(*) FILTER (pass AND adder <> 'ground_truth') AS pass_not_gt,
+  COUNT(*) FILTER (pass AND NOT COALESCE(ok, FALSE) AND adder = 'ground_truth') AS patched_gt, COUNT(*) FILTER (pass AND NOT COALESCE(ok, FALSE) AND adder <> 'ground_truth') AS patched_non_gt, {_SPREADS}
+FROM c GROUP BY ROLLUP (dataset)""")
+def rp_dataset_table(spark, sf):
+    return dataset_stats.problem_stats(_problems(spark, sf))
+
+
+@query("""WITH k AS (SELECT l_orderkey AS problem, CAST(s_nationkey AS BIGINT) AS adder, l_returnflag <> 'R' AS passed, l_extendedprice AS distance FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+o AS (SELECT problem, adder, COUNT(*) FILTER (passed) AS p, COUNT(*) FILTER (NOT passed) AS f, MIN(distance) FILTER (passed) AS d FROM k GROUP BY 1, 2),
+r AS (SELECT *, ROW_NUMBER() OVER w AS r, LEAD(d) OVER w AS nxt, COUNT(d) OVER (PARTITION BY problem) AS solvers FROM o WINDOW w AS (PARTITION BY problem ORDER BY d NULLS LAST, adder)),
+s AS (SELECT adder, CAST(SUM(p) AS BIGINT) AS passed, CAST(SUM(f) AS BIGINT) AS failed, COUNT(*) FILTER (r = 1 AND d IS NOT NULL) AS chosen, COUNT(*) FILTER (r = 1 AND solvers = 1) AS "unique", ROUND(COALESCE(SUM(CASE WHEN r = 1 THEN nxt - d END), 0), 4) AS added FROM r GROUP BY 1)
+SELECT s.*, ROUND(m, 6) AS distance_mean, ROUND(q, 6) AS distance_median FROM s JOIN (SELECT adder, AVG(distance) AS m, QUANTILE_CONT(distance, 0.5) AS q FROM k GROUP BY 1) x USING (adder)""")
+def ag_adder_stats(spark, sf):
+    k = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    k = k.select(F.col("l_orderkey").alias("problem_id"), F.col("s_nationkey").cast("long").alias("adder"), (F.col("l_returnflag") != "R").alias("passed"), F.col("l_extendedprice").alias("distance"))
+    return dataset_stats.adder_stats(k).withColumn("added", F.round("added", 4))
+
+
+_LEVEL_ORDER = ("line", "problem", "token")
+_MAIN_COLUMNS = ("brier", "bss", "ece", "auc", "scaled")
+_TECHNIQUES_SQL = f"""t0 AS (SELECT problem_id, line_id, {_FOLD} AS fold, p, 0.25 + p / 2 AS p2, y FROM tok),
+tl AS (SELECT 'Token Prob' AS technique, problem_id, line_id, fold, p, y FROM t0 UNION ALL SELECT 'Shrunk', problem_id, line_id, fold, ROUND(p2, 7), y FROM t0 UNION ALL SELECT 'Line Mean', problem_id, line_id, fold, ROUND(AVG(p) OVER (PARTITION BY problem_id, line_id), 6), y FROM t0),
+lv AS (SELECT technique, 'token' AS level, fold, p, y FROM tl UNION ALL SELECT technique, 'line', fold, ROUND(AVG(p), 6), MIN(y) FROM tl GROUP BY technique, fold, problem_id, line_id UNION ALL SELECT technique, 'problem', fold, ROUND(AVG(p), 6), MIN(y) FROM tl GROUP BY technique, fold, problem_id),
+s AS (SELECT technique || '/' || level || '/' || fold AS g, p, y FROM lv), {_METRICS},
+own AS (SELECT technique || '/' || level AS k, fold, p, COUNT(*) AS n, SUM(y) AS pos FROM lv GROUP BY 1, 2, 3),
+train AS (SELECT k || '/' || f AS g, p, SUM(n) AS n, SUM(pos) AS pos FROM own CROSS JOIN (SELECT UNNEST(range(5)) AS f) z WHERE fold <> f GROUP BY 1, 2), {_newton_sql('train', 'g')},
+sc AS (SELECT g, AVG((q - y) * (q - y)) AS scaled FROM (SELECT g, y, 1 / (1 + EXP(-(a * {_LOGIT} + b))) AS q FROM s JOIN z{rescale.STEPS} z USING (g)) x GROUP BY 1),
+mt AS (SELECT split_part(m.g, '/', 1) AS technique, split_part(m.g, '/', 2) AS level, brier, (base * (1 - base) - brier) / NULLIF(base * (1 - base), 0) AS bss, ece, auc, scaled FROM m JOIN e ON m.g = e.g JOIN a ON m.g = a.g JOIN sc ON m.g = sc.g)"""
+
+
+def _main_cells() -> str:
+    return ", ".join(f"ROUND(AVG(CASE WHEN level = '{k}' THEN {c} END), 6) AS {k}_{c}" for k in _LEVEL_ORDER for c in _MAIN_COLUMNS)
+
+
+def _fold_results(spark, sf):
+    """Metrics of each technique, level and fold; scaled: the Brier score after Platt scaling that the other folds teach."""
+    t = folds.by_hash(views.pred(spark, sf).select("problem_id", "line_id", "p", "y"), "problem_id")
+    line = t.groupBy("problem_id", "line_id").agg(F.round(F.avg("p"), 6).alias("_m"))
+    both = t.join(line, ["problem_id", "line_id"])
+    named = F.array(*[F.struct(F.lit(k).alias("technique"), v.alias("p")) for k, v in (("Token Prob", F.col("p")), ("Shrunk", F.round(0.25 + F.col("p") / 2, 7)), ("Line Mean", F.col("_m")))])
+    tokens_ = both.select("problem_id", "line_id", "fold", "y", F.explode(named).alias("_t")).select("problem_id", "line_id", "fold", "y", "_t.*")
+    mean = lambda *keys: tokens_.groupBy("technique", "fold", *keys).agg(F.round(F.avg("p"), 6).alias("p"), F.min("y").alias("y")).select("technique", "fold", "p", "y")
+    lv = tables.tagged_union({"token": tokens_.select("technique", "fold", "p", "y"), "line": mean("problem_id", "line_id"), "problem": mean("problem_id")}, "level")
+    raw = calibration.metrics(lv, ["technique", "level", "fold"])
+    scaled = rescale.out_of_fold(lv, ["technique", "level"], "fold", 5).groupBy("technique", "level", "fold").agg(expr.brier(F.col("scaled"), F.col("y")).alias("scaled"))
+    return raw.join(scaled, ["technique", "level", "fold"])
+
+
+@query(f"WITH {TOK}, {_TECHNIQUES_SQL} SELECT technique, {_main_cells()} FROM mt GROUP BY technique")
+def rp_techniques(spark, sf):
+    return factors.wide(_fold_results(spark, sf), ["technique"], "level", list(_LEVEL_ORDER), list(_MAIN_COLUMNS))
+
+
+@query(f"WITH {TOK}, {_TECHNIQUES_SQL}, by_fold AS (SELECT split_part(g, '/', 1) AS technique, split_part(g, '/', 2) AS level, CAST(split_part(g, '/', 3) AS INT) AS fold, scaled FROM sc) SELECT technique, level, {', '.join(f'ROUND(MAX(CASE WHEN fold = {k} THEN scaled END), 6) AS fold_{k}' for k in range(5))}, ROUND(AVG(scaled), 6) AS mean FROM by_fold GROUP BY 1, 2")
+def rp_techniques_by_fold(spark, sf):
+    r = _fold_results(spark, sf).select("technique", "level", F.col("fold").cast("int").alias("fold"), "scaled")
+    return r.groupBy("technique", "level").agg(*[F.max(F.when(F.col("fold") == k, F.col("scaled"))).alias(f"fold_{k}") for k in range(5)], F.avg("scaled").alias("mean"))
+
+
 # --- filters, checks ---
 
 

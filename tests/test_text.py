@@ -82,3 +82,19 @@ def test_shortened_is_the_plain_loop(spark):
         got = [r[0] for r in df.select(code.shortened(F.col("s"), budget)).collect()]
         assert got == [plain(whole, budget), plain("\n".join(functions[:9]), budget), plain("x" * 7000, budget), "", None]
         assert all(len(x) <= budget for x in got if x is not None)
+
+
+def test_elide_parsed():
+    source = "def a(x):\n    return 1\n\n\ndef b(\n    y,\n):\n    def inner():\n        pass\n    return 2\n\nz = 3"
+    assert code.elide_parsed(source) == code.elide(source)
+    assert code.elide_parsed(source, frozenset(["b"])) == "def a(x):\n    ...\n\n\ndef b(\n    y,\n):\n    def inner():\n        ...\n    return 2\n\nz = 3"
+    told = "class A:\n    def f(self):\n        '''doc'''\n        # said\n        return 1\n\n    def g(self): return 2\n\nasync def h():\n    @w\n    def k():\n        pass\n"
+    assert code.elide_parsed(told) == "class A:\n    def f(self):\n        ...\n\n    def g(self): return 2\n\nasync def h():\n    ...\n"
+    assert code.elide_parsed("def f(:\n    x\n") == code.elide("def f(:\n    x\n")
+    assert code.elide_parsed("") == "" and code.elide_parsed("x = 'def f():'") == "x = 'def f():'"
+
+
+def test_bodies_by_name(spark):
+    df = spark.createDataFrame([("def f():\n    'doc'\n    return 1\n\ndef g():\n    return 2\n",), ("def (",), (None,)], "s string")
+    assert [r[0] for r in df.select(code.body(F.col("s"), "g")).collect()] == ["    return 2", None, None]
+    assert [r[0] for r in df.select(code.elided(F.col("s"), ["g"], parser=True)).collect()] == ["def f():\n    ...\n\ndef g():\n    return 2\n", "def (", None]
