@@ -48,3 +48,25 @@ def tagged(answer: Column, tag: Column) -> Column:
     parts = F.split(F.replace(answer, open_, F.lit("\x00")), "\x00", 2)
     inner = F.split(F.replace(F.get(parts, F.lit(1)), close, F.lit("\x00")), "\x00", 2)
     return F.when(F.size(inner) == 2, F.regexp_replace(F.get(inner, F.lit(0)), r"^\n+|\n+$", ""))
+
+
+# The signs by which byte-level tokenizers show white space.
+BYTE_MARKS = {"\u0120": " ", "\u010a": "\n", "\u0109": "\t"}
+
+
+def token_text(token: Column) -> Column:
+    """A byte-level token with its marks for white space as the white space itself."""
+    return F.translate(token, "".join(BYTE_MARKS), "".join(BYTE_MARKS.values()))
+
+
+def left_stripped(s: Column) -> Column:
+    return F.regexp_replace(s, r"^\s+", "")
+
+
+def right_stripped(s: Column) -> Column:
+    return F.regexp_replace(s, r"\s+$", "")
+
+
+def stripped(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")

@@ -225,3 +225,9 @@ def concentration(df: DataFrame, keys: list[str], error: str, shares: dict[str,
         return F.try_divide(F.sum(F.col("s") * taken / F.col("n")), F.sum("s"))
 
     return small.groupBy(*keys).agg(*[part(x).alias(name) for name, x in shares.items()])
+
+
+def bin_summary(binned: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, bins, mean_accuracy and mean_variance (accuracy times its complement) over the bins that have rows, each bin counting once, and the largest gap."""
+    full = binned.where("n > 0")
+    return full.groupBy(*keys).agg(F.count("*").alias("bins"), F.avg("acc").alias("mean_accuracy"), F.avg(F.col("acc") * (1 - F.col("acc"))).alias("mean_variance"), F.max("gap").alias("largest_gap"))

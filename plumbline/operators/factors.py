@@ -88,3 +88,23 @@ def wide(df: DataFrame, keys: list[str], level: str, levels: list[str], values:
     """keys and the mean of each value at each of the given levels, as columns level_value: one scan, no look at the data for the levels."""
     cells = [F.avg(F.when(F.col(level) == k, F.col(v))).alias(f"{k}_{v}") for k in levels for v in values]
     return df.groupBy(*keys).agg(*cells)
+
+
+def percentile_stats(x: Column) -> list[Column]:
+    """n, mean, median, population std, p75, p90 and range of the values that aren't null; percentiles are exact, by straight lines between ranks."""
+    at = lambda q: F.percentile(x, F.lit(q))
+    return [F.count(x).alias("n"), F.avg(x).alias("mean"), at(0.5).alias("median"), F.stddev_pop(x).alias("std"), at(0.75).alias("p75"), at(0.9).alias("p90"), (F.max(x) - F.min(x)).alias("range")]
+
+
+def levels_by_median(df: DataFrame, factor: str, metric: str, most: int, largest: bool = True) -> DataFrame:
+    """The `most` levels of a factor with the best medians of the metric (largest or smallest), ties by level, with n and their place."""
+    found = df.groupBy(F.col(factor).alias("level")).agg(F.count(metric).alias("n"), F.percentile(metric, F.lit(0.5)).alias("median"))
+    by = F.desc_nulls_last("median") if largest else F.asc_nulls_last("median")
+    best = found.orderBy(by, "level").limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(by, "level")))  # `most` rows
+
+
+def spread_of_maps(df: DataFrame, values: str) -> DataFrame:
+    """(metric, n, mean, std) over all rows' maps of metrics, whatever keys each has; a key that a row lacks, or has as null, doesn't count."""
+    rows = df.select(F.explode(values).alias("metric", "x")).where("x is not null")
+    return rows.groupBy("metric").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))

@@ -51,6 +51,23 @@ def did_pass(name: str) -> Column:
     return F.exists("passed", lambda f: f["name"] == name)
 
 
+def sequence() -> Column:
+    """The filters that the row passed, then those that it failed, as structs (name, passed)."""
+    told = lambda c, ok: F.transform(c, lambda f: F.struct(f["name"].alias("name"), F.lit(ok).alias("passed")))
+    return F.concat(told("passed", True), told("failed", False))
+
+
+def summary() -> Column:
+    """struct(n_passed, n_failed, passed, failed): numbers and names of the row's filters."""
+    names = lambda c: F.transform(c, lambda f: f["name"])
+    return F.struct(F.size("passed").alias("n_passed"), F.size("failed").alias("n_failed"), names("passed").alias("passed"), names("failed").alias("failed"))
+
+
+def tag_values(name: str, number: bool = True) -> Column:
+    """The numbers (or texts) beside the row's tags of that name, in their order."""
+    return F.transform(F.filter("tags", lambda t: t["tag"] == name), lambda t: t["d" if number else "s"])
+
+
 def first_failure(checks: list[tuple[str, Column]]) -> Column:
     """The name of the first check that does not hold, null if all do."""
     out = F.lit(None).cast("string")
@@ -78,6 +95,19 @@ def flow(events: DataFrame, row: str, step: Column, order: tuple[str, ...] = ("s
     return prefixes.groupBy("path").agg(F.count("*").alias("n"))
 
 
+def children(paths: DataFrame, sep: str = " > ") -> DataFrame:
+    """path, n, parent, place, share: each path's place among its parent's children (by falling n, then by name), and its part of the parent's n.
+
+    A path of one step has no parent (null) and a part of all of them.
+    """
+    cut = F.split(F.col("path"), sep, -1)
+    rows = paths.withColumn("parent", F.when(F.size(cut) > 1, F.array_join(F.slice(cut, 1, F.size(cut) - 1), sep)))
+    own = Window.partitionBy("parent")
+    above = paths.select(F.col("path").alias("parent"), F.col("n").alias("_above"))
+    placed = rows.withColumn("place", F.row_number().over(own.orderBy(F.desc("n"), "path"))).withColumn("_all", F.sum("n").over(own))
+    return placed.join(above, "parent", "left").select("path", "n", "parent", "place", (F.col("n") / F.coalesce("_above", "_all")).alias("share"))
+
+
 def funnel(stages: DataFrame, removed: str = "removed", order: str = "seq") -> DataFrame:
     """Stages with what remains after each: the first stage's n less all removed so far. One row for each stage, so one task."""
     upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -33,3 +33,16 @@ def to_tokens(tokens: DataFrame, line_probs: DataFrame, line: tuple[str, ...] =
     """Each token with its line's probability; tokens of lines without one get the problem's mean over its lines."""
     means = line_probs.groupBy(problem).agg(F.avg("line_p").alias("_mean"))
     return tokens.join(line_probs, list(line), "left").join(means, problem, "left").withColumn("line_p", F.coalesce("line_p", "_mean")).drop("_mean")
+
+
+def positive_counts(df: DataFrame, keys: list[str], problem: str = "problem_id", line: str = "line_id", y: str = "y") -> DataFrame:
+    """keys, problems, tokens, positive, lines, positive_lines, right: tokens and lines (with all tokens positive) by keys, and over all keys as a row of nulls.
+
+    Lines are summed up from their tokens, problems from their lines; the
+    overall row comes from the same sums.
+    """
+    lines = df.groupBy(*keys, problem, line).agg(F.count("*").alias("_n"), F.sum(y).alias("_p"))
+    problems = lines.groupBy(*keys, problem).agg(F.sum("_n").alias("_n"), F.sum("_p").alias("_p"), F.count("*").alias("_l"), F.count_if(F.col("_p") == F.col("_n")).alias("_q"))
+    return problems.rollup(*keys).agg(
+        F.count("*").alias("problems"), F.sum("_n").alias("tokens"), F.sum("_p").alias("positive"), F.sum("_l").alias("lines"), F.sum("_q").alias("positive_lines"), F.count_if(F.col("_l") == F.col("_q")).alias("right")
+    )

@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from plumbline.plans import reports  # noqa: F401  registers its queries
+    from plumbline.plans import more, reports  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 

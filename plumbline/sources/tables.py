@@ -107,6 +107,13 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "src") -> DataFrame:
     return out
 
 
+def widened(df: DataFrame, schema: StructType) -> DataFrame:
+    """df with all columns of a wider schema, in its order and types; what df lacks is null, what it has beyond it comes behind."""
+    own = set(df.columns)
+    wide = [(F.col(f"`{f.name}`") if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return df.select(*wide, *[F.col(f"`{c}`") for c in df.columns if c not in set(schema.names)])
+
+
 def subset(df: DataFrame, ids: DataFrame, key: str, order: str) -> DataFrame:
     """The rows whose key is in ids, with the place that ids gives them."""
     return df.join(ids.select(key, order), key)
