@@ -157,39 +157,45 @@ def first_run(tokens: Column, run: Column) -> Column:
     return F.when(F.size(tokens) >= F.size(run), F.get(F.filter(places, lambda i: F.slice(tokens, i + 1, F.size(run)) == run), F.lit(0)))
 
 
-#: Words by which texts and items find each other.
-WORDS = 5
+#: Words by which texts and long items find each other, and signs by which words and parts of short items do.
+WORDS, SIGNS = 5, 4
 
 
 def containing(texts: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item: str) -> DataFrame:
     """(key, item_key) of all texts that hold an item's whole text.
 
     An item's first and last word may be parts of longer words of the text, but
-    the words between stand there as they are: the hash of the first WORDS of
-    them finds the candidates, and the whole item is then looked for. Items with
-    fewer words between, and those without a text, are compared with every text:
-    they are broadcast if there are SHORT_ITEMS at most, else they go by a
-    nested join that Spark plans.
+    the words between stand there as they are: of an item with WORDS of them the
+    hash of the first WORDS finds the candidates. A shorter item is looked for
+    by its longest word: it is part of some words of the texts' vocabulary, which
+    its first SIGNS signs find among all parts of these words, and the texts with
+    such a word are candidates. Candidates are then compared whole. Items
+    without any word are compared with every text.
     """
     hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - WORDS + 1), lambda i: F.xxhash64(F.slice(w, i, WORDS)))
     words = lambda c: F.split(c, r"\s+", -1)
     inner = lambda w: F.slice(w, 2, F.size(w) - 2)
-    long = items.where(F.size(words(F.col(item))) >= WORDS + 2)
-    asked = long.select(item_key, item, F.xxhash64(F.slice(words(F.col(item)), 2, WORDS)).alias("_h"))
+    once = texts.select(key, text).where(F.col(text).isNotNull())
+    asked = items.select(item_key, item).where(F.col(item).isNotNull())
+    long = asked.where(F.size(words(F.col(item))) >= WORDS + 2)
+    by_hash = long.select(item_key, F.xxhash64(F.slice(words(F.col(item)), 2, WORDS)).alias("_h"))
     none = F.array().cast("array<bigint>")
     runs_of = lambda w: F.when(F.size(w) >= WORDS, F.array_distinct(hashes(w))).otherwise(none)
     split_once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
     inner_words = split_once(words(F.col(text)), lambda w: F.when(F.size(w) >= 2, inner(w)).otherwise(F.array().cast("array<string>")))
-    runs = texts.select(key, F.explode(split_once(inner_words, runs_of)).alias("_h"))
-    pairs = runs.join(asked.select(item_key, "_h"), "_h").select(key, item_key).distinct()
-    found = pairs.join(texts.select(key, text), key).join(long.select(item_key, item), item_key).where(F.contains(text, item)).select(key, item_key).distinct()
-    short = items.where(F.size(words(F.col(item))) < WORDS + 2)
-    few = short.limit(SHORT_ITEMS + 1).count()
-    if not few:
-        return found
-    side = F.broadcast(short) if few <= SHORT_ITEMS else short
-    return found.union(texts.join(side, F.contains(text, item)).select(key, item_key).distinct())
-
-
-#: Short items that are broadcast at most.
-SHORT_ITEMS = 10_000
+    runs = once.select(key, F.explode(split_once(inner_words, runs_of)).alias("_h"))
+    pairs = runs.join(by_hash, "_h").select(key, item_key)
+
+    short = asked.where(F.size(words(F.col(item))) < WORDS + 2).withColumn("_words", F.filter(words(F.col(item)), lambda w: w != ""))
+    longest = F.array_max(F.transform("_words", lambda w, i: F.struct(F.length(w), (-i).alias("i"), w.alias("w"))))["w"]
+    parts = short.where(F.size("_words") > 0).select(item_key, longest.alias("_part")).withColumn("_gram", F.substring("_part", 1, SIGNS))
+    in_texts = once.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("_word"))
+    places = F.sequence(F.lit(1), F.length("_word"))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(SIGNS)), lambda n: F.substring(F.col("_word"), i, n)))))
+    vocabulary = in_texts.select("_word").where("_word <> ''").distinct().select("_word", F.explode(grams).alias("_gram"))
+    held = vocabulary.join(parts, "_gram").where(F.contains("_word", "_part")).select("_word", item_key)
+    pairs = pairs.union(in_texts.join(held, "_word").select(key, item_key)).distinct()
+    found = pairs.join(once, key).join(asked, item_key).where(F.contains(text, item)).select(key, item_key)
+    blank = short.where(F.size("_words") == 0).select(item_key, item)
+    everywhere = once.join(blank.select(F.col(item).alias("_blank")).distinct(), F.contains(text, "_blank")).join(blank, F.col("_blank") == F.col(item)).select(key, item_key)
+    return found.union(everywhere).distinct()

@@ -48,14 +48,23 @@ def leave_one_out(df: DataFrame, problem: str, adder: str, distance: str) -> Dat
     return two.groupBy(adder).agg(F.count_if(F.col("_n") == 2).alias("best_in"), F.coalesce(F.sum(worse), F.lit(0.0)).alias("added_distance"), F.count_if(F.col("_n") == 1).alias("only_solver"))
 
 
-def keep_chances(df: DataFrame, keys: list[str], problem: str, place: str, kept: str) -> DataFrame:
+#: Places of a problem that are unfolded against each other at a time.
+PART = 256
+
+
+def keep_chances(df: DataFrame, keys: list[str], problem: str, place: str, kept: str, part: int = PART) -> DataFrame:
     """keys, i, j, p_i, p_j, p_ij, p_i_given_j of all pairs of places that a problem has both of: chances over the problems; p_i_given_j is 0 where p_j is.
 
-    Each problem's places are collected with their marks, so pairs unfold in the
-    problem's own row; sums by pair are pre-aggregated.
+    A problem's places are dealt into parts of about PART, and each two parts
+    are unfolded against each other in a row, so that a long problem's pairs are
+    spread over tasks; sums by pair are pre-aggregated.
     """
-    sets = df.groupBy(*keys, problem).agg(F.collect_list(F.struct(F.col(place).alias("at"), F.col(kept).cast("double").alias("k"))).alias("_p"))
-    pairs = sets.select(*keys, F.explode("_p").alias("_a"), "_p").select(*keys, "_a", F.explode("_p").alias("_b"))
+    sizes = df.groupBy(*keys, problem).agg(F.ceil(F.count("*") / part).cast("int").alias("_n"))
+    dealt = df.join(sizes, [*keys, problem]).withColumn("_c", F.pmod(F.xxhash64(F.col(place).cast("string")), F.col("_n")).cast("int"))
+    sets = dealt.groupBy(*keys, problem, "_n", "_c").agg(F.collect_list(F.struct(F.col(place).alias("at"), F.col(kept).cast("double").alias("k"))).alias("_p"))
+    others = sets.select(*keys, problem, F.col("_c").alias("_d"), F.col("_p").alias("_q"))
+    both = sets.withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).join(others, [*keys, problem, "_d"])
+    pairs = both.select(*keys, F.explode("_p").alias("_a"), "_q").select(*keys, "_a", F.explode("_q").alias("_b"))
     n = df.groupBy(*keys).agg(F.count_distinct(problem).alias("_n"))  # a row for each group of keys
     joint = pairs.groupBy(*keys, F.col("_a.at").alias("i"), F.col("_b.at").alias("j")).agg(F.sum(F.col("_a.k") * F.col("_b.k")).alias("_ij"))
     joint = joint.join(n, keys).withColumn("p_ij", F.col("_ij") / F.col("_n"))

@@ -82,6 +82,8 @@ def test_containing_is_the_nested_loop(spark):
     words = "stone river lamp green paper north engine".split()
     texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(60)] + [(99, None)]
     items = [(i, (lambda t: t[len(t) // 3 : 2 * len(t) // 3])(texts[rng.randrange(60)][1])) for i in range(25)] + [(50, "lamp"), (51, None), (52, "none of these words at all stand there")]
+    items += [(60, "am"), (61, "e"), (62, "mp ston"), (63, " "), (64, ""), (65, "n e"), (66, "north engine pa"), (67, "iver  lamp"), (68, "lamp "), (69, " green"), (50, "lamp"), (70, "rth"), (71, "  ")]
+    texts += [(100, "a  b"), (101, ""), (102, "river\nlamp")]
     d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string")
     got = {tuple(r) for r in align.containing(d, b, "doc_id", "text", "item_id", "item").collect()}
     assert got == {(i, k) for i, t in texts for k, x in items if t is not None and x is not None and x in t}

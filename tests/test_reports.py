@@ -117,3 +117,20 @@ def test_newton_by_groups_and_by_steps(spark, monkeypatch):
         by_steps = {tuple(r[k] for k in keys): (r.a, r.b) for r in rescale.platt(df, keys).collect()}
         monkeypatch.undo()
         assert at_once.keys() == by_steps.keys() and all(at_once[k] == pytest.approx(by_steps[k], abs=1e-9) for k in at_once)
+
+
+def test_keep_chances_in_parts_are_the_plain_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("d", p, at, rng.randrange(2)) for p in range(6) for at in rng.sample(range(40), rng.randrange(1, 40))]
+    df = spark.createDataFrame(rows, "d string, problem int, place int, kept int")
+    key = lambda df: sorted((r.i, r.j, r.p_i, r.p_j, r.p_ij, r.p_i_given_j) for r in df.collect())
+    whole = key(candidates.keep_chances(df, ["d"], "problem", "place", "kept"))
+    assert key(candidates.keep_chances(df, ["d"], "problem", "place", "kept", part=7)) == whole
+    kept = {(p, at): k for _, p, at, k in rows}
+    both = {(i, j) for (p, i) in kept for (q, j) in kept if p == q}
+    assert len(whole) == len(both)
+    for i, j, _, p_j, p_ij, given in whole:
+        assert p_ij * 6 == sum(kept[p, i] * kept[p, j] for p in range(6) if (p, i) in kept and (p, j) in kept)
+        assert given == (p_ij / p_j if p_j else 0)
