@@ -231,3 +231,11 @@ def bin_summary(binned: DataFrame, keys: list[str]) -> DataFrame:
     """keys, bins, mean_accuracy and mean_variance (accuracy times its complement) over the bins that have rows, each bin counting once, and the largest gap."""
     full = binned.where("n > 0")
     return full.groupBy(*keys).agg(F.count("*").alias("bins"), F.avg("acc").alias("mean_accuracy"), F.avg(F.col("acc") * (1 - F.col("acc"))).alias("mean_variance"), F.max("gap").alias("largest_gap"))
+
+
+def model_summary(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
+    """keys, n, brier, ece, auc, log_loss and best_f1: a row for each model. Each part sums up distinct probabilities first; only rows of keys are joined."""
+    whole = metrics(df, keys, p=p, y=y).select(*keys, "n", "brier", "ece", "auc")
+    losses = df.groupBy(*keys).agg(log_loss(F.col(p), F.col(y)).alias("log_loss"))
+    best = best_f1(df, keys, p, y).select(*keys, F.col("f1").alias("best_f1"))
+    return whole.join(losses, keys).join(best, keys)

@@ -15,6 +15,8 @@ from plumbline.operators.calibration import bin_edges, equal_count_bins, scores
 
 #: Newton steps; from (1, 0) eight are enough for double precision on overlapping classes.
 STEPS = 8
+#: Steps where plain ones run away.
+DAMPED = 50
 #: Sums by probability of a group that one task takes at once.
 MOST_SUMS = 100_000
 
@@ -90,17 +92,42 @@ def _newton(small: DataFrame, keys: list[str], intercept: bool, steps: int) -> D
 
 
 def fitted(x: np.ndarray, n: np.ndarray, pos: np.ndarray, intercept: bool = True, steps: int = STEPS) -> tuple[float, float]:
-    """Slope and intercept after Newton's steps from (1, 0); a step with a singular Hessian isn't taken."""
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        q = 1 / (1 + np.exp(-(a * x + b)))
+    """Slope and intercept after Newton's steps from (1, 0); a step with a singular Hessian isn't taken.
+
+    Where that ends worse than it began (Newton's method may run away), the
+    steps are taken again, each halved until the loss falls, up to DAMPED times.
+    """
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float((n * np.logaddexp(0, z) - pos * z).sum())
+
+    def step(a: float, b: float) -> tuple[float, float]:
+        q = 0.5 * (1 + np.tanh(0.5 * (a * x + b)))
         w, e = n * q * (1 - q), pos - n * q
         ga, gb, haa, hab, hbb = (e * x).sum(), e.sum(), (w * x * x).sum(), (w * x).sum(), w.sum()
         det = haa * hbb - hab * hab
         if not intercept:
-            a += ga / haa if haa else 0.0
-        elif det:
-            a, b = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
+            return (ga / haa if haa else 0.0), 0.0
+        return ((hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det) if det else (0.0, 0.0)
+
+    a, b, begun = 1.0, 0.0, loss(1.0, 0.0)
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            da, db = step(a, b)
+            a, b = a + da, b + db
+        if np.isfinite([a, b]).all() and loss(a, b) <= begun * (1 + 1e-12):
+            return float(a), float(b)
+        a, b, now = 1.0, 0.0, begun
+        for _ in range(DAMPED):
+            da, db = step(a, b)
+            part = 1.0
+            while part > 1e-9 and not (np.isfinite([da, db]).all() and loss(a + part * da, b + part * db) < now):
+                part /= 2
+            if part <= 1e-9:
+                break
+            a, b = a + part * da, b + part * db
+            now = loss(a, b)
     return float(a), float(b)
 
 

@@ -46,3 +46,18 @@ def positive_counts(df: DataFrame, keys: list[str], problem: str = "problem_id",
     return problems.rollup(*keys).agg(
         F.count("*").alias("problems"), F.sum("_n").alias("tokens"), F.sum("_p").alias("positive"), F.sum("_l").alias("lines"), F.sum("_q").alias("positive_lines"), F.count_if(F.col("_l") == F.col("_q")).alias("right")
     )
+
+
+#: How the chance that all tokens of a problem are right is told from theirs.
+ESTIMATORS = {"min": lambda p: F.min(p), "gmean": lambda p: F.when(F.min(p) <= 0, 0.0).otherwise(F.exp(F.avg(F.log(F.when(p > 0, p))))), "mean": lambda p: F.avg(p)}
+
+
+def all_correct(problems: DataFrame, tokens: DataFrame, problem: str, p: str = "p", y: str = "y") -> DataFrame:
+    """(problem, estimator, p, y, failed): the chance that all tokens are right by each of ESTIMATORS; y is the least of the tokens'.
+
+    A problem without tokens failed: its chance is 0 and it counts as wrong.
+    """
+    sums = tokens.groupBy(problem).agg(*[f(F.col(p)).alias(k) for k, f in ESTIMATORS.items()], F.min(y).alias("_y"))
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("estimator"), F.col(k).alias("_e")) for k in ESTIMATORS])).alias("e")
+    rows = problems.select(problem).join(sums, problem, "left").select(problem, "_y", named)
+    return rows.select(problem, "e.estimator", F.coalesce("e._e", F.lit(0.0)).alias("p"), F.coalesce("_y", F.lit(0)).alias("y"), F.col("e._e").isNull().alias("failed"))

@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from plumbline.functions import expr, text
 from plumbline.operators import calibration, candidates, factors, ledger, rollup
 from plumbline.plans import views
-from plumbline.plans.catalog import query
+from plumbline.plans.catalog import _METRICS, query
 from plumbline.plans.views import EVENTS, TOK
 from plumbline.session import table
 from plumbline.sources import tables
@@ -118,6 +118,23 @@ def rp_keep_heatmap(spark, sf):
     return wide.toDF("i", *[f"given_{k}" for k in range(1, 8)])
 
 
+@query(f"""WITH {TOK}, s AS (SELECT gen_model AS g, p, y FROM tok), {_METRICS}, ll AS (SELECT g, -AVG(y * LN(GREATEST(1e-15, LEAST(p, CAST(1 AS DOUBLE) - 1e-15))) + (1 - y) * LN(1 - GREATEST(1e-15, LEAST(p, CAST(1 AS DOUBLE) - 1e-15)))) AS x FROM s GROUP BY 1),
+cu AS (SELECT g, SUM(pos) OVER (PARTITION BY g ORDER BY p DESC) AS tp, SUM(n) OVER (PARTITION BY g ORDER BY p DESC) AS pp, SUM(pos) OVER (PARTITION BY g) AS ap FROM r), f1 AS (SELECT g, MAX(2 * tp / CAST(pp + ap AS DOUBLE)) AS x FROM cu GROUP BY 1)
+SELECT m.g AS gen_model, n, ROUND(brier, 6) AS brier, ROUND(ece, 6) AS ece, ROUND(auc, 6) AS auc, ROUND(ll.x, 6) AS log_loss, ROUND(f1.x, 6) AS best_f1 FROM m JOIN e ON e.g = m.g JOIN a ON a.g = m.g JOIN ll ON ll.g = m.g JOIN f1 ON f1.g = m.g""")
+def ca_model_summary(spark, sf):
+    return calibration.model_summary(views.pred(spark, sf), ["gen_model"])
+
+
+@query(f"""WITH {TOK}, q AS (SELECT problem_id, MIN(p) AS least, CASE WHEN MIN(p) <= 0 THEN 0 ELSE EXP(AVG(LN(p))) END AS gmean, AVG(p) AS mean, MIN(y) AS y FROM tok GROUP BY 1),
+w AS (SELECT o_orderkey AS problem_id, least, gmean, mean, COALESCE(y, 0) AS y FROM orders LEFT JOIN q ON o_orderkey = problem_id),
+u AS (SELECT 'min' AS estimator, COALESCE(least, 0) AS p, y, least IS NULL AS failed FROM w UNION ALL SELECT 'gmean', COALESCE(gmean, 0), y, gmean IS NULL FROM w UNION ALL SELECT 'mean', COALESCE(mean, 0), y, mean IS NULL FROM w)
+SELECT estimator, COUNT(*) AS problems, COUNT(*) FILTER (failed) AS failed, ROUND(AVG(p), 6) AS mean, ROUND(AVG((p - y) * (p - y)), 6) AS brier FROM u GROUP BY 1""")
+def ca_all_correct(spark, sf):
+    problems = table(spark, sf, "orders").select(F.col("o_orderkey").alias("problem_id"))
+    found = rollup.all_correct(problems, views.pred(spark, sf), "problem_id")
+    return found.groupBy("estimator").agg(F.count("*").alias("problems"), F.count_if("failed").alias("failed"), F.avg("p").alias("mean"), expr.brier(F.col("p"), F.col("y")).alias("brier"))
+
+
 # --- texts, wider tables ---
 
 

@@ -65,3 +65,24 @@ def test_histogram_gives_every_row_a_value(spark):
     df = frame(spark, rows)
     scaled = rescale.apply_histogram(df, rescale.histogram(df, ["g"], ["y"]), ["g"])
     assert scaled.count() == 101 and scaled.where("scaled is null").count() == 0
+
+
+def test_platt_where_newton_runs_away():
+    """Probabilities far from what happens: plain steps leave the finite numbers, the halved ones reach the least loss."""
+    import numpy as np
+
+    from plumbline.operators import rescale
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(-9, 0.5, 40), rng.normal(9, 0.5, 40)])
+    n, pos = np.ones(80), (rng.random(80) < 0.5).astype(float)
+    a, b = rescale.fitted(x, n, pos)
+    loss = lambda a, b: (np.logaddexp(0, a * x + b) - pos * (a * x + b)).sum()
+    assert np.isfinite([a, b]).all() and loss(a, b) < loss(1, 0)
+    near = [loss(a + da, b + db) for da in (-1e-3, 0, 1e-3) for db in (-1e-2, 0, 1e-2)]
+    assert loss(a, b) == min(near)
+    well = rng.normal(0, 1, 500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(0.7 * well - 0.2)))).astype(float)
+    a, b = rescale.fitted(well, np.ones(500), y)
+    q = 1 / (1 + np.exp(-(a * well + b)))
+    assert abs((q - y).sum()) < 1e-9 and abs(((q - y) * well).sum()) < 1e-9
