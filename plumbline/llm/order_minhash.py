@@ -38,24 +38,31 @@ def bucket_of(key: Column, splits: list[int]) -> Column:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], k: int = K, slots: int = SLOTS, size: int = TUPLE) -> DataFrame:
-    """(keys, _fp) of rows (keys, _text) that have words; _fp has an int for each slot, null for an empty slot.
+    """(keys, _fp) of rows (keys, _text) that have words; _fp has an int for each slot.
 
     rows must be dealt out by keys[0]; no row moves from its task. Each k-mer of
-    a text gets the number of its occurrence there. A hash of both deals it to a
-    slot and to one of `size` parts of the slot's hashes; each part keeps the
-    k-mer of its least hash (a slot's parts are disjoint ranges of one random
-    order, so they act as `size` minima). The k-mers that a slot keeps are hashed
-    as a tuple in the order in which they stand in the text.
+    a text gets the number of its occurrence there. A hash of both puts it in
+    one of slots x size ranges of one random order; each range keeps the k-mer
+    of its least hash. A slot takes the k-mers of the first `size` ranges from
+    its own on that have one, round about: its own in a long text, and in a
+    short one those of its neighbours too, so that a slot always has `size`
+    k-mers (of a text of fewer, all of them, the first again). They are hashed as
+    a tuple in the order in which they stand in the text.
     """
     kmers = rows.select(*keys, F.posexplode(kmer_hashes(F.col("_text"), k)).alias("_pos", "_h"))
     same = Window.partitionBy(F.xxhash64(*keys, "_h"), *keys, "_h").orderBy("_pos")
     numbered = kmers.withColumn("_n", F.row_number().over(same)).select(*keys, "_pos", "_h", F.xxhash64("_h", "_n").alias("_u"))
     parts = numbered.withColumn("_part", F.pmod("_u", F.lit(slots * size)).cast("int")).groupBy(*keys, "_part").agg(F.min_by("_pos", "_u").alias("_pos"), F.min_by("_h", "_u").alias("_h"))
-    slotted = parts.groupBy(*keys, F.floor(F.col("_part") / size).cast("int").alias("_slot")).agg(F.collect_list(F.struct("_pos", "_h")).alias("_kept"))
-    tuple_hash = F.aggregate(F.sort_array("_kept"), F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x["_h"]))
-    entries = slotted.select(*keys, F.struct("_slot", F.pmod(tuple_hash, F.lit(1 << 16)).cast("int")).alias("_entry"))
-    whole = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list("_entry")).alias("_map"))
-    return whole.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda s: F.try_element_at("_map", s)).alias("_fp"))
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_part", "_pos", "_h"))).alias("_filled"))
+
+    def tuple_of(slot: Column) -> Column:
+        first = F.size(F.filter("_filled", lambda x: x["_part"] < slot * size))
+        taken = F.array(*[F.get("_filled", F.pmod(first + i, F.size("_filled"))) for i in range(size)])
+        in_order = F.array_sort(F.transform(taken, lambda x: F.struct(x["_pos"], x["_h"])))
+        return F.aggregate(in_order, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x["_h"]))
+
+    slot_hash = lambda s: F.pmod(tuple_of(s), F.lit(1 << 16)).cast("int")
+    return whole.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), slot_hash).alias("_fp"))
 
 
 def likeness(a: Column, b: Column) -> Column:
