@@ -259,8 +259,14 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, least_words: int = 12,
     spans = rows.mapInArrow(_list_spans(span, least_words, most_words, run_words), "span long, id long")
 
     def repeats(found: DataFrame) -> DataFrame:
-        """found (span, id) of the spans of two ids or more, with the first id."""
-        return found.join(found.groupBy("span").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("span", "first"), "span")
+        """found (span, id) of the spans of two ids or more, with the first id.
+
+        These spans are a written table, so that the join is one of two plain
+        sides: Spark broadcasts a small one and splits the rows of a span that
+        very many documents share.
+        """
+        shared = found.groupBy("span").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("span", "first")
+        return found.join(scratch.keep(shared, "shared"), "span")
 
     sentence = F.col("span").bitwiseAND(F.lit(1)) == 1
     hits = repeats(spans).where((F.col("id") > F.col("first")) | ~sentence).groupBy(F.col("id").alias("_id"))

@@ -103,10 +103,10 @@ def chain(rng, n, words, step):
     return out
 
 
-@pytest.mark.parametrize(("percent", "words", "step", "crowd", "block"), [(80, 60, 6, 20, 16), (85, 60, 4, 64, 128)])
+@pytest.mark.parametrize(("percent", "words", "step", "crowd", "block"), [(80, 60, 6, 20, 8), (85, 60, 4, 30, 64)])
 def test_chains_hold_in_crowded_regions(spark, make_docs, percent, words, step, crowd, block):
     """Neighbours of the chain are just over the threshold; no two others are."""
-    texts = chain(random.Random(3), 140, words, step)
+    texts = chain(random.Random(3), 70, words, step)
     n = words - 4
     assert 100 * (n - step) >= percent * (n + step) and 100 * (n - 2 * step) < percent * (n + 2 * step)
     got = {r.component_id for r in near_duplicates(make_docs(texts), percent, crowd=crowd, block=block).collect()}
@@ -119,12 +119,12 @@ def test_templates_and_copies_in_crowded_regions_are_all_pairs(spark, make_docs,
     rng = random.Random(percent)
     template = prose(rng, 25).split()
     texts = []
-    for k in range(260):
+    for k in range(150):
         own = template[:]
         for at in rng.sample(range(0, len(own) - 3, 4), rng.choice([1, 2, 4, 6, 8])):
             own[at] = f"u{rng.randrange(30 if k % 2 else 10**6)}"
         texts.append(" ".join(own))
-    texts += chain(rng, 40, 50, 5)
+    texts += chain(rng, 20, 50, 5)
     texts += [edited(rng, t, 1) for t in texts[:20]]
     want = brute(dict(enumerate(texts)), percent)
     for crowd, block in ((30, 8),):
