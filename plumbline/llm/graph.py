@@ -14,6 +14,8 @@ from plumbline.llm.scratch import Scratch
 
 #: Parts that each node's neighbours are dealt to.
 SALTS = 8
+#: Edges up to which one task finds the components: their number is counted first.
+ONE_TASK = 1 << 20
 
 
 def find_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -45,11 +47,24 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[roots[child]])], names=["v", "u"])
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 50) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges -> every node with its root."""
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        table = pa.Table.from_batches(rows)
+        a, b = (table.column(k).to_numpy() for k in (0, 1))
+        nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        roots = find_roots(index[: len(a)], index[len(a) :], len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[roots])], names=["node", "root"])
+
+
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 50, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) of every node that an edge touches; root is the smallest node that it reaches.
 
     edges: two columns of longs, without nulls; self-loops and repeated edges
-    change nothing, and no edges give no rows. Each round links every node to
+    change nothing, and no edges give no rows. Edges are first cut down to a
+    star for each component of a batch. If that leaves `one_task` of them at
+    most, a task finds the roots; else each round links every node to
     the smallest of its neighbourhood, once for its larger and once for its
     smaller neighbours, until nothing changes: the number of rounds grows with
     the logarithm of the longest path, and no task needs more than a hash table
@@ -58,6 +73,8 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 50) -> Dat
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v != u")
     now = scratch.keep(pairs.mapInArrow(_forest, "v long, u long").distinct(), "edges")
+    if now.count() <= one_task:
+        return scratch.keep(now.repartition(1).mapInArrow(_whole, "node long, root long"), "roots")
     seen = None
     for _ in range(most_rounds):
         both = now.select("v", "u").union(now.select(F.col("u").alias("v"), F.col("v").alias("u")))

@@ -77,7 +77,10 @@ def test_odd_rows(spark, odd_docs):
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)] + [(7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), Scratch(spark, "t")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r.node: r.root for r in components(df, Scratch(spark, "t")).collect()}
+    assert {r.node: r.root for r in components(df, Scratch(spark, "t"), one_task=0).collect()} == got
+    assert components(df.limit(0), Scratch(spark, "t")).collect() == components(df.limit(0), Scratch(spark, "t"), one_task=-1).collect() == []
     root = {x: x for e in edges for x in e}
     for _ in range(100):
         for a, b in edges:
