@@ -154,6 +154,14 @@ def best_by_fold(grid: DataFrame) -> DataFrame:
     return best.join(mine, ["configuration", "held"]).join(settings, "configuration").select(F.col("held").alias("fold"), "configuration", "rate", "penalty", "loss", "n", F.col("own").alias("brier"), "others")
 
 
+def spread_by_configuration(grid: DataFrame) -> DataFrame:
+    """configuration, rate, penalty, loss, folds, and the mean and population std of brier and log_loss over the folds that have rows."""
+    held = grid.where("n > 0")
+    return held.groupBy("configuration", "rate", "penalty", "loss").agg(
+        F.count("*").alias("folds"), *[f(c).alias(f"{c}_{k}") for c in ("brier", "log_loss") for k, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    )
+
+
 # --- a probe of tokens, lines and problems with shared weights ---
 
 LEVELS = ("token", "line", "problem")

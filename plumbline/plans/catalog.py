@@ -973,6 +973,11 @@ def ml_grid_best(spark, sf):
     return training.best_by_fold(_grid(spark, sf))
 
 
+@query()
+def ml_grid_spread(spark, sf):
+    return training.spread_by_configuration(_grid(spark, sf))
+
+
 def _line_probe(spark, sf):
     """Vectors as tokens, four to a line and sixteen to a problem."""
     e = _labelled(spark, sf).select(F.floor(F.col("vec_id") / 16).alias("problem"), F.floor(F.col("vec_id") / 4).alias("line"), F.col("vec_id").alias("place"), "embedding", "y")

@@ -36,7 +36,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     key = "spark.checkpoint.dir"
     at = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"set {key} to a folder that all nodes share")
         at = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
         spark.conf.set(key, at)

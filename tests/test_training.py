@@ -120,6 +120,13 @@ def test_each_model_of_the_grid_equals_its_single_fit(spark):
         assert best[k].configuration == want and best[k].brier == scores[want, k]
 
 
+def test_spread_over_folds(spark):
+    rows = [(0, 0.1, 0.0, "bce", 0, 5, 0.2, 0.5), (0, 0.1, 0.0, "bce", 1, 5, 0.4, 0.7), (0, 0.1, 0.0, "bce", 2, 0, None, None), (1, 0.2, 0.0, "bce", 0, 5, 0.3, 0.1)]
+    grid = spark.createDataFrame(rows, "configuration int, rate double, penalty double, loss string, fold int, n long, brier double, log_loss double")
+    got = {r.configuration: r for r in training.spread_by_configuration(grid).collect()}
+    assert (got[0].folds, got[1].folds) == (2, 1) and got[0].brier_mean == pytest.approx(0.3) and got[0].brier_std == pytest.approx(0.1) and got[1].log_loss_std == 0
+
+
 def test_losses_and_slopes():
     z = np.array([-30.0, -2.0, 0.0, 1.5, 30.0])
     for kind in ("bce", "focal", "brier"):
