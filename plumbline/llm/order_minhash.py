@@ -53,10 +53,14 @@ def fingerprints(rows: DataFrame, keys: list[str], k: int = K, slots: int = SLOT
     same = Window.partitionBy(F.xxhash64(*keys, "_h"), *keys, "_h").orderBy("_pos")
     numbered = kmers.withColumn("_n", F.row_number().over(same)).select(*keys, "_pos", "_h", F.xxhash64("_h", "_n").alias("_u"))
     parts = numbered.withColumn("_part", F.pmod("_u", F.lit(slots * size)).cast("int")).groupBy(*keys, "_part").agg(F.min_by("_pos", "_u").alias("_pos"), F.min_by("_h", "_u").alias("_h"))
-    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_part", "_pos", "_h"))).alias("_filled"))
+    # which ranges have a k-mer, as bits of a few longs: how many lie before a slot's own is a count of bits
+    lanes = range(-(-slots * size // 64))
+    bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("_part") / 64) == w, F.expr("shiftleft(1L, _part % 64)"))), F.lit(0)).cast("long").alias(f"_bits{w}") for w in lanes]
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_part", "_pos", "_h"))).alias("_filled"), *bits)
+    below = lambda k: F.when(k <= 0, F.lit(0).cast("long")).when(k >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1)
 
     def tuple_of(slot: Column) -> Column:
-        first = F.size(F.filter("_filled", lambda x: x["_part"] < slot * size))
+        first = sum((F.bit_count(F.col(f"_bits{w}").bitwiseAND(below(slot * size - 64 * w))) for w in lanes[1:]), F.bit_count(F.col("_bits0").bitwiseAND(below(slot * size))))
         taken = F.array(*[F.get("_filled", F.pmod(first + i, F.size("_filled"))) for i in range(size)])
         in_order = F.array_sort(F.transform(taken, lambda x: F.struct(x["_pos"], x["_h"])))
         return F.aggregate(in_order, F.lit(42).cast("long"), lambda a, x: F.xxhash64(a, x["_h"]))
