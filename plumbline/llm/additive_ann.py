@@ -18,8 +18,12 @@ from plumbline.llm.scratch import Scratch
 BOOKS, WORDS, BEAM = 16, 256, 8
 #: Vectors that codebooks are trained on at most (those with the smallest hashes of their ids).
 SAMPLE = 20_000
-#: Vectors of a candidate block, queries of a query block, and candidates of a query that are ranked exactly.
-BLOCK, QUERIES, SHORTLIST = 65_536, 4096, 300
+#: Vectors of a candidate block, queries of a query block, and candidates of a query in each PART of a block that are multiplied out at least.
+BLOCK, QUERIES, SHORTLIST, PART = 65_536, 4096, 300, 8192
+#: How many times the scores' mean error a candidate may lie below the best ones and still be multiplied out.
+MARGIN = 4
+#: Components of a candidate block at most.
+COMPONENTS = 1 << 22
 
 
 @dataclass
@@ -84,49 +88,100 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8
     return out
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, however large or small their components are."""
+    top = np.maximum(np.abs(x).max(axis=1), np.finfo(float).tiny)
+    return top * np.linalg.norm(x / top[:, None], axis=1)
+
+
 def _encode(books: Codebooks) -> Callable:
+    """Codes of the vectors' directions, what scales their sum to the vector's length, and the length of what they leave over."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                x = np.stack(part.column("v").to_numpy(zero_copy_only=False)).astype(np.float32)
+                x = np.stack(part.column("v").to_numpy(zero_copy_only=False)).astype(np.float64)
+                length = _lengths(x)
+                x = x / length[:, None]
                 codes = books.encode(x)
-                norm, made = np.linalg.norm(x.astype(np.float64), axis=1), np.linalg.norm(books.decode(codes.astype(np.int64)), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("c"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((norm / np.maximum(made, 1e-12)).astype(np.float32))], names=["c", "codes", "stretch"])
+                made = books.decode(codes.astype(np.int64)).astype(np.float64)
+                stretch = 1 / np.maximum(np.linalg.norm(made, axis=1), 1e-12)
+                slack = np.linalg.norm(x - made * stretch[:, None], axis=1)
+                columns = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(stretch * length), pa.array(slack * length), part.column("v")]
+                yield pa.RecordBatch.from_arrays([part.column("c"), part.column("id"), *columns], names=["c", "id", "codes", "stretch", "slack", "v"])
 
     return run
 
 
-def _scan(books: Codebooks, shortlist: int) -> Callable:
-    """A block of queries against a block of codes: for each query the candidates with the largest scores of its lookup tables."""
+def _scan(books: Codebooks, shortlist: int, keep: int) -> Callable:
+    """A block of queries against a block of codes: for each query the `keep` candidates of the block with the largest inner products, ties by id.
+
+    Of each part of the block the `shortlist` candidates with the largest scores
+    of the query's lookup tables are multiplied out. Their errors tell how far
+    scores go astray for this query; whatever may reach the best products within
+    MARGIN times that, by what its own codes leave over, is multiplied out too.
+    """
 
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "s": pd.Series(dtype="float32")})
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "c": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         block = block.sort_values("c", kind="stable")
-        ids = block["c"].to_numpy()
+        names, ids = block["c"].to_numpy(), block["id"].to_numpy()
         codes = np.frombuffer(b"".join(block["codes"]), dtype=np.uint8).reshape(len(ids), -1).T.astype(np.int64)
-        stretch = block["stretch"].to_numpy(np.float32)
-        names = queries["q"].to_numpy()
-        x = np.stack(queries["v"].to_numpy()).astype(np.float32)
+        stretch, slack = block["stretch"].to_numpy(), block["slack"].to_numpy()
+        y = np.ascontiguousarray(np.stack(block["v"].to_numpy()).astype(np.float64).T)
+        asked = queries["q"].to_numpy()
+        x = np.stack(queries["v"].to_numpy()).astype(np.float64)
         out = []
         for a in range(0, len(x), 128):
-            some = x[a : a + 128]
-            tables = books.books @ some.T  # of each book and codeword with each query
-            best_at = np.zeros((0, len(some)), np.int64)
-            best = np.zeros((0, len(some)), np.float32)
-            for b in range(0, len(ids), 8192):
-                part = codes[:, b : b + 8192]
+            some = np.ascontiguousarray(x[a : a + 128].T)
+            length = _lengths(x[a : a + 128])
+            tables = books.books @ (some / length).astype(np.float32)  # of each book and codeword with each query's direction
+            every = np.arange(len(length))
+
+            def products(at: np.ndarray, q: np.ndarray) -> np.ndarray:
+                """Component by component in their order, as a loop over them adds."""
+                total = np.zeros(len(at))
+                for left, right in zip(y, some, strict=True):
+                    total += left[at] * right[q]
+                return total
+
+            def best(found: tuple, at: np.ndarray, q: np.ndarray) -> tuple:
+                """(query, candidate, product): of those found and the new ones the `keep` best of each query."""
+                q, at, score = (np.concatenate(both) for both in zip(found, (q, at, products(at, q)), strict=True))
+                order = np.lexsort((ids[at], -score, q))
+                q, at, score = q[order], at[order], score[order]
+                first = np.searchsorted(q, q)
+                top = np.arange(len(q)) - first < keep
+                return q[top], at[top], score[top]
+
+            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for b in range(0, len(ids), PART):
+                part = codes[:, b : b + PART]
                 score = tables[0][part[0]]
                 for m in range(1, len(tables)):
                     score += tables[m][part[m]]
-                score *= stretch[b : b + 8192, None]  # by the stored norm
-                at = np.arange(b, b + len(score))[:, None].repeat(len(some), axis=1)
-                best, best_at = np.concatenate([best, score]), np.concatenate([best_at, at])
-                if len(best) > shortlist:
-                    top = np.argpartition(-best, shortlist - 1, axis=0)[:shortlist]
-                    best, best_at = np.take_along_axis(best, top, 0), np.take_along_axis(best_at, top, 0)
-            out.append(pd.DataFrame({"q": np.repeat(names[a : a + 128], len(best)), "c": ids[best_at.T.ravel()], "s": best.T.ravel()}))
+                score = score * stretch[b : b + PART, None]  # by the stored length
+                take = min(shortlist, len(score))
+                top = np.argpartition(-score, take - 1, axis=0)[:take]
+                at, q = top.ravel() + b, np.tile(every, take)
+                found = best(found, at, q)
+                if take == len(score):
+                    continue
+                with np.errstate(all="ignore"):
+                    wrong = (products(at, q) / length[q] - score[top, every].ravel()) / np.maximum(slack[at], 1e-12 * stretch[at])
+                    spread = np.sqrt(np.nanmean(wrong.reshape(take, -1) ** 2, axis=0))
+                    full = np.bincount(found[0], minlength=len(every)) == keep
+                    floor = np.full(len(every), -np.inf)
+                    np.minimum.at(low := np.full(len(every), np.inf), found[0], found[2])
+                    floor[full] = low[full] / length[full]
+                    near = score + MARGIN * spread * np.maximum(slack[b : b + PART, None], 1e-6 * np.abs(stretch[b : b + PART, None])) >= floor
+                near[top, every] = False
+                rows, q = np.nonzero(near)
+                for i in range(0, len(rows), 1 << 20):
+                    found = best(found, rows[i : i + (1 << 20)] + b, q[i : i + (1 << 20)])
+            out.append(pd.DataFrame({"q": asked[a + found[0]], "c": names[found[1]], "id": ids[found[1]], "score": found[2]}))
         return pd.concat(out)
 
     return run
@@ -144,13 +199,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = BOOK
     """(query_id, rank, vec_id, score): for each row of vectors that is_query (a column of `id`) marks, the k rows with the largest inner products that the search found, itself left out.
 
     Rows with the same vector are one candidate, with its k + 1 smallest ids
-    (more can't be among any k). Codebooks are trained on a bounded sample of
-    the vectors; all vectors are encoded by beam search and stored as codes with
-    a norm. Each block of queries meets each block of codes in a task: the
-    scores of its lookup tables, scaled by the stored norms, give the block's
-    shortlist, and of all blocks the best `shortlist` vectors of a query are
-    ranked by the exact inner product in double precision, ties by the smaller
-    id. Up to `shortlist` different vectors the result is exact.
+    (more can't be among any k). Codebooks are trained on the directions of a
+    bounded sample of the vectors; the directions of all vectors are encoded by
+    beam search and stored as codes with a length and with what the codes leave
+    over. Each block of queries meets each block of codes in a task: the scores
+    of its lookup tables tell which candidates are multiplied out (see _scan),
+    and these are ranked by the inner product in double precision, ties by the
+    smaller id. Where codes tell vectors apart badly, more are multiplied out,
+    all of a part if need be.
 
     Null ids, and vectors that are null, empty, zero or hold null or non-finite
     components, take no part; of rows that share an id and a vector one counts,
@@ -163,7 +219,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = BOOK
     members = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     members = scratch.keep(members.withColumn("c", F.min("id").over(Window.partitionBy("v"))).select("c", "id", "v"), "members")
     # two vectors may share their smallest id only if that id has several: the class then is named by vector too
-    classes = members.where("id = c").select(F.xxhash64("c", "v").alias("c"), "v")
+    classes = members.where("id = c").select(F.xxhash64("c", "v").alias("c"), "id", "v")
     members = members.select(F.xxhash64("c", "v").alias("c"), "id")
     classes = scratch.keep(classes, "classes")
     n = classes.count()
@@ -171,12 +227,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = BOOK
     if not n:
         return spark.createDataFrame([], schema).withColumnsRenamed({"vec_id": id_col})
     learn = np.stack([np.array(r.v) for r in classes.orderBy(F.xxhash64("c"), "c").limit(sample).select("v").collect()])
-    made = train(learn, books, words)
-    codes = scratch.keep(classes.mapInArrow(_encode(made), "c long, codes binary, stretch float"), "codes")
+    made = train(learn / _lengths(learn)[:, None], books, words)
+    codes = scratch.keep(classes.mapInArrow(_encode(made), "c long, id long, codes binary, stretch double, slack double, v array<double>"), "codes")
 
     queries = scratch.keep(rows.where(is_query).select(F.xxhash64("id", "v").alias("q"), F.col("id").alias("query_id"), "v"), "queries")
     asked = queries.count()
-    c_blocks = math.ceil(n / block)
+    c_blocks = math.ceil(n / max(1, min(block, COMPONENTS // learn.shape[1])))
     # few large blocks of queries copy the codes least; but there are tasks for all partitions if there are queries for them
     wanted = math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / max(1, c_blocks))
     q_blocks = max(math.ceil(asked / queries_block), min(math.ceil(asked / 256), wanted))
@@ -184,15 +240,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, books: int = BOOK
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(max(1, m) - 1)))
     left = queries.select("q", "v", part("q", q_blocks).alias("i")).select("*", all_of(c_blocks).alias("j"))
     right = codes.select("*", part("c", c_blocks).alias("j")).select("*", all_of(q_blocks).alias("i"))
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_scan(made, shortlist), "q long, c long, s float")
-    best = Window.partitionBy("q").orderBy(F.desc("s"), "c")
-    short = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= shortlist).select("q", "c")
-
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    pairs = short.join(classes.select("c", F.col("v").alias("y")), "c").join(queries.select("q", "query_id", F.col("v").alias("x")), "q")
-    exact = pairs.select("q", "query_id", "c", dot.alias("score"))
-    exact = exact.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
-    found = exact.join(members, "c").where("id != query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.max("score").alias("score"))
+    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_scan(made, shortlist, k + 1), "q long, c long, id long, score double")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    short = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).join(queries.select("q", "query_id"), "q").select("query_id", "c", "score")
+    found = short.join(members, "c").where("id != query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(id_col), "score")

@@ -46,3 +46,20 @@ def test_codebooks():
     error = lambda b, beam: ((x - b.decode(b.encode(x, beam).astype(int))) ** 2).sum()
     assert error(made, 8) <= error(made, 1) < 0.5 * (x**2).sum()
     assert error(Codebooks(made.books[:2]), 8) > error(made, 8)
+
+
+def test_nearest_of_rows_unlike_the_sample(spark):
+    rng = np.random.default_rng(5)
+    wide = rng.normal(size=(1200, 12)) * rng.lognormal(0, 2, size=(1200, 1))  # lengths of every size
+    tight = rng.normal(size=12) * 3 + 1e-3 * rng.normal(size=(1200, 12))  # closer to one another than codes can tell
+    tied = rng.integers(0, 2, size=(1200, 12)) * 40.0  # many equal products of different vectors
+    x = np.concatenate([wide, tight, tied])
+    ids = list(range(len(x)))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int")
+    got = nearest(df, F.col("id") % 60 == 0, k=10, books=4, words=16, sample=600, shortlist=60, block=1000, queries_block=30).collect()
+    hits = 0
+    for q in range(0, len(x), 60):
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
+        score = np.add.accumulate(x * x[q], axis=1)[:, -1]
+        hits += len(set(mine) & set([j for j in np.lexsort((ids, -score)) if j != q][:10]))
+    assert hits >= 0.99 * 10 * len(range(0, len(x), 60))
