@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = ("(", "[", "{"), (")", "]", "}")
 
 
-def explode_tokens(df: DataFrame, pattern: str = r"\n|[A-Za-z_]+|[0-9]+|[^\sA-Za-z0-9_]", key: str = "problem_id", text: str = "text", dealt: bool = False) -> DataFrame:
+PATTERN = r"\n|[A-Za-z_]+|[0-9]+|[^\sA-Za-z0-9_]"
+
+
+def explode_tokens(df: DataFrame, pattern: str = PATTERN, key: str = "problem_id", text: str = "text", dealt: bool = False, parts: int | None = None) -> DataFrame:
     """(key, pos, token) of the matches of a pattern, from 0.
 
     dealt: the texts are dealt out by key before they are taken apart, so that
-    windows and sums by key need no exchange of the tokens themselves.
+    windows and sums by key need no exchange of the tokens themselves; into `parts` of them, if given
+    (a text has many more tokens than bytes tell Spark when it joins parts up).
     """
     df = df.select(key, text)
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
-    return (df.repartition(key) if dealt else df).select(key, F.posexplode(found).alias("pos", "token"))
+    if dealt:
+        df = df.repartition(key) if parts is None else df.repartition(parts, key)
+    return df.select(key, F.posexplode(found).alias("pos", "token"))
 
 
 def line_ids(df: DataFrame, key: str = "problem_id", pos: str = "pos", token: str = "token") -> DataFrame:

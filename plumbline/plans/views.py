@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import table
+from plumbline.session import dealt, parts, table
 
 TOK = """tok AS (
   SELECT o_orderkey AS problem_id, o_orderpriority AS dataset, o_orderstatus AS gen_model, l_returnflag AS sample_id, CAST(l_linenumber AS BIGINT) AS line_id,
@@ -17,7 +17,10 @@ TOK = """tok AS (
 
 def pred(spark: SparkSession, sf: str) -> DataFrame:
     """Token predictions without their place: problem_id, dataset, gen_model, sample_id, line_id, p, y."""
-    item, order = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    item = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    order = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    n = parts(table(spark, sf, "lineitem"))
+    item, order = dealt(item, n, "l_orderkey"), dealt(order, n, "o_orderkey")
     y = (F.col("l_extendedprice") / 106000.0 < F.lit(0.15) + F.lit(0.7) * F.col("l_quantity") / 50.0).cast("long")
     return item.join(order, item.l_orderkey == order.o_orderkey).select(
         F.col("o_orderkey").alias("problem_id"),
@@ -73,5 +76,13 @@ def words(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
     """Tokens of documents: problem_id, pos, token; dealt by problem_id, if asked."""
     from plumbline.operators.tokens import explode_tokens
 
-    found = explode_tokens(table(spark, sf, "documents").withColumnRenamed("doc_id", "problem_id"), dealt=dealt)
+    d = table(spark, sf, "documents")
+    found = explode_tokens(d.withColumnRenamed("doc_id", "problem_id"), dealt=dealt, parts=parts(d) if dealt else None)
     return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+def word_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of documents as arrays, with the text: problem_id, text, tokens. What can be told from a text's row alone needs no row for each token."""
+    from plumbline.operators.tokens import PATTERN
+
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("problem_id"), "text", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("tokens"))

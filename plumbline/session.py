@@ -57,6 +57,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files from which on rows are dealt in parts of a given size, and bytes of each part.
+LARGE, PART = 64 << 20, 8 << 20
+
+
+def parts(df: DataFrame) -> int | None:
+    """Into how many parts the rows of df, a table of files, are dealt, so that a task's share stays the same however large they are; None for small ones.
+
+    A number that is given stays: Spark joins parts of the other kind up by
+    their size before they are taken apart or summed up.
+    """
+    bytes_ = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if bytes_ < LARGE:
+        return None
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // PART))
+
+
+def dealt(df: DataFrame, n: int | None, key: str) -> DataFrame:
+    """df dealt by key into n parts; as it is, if there is no number."""
+    return df if n is None else df.repartition(n, key)
+
+
 def kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: it is worked out once, and a lost executor costs only its tasks."""
     path = shared_folder(spark, name)
