@@ -114,6 +114,54 @@ def token_spans(tokens: DataFrame, asked: DataFrame, key: str, pos: str, first:
     return found
 
 
+def at_every(tokens: DataFrame, key: str, pos: str, step: int) -> DataFrame:
+    """(key, place, pos, start): the tokens (rows with start and end, one after the other) that hold the places 0, step, 2 * step and so on.
+
+    Each token tells by itself which of these places it holds, so no row is joined or exchanged.
+    """
+    first = F.expr(f"(start + {step - 1}) div {step} * {step}")
+    held = F.when(first < F.col("end"), F.sequence(first, F.col("end") - 1, F.lit(step).cast("long")))
+    return tokens.select(key, pos, "start", F.explode(held).alias("place")).select(key, "place", pos, "start")
+
+
+def holding(tokens: Column, first: Column, last: Column) -> Column:
+    """(first, last): the places (from 0) of the elements of an array of texts that hold the signs first and last (from 0) of the joined text; null past its end."""
+    none = F.lit(None).cast("int")
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("i"), none.alias("first"), none.alias("last"))
+
+    def add(s: Column, t: Column) -> Column:
+        end = s["end"] + F.length(t)
+        inside = lambda at, old: F.when((s["end"] <= at) & (at < end), s["i"]).otherwise(old)
+        return F.struct(end.alias("end"), (s["i"] + 1).alias("i"), inside(first, s["first"]).alias("first"), inside(last, s["last"]).alias("last"))
+
+    return F.aggregate(tokens, begin, add, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+
+def _matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text of a the first place in b of a text that shares a sign with it (-1 if none) and the number of such texts."""
+    left, right = "".join(a), "".join(b)
+    i, j, n = (0, 0, len(left)) if left == right else longest_common(_signs(left), _signs(right))
+
+    def spans(texts: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+        width = np.fromiter(map(len, texts), np.int64, len(texts))
+        end = np.cumsum(width) - offset
+        return np.maximum(end - width, 0), np.minimum(end, n)
+
+    (start, end), (b_start, b_end) = spans(a, i), spans(b, j)
+    full = np.flatnonzero(b_start < b_end)
+    low, high = np.searchsorted(b_end[full], start, "right"), np.searchsorted(b_start[full], end, "left")
+    count = np.where(start < end, high - low, 0)
+    first = np.full(len(a), -1)
+    first[count > 0] = full[low[count > 0]]
+    return first, count
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("first", "n")]))
+def matched(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """What aligned_tokens tells, for two arrays of texts without white space in a row: of each text of a the first place in b that shares a sign with it (-1 if none), and how many do."""
+    return pd.DataFrame([_matched(x, y) for x, y in zip(a, b, strict=True)], columns=["first", "n"])
+
+
 def aligned_prob(pairs: DataFrame, tokens: DataFrame, key: str, pos: str, prob: str) -> DataFrame:
     """Each token's probability from the overlapping scored ones: the least of several, the mean over the key's scored tokens if none."""
     least = pairs.groupBy(key, pos).agg(F.min(f"b_{prob}").alias("_p"))

@@ -87,3 +87,20 @@ def test_containing_is_the_nested_loop(spark):
     d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string")
     got = {tuple(r) for r in align.containing(d, b, "doc_id", "text", "item_id", "item").collect()}
     assert got == {(i, k) for i, t in texts for k, x in items if t is not None and x is not None and x in t}
+
+
+def test_lists_without_exchange(spark):
+    """Places, spans and matches told row by row are those of the joins, and no row of a token is exchanged."""
+    texts = spark.createDataFrame([(1, ["ab", "é\U0001f600c", "d"], ["abé", "\U0001f600", "", "cd"]), (2, ["xx", "", "abc"], ["abc"]), (3, ["a"], ["b"])], "k int, a array<string>, b array<string>")
+    rows = lambda c: texts.select("k", F.posexplode(c).alias("pos", "token"))
+    want = {(r.k, r.pos): list(r.matches) for r in align.aligned_tokens(rows("a"), rows("b"), "k").collect()}
+    found = texts.select("k", align.matched("a", "b").alias("m"))
+    got = {(r.k, i): (f, n) for r in found.collect() for i, (f, n) in enumerate(zip(r.m.first, r.m.n, strict=True))}
+    assert got == {at: (m[0] if m else -1, len(m)) for at, m in want.items()}
+    held = texts.select("k", align.holding(F.col("a"), F.lit(1), F.lit(4)).alias("h"))
+    assert {(r.k, r.h.first, r.h.last) for r in held.collect()} == {(1, 0, 1), (2, 0, 2), (3, None, None)}
+    placed = align.spans(rows("a"), "k", "pos", "token")
+    every = align.at_every(placed, "k", "pos", 2)
+    assert {(r.k, r.place, r.pos, r.start) for r in every.collect()} == {(1, 0, 0, 0), (1, 2, 1, 2), (1, 4, 1, 2), (2, 0, 0, 0), (2, 2, 2, 2), (2, 4, 2, 2), (3, 0, 0, 0)}
+    for plan in (found, held):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
