@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from plumbline.functions.expr import bin_of, brier, linspace, logit, ratio
 
 
-def scores(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame:
-    """Rows summed up by (keys, p): n and pos. All metrics below can be had from these, so wide data is read once."""
-    return df.groupBy(*keys, F.col(p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
+def scores(df: DataFrame, keys: list[str], p: str = "p", y: str = "y", n: str | None = None) -> DataFrame:
+    """Rows summed up by (keys, p): n and pos. All metrics below can be had from these, so wide data is read once.
+
+    n: the column with the number of rows that a row of df stands for (y then is their sum), if df is summed up already.
+    """
+    count = F.count("*") if n is None else F.sum(n)
+    return df.groupBy(*keys, F.col(p).alias("p")).agg(count.alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
 
 
 def bins(df: DataFrame, keys: list[str], edges: list[float] | None = None, p: str = "p", y: str = "y", keep_empty: bool = False) -> DataFrame:
@@ -118,7 +122,7 @@ def auc(df: DataFrame, keys: list[str], p: str = "p", y: str = "y") -> DataFrame
     return metrics(df, keys, p=p, y=y).select(*keys, "auc")
 
 
-def metrics(df: DataFrame, keys: list[str], edges: list[float] | None = None, p: str = "p", y: str = "y") -> DataFrame:
+def metrics(df: DataFrame, keys: list[str], edges: list[float] | None = None, p: str = "p", y: str = "y", n: str | None = None) -> DataFrame:
     """keys, n, base_rate, brier, ref_brier, bss, ece, auc: one scan, two shuffles of distinct probabilities.
 
     The Brier reference predicts the base rate; bss is null where that is
@@ -126,7 +130,7 @@ def metrics(df: DataFrame, keys: list[str], edges: list[float] | None = None, p:
     of probabilities (see bucket_of), then over the buckets' sums.
     """
     edges = edges or linspace(10)
-    small = scores(df, keys, p, y).withColumn("_bucket", bucket_of(F.col("p")))
+    small = scores(df, keys, p, y, n).withColumn("_bucket", bucket_of(F.col("p")))
     below = Window.partitionBy(*keys, "_bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     neg = F.col("n") - F.col("pos")
     ranked = small.withColumn("_below", F.coalesce(F.sum(neg).over(below), F.lit(0))).withColumn("_bin", bin_of(F.col("p"), edges))

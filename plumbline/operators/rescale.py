@@ -40,13 +40,13 @@ def apply_platt(df: DataFrame, fitted: DataFrame, keys: list[str], p: str = "p",
     return joined.withColumn(out, sigmoid(F.col("_a") * logit(F.col(p)) + F.col("_b"))).drop("_a", "_b")
 
 
-def out_of_fold(df: DataFrame, keys: list[str], fold: str, k: int, intercept: bool = True, p: str = "p", y: str = "y", out: str = "scaled") -> DataFrame:
+def out_of_fold(df: DataFrame, keys: list[str], fold: str, k: int, intercept: bool = True, p: str = "p", y: str = "y", out: str = "scaled", n: str | None = None) -> DataFrame:
     """Rows with the probability that a calibrator gives which was fit on the other folds of their group.
 
     The sums by probability are taken once; each fold's training sums are the
-    group's without the fold's own.
+    group's without the fold's own. n: how many rows a row stands for (see scores).
     """
-    held = scores(df, [*keys, fold], p, y).withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("_fold") != F.col(fold))
+    held = scores(df, [*keys, fold], p, y, n).withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("_fold") != F.col(fold))
     train = held.groupBy(*keys, "_fold", "p").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     fitted = _newton(train.withColumnRenamed("_fold", fold), [*keys, fold], intercept, STEPS)
     return apply_platt(df.withColumn(fold, F.col(fold).cast("int")), fitted, [*keys, fold], p, out)
