@@ -30,6 +30,8 @@ EXACT = 1 << 22
 
 RUNS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "ijn"]))
 COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in ("matched", "changed")])
+SWAPPED = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in "xy"]))
+PAIR_COUNTS = T.StructType([*COUNTS.fields, T.StructField("rest", SWAPPED)])
 
 
 # --- helpers on one row's sequences ---
@@ -74,42 +76,52 @@ def common_runs(a: Sequence, b: Sequence) -> list[tuple[int, int, int]]:
     return [tuple(r) for r in runs]
 
 
+#: Cells up to which all rows of bits are held at once (4 MB).
+HELD = 1 << 25
+
+
 def _matches(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
-    """Bit j of row i is 0 where b[j] makes the longest common subsequence with a[:i] longer; some rows are kept, the others made again."""
+    """Bit j of row i is 0 where b[j] makes the longest common subsequence with a[:i] longer; of many cells some rows are kept, the others made again."""
     if not len(a) or not len(b):
         return []
     masks: dict = {}
-    for j, x in enumerate(b):
-        masks.setdefault(x, []).append(j)
-    for x, places in masks.items():
-        bits = bytearray(len(b) // 8 + 1)
-        for j in places:
-            bits[j >> 3] |= 1 << (j & 7)
-        masks[x] = int.from_bytes(bits, "little")
-    full, width = (1 << len(b)) - 1, len(b) // 8 + 1
-    step = max(1, int(len(a) ** 0.5))
-
-    def rows(start: int, stop: int, row: int):
+    if len(b) <= 512:
+        for j, x in enumerate(b):
+            masks[x] = masks.get(x, 0) | 1 << j
+    else:
+        for j, x in enumerate(b):
+            masks.setdefault(x, []).append(j)
+        for x, places in masks.items():
+            bits = bytearray(len(b) // 8 + 1)
+            for j in places:
+                bits[j >> 3] |= 1 << (j & 7)
+            masks[x] = int.from_bytes(bits, "little")
+    full = (1 << len(b)) - 1
+    step = len(a) if len(a) * len(b) <= HELD else max(1, int(len(a) ** 0.5))
+
+    def rows(start: int, stop: int, row: int) -> list[int]:
+        made = []
         for x in a[start:stop]:
-            hit = row & masks.get(x, 0)
-            row = ((row + hit) | (row - hit)) & full
-            yield row
-
-    kept, row = [full], full
-    for start in range(0, len(a), step):
-        for row in rows(start, start + step, row):  # noqa: B007
-            pass
-        kept.append(row)
+            mask = masks.get(x)
+            if mask:
+                hit = row & mask
+                row = ((row + hit) | (row - hit)) & full
+            made.append(row)
+        return made
+
+    kept = [full]
+    for start in range(0, len(a) - step, step):
+        kept.append(rows(start, start + step, kept[-1])[-1])
     out, j = [], len(b)
-    for block in range((len(a) - 1) // step, -1, -1):
+    for block in range(len(kept) - 1, -1, -1):
         start = block * step
-        made = [r.to_bytes(width, "little") for r in rows(start, min(start + step, len(a)), kept[block])]
+        made = rows(start, start + step, kept[block])
         i = start + len(made)
         while i > start and j:
             if a[i - 1] == b[j - 1]:
                 i, j = i - 1, j - 1
                 out.append((i, j))
-            elif made[i - 1 - start][(j - 1) >> 3] >> ((j - 1) & 7) & 1:
+            elif made[i - 1 - start] >> (j - 1) & 1:
                 j -= 1
             else:
                 i -= 1
@@ -152,11 +164,12 @@ def with_runs(pairs: DataFrame, key: str, base: str, other: str, rule: str = "su
     rule: what compares the stretches; "blocks" takes the longest block first
     and passes over very common elements, as difflib does.
     """
-    rows = pairs.withColumn("_a", hashed(F.col(base))).withColumn("_b", hashed(F.col(other)))
-    large = F.size("_a").cast("long") * F.size("_b") > exact
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    large = F.greatest(size(base), F.lit(0)) * F.greatest(size(other), F.lit(0)) > exact
+    with_hashes = lambda df: df.withColumn("_a", hashed(F.col(base))).withColumn("_b", hashed(F.col(other)))
     own = pairs.columns
-    small = rows.where(~large).withColumn("runs", _runs_udf(rule)(F.col("_a"), F.col("_b"))).select(*own, "runs")
-    long = rows.where(large)
+    small = with_hashes(pairs.where(~large)).withColumn("runs", _runs_udf(rule)(F.col("_a"), F.col("_b"))).select(*own, "runs")
+    long = with_hashes(pairs.where(large))
     cut = _stretches(long.select(F.col(key).alias("_k"), "_a", "_b"))
     within = cut.where((F.size("a") > 0) & (F.size("b") > 0)).repartition("_k", "i0").select("_k", "i0", "j0", F.explode(_runs_udf(rule)(F.col("a"), F.col("b"))).alias("r"))
     found = within.select("_k", (F.col("i0") + F.col("r.i")).alias("i"), (F.col("j0") + F.col("r.j")).alias("j"), F.col("r.n").alias("n"))
@@ -256,7 +269,8 @@ def token_rows(df: DataFrame, keys: list[str], base: str, other: str, ops: str =
 def lines(text: Column) -> Column:
     """The lines of a text, without those that are empty at its beginning, and none behind its last line break."""
     found = F.split(F.regexp_replace(text, r"^\n+", ""), r"\r\n|\n|\r", -1)
-    return F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+    ended = lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x)
+    return F.get(F.transform(F.array(found), ended), F.lit(0))  # split once
 
 
 def squeezed(found: Column) -> Column:
@@ -309,38 +323,71 @@ def line_edit(ops: Column, base: Column, other: Column) -> Column:
 PIECES = r"\w+|\s+|[^\w\s]"
 
 
+def _counts(x: str, y: str) -> tuple[int, int]:
+    """Signs that stay, and signs removed or added, of replaced ones the larger number."""
+    i = j = matched = changed = 0
+    for p, q, n in [*common_runs(x, y), (len(x), len(y), 0)]:
+        changed += max(p - i, q - j)
+        matched += n
+        i, j = p + n, q + n
+    return matched, changed
+
+
 @F.pandas_udf(COUNTS)
 def _sign_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    out = []
-    for x, y in zip(a, b, strict=True):
+    return pd.DataFrame([_counts(x, y) if x is not None and y is not None else (0, 0) for x, y in zip(a, b, strict=True)], columns=["matched", "changed"])
+
+
+def _pair_counts_udf(exact: int):
+    """matched and changed of a pair's pieces with their runs; rest: replaced stretches of more than `exact` cells, which aren't counted yet."""
+
+    def pair(a: Sequence[str], b: Sequence[str], runs: Sequence[dict]) -> tuple[int, int, list[dict]]:
         i = j = matched = changed = 0
-        for p, q, n in [*common_runs(x, y), (len(x), len(y), 0)]:
-            changed += max(p - i, q - j)
-            matched += n
+        rest = []
+        for p, q, n in [*((r["i"], r["j"], r["n"]) for r in runs), (len(a), len(b), 0)]:
+            x, y = "".join(a[i:p]), "".join(b[j:q])
+            if x and y and len(x) * len(y) > exact:
+                rest.append({"x": x, "y": y})
+            elif x and y:
+                same, other = _counts(x, y)
+                matched, changed = matched + same, changed + other
+            else:
+                changed += len(x) + len(y)
+            matched += sum(map(len, a[p : p + n]))
             i, j = p + n, q + n
-        out.append((matched, changed))
-    return pd.DataFrame(out, columns=["matched", "changed"])
+        return matched, changed, rest
+
+    @F.pandas_udf(PAIR_COUNTS)
+    def counts(a: pd.Series, b: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([pair(x, y, r) for x, y, r in zip(a, b, runs, strict=True)], columns=["matched", "changed", "rest"])
+
+    return counts
 
 
 def sign_distance(pairs: DataFrame, key: str, a: str, b: str, exact: int = EXACT) -> DataFrame:
     """(key, ratio, distance) of two texts: twice the signs that stay over all signs (1 for two empty texts), and the signs removed or added, of replaced ones the larger number.
 
     Words and what stands between them are compared first; signs only where
-    words replace others. Texts of null give nulls. Keys are distinct.
+    words replace others, in the pair's row up to `exact` cells of a stretch;
+    larger stretches are dealt out. Texts of null give nulls. Keys are distinct.
     """
-    rows = pairs.select(key, F.regexp_extract_all(a, F.lit(PIECES), 0).alias("_x"), F.regexp_extract_all(b, F.lit(PIECES), 0).alias("_y"), (F.length(a) + F.length(b)).alias("_signs"))
-    steps = with_runs(rows.where("_signs is not null"), key, "_x", "_y", exact=exact)
-    text = lambda c, low, high: F.array_join(F.slice(c, low + 1, high - low), "")
-    told = F.transform(opcodes(F.col("runs"), F.size("_x"), F.size("_y")), lambda o: F.struct(o["tag"].alias("tag"), text("_x", o["i1"], o["i2"]).alias("x"), F.when(o["tag"] != "equal", text("_y", o["j1"], o["j2"])).otherwise("").alias("y")))
-    parts = steps.select(key, F.explode(told).alias("_p")).select(key, "_p.*")
-    same, swapped = F.col("tag") == "equal", F.col("tag") == "replace"
-    plain = parts.where(~swapped).select(key, F.when(same, F.length("x")).otherwise(0).alias("matched"), F.when(same, 0).otherwise(F.length("x") + F.length("y")).alias("changed"))
-    closer = parts.where(swapped).repartition(F.col(key), F.xxhash64("x", "y")).select(key, _sign_counts("x", "y").alias("c")).select(key, "c.*")
-    sums = plain.unionByName(closer).groupBy(key).agg(F.sum("matched").alias("matched"), F.sum("changed").alias("changed"))
-    out = rows.select(key, "_signs").join(sums, key, "left")
-    matched = F.coalesce("matched", F.lit(0))
-    ratio = F.when(F.col("_signs") == 0, 1.0).when(F.col("_signs") > 0, 2.0 * matched / F.col("_signs"))
-    return out.select(key, ratio.alias("ratio"), F.when(F.col("_signs").isNotNull(), F.coalesce("changed", F.lit(0)).cast("double")).alias("distance"))
+    none = F.array().cast("array<string>")
+    pieces = lambda c: F.coalesce(F.regexp_extract_all(c, F.lit(PIECES), 0), none)
+    rows = pairs.select(key, pieces(a).alias("_x"), pieces(b).alias("_y"), (F.length(a) + F.length(b)).alias("_signs"))
+    return piece_distance(rows, key, exact)
+
+
+def piece_distance(rows: DataFrame, key: str, exact: int = EXACT) -> DataFrame:
+    """sign_distance of rows with the texts' pieces _x and _y (none for null) and _signs, the length of both (null if a text is null)."""
+    steps = with_runs(rows, key, "_x", "_y", exact=exact)
+    counted = steps.select(key, "_signs", _pair_counts_udf(exact)("_x", "_y", "runs").alias("c"))
+    parts = counted.select(key, "_signs", "c.matched", "c.changed", F.posexplode_outer("c.rest").alias("_at", "_p"))
+    own = lambda c: F.when(F.coalesce("_at", F.lit(0)) == 0, F.col(c)).otherwise(0)
+    parts = parts.select(key, "_signs", own("matched").alias("matched"), own("changed").alias("changed"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    dealt = parts.repartition(F.col(key), F.xxhash64("x", "y")).select(key, "_signs", "matched", "changed", _sign_counts("x", "y").alias("c"))
+    sums = dealt.groupBy(key).agg(F.max("_signs").alias("_signs"), F.sum(F.col("matched") + F.col("c.matched")).alias("matched"), F.sum(F.col("changed") + F.col("c.changed")).alias("changed"))
+    ratio = F.when(F.col("_signs") == 0, 1.0).when(F.col("_signs") > 0, 2.0 * F.col("matched") / F.col("_signs"))
+    return sums.select(key, ratio.alias("ratio"), F.when(F.col("_signs").isNotNull(), F.col("changed").cast("double")).alias("distance"))
 
 
 def mean_ratio(samples: DataFrame, group: str, key: str, a: str, b: str) -> DataFrame:

@@ -21,3 +21,21 @@ def test_parts_grow_with_the_files(spark, sf, monkeypatch):
     assert partitions(views.pred(spark, sf)) > 8 and partitions(views.words(spark, sf, dealt=True)) > 4
     monkeypatch.undo()
     assert sorted(map(tuple, views.pred(spark, sf).select("problem_id", "p").collect())) == small["pred"]
+
+
+def test_pairs_of_one_file_are_dealt(spark, sf):
+    """Lines of a single file's documents are compared in several tasks, and split before they are dealt."""
+    from plumbline.plans import catalog
+
+    pairs = catalog._neighbours(spark, sf, lambda text: F.split(text, "\n"))
+    assert partitions(pairs) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    plan = catalog._line_steps(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    split = [i for i, line in enumerate(plan) if "split(" in line]
+    assert split and all("RepartitionByExpression" in plan[i - 1] for i in split)
+
+
+def test_closer_compares_flags(spark, sf):
+    """No line's text is unfolded to tell which document is closer."""
+    from plumbline.plans import reports
+
+    assert "old_idx" not in reports._closer(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
