@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import AGGREGATES
+from plumbline.session import dealt
 
 
 def to_lines(tokens: DataFrame, how: str = "gmean", keys: tuple[str, ...] = ("problem_id", "line_id"), p: str = "p", y: str = "y") -> DataFrame:
@@ -29,10 +30,23 @@ def sample_mean(samples: DataFrame, keys: tuple[str, ...] = ("problem_id", "pos"
     return samples.groupBy(*keys).agg(F.avg(F.col(keep).cast("double")).alias("p"), F.count("*").alias("n"))
 
 
-def to_tokens(tokens: DataFrame, line_probs: DataFrame, line: tuple[str, ...] = ("problem_id", "line_id"), problem: str = "problem_id") -> DataFrame:
-    """Each token with its line's probability; tokens of lines without one get the problem's mean over its lines."""
-    means = line_probs.groupBy(problem).agg(F.avg("line_p").alias("_mean"))
-    return tokens.join(line_probs, list(line), "left").join(means, problem, "left").withColumn("line_p", F.coalesce("line_p", "_mean")).drop("_mean")
+def to_tokens(tokens: DataFrame, line_probs: DataFrame, line: tuple[str, ...] = ("problem_id", "line_id"), problem: str = "problem_id", parts: int | None = None) -> DataFrame:
+    """Each token with its line's probability (a row for each line); tokens of lines without one get the problem's mean over its lines.
+
+    Both sides are dealt by problem once, into `parts` if given, and lie in one
+    order: a line's row is seen by its tokens in windows, so nothing is joined.
+    """
+    keys = [*dict.fromkeys([problem, *line])]
+    own = tokens.withColumns({"_of_line": F.lit(False), "line_p": F.lit(None).cast(line_probs.schema["line_p"].dataType)})
+    known = line_probs.select(*keys, "line_p").withColumn("_of_line", F.lit(True))
+    rows = dealt(own.unionByName(known, allowMissingColumns=True), parts, problem)
+    mean = F.avg(F.when(F.col("_of_line"), F.col("line_p"))).over(Window.partitionBy(problem))
+    found = F.max("line_p").over(Window.partitionBy(*keys))
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    made = rows.withColumns({"_found": F.when(~null, found), "_mean": F.when(F.col(problem).isNotNull(), mean)})
+    return made.where("not _of_line").withColumn("line_p", F.coalesce("_found", "_mean")).select(*tokens.columns, "line_p")
 
 
 def positive_counts(df: DataFrame, keys: list[str], problem: str = "problem_id", line: str = "line_id", y: str = "y") -> DataFrame:

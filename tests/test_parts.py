@@ -39,3 +39,14 @@ def test_closer_compares_flags(spark, sf):
     from plumbline.plans import reports
 
     assert "old_idx" not in reports._closer(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_reach_their_tokens_without_a_join(spark):
+    """Tokens see their line's probability, else the problem's mean, in the parts that they are dealt into once."""
+    from plumbline.operators import rollup
+
+    tokens = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 2), (2, 0, 0), (None, 0, 0), (1, None, 3)], "problem_id int, line_id int, pos int")
+    lines = spark.createDataFrame([(1, 0, 0.2), (1, 1, 0.6), (3, 0, 0.9)], "problem_id int, line_id int, line_p double")
+    made = rollup.to_tokens(tokens, lines, parts=7)
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, [(1, 0, 0, 0.2), (1, 1, 1, 0.6), (1, 2, 2, 0.4), (2, 0, 0, None), (None, 0, 0, None), (1, None, 3, 0.4)]))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
