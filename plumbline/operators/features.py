@@ -7,6 +7,8 @@ import keyword
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import dealt, kept
+
 KEYWORDS = sorted(keyword.kwlist)
 # Token classes by their signs.
 OPERATORS = "+ - * / = == != < > <= >= && || ! & | ^".split()
@@ -56,10 +58,11 @@ def fit(tokens: DataFrame, top: int, key: str = "problem_id", pos: str = "pos",
     """(token, n, rank), (log_scale) and the `top` commonest tokens of the corpus.
 
     The scale is ln(1 + the 95th percentile of places, from 1), taken from counts by place.
+    The ranks are a written table: tokens are counted once for all that asks for them.
     """
     from plumbline.operators.tokens import frequency_ranks
 
-    ranks = frequency_ranks(tokens, token)
+    ranks = kept(tokens.sparkSession, frequency_ranks(tokens, token), "ranks")
     places = tokens.groupBy(pos).agg(F.count("*").alias("_n"))
     scale = places.agg(F.log(F.percentile(F.col(pos) + 1, F.lit(0.95), F.col("_n")) + 1).alias("log_scale"))
     common = [r[0] for r in ranks.orderBy(F.desc("n"), token).limit(top).collect()]  # `top` rows
@@ -74,30 +77,31 @@ def _ranked(d: DataFrame, ranks: DataFrame, key: str, pos: str, token: str) -> D
     """d with _n and _rank of each token.
 
     The FREQUENT most frequent tokens are looked up in a table of that many
-    rows; of any other there is less than a FREQUENT-th of all rows, so that no
-    key is hot where the rest is joined, and the frequent ones' rows are spread
-    there by their place.
+    rows, and their rows aren't exchanged; of any other there is less than a
+    FREQUENT-th of all rows, so that no key is hot where the rest is joined.
     """
     known = ranks.select(F.col(token).alias("_token"), F.col("n").alias("_n"), F.col("rank").alias("_rank"))
-    most = known.orderBy(F.desc("_n"), "_token").limit(FREQUENT).withColumnsRenamed({"_token": token, "_n": "_hot_n", "_rank": "_hot_rank"})
-    d = d.join(F.broadcast(most), token, "left")
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(key, pos), F.lit(4096)).cast("string"))
-    d = d.withColumn("_asked", F.when(F.col("_hot_n").isNull(), F.col(token)).otherwise(spread))
-    d = d.join(known, F.col("_asked") == F.col("_token"), "left")
-    return d.withColumns({"_n": F.coalesce("_hot_n", "_n"), "_rank": F.coalesce("_hot_rank", "_rank")}).drop("_asked", "_token", "_hot_n", "_hot_rank")
+    most = F.broadcast(known.orderBy(F.desc("_n"), "_token").limit(FREQUENT))
+    same = F.col(token) == F.col("_token")
+    own = [key, pos, token]
+    hot = d.join(most, same).select(*own, "_n", "_rank")
+    rest = d.join(most, same, "left_anti").join(known, same, "left").select(*own, "_n", "_rank")
+    return hot.union(rest)
 
 
-def extract(tokens: DataFrame, ranks: DataFrame, scale: DataFrame, common: list[str], definition: str = "def", key: str = "problem_id", pos: str = "pos", token: str = "token") -> DataFrame:
+def extract(tokens: DataFrame, ranks: DataFrame, scale: DataFrame, common: list[str], definition: str = "def", key: str = "problem_id", pos: str = "pos", token: str = "token", parts: int | None = None) -> DataFrame:
     """key, pos and a column for each of NAMES and each common token (top_0, top_1, ...), as doubles.
 
-    tokens should be dealt by key already; all windows then share one sort. A
-    token that the ranks don't know has rank 0 and frequency 1.
+    Ranks are looked up for bare tokens; with them they are dealt by key (into
+    `parts`, if given), and all that is wide stays there: sums by key need no
+    other exchange. A token that the ranks don't know has rank 0 and frequency 1.
     """
     order = Window.partitionBy(key).orderBy(pos)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t, bare = F.col(token), F.trim(F.col(token), F.lit(" \t\n\r\f\x0b"))
     yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    d = tokens.select(key, pos, token)
+    ranked = _ranked(tokens.select(key, pos, token), ranks, key, pos, token)
+    d = ranked.repartition(key) if parts is None else dealt(ranked, parts, key)
     d = d.withColumns(
         {
             "_before": F.lag(token).over(order),
@@ -129,7 +133,7 @@ def extract(tokens: DataFrame, ranks: DataFrame, scale: DataFrame, common: list[
     )
     start = F.first(F.when(F.col(pos) > 0, F.col("_carried")).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_in_line", F.col("_in_line") + F.when(F.col("_line") > 0, start).otherwise(0))
-    d = _ranked(d, ranks, key, pos, token).crossJoin(F.broadcast(scale))  # one row
+    d = d.crossJoin(F.broadcast(scale))  # one row
     near = F.when(F.col("_total") == 1, 0.0).otherwise((F.coalesce(F.length("_before"), F.lit(0)) + F.coalesce(F.length("_after"), F.lit(0))) / F.when(F.col("_before").isNull() | F.col("_after").isNull(), 1).otherwise(2))
     trimmed = lambda c: F.trim(F.col(c), F.lit(" \t\n\r\f\x0b"))
     made = (

@@ -50,3 +50,13 @@ def test_lines_reach_their_tokens_without_a_join(spark):
     made = rollup.to_tokens(tokens, lines, parts=7)
     assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, [(1, 0, 0, 0.2), (1, 1, 1, 0.6), (1, 2, 2, 0.4), (2, 0, 0, None), (None, 0, 0, None), (1, None, 3, 0.4)]))
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_are_looked_up_before_tokens_get_wide(spark, sf):
+    """Joins on tokens lie below all windows over a text, which then need no exchange."""
+    from plumbline.plans import reports
+
+    plan = reports.ml_features(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, line in enumerate(plan) if "Join" in line and "_token" in line]
+    texts = [i for i, line in enumerate(plan) if "Window" in line and "problem_id" in line]
+    assert joins and texts and max(texts) < min(joins)
