@@ -173,3 +173,20 @@ def test_sign_distance(spark):
     got = {r.k: (r.ratio, r.distance) for r in diff.sign_distance(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "k int, a string, b string"), "k", "a", "b").collect()}
     assert got[0] == (1.0, 0) and got[1] == got[2] == (0.0, 4) and got[3] == (10 / 13, 3) and got[5] == (1.0, 0) and got[6] == (None, None) and got[8] == (0.0, 5)
     assert got[4] == (14 / 16, 2) and got[7] == (2 * 9 / 21, 2)
+
+
+def test_large_stretches_are_dealt_out(spark):
+    """Whether a stretch is counted in the pair's row or by itself, the sums are the same."""
+    pairs = [("stone lamp", "stones lamb"), ("tin can", "tin canoe"), ("", "four"), ("x" * 5, "y" * 3), ("a b", None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "k int, a string, b string")
+    got = [sorted(map(tuple, diff.sign_distance(df, "k", "a", "b", exact=n).collect())) for n in (1, 12, diff.EXACT)]
+    assert got[0] == got[1] == got[2] and got[0][0] == (0, 2 * 9 / 21, 2.0) and got[0][4] == (4, None, None)
+
+
+def test_pieces_are_taken_before_pairs_are_dealt(spark, sf):
+    """However often the pairs are read, a document's pieces are found below the dealing."""
+    from plumbline.plans import catalog
+
+    plan = catalog.df_char_distance(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    found = [i for i, line in enumerate(plan) if "regexp_extract_all" in line]
+    assert found and all("RepartitionByExpression" in plan[i - 1] for i in found)
