@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import dealt, parts, table
@@ -15,9 +15,9 @@ TOK = """tok AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def pred(spark: SparkSession, sf: str) -> DataFrame:
-    """Token predictions without their place: problem_id, dataset, gen_model, sample_id, line_id, p, y."""
-    item = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+def pred(spark: SparkSession, sf: str, at: list[Column] = ()) -> DataFrame:
+    """Token predictions without their place: problem_id, dataset, gen_model, sample_id, line_id, p, y; and `at`, columns of the lineitem files."""
+    item = table(spark, sf, "lineitem").select(*at, "l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     order = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     n = parts(table(spark, sf, "lineitem"))
     item, order = dealt(item, n, "l_orderkey"), dealt(order, n, "o_orderkey")
@@ -35,6 +35,7 @@ def pred(spark: SparkSession, sf: str) -> DataFrame:
         "l_suppkey",
         "l_extendedprice",
         "l_quantity",
+        *[c for c in item.columns if not c.startswith("l_")],
     )
 
 
