@@ -1,17 +1,13 @@
 """Differences of two sequences (lines, words, signs) of a row, for sequences of any length.
 
-A pair of at most EXACT cells (length x length) is compared as it stands. In a
-larger pair the elements that occur once on either side are anchors: grouped
-over the pair's exploded elements, so that a long text is spread over tasks.
-The longest chain of anchors that keeps the order of both sides stays, and
-only the stretches between them are compared. What is compared gets a longest
-common subsequence, worked out with one machine word for 64 cells and memory
-of the square root of the cells' rows; a stretch without anchors is compared
-whole however long it is, so that nothing is left out.
-
-Elements are compared by 64-bit hashes. A null sequence counts as empty. Of
-several longest common subsequences the one with the last places is taken, so
-that what is equal stands together.
+Every pair, of whatever length, is compared in its row: it gets a longest
+common subsequence, worked out with one machine word for 64 cells. Time is the
+product of the lengths by 64. Memory is the square root of the rows: of large
+pairs some rows are kept, the others made again.
+
+Rows of tables are compared by 64-bit hashes of their elements. A null sequence
+counts as empty. Of several longest common subsequences the one with the last
+places is taken, so that what is equal stands together.
 """
 
 from __future__ import annotations
@@ -19,13 +15,14 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cells up to which a pair is compared without anchors.
+#: Cells up to which a replaced stretch of a text is counted in its pair's row.
 EXACT = 1 << 22
 
 RUNS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "ijn"]))
@@ -58,53 +55,80 @@ def longest_chain(places: Sequence[int]) -> list[int]:
     return out[::-1]
 
 
-def common_runs(a: Sequence, b: Sequence) -> list[tuple[int, int, int]]:
-    """Runs (i, j, n) of equal elements that make up a longest common subsequence."""
+#: Cells up to which all rows of bits are held at once (4 MB), and bytes of masks that are held; others are made for each row.
+HELD, MASKS = 1 << 25, 1 << 26
+
+
+def common_runs(a: Sequence, b: Sequence, held: int = HELD, masks: int = MASKS) -> list[tuple[int, int, int]]:
+    """Runs (i, j, n) of equal elements that make up a longest common subsequence; it doesn't depend on held and masks."""
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    matches = [(head + i, head + j) for i, j in _matches(a[head : len(a) - tail], b[head : len(b) - tail])]
+    matches = _matches(a[head : len(a) - tail], b[head : len(b) - tail], held, masks)
     runs = [[0, 0, head]] if head else []
-    for i, j in [*matches, *((len(a) - tail + k, len(b) - tail + k) for k in range(tail))]:
+    for i, j in matches:
+        i, j = head + i, head + j
         if runs and runs[-1][0] + runs[-1][2] == i and runs[-1][1] + runs[-1][2] == j:
             runs[-1][2] += 1
         else:
             runs.append([i, j, 1])
+    if tail:
+        i, j = len(a) - tail, len(b) - tail
+        if runs and runs[-1][0] + runs[-1][2] == i and runs[-1][1] + runs[-1][2] == j:
+            runs[-1][2] += tail
+        else:
+            runs.append([i, j, tail])
     return [tuple(r) for r in runs]
 
 
-#: Cells up to which all rows of bits are held at once (4 MB).
-HELD = 1 << 25
+def _mask(places: list[int], size: int) -> int:
+    """Bits at the places, of less than 8 * size."""
+    if len(places) < 8:
+        return sum(1 << j for j in places)
+    bits = bytearray(size)
+    for j in places:
+        bits[j >> 3] |= 1 << (j & 7)
+    return int.from_bytes(bits, "little")
 
 
-def _matches(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+def _masks(b: Sequence, most: int) -> dict:
+    """The places of each element of b as bits; beyond `most` bytes of bits those of the rarer ones as lists."""
+    found: dict = {}
+    if len(b) <= 512:
+        for j, x in enumerate(b):
+            found[x] = found.get(x, 0) | 1 << j
+        return found
+    for j, x in enumerate(b):
+        found.setdefault(x, []).append(j)
+    size = len(b) // 8 + 1
+    common = found if len(found) * size <= most else sorted(found, key=lambda x: -len(found[x]))[: most // size]
+    for x in common:
+        found[x] = _mask(found[x], size)
+    return found
+
+
+def _matches(a: Sequence, b: Sequence, held: int = HELD, most: int = MASKS) -> list[tuple[int, int]]:
     """Bit j of row i is 0 where b[j] makes the longest common subsequence with a[:i] longer; of many cells some rows are kept, the others made again."""
     if not len(a) or not len(b):
         return []
-    masks: dict = {}
-    if len(b) <= 512:
-        for j, x in enumerate(b):
-            masks[x] = masks.get(x, 0) | 1 << j
-    else:
-        for j, x in enumerate(b):
-            masks.setdefault(x, []).append(j)
-        for x, places in masks.items():
-            bits = bytearray(len(b) // 8 + 1)
-            for j in places:
-                bits[j >> 3] |= 1 << (j & 7)
-            masks[x] = int.from_bytes(bits, "little")
+    if len(b) > 512:  # what a lacks keeps its bit in all rows
+        there = set(a)
+        at = [j for j, x in enumerate(b) if x in there]
+        if len(at) < len(b):
+            return [(i, at[j]) for i, j in _matches(a, [b[j] for j in at], held, most)]
+    masks, size = _masks(b, most), len(b) // 8 + 1
     full = (1 << len(b)) - 1
-    step = len(a) if len(a) * len(b) <= HELD else max(1, int(len(a) ** 0.5))
+    step = len(a) if len(a) * len(b) <= held else max(1, int(len(a) ** 0.5))
 
     def rows(start: int, stop: int, row: int) -> list[int]:
         made = []
         for x in a[start:stop]:
             mask = masks.get(x)
             if mask:
-                hit = row & mask
+                hit = row & (mask if isinstance(mask, int) else _mask(mask, size))
                 row = ((row + hit) | (row - hit)) & full
             made.append(row)
         return made
@@ -136,8 +160,8 @@ def matcher_runs(a: Sequence, b: Sequence) -> list[tuple[int, int, int]]:
 RULES = {"subsequence": common_runs, "blocks": matcher_runs}
 
 
-def _runs_udf(rule: str):
-    find = RULES[rule]
+def _runs_udf(rule: str, held: int):
+    find = (lambda a, b: common_runs(a, b, held)) if rule == "subsequence" else RULES[rule]
 
     @F.pandas_udf(RUNS)
     def runs(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -146,11 +170,6 @@ def _runs_udf(rule: str):
     return runs
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def chains(places: pd.Series) -> pd.Series:
-    return pd.Series([longest_chain(x.tolist()) for x in places], dtype=object)
-
-
 # --- over tables ---
 
 
@@ -158,54 +177,14 @@ def hashed(elements: Column) -> Column:
     return F.transform(F.coalesce(elements, F.array().cast("array<string>")), lambda x: F.xxhash64(x))
 
 
-def with_runs(pairs: DataFrame, key: str, base: str, other: str, rule: str = "subsequence", exact: int = EXACT) -> DataFrame:
+def with_runs(pairs: DataFrame, key: str, base: str, other: str, rule: str = "subsequence", held: int = HELD) -> DataFrame:
     """pairs (one row a key) with a column runs: the equal runs (i, j, n) of the arrays base and other, by place.
 
-    rule: what compares the stretches; "blocks" takes the longest block first
-    and passes over very common elements, as difflib does.
+    rule: what compares a pair; "blocks" takes the longest block first and
+    passes over very common elements, as difflib does. Pairs are compared the
+    same way whatever their size; held: cells up to which a pair's rows are held.
     """
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    large = F.greatest(size(base), F.lit(0)) * F.greatest(size(other), F.lit(0)) > exact
-    with_hashes = lambda df: df.withColumn("_a", hashed(F.col(base))).withColumn("_b", hashed(F.col(other)))
-    own = pairs.columns
-    small = with_hashes(pairs.where(~large)).withColumn("runs", _runs_udf(rule)(F.col("_a"), F.col("_b"))).select(*own, "runs")
-    long = with_hashes(pairs.where(large))
-    cut = _stretches(long.select(F.col(key).alias("_k"), "_a", "_b"))
-    within = cut.where((F.size("a") > 0) & (F.size("b") > 0)).repartition("_k", "i0").select("_k", "i0", "j0", F.explode(_runs_udf(rule)(F.col("a"), F.col("b"))).alias("r"))
-    found = within.select("_k", (F.col("i0") + F.col("r.i")).alias("i"), (F.col("j0") + F.col("r.j")).alias("j"), F.col("r.n").alias("n"))
-    anchors = cut.where("i0 > 0").select("_k", (F.col("i0") - 1).alias("i"), (F.col("j0") - 1).alias("j"), F.lit(1).alias("n"))
-    joined = long.select(*own).join(_merged(found.union(anchors)), F.col(key).eqNullSafe(F.col("_k")), "left")
-    return small.union(joined.select(*own, F.coalesce("runs", F.array().cast(RUNS)).alias("runs")))
-
-
-def _stretches(long: DataFrame) -> DataFrame:
-    """(_k, i0, j0, a, b): what lies before, between and behind the chain's anchors; each but the first stretch begins behind an anchor."""
-    side = lambda c, s: F.transform(F.col(c), lambda e, i: F.struct(F.lit(s).alias("s"), i.alias("i"), e.alias("e")))
-    rows = long.select("_k", F.explode(F.concat(side("_a", 0), side("_b", 1))).alias("x")).select("_k", "x.*")
-    once = rows.groupBy("_k", "e").agg(F.count_if(F.col("s") == 0).alias("na"), F.count_if(F.col("s") == 1).alias("nb"), F.max(F.when(F.col("s") == 0, F.col("i"))).alias("i"), F.max(F.when(F.col("s") == 1, F.col("i"))).alias("j"))
-    listed = once.where("na = 1 and nb = 1").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("found"))
-    chained = listed.withColumn("chain", chains(F.transform("found", lambda x: x["j"]))).select(F.col("_k").alias("_of"), F.transform("chain", lambda k: F.get("found", k)).alias("chain"))
-    both = long.join(chained, F.col("_k").eqNullSafe(F.col("_of")), "left").withColumn("chain", F.coalesce("chain", F.array().cast("array<struct<i:int,j:int>>")))
-    pair = lambda i, j: F.array(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j")))
-    starts, ends = F.concat(pair(F.lit(-1), F.lit(-1)), "chain"), F.concat("chain", pair(F.size("_a"), F.size("_b")))
-    pieces = F.zip_with(
-        starts,
-        ends,
-        lambda s, e: F.struct(
-            (s["i"] + 1).alias("i0"), (s["j"] + 1).alias("j0"), F.slice(F.col("_a"), s["i"] + 2, e["i"] - s["i"] - 1).alias("a"), F.slice(F.col("_b"), s["j"] + 2, e["j"] - s["j"] - 1).alias("b")
-        ),
-    )
-    return both.select("_k", F.explode(pieces).alias("p")).select("_k", "p.*")
-
-
-def _merged(runs: DataFrame) -> DataFrame:
-    """(_k, runs): runs that follow each other on both sides are one."""
-    order = Window.partitionBy("_k").orderBy("i")
-    goes_on = (F.lag(F.col("i") + F.col("n")).over(order) == F.col("i")) & (F.lag(F.col("j") + F.col("n")).over(order) == F.col("j"))
-    marked = runs.withColumn("_new", F.when(goes_on, 0).otherwise(1))
-    marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    whole = marked.groupBy("_k", "_run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.sum("n").cast("int").alias("n"))
-    return whole.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("runs"))
+    return pairs.withColumn("runs", _runs_udf(rule, held)(hashed(F.col(base)), hashed(F.col(other))))
 
 
 # --- what the runs say, as column expressions ---
@@ -379,7 +358,7 @@ def sign_distance(pairs: DataFrame, key: str, a: str, b: str, exact: int = EXACT
 
 def piece_distance(rows: DataFrame, key: str, exact: int = EXACT) -> DataFrame:
     """sign_distance of rows with the texts' pieces _x and _y (none for null) and _signs, the length of both (null if a text is null)."""
-    steps = with_runs(rows, key, "_x", "_y", exact=exact)
+    steps = with_runs(rows, key, "_x", "_y")
     counted = steps.select(key, "_signs", _pair_counts_udf(exact)("_x", "_y", "runs").alias("c"))
     parts = counted.select(key, "_signs", "c.matched", "c.changed", F.posexplode_outer("c.rest").alias("_at", "_p"))
     own = lambda c: F.when(F.coalesce("_at", F.lit(0)) == 0, F.col(c)).otherwise(0)

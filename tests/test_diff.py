@@ -122,6 +122,28 @@ def steps(spark, a, b):
     return df.withColumn("ops", diff.opcodes(F.col("runs"), F.size("a"), F.size("b")))
 
 
+def test_large_pairs_lose_nothing(spark, tmp_path):
+    """An element that stands once on either side, but in another order, doesn't keep the others of a large pair apart."""
+    from plumbline.plans import reports
+
+    a, b = ["once", *["x", "y"] * 1100], [*["x", "y"] * 1100, "once"]
+    assert len(a) * len(b) > diff.EXACT
+    assert found(spark, [(a, b), (a[:21], b[-21:])]) == {"k0": [(1, 0, 2200)], "k1": [(1, 0, 20)]}
+    texts = [(i, "\n".join(x)) for i, x in enumerate([a, b, ["none"]])]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.n, r.changed_a, r.changed_b) for r in reports.df_closer(spark, str(tmp_path)).collect()]
+    assert rows == [(0, 2201, 1, 2201)]
+
+
+def test_runs_do_not_depend_on_what_is_held():
+    rng = random.Random(9)
+    for letters in (3, 40, 2000):
+        a, b = ([rng.randrange(letters) for _ in range(n)] for n in (150, 1100))
+        runs = diff.common_runs(a, b)
+        assert is_a_way(a, b, runs) and sum(n for *_, n in runs) == table_of_lengths(a, b)
+        assert all(diff.common_runs(a, b, held, masks) == runs for held in (0, diff.HELD) for masks in (0, 500, diff.MASKS))
+
+
 def test_opcodes_and_token_rows(spark):
     df = steps(spark, ["the", "red", "cat"], ["the", "big", "cat", "sat"]).withColumn("p", F.array(F.lit(-1.0), F.lit(-2.0), F.lit(None)))
     assert [tuple(o) for o in df.first().ops] == [("equal", 0, 1, 0, 1), ("replace", 1, 2, 1, 2), ("equal", 2, 3, 2, 3), ("insert", 3, 3, 3, 4)]
