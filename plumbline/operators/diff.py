@@ -15,7 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Sequence
 from difflib import SequenceMatcher
-from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,10 +126,11 @@ def _matches(a: Sequence, b: Sequence, held: int = HELD, most: int = MASKS) -> l
     def rows(start: int, stop: int, row: int) -> list[int]:
         made = []
         for x in a[start:stop]:
-            mask = masks.get(x)
-            if mask:
-                hit = row & (mask if isinstance(mask, int) else _mask(mask, size))
-                row = ((row + hit) | (row - hit)) & full
+            if x in masks:
+                mask = masks[x]
+                hit = row & (mask if type(mask) is int else _mask(mask, size))
+                if hit:
+                    row = ((row + hit) | (row - hit)) & full
             made.append(row)
         return made
 
@@ -302,8 +303,7 @@ def line_edit(ops: Column, base: Column, other: Column) -> Column:
 PIECES = r"\w+|\s+|[^\w\s]"
 
 
-def _counts(x: str, y: str) -> tuple[int, int]:
-    """Signs that stay, and signs removed or added, of replaced ones the larger number."""
+def _run_counts(x: str, y: str) -> tuple[int, int]:
     i = j = matched = changed = 0
     for p, q, n in [*common_runs(x, y), (len(x), len(y), 0)]:
         changed += max(p - i, q - j)
@@ -312,37 +312,81 @@ def _counts(x: str, y: str) -> tuple[int, int]:
     return matched, changed
 
 
+def _counts(x: str, y: str) -> tuple[int, int]:
+    """Signs that stay, and signs removed or added, of replaced ones the larger number: _run_counts, for words without their runs being made."""
+    if len(x) > 512 or len(y) > 512:
+        return _run_counts(x, y)
+    head, i, j = 0, len(x), len(y)
+    while head < i and head < j and x[head] == y[head]:
+        head += 1
+    while i > head and j > head and x[i - 1] == y[j - 1]:
+        i, j = i - 1, j - 1
+    matched, changed, after, behind = head + len(x) - i, 0, i, j
+    if i > head and j > head:
+        masks: dict = {}
+        bit = full = 1
+        for c in y[head:j]:
+            masks[c] = masks.get(c, 0) | bit
+            bit <<= 1
+        full = row = bit - 1
+        made = []
+        for c in x[head:i]:
+            if c in masks:
+                hit = row & masks[c]
+                row = ((row + hit) | (row - hit)) & full
+            made.append(row)
+        bit >>= 1
+        while bit and i > head:
+            if x[i - 1] == y[j - 1]:
+                changed += max(after - i, behind - j)
+                i, j, bit = i - 1, j - 1, bit >> 1
+                after, behind, matched = i, j, matched + 1
+            elif made[i - 1 - head] & bit:
+                j, bit = j - 1, bit >> 1
+            else:
+                i -= 1
+    return matched, changed + max(after - head, behind - head)
+
+
 @F.pandas_udf(COUNTS)
 def _sign_counts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_counts(x, y) if x is not None and y is not None else (0, 0) for x, y in zip(a, b, strict=True)], columns=["matched", "changed"])
 
 
-def _pair_counts_udf(exact: int):
-    """matched and changed of a pair's pieces with their runs; rest: replaced stretches of more than `exact` cells, which aren't counted yet."""
-
-    def pair(a: Sequence[str], b: Sequence[str], runs: Sequence[dict]) -> tuple[int, int, list[dict]]:
-        i = j = matched = changed = 0
-        rest = []
-        for p, q, n in [*((r["i"], r["j"], r["n"]) for r in runs), (len(a), len(b), 0)]:
-            x, y = "".join(a[i:p]), "".join(b[j:q])
-            if x and y and len(x) * len(y) > exact:
-                rest.append({"x": x, "y": y})
-            elif x and y:
-                same, other = _counts(x, y)
-                matched, changed = matched + same, changed + other
-            else:
-                changed += len(x) + len(y)
-            matched += sum(map(len, a[p : p + n]))
-            i, j = p + n, q + n
-        return matched, changed, rest
+def _pair_counts(x: str, m: Sequence[int], y: str, n: Sequence[int], exact: int) -> tuple[int, int, list[dict]]:
+    """matched and changed of two texts with the sizes of their pieces; rest: replaced stretches of more than `exact` cells, which aren't counted yet."""
+    at, bt = [0, *accumulate(m)], [0, *accumulate(n)]
+    a, b = ([t[p:q] for p, q in zip(c, c[1:])] for t, c in ((x, at), (y, bt)))
+    i = j = matched = changed = 0
+    rest = []
+    for p, q, k in [*common_runs(a, b), (len(a), len(b), 0)]:
+        old, new = x[at[i] : at[p]], y[bt[j] : bt[q]]
+        if not old or not new:
+            changed += len(old) + len(new)
+        elif len(old) * len(new) > exact:
+            rest.append({"x": old, "y": new})
+        else:
+            same, other = _counts(old, new)
+            matched, changed = matched + same, changed + other
+        i, j = p + k, q + k
+        matched += at[i] - at[p]
+    return matched, changed, rest
 
+
+def _pair_counts_udf(exact: int):
     @F.pandas_udf(PAIR_COUNTS)
-    def counts(a: pd.Series, b: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([pair(x, y, r) for x, y, r in zip(a, b, runs, strict=True)], columns=["matched", "changed", "rest"])
+    def counts(x: pd.Series, m: pd.Series, y: pd.Series, n: pd.Series) -> pd.DataFrame:
+        known = lambda t, s: (t, s.tolist()) if t is not None else ("", [])
+        return pd.DataFrame([_pair_counts(*known(a, c), *known(b, d), exact) for a, c, b, d in zip(x, m, y, n, strict=True)], columns=["matched", "changed", "rest"])
 
     return counts
 
 
+def pieces(text: Column) -> Column:
+    """A text with the sizes of its words and of what stands between them: a fraction of the room that the pieces themselves take."""
+    return F.struct(text.alias("text"), F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda x: F.length(x)).alias("sizes"))
+
+
 def sign_distance(pairs: DataFrame, key: str, a: str, b: str, exact: int = EXACT) -> DataFrame:
     """(key, ratio, distance) of two texts: twice the signs that stay over all signs (1 for two empty texts), and the signs removed or added, of replaced ones the larger number.
 
@@ -350,16 +394,13 @@ def sign_distance(pairs: DataFrame, key: str, a: str, b: str, exact: int = EXACT
     words replace others, in the pair's row up to `exact` cells of a stretch;
     larger stretches are dealt out. Texts of null give nulls. Keys are distinct.
     """
-    none = F.array().cast("array<string>")
-    pieces = lambda c: F.coalesce(F.regexp_extract_all(c, F.lit(PIECES), 0), none)
-    rows = pairs.select(key, pieces(a).alias("_x"), pieces(b).alias("_y"), (F.length(a) + F.length(b)).alias("_signs"))
-    return piece_distance(rows, key, exact)
+    return piece_distance(pairs.select(key, pieces(F.col(a)).alias("_x"), pieces(F.col(b)).alias("_y")), key, exact)
 
 
 def piece_distance(rows: DataFrame, key: str, exact: int = EXACT) -> DataFrame:
-    """sign_distance of rows with the texts' pieces _x and _y (none for null) and _signs, the length of both (null if a text is null)."""
-    steps = with_runs(rows, key, "_x", "_y")
-    counted = steps.select(key, "_signs", _pair_counts_udf(exact)("_x", "_y", "runs").alias("c"))
+    """sign_distance of rows with the texts and the sizes of their pieces, _x and _y."""
+    signs = F.length("_x.text") + F.length("_y.text")
+    counted = rows.select(key, signs.alias("_signs"), _pair_counts_udf(exact)("_x.text", "_x.sizes", "_y.text", "_y.sizes").alias("c"))
     parts = counted.select(key, "_signs", "c.matched", "c.changed", F.posexplode_outer("c.rest").alias("_at", "_p"))
     own = lambda c: F.when(F.coalesce("_at", F.lit(0)) == 0, F.col(c)).otherwise(0)
     parts = parts.select(key, "_signs", own("matched").alias("matched"), own("changed").alias("changed"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))

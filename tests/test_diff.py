@@ -212,3 +212,22 @@ def test_pieces_are_taken_before_pairs_are_dealt(spark, sf):
     plan = catalog.df_char_distance(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     found = [i for i, line in enumerate(plan) if "regexp_extract_all" in line]
     assert found and all("RepartitionByExpression" in plan[i - 1] for i in found)
+
+
+def test_words_are_counted_as_their_runs_say():
+    rng = random.Random(4)
+    for _ in range(4000):
+        letters = rng.choice(["ab", "abcd", "abcdefghij ", "x"])
+        x, y = ("".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice((3, 9, 40))))) for _ in "ab")
+        y = rng.choice([y, x[: len(x) // 2] + y, y + x[len(x) // 2 :]])
+        assert diff._counts(x, y) == diff._run_counts(x, y)
+
+
+def test_texts_are_dealt_once_a_side(spark, sf):
+    """Beside the two sides only stretches that are too large for a row are dealt, and no piece of a text is unfolded."""
+    from plumbline.plans import catalog
+
+    plan = catalog.df_char_distance(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and plan.count("Generate ") == 1 and plan.count("Join ") == 1
+    sides = catalog._neighbours(spark, sf, diff.pieces)
+    assert sides.schema["base"].dataType.simpleString() == "struct<text:string,sizes:array<int>>"
