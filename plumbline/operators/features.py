@@ -83,7 +83,7 @@ def _bare(t: Column) -> Column:
 
 def _own(t: Column, common: list[str], definition: str) -> list[Column]:
     """OWN of a token: its flags, signs, line breaks, signs behind the last break, indentation, and its place (from 1) among the common ones."""
-    bare, breaks = _bare(t), F.regexp_count(t, F.lit("\n"))
+    bare, breaks = _bare(t), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     tests = (
         bare.isin(KEYWORDS),
         bare.isin(OPERATORS),
@@ -120,11 +120,11 @@ def _ranked(d: DataFrame, ranks: DataFrame, common: list[str], definition: str,
     rows, and their rows aren't exchanged; of any other there is less than a
     FREQUENT-th of all rows, so that no key is hot where the rest is joined.
     """
-    known = ranks.select(F.col(token).alias("_token"), F.col("n").alias("_n"), F.col("rank").alias("_rank"), *_own(F.col(token), common, definition))
-    most = F.broadcast(known.orderBy(F.desc("_n"), "_token").limit(FREQUENT))
+    known = lambda r: r.select(F.col(token).alias("_token"), F.col("n").alias("_n"), F.col("rank").alias("_rank"), *_own(F.col(token), common, definition))
+    most = F.broadcast(known(ranks.orderBy(F.desc("n"), token).limit(FREQUENT)))
     same = F.col(token) == F.col("_token")
     hot = d.join(most, same).select(key, pos, "_n", "_rank", *OWN)
-    rest = d.join(most, same, "left_anti").join(known, same, "left")
+    rest = d.join(most, same, "left_anti").join(known(ranks), same, "left")
     new = _own(F.col(token), common, definition)  # of tokens that the ranks don't know
     return hot.union(rest.select(key, pos, "_n", "_rank", *[F.coalesce(F.col(name), c).alias(name) for name, c in zip(OWN, new, strict=True)]))
 

@@ -60,3 +60,28 @@ def test_ranks_are_looked_up_before_tokens_get_wide(spark, sf):
     joins = [i for i, line in enumerate(plan) if "Join" in line and "_token" in line]
     texts = [i for i, line in enumerate(plan) if "Window" in line and "problem_id" in line]
     assert joins and texts and max(texts) < min(joins)
+
+
+def test_texts_are_taken_apart_once(spark, sf):
+    """Scans read tokens that are found already, and three windows serve all features: two by place, one by line."""
+    from plumbline.plans import reports
+
+    plan = reports.ml_features(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("regexp_extract_all(text" in line for line in plan)
+    windows = [line for line in plan if "Window [" in line and "problem_id" in line]
+    assert len(windows) == 3 and not any("token#" in line for line in windows)
+
+
+def test_features_of_tokens_that_the_ranks_do_not_know(spark):
+    """Only rank, frequency and the common tokens go with the corpus."""
+    from plumbline.operators import features
+
+    toks = ["def", " ", "f", "(", "x", ")", ":", "\n    ", "y", "=", "'s'", "\n", "3.5", ".", "Zoë", None]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(toks)], "problem_id long, pos long, token string")
+    other = spark.createDataFrame([(2, 0, "x"), (2, 1, "none")], df.schema)
+    scale = features.fit(df, 0)[1]
+    names = ["pos", *(n for n in features.NAMES if n not in ("freq_rank", "log_freq"))]
+    own, new = (sorted(map(tuple, features.extract(df, features.fit(c, 0)[0], scale, []).select(names).collect())) for c in (df, other))
+    assert len(own) == len(toks) and own == new
+    got = features.extract(df, features.fit(other, 0)[0], scale, []).where("pos <> 4").agg(F.max("freq_rank"), F.max("log_freq")).first()
+    assert tuple(got) == (0.0, 0.0)
