@@ -69,7 +69,7 @@ def fit(tokens: DataFrame, top: int, key: str = "problem_id", pos: str = "pos",
     return ranks, scale, common
 
 
-#: Tokens so frequent that their ranks go to all tasks (4 MB); a ninth of the tokens of a corpus of 209 M tokens is none of them.
+#: Tokens so frequent that their ranks go to all tasks; of a corpus of 209 M tokens a ninth is none of them.
 FREQUENT = 20_000
 
 #: What a token's signs tell, as bits of one number: the features of that name, and what its neighbours ask for.
